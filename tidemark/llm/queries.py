@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .audio import media_digests
 from .bpe import bpe_decode, bpe_encode, digests, read_ranks
 from .common import doc_key, table
+from .omh import edited_pairs
+from .wordpiece import count_pieces, read_vocabulary
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -23,3 +26,21 @@ def op1_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = read_ranks(public.path("byte_bpe_multi_50k.tiktoken"))
     encoded = bpe_encode(doc_key(table(spark, sf_dir, "documents")), ranks, public.PATTERN).drop("text")
     return digests(bpe_decode(encoded, ranks))
+
+
+@query
+def op2_telephony_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_digests(doc_key(table(spark, sf_dir, "documents")))
+
+
+@query
+def op3_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edited_pairs(doc_key(table(spark, sf_dir, "documents")))
+
+
+@query
+def op5_longest_match_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers as public
+
+    vocabulary = read_vocabulary(public.path("byte_bpe_multi_50k.tiktoken"))
+    return count_pieces(doc_key(table(spark, sf_dir, "documents")), vocabulary).drop("text")
