@@ -7,7 +7,10 @@ from pyspark.sql import DataFrame, SparkSession
 from .audio import media_digests
 from .bpe import bpe_decode, bpe_encode, digests, read_ranks
 from .common import doc_key, table
+from .mixing import mix
 from .omh import edited_pairs
+from .ordinal import select_best
+from .simhash import near_duplicates
 from .wordpiece import count_pieces, read_vocabulary
 
 QUERIES: dict = {}
@@ -44,3 +47,20 @@ def op5_longest_match_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     vocabulary = read_vocabulary(public.path("byte_bpe_multi_50k.tiktoken"))
     return count_pieces(doc_key(table(spark, sf_dir, "documents")), vocabulary).drop("text")
+
+
+@query
+def op4_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(doc_key(table(spark, sf_dir, "documents")))
+
+
+@query
+def op6_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = doc_key(table(spark, sf_dir, "documents"))
+    return select_best(docs, table(spark, sf_dir, "labels")).drop("text")
+
+
+@query
+def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return mix(docs).select("doc_id", "size", "source_size", "target", "taken")
