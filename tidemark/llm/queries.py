@@ -7,10 +7,12 @@ from pyspark.sql import DataFrame, SparkSession
 from .audio import media_digests
 from .bpe import bpe_decode, bpe_encode, digests, read_ranks
 from .common import doc_key, table
+from .hyperdim import held_out_languages
 from .mixing import mix
 from .omh import edited_pairs
 from .ordinal import select_best
 from .simhash import near_duplicates
+from .substring import kept_digests
 from .wordpiece import count_pieces, read_vocabulary
 
 QUERIES: dict = {}
@@ -64,3 +66,13 @@ def op6_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return mix(docs).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query
+def op8_hyperdimensional_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return held_out_languages(table(spark, sf_dir, "documents"))
+
+
+@query
+def op10_debruijn_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kept_digests(doc_key(table(spark, sf_dir, "documents")))
