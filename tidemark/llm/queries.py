@@ -8,6 +8,7 @@ from .audio import media_digests
 from .bpe import bpe_decode, bpe_encode, digests, read_ranks
 from .common import doc_key, table
 from .hyperdim import held_out_languages
+from .lm import lm_scores
 from .mixing import mix
 from .omh import edited_pairs
 from .ordinal import select_best
@@ -76,3 +77,11 @@ def op8_hyperdimensional_language(spark: SparkSession, sf_dir: str) -> DataFrame
 @query
 def op10_debruijn_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept_digests(doc_key(table(spark, sf_dir, "documents")))
+
+
+@query
+def op9_attention_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers as public
+
+    ranks = read_ranks(public.path("byte_bpe_multi_50k.tiktoken"))
+    return lm_scores(doc_key(table(spark, sf_dir, "documents")), (ranks, public.PATTERN))
