@@ -22,10 +22,12 @@ from pyspark.sql import types as T
 
 from .common import with_columns
 
-#: Words whose merges a Python worker remembers; beyond it the memory starts anew. A bound on memory, not on input.
-REMEMBERED = 1_200_000
+#: Words whose ids a Python worker remembers; beyond it the memory starts anew. A bound on memory, not on input.
+REMEMBERED = 500_000
 #: Words contracted by one recursive query, and tokens decoded by one query.
-WORDS_A_QUERY, TOKENS_A_QUERY = 50_000, 1_000_000
+WORDS_A_QUERY, TOKENS_A_QUERY = 15_000, 150_000
+#: What DuckDB may take in each worker.
+DUCKDB = {"threads": 1, "memory_limit": "200MB", "temp_directory": ""}
 #: The query keeps every step of a word, which is quadratic in its length; longer words take the merge queue below.
 LONGEST_BY_QUERY = 200
 
@@ -54,7 +56,7 @@ GROUP BY s.w
 """
 
 DECODE = """
-SELECT d, string_agg(piece, '' ORDER BY p) AS bytes FROM tokens JOIN vocabulary USING (id) GROUP BY d
+SELECT d, array_to_string(list(piece ORDER BY p), '') AS bytes FROM tokens JOIN vocabulary USING (id) GROUP BY d
 """
 
 
@@ -107,22 +109,22 @@ class Encoder:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks, self.split = ranks, regex.compile(pattern).findall
         self.of_byte = np.array([ranks[bytes([b])] for b in range(256)], dtype=np.int64)
-        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "600MB", "temp_directory": ""})
+        self.con = duckdb.connect(config=DUCKDB)
         self.con.execute("SET preserve_insertion_order = false")
         self.con.register("merges_", pair_table(ranks))
         self.con.execute("CREATE TABLE merges AS SELECT * FROM merges_")
-        self.words: dict[str, bytes] = {}
-        self.segments: dict[str, bytes] = {}
+        #: ids of words, and of segments: a word is the only word of the segment that it makes
+        self.known: dict[str, bytes] = {}
 
-    #: Two white-space characters side by side, or the mark that segments() puts in.
-    UNEVEN = re.compile(r"\s\s|\x00")
+    #: Two white-space characters side by side.
+    UNEVEN = re.compile(r"\s\s")
 
     def cut(self, text: str) -> list[str]:
         """Segments whose words, one after the other, are the text's words.
 
         Where white space is single, no match of the pattern reaches over a space from its left or over a line end.
         """
-        if self.UNEVEN.search(text):
+        if "\0" in text or self.UNEVEN.search(text):
             return self.split(text)
         return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
 
@@ -132,9 +134,9 @@ class Encoder:
         for w in words:
             b = w.encode()
             if (r := self.ranks.get(b)) is not None:
-                self.words[w] = np.int32(r).tobytes()
+                self.known[w] = np.int32(r).tobytes()
             elif len(b) > LONGEST_BY_QUERY:
-                self.words[w] = np.array(merged_by_queue(b, self.ranks), dtype=np.int32).tobytes()
+                self.known[w] = np.array(merged_by_queue(b, self.ranks), dtype=np.int32).tobytes()
             elif b:
                 todo.append((w, b))
         for i in range(0, len(todo), WORDS_A_QUERY):
@@ -151,28 +153,29 @@ class Encoder:
             ids = found["ids"].combine_chunks()
             flat, ends = ids.values.to_numpy().astype(np.int32), ids.offsets.to_numpy()
             for w, a, b in zip(found["w"].to_pylist(), ends, ends[1:]):
-                self.words[some[w][0]] = flat[a:b].tobytes()
+                self.known[some[w][0]] = flat[a:b].tobytes()
 
     def encode(self, column: list[str]) -> list[np.ndarray]:
-        if len(self.words) + len(self.segments) > REMEMBERED:
-            self.words, self.segments = {}, {}
+        if len(self.known) > REMEMBERED:
+            self.known = {}
+        cut = [self.cut(text) for text in column]
         new: set[str] = set()
-        for text in column:
-            new.update(self.cut(text))
-        new.difference_update(self.segments)
-        inside = {s: self.split(s) for s in new}
-        self.merge(list({w for ws in inside.values() for w in ws} - self.words.keys()))
+        new.update(*cut)
+        new.difference_update(self.known)
+        inside = {s: ws for s in new if (ws := self.split(s)) != [s]}
+        single = new.difference(inside)
+        self.merge(list(single.union(*inside.values()).difference(self.known)))
         for s, ws in inside.items():
-            self.segments[s] = b"".join(map(self.words.__getitem__, ws))
-        return [np.frombuffer(b"".join(map(self.segments.__getitem__, self.cut(text))), dtype=np.int32) for text in column]
+            self.known[s] = b"".join(map(self.known.__getitem__, ws))
+        return [np.frombuffer(b"".join(map(self.known.__getitem__, segments)), dtype=np.int32) for segments in cut]
 
 
 class Decoder:
     """One Python worker's connection and vocabulary."""
 
     def __init__(self, ranks: dict[bytes, int]):
-        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "600MB", "temp_directory": ""})
-        # string_agg takes text only: each byte becomes the character of the same number
+        self.con = duckdb.connect(config=DUCKDB)
+        # text only can be joined: each byte becomes the character of the same number
         self.con.register("pieces", pa.table({"id": pa.array(list(ranks.values()), pa.int32()), "piece": [t.decode("latin-1") for t in ranks]}))
         self.con.execute("CREATE TABLE vocabulary AS SELECT * FROM pieces")
         self.known = np.zeros(max(ranks.values()) + 1, dtype=bool)
@@ -209,7 +212,7 @@ def _worker(kind: type, key: tuple, *args):
 
 
 #: Texts encoded at a time, in characters.
-CHARS_A_BATCH = 16_000_000
+CHARS_A_BATCH = 2_000_000
 
 
 def bpe_encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:

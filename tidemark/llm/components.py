@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from .common import cut
 
 
+#: Up to so many edges are contracted in one partition, where a round needs no shuffle.
+FEW = 100_000
+
+
 def components(links: DataFrame, a: str, b: str) -> DataFrame:
     """(node, root) of every node that a link joins to another; root is the component's least node.
 
@@ -20,6 +24,8 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
     mark = lambda df: tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first())
     seen = mark(edges)
     while seen[0]:
+        if seen[0] <= FEW:
+            edges = edges.coalesce(1)
         both = edges.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(edges.select("lo", "hi"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).where("hi <> lo").distinct()

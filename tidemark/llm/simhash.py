@@ -18,7 +18,7 @@ from itertools import accumulate, combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -62,21 +62,32 @@ def _signed(mask: int) -> int:
     return mask - (1 << 64) if mask >> 63 else mask
 
 
-def _variants(fps: DataFrame, masks: list[int]) -> DataFrame:
-    every = F.array(*[F.lit(_signed(m)) for m in masks])
-    return fps.select(F.explode(every).alias("mask"), "fp").select(F.col("fp").bitwiseXOR(F.col("mask")).alias("mid"), "fp")
+#: What is flipped in a variant: nothing, one bit, or two of the same half.
+MASKS = [0, *(1 << i for i in range(BITS)), *(1 << i | 1 << j for s in (0, BITS // 2) for i, j in combinations(range(s, s + BITS // 2), 2))]
+
+
+def _masks(codes: list[int]) -> Column:
+    return F.array(*[F.lit(_signed(MASKS[c])) for c in codes])
+
+
+def _variants(fps: DataFrame, codes: list[int]) -> DataFrame:
+    """(mid, code): a variant and the number of the mask that gives the fingerprint back; the number shuffles smaller than that."""
+    flipped = fps.select("fp", F.posexplode(_masks(codes)).alias("i", "mask"))
+    return flipped.select(F.col("fp").bitwiseXOR(F.col("mask")).alias("mid"), (F.col("i") + codes[0]).cast("short").alias("code"))
+
+
+def _origin() -> Column:
+    return F.col("mid").bitwiseXOR(F.element_at(_masks(list(range(len(MASKS)))), F.col("code").cast("int") + 1))
 
 
 def links(fps: DataFrame) -> DataFrame:
     """(fp, rep): links that join all distinct fingerprints within three bits of each other into the same components."""
-    one = [1 << i for i in range(BITS)]
-    half = BITS // 2
-    two = [1 << i | 1 << j for s in (0, half) for i, j in combinations(range(s, s + half), 2)]
-    near = _variants(fps, one)
-    least = near.groupBy("mid").agg(F.min("fp").alias("rep"))
-    far = _variants(fps.where(F.bit_count("fp") % 2 == 1), [0, *two])
-    met = near.union(far).join(least.hint("shuffle_hash"), "mid")
-    return met.where((F.col("fp") != F.col("rep")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("rep"))) <= RADIUS)).select("fp", "rep").distinct()
+    near = _variants(fps, list(range(1, BITS + 1)))
+    least = near.groupBy("mid").agg(F.min(_origin()).alias("rep"))
+    odd = fps.where(F.bit_count("fp") % 2 == 1)
+    far = _variants(odd, [0]).union(_variants(odd, list(range(BITS + 1, len(MASKS)))))
+    met = near.union(far).join(least.hint("shuffle_hash"), "mid").select(_origin().alias("fp"), "rep")
+    return met.where((F.col("fp") != F.col("rep")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("rep"))) <= RADIUS)).distinct()
 
 
 def near_groups(docs: DataFrame) -> DataFrame:

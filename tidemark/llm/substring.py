@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -112,8 +112,8 @@ def edges(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
 
 def windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(doc_id, row, at, a, b): two hashes of each window that docs' paths (array of first, last) name."""
-    schema = "doc_id long, row long, at int, a long, b long"
+    """(doc_id, row, at, a, b): 80 bits of hash of each window that docs' paths (array of first, last) name."""
+    schema = "doc_id long, row long, at int, a long, b short"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -128,26 +128,33 @@ def windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 one.append(Spans(h).of(at, at + window))
                 two.append(Spans(h, 1).of(at, at + window))
             if where:
-                columns = [np.repeat(np.array(ids, dtype=np.int64), count), np.repeat(np.array(rows, dtype=np.int64), count), np.concatenate(where).astype(np.int32), np.concatenate(one).view(np.int64), np.concatenate(two).view(np.int64)]
+                columns = [np.repeat(np.array(ids, dtype=np.int64), count), np.repeat(np.array(rows, dtype=np.int64), count), np.concatenate(where).astype(np.int32), np.concatenate(one).view(np.int64), (np.concatenate(two) >> np.uint64(48)).astype(np.uint16).view(np.int16)]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["doc_id", "row", "at", "a", "b"])
 
     return docs.mapInArrow(run, schema)
 
 
 def repeated(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(doc_id, row, spans): for each document the windows, as (first, last) starts, that also start in a document with a smaller id."""
+    """(doc_id, row, spans): for each document the windows, as (first, last) starts, that also start in a document with a smaller id.
+
+    docs: doc_id (never null), row and text. All groups are reduced before they are joined, so a passage that many documents share
+    is no single task's work.
+    """
     graph = written(edges(docs, window), "edges")
     owners = graph.groupBy("node", "whole").agg(F.min("doc_id").alias("owner"))
-    owned = written(graph.join(owners, ["node", "whole"]), "owned")
-    settled = owned.where("doc_id > owner").select("doc_id", "row", "first", "last")
-    branches = owners.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("node")
-    open_edges = owned.where("doc_id = owner").join(branches, "node", "left_semi").select("doc_id", "row", "first", "last")
+    # a stretch that an earlier document has is settled; of the others the node is kept
+    open_node = F.when(F.col("doc_id") == F.col("owner"), F.col("node"))
+    owned = written(graph.join(owners, ["node", "whole"]).select("doc_id", "row", "first", "last", open_node.alias("node")), "owned")
+    settled = owned.where("node IS NULL").select("doc_id", "row", "first", "last")
+    left = owned.where("node IS NOT NULL")
+    branches = left.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    open_edges = left.join(branches, "node", "left_semi").select("doc_id", "row", "first", "last")
     # touching stretches of a document compact into one path
     starts = open_edges.selectExpr("*", "coalesce(lag(last) OVER (PARTITION BY doc_id, row ORDER BY first) + 1 <> first, true) AS fresh")
     numbered = starts.selectExpr("*", "sum(cast(fresh AS int)) OVER (PARTITION BY doc_id, row ORDER BY first) AS path")
     paths = numbered.groupBy("doc_id", "row", "path").agg(F.min("first").alias("first"), F.max("last").alias("last"))
-    of_doc = paths.groupBy("doc_id", "row").agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias("paths"))
-    seen = written(windows(docs.join(of_doc, ["doc_id", "row"]), window), "windows")
+    of_doc = written(paths.groupBy("doc_id", "row").agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias("paths")), "paths")
+    seen = windows(docs.join(of_doc, ["doc_id", "row"]), window)
     least = seen.groupBy("a", "b").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("most")).where("owner < most").drop("most")
     verified = seen.join(least, ["a", "b"]).where("doc_id > owner").select("doc_id", "row", F.col("at").alias("first"), F.col("at").alias("last"))
     both = settled.unionByName(verified)
@@ -163,15 +170,17 @@ def covered(n: int, spans: list[dict] | None, window: int = WINDOW) -> np.ndarra
     return np.cumsum(change[:-1]) > 0
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """doc_id, row and text; `row` tells apart texts that share an id."""
-    return docs.select("doc_id", F.xxhash64("text").alias("row"), "text")
+def row_key(docs: DataFrame) -> Column:
+    """What tells apart texts that share an id: a hash of the text, or nothing where no id repeats."""
+    again = docs.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where("count > 1").limit(1).count()
+    return F.xxhash64("text") if again else F.lit(0).cast("long")
 
 
 def _cut(docs: DataFrame, window: int) -> DataFrame:
-    rows = keyed(docs)
-    spans = repeated(rows.where(F.col("doc_id").isNotNull()), window)
-    return rows.join(spans, ["doc_id", "row"], "left")
+    rows = docs.select("doc_id", row_key(docs).alias("row"), "text")
+    named = rows.where(F.col("doc_id").isNotNull())
+    done = named.join(repeated(named, window), ["doc_id", "row"], "left")
+    return done.unionByName(rows.where(F.col("doc_id").isNull()), allowMissingColumns=True)
 
 
 def kept_digests(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -222,9 +231,9 @@ def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 new.append(t)
             yield [pa.array(new, pa.string())]
 
-    rows = docs.withColumn("_row", F.xxhash64("text"))
+    rows = docs.withColumn("_row", row_key(docs))
     named = [c for c in docs.columns if c not in ("doc_id", "text")]
-    spans = repeated(keyed(docs).where(F.col("doc_id").isNotNull()), window).withColumnRenamed("row", "_row")
+    spans = repeated(rows.where(F.col("doc_id").isNotNull()).select("doc_id", F.col("_row").alias("row"), "text"), window).withColumnRenamed("row", "_row")
     joined = rows.join(spans, ["doc_id", "_row"], "left").select("doc_id", *[F.col(f"`{c}`") for c in named], "text", "spans")
     done = with_columns(joined, "text", fields, fill)
     if "n_chars" in docs.columns:
