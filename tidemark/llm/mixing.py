@@ -1,8 +1,8 @@
 """Mixing sources to target weights by fitting budgets exactly.
 
-A source's documents are counted by length. Whole passes are taken first; what is left of the budget is shared over the
-lengths in proportion, and a bounded knapsack by dynamic programming over the lengths fits the rest to the word. Which
-documents of a length are taken is drawn by a seeded hash.
+A source's documents are counted by length. Whole passes are taken first; what is left of the budget, but for its last
+words, is shared over the lengths in proportion, and a bounded knapsack by dynamic programming over the lengths fits the
+last words exactly. Which documents of a length are taken is drawn by a seeded hash.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ RANGES = 64
 #: Rows of the plan that may be broadcast; a longer plan is joined by a shuffle.
 BROADCAST_ROWS = 50_000
 #: The knapsack's table: at least this many words, and at least two documents of the greatest length.
-TABLE = 4096
+TABLE = 1 << 17
 
 
 def targets(sizes: dict, weights: tuple = WEIGHTS, most: int = MOST_PASSES) -> dict:
@@ -54,10 +54,10 @@ def fit(sizes: list[int], counts: list[int], budget: int) -> list[int]:
     budget = max(0, min(budget, total))
     if not budget:
         return [0] * len(sizes)
-    take = [c * budget // total if s else 0 for s, c in zip(sizes, counts)]
+    table = max(TABLE, 2 * max(sizes))
+    take = [c * max(0, budget - table) // total if s else 0 for s, c in zip(sizes, counts)]
     rest = budget - sum(s * t for s, t in zip(sizes, take))
     order = sorted(range(len(sizes)), key=lambda i: -sizes[i])
-    table = max(TABLE, 2 * max(sizes))
     for i in order:
         if rest > table and sizes[i]:
             n = min(counts[i] - take[i], (rest - table) // sizes[i])
