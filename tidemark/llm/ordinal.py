@@ -20,7 +20,9 @@ from pyspark.sql import types as T
 
 from .common import texts, with_columns
 
-BUCKETS = 1 << 17
+BUCKETS = 1 << 18
+#: Lengths of the beginnings of words that are features.
+HEADS = (4, 5)
 #: Labelled rows that are fitted at most, drawn by a hash of doc_id.
 SAMPLE = 12_000
 #: Words whose weights a Python worker remembers; a bound on memory only.
@@ -34,9 +36,11 @@ def _bucket(kind: bytes, value: bytes) -> int:
 
 
 def word_features(word: bytes) -> tuple[int, ...]:
-    """Buckets of a word: its lower-case core, and the punctuation before and after it."""
+    """Buckets of a word: its lower-case core, the core's first bytes (inflections share them), and the punctuation around it."""
     front, core, back = _CORE.match(word).groups()
-    found = [_bucket(b"w", core.lower())] if core else []
+    core = core.lower()
+    found = [_bucket(b"w", core)] if core else []
+    found += [_bucket(b"%d" % n, core[:n]) for n in HEADS if len(core) >= n]
     if front or back:
         found.append(_bucket(b"p", front + b"_" + back))
     return tuple(found)
@@ -70,20 +74,24 @@ def grade(quality, toxic):
     return F.when(quality == 0, 0).when(quality == 1, F.when(toxic == 1, 1).otherwise(2))
 
 
-def fit_ordinal(rows: list[np.ndarray], grades: np.ndarray, top: int, epochs: int = 12, rate: float = 0.05, decay: float = 1e-4, seed: int = 3) -> OrdinalModel:
-    """Minimises the cumulative-link loss by Adam over shuffled minibatches; thresholds stay ordered by positive gaps."""
+def fit_ordinal(rows: list[np.ndarray], grades: np.ndarray, top: int, epochs: int = 6, rate: float = 0.3, sparsity: float = 0.006, decay: float = 1.0, seed: int = 3) -> OrdinalModel:
+    """Minimises the cumulative-link loss over shuffled minibatches; thresholds stay ordered by positive gaps.
+
+    Weights follow the regularized leader: one whose gradients add up to less than `sparsity` for each row stays zero, so
+    that words which are merely rare carry no weight. Thresholds are moved by Adam.
+    """
     draw = np.random.default_rng(seed)
-    w, m, v = np.zeros(BUCKETS), np.zeros(BUCKETS), np.zeros(BUCKETS)
+    w, lead, square = np.zeros(BUCKETS), np.zeros(BUCKETS), np.zeros(BUCKETS)
     cuts = np.concatenate([[-1.0], np.full(top - 1, np.log(2.0))])  # the first threshold, then logarithms of the gaps
     cm, cv = np.zeros(top), np.zeros(top)
-    t = 0
-    #: each grade weighs alike
-    share = np.array([1 / max(1, np.count_nonzero(grades == g)) for g in range(top + 1)])
+    t, zero = 0, sparsity * len(rows)
+    #: rare grades weigh more, by less than their rarity
+    share = np.array([max(1, np.count_nonzero(grades == g)) for g in range(top + 1)], dtype=float) ** -0.75
     weight = share[grades] / share[grades].mean() if len(grades) else share
     for _ in range(epochs):
         order = draw.permutation(len(rows))
-        for i in range(0, len(order), 256):
-            at = order[i : i + 256]
+        for i in range(0, len(order), 64):
+            at = order[i : i + 64]
             some = [rows[j] for j in at]
             flat, owner = np.concatenate(some), np.repeat(np.arange(len(at)), [len(x) for x in some])
             score = np.bincount(owner, w[flat], minlength=len(at))
@@ -91,17 +99,19 @@ def fit_ordinal(rows: list[np.ndarray], grades: np.ndarray, top: int, epochs: in
             theta = cuts[0] + np.concatenate([[0.0], np.cumsum(gaps)])
             tail = 1 / (1 + np.exp(np.clip(theta[None, :] - score[:, None], -60, 60)))
             #: a chain of binary losses: is the grade at least j?
-            error = (tail - (grades[at][:, None] >= np.arange(1, top + 1)[None, :])) * weight[at][:, None] / len(at)
-            gw = np.bincount(flat, error.sum(axis=1)[owner], minlength=BUCKETS) + decay * w
-            gt = -error.sum(axis=0)
+            error = (tail - (grades[at][:, None] >= np.arange(1, top + 1)[None, :])) * weight[at][:, None]
+            f, which = np.unique(flat, return_inverse=True)
+            g = np.bincount(which, error.sum(axis=1)[owner])
+            root = np.sqrt(square[f] + g * g)
+            lead[f] += g - (root - np.sqrt(square[f])) / rate * w[f]
+            square[f] += g * g
+            w[f] = -np.sign(lead[f]) * np.maximum(0, np.abs(lead[f]) - zero) / ((1 + root) / rate + decay)
+            gt = -error.mean(axis=0)
             gc = np.concatenate([[gt.sum()], [gt[j:].sum() * gaps[j - 1] for j in range(1, top)]])
             t += 1
-            for x, g, a, b, r in ((w, gw, m, v, rate), (cuts, gc, cm, cv, rate)):
-                a *= 0.9
-                a += 0.1 * g
-                b *= 0.999
-                b += 0.001 * g * g
-                x -= r * (a / (1 - 0.9**t)) / (np.sqrt(b / (1 - 0.999**t)) + 1e-8)
+            cm += 0.1 * (gc - cm)
+            cv += 0.001 * (gc * gc - cv)
+            cuts = cuts - 0.02 * (cm / (1 - 0.9**t)) / (np.sqrt(cv / (1 - 0.999**t)) + 1e-8)
     return OrdinalModel(w.astype(np.float32), cuts[0] + np.concatenate([[0.0], np.cumsum(np.exp(cuts[1:]))]))
 
 
