@@ -98,10 +98,10 @@ fa AS (SELECT acc, count(*) AS n, cast(sum(is_in) as bigint) AS incoming_txn_cou
 tip AS (SELECT acc, max(k) AS top_ip_transaction_count FROM (SELECT acc, ip_address, count(*) AS k FROM e GROUP BY 1,2) GROUP BY acc),
 feat AS (SELECT fa.acc AS account_number, n AS transaction_count, incoming_txn_count, outgoing_txn_count, incoming_volume, outgoing_volume, net_flow_delta, fan_in, fan_out, unique_counterparties,
   CASE WHEN incoming_volume>0 THEN round(outgoing_volume/incoming_volume,4) END AS outflow_to_inflow_ratio, CASE WHEN outgoing_volume>0 THEN round(incoming_volume/outgoing_volume,4) END AS inflow_to_outflow_ratio,
-  {TS.format('first_s')} AS first_seen_timestamp, {TS.format('last_s')} AS last_seen_timestamp, last_s-first_s AS activity_span_seconds, active_day_count, active_hour_count, round(n/active_day_count,2) AS transactions_per_active_day,
+  {TS.format('first_s')} AS first_seen_timestamp, {TS.format('last_s')} AS last_seen_timestamp, last_s-first_s AS activity_span_seconds, active_day_count, active_hour_count, ((200*n+active_day_count)//(2*active_day_count))/100 AS transactions_per_active_day,
   {', '.join(f'{s}_amount_{k}' for s in ('incoming', 'outgoing') for k in ('min', 'max', 'mean', 'median', 'stddev'))},
   unique_device_count, {', '.join(f'{k}_txn_count' for k in (*features.DEVICES, *features.MODES))}, round(web_emulator_txn_count/n,4) AS web_emulator_ratio, round(linux_script_txn_count/n,4) AS linux_script_ratio,
-  unique_ip_count, round(n/unique_ip_count,2) AS transactions_per_unique_ip, top_ip_transaction_count, round(top_ip_transaction_count/n,4) AS top_ip_transaction_ratio,
+  unique_ip_count, ((200*n+unique_ip_count)//(2*unique_ip_count))/100 AS transactions_per_unique_ip, top_ip_transaction_count, round(top_ip_transaction_count/n,4) AS top_ip_transaction_ratio,
   {', '.join(f'round({k}_txn_count/n,4) AS {k}_ratio' for k in features.MODES)}, unique_narration_count, empty_narration_count, round((n-unique_narration_count)/n,4) AS narration_repeat_ratio,
   active_day_count AS unique_active_dates, unique_active_hours, night_transaction_count, round(night_transaction_count/n,4) AS night_transaction_ratio FROM fa JOIN tip ON fa.acc=tip.acc)"""
 
