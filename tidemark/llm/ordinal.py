@@ -124,7 +124,7 @@ def features(docs: DataFrame, text: str = "text", out: str = "features") -> Data
             for t in texts(b, text):
                 words = t.split()
                 distinct = set(words)
-                found.append([f for w in distinct for f in word_features(w)] + text_features(t, words, len(distinct)))
+                found.append(np.array([f for w in distinct for f in word_features(w)] + text_features(t, words, len(distinct)), dtype=np.int32))
             yield [pa.array(found, pa.list_(pa.int32()))]
 
     return with_columns(docs, text, [T.StructField(out, T.ArrayType(T.IntegerType()), True)], fill)
@@ -137,11 +137,15 @@ def train(docs: DataFrame, ratings: DataFrame, sample: int = SAMPLE, top: int =
     """
     rated = ratings.where("doc_id IS NOT NULL AND grade IS NOT NULL").groupBy("doc_id").agg(F.min("grade").alias("grade"))
     drawn = rated.orderBy(F.xxhash64(F.lit(17), "doc_id"), "doc_id").limit(sample)
-    some = features(docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id")).select("doc_id", "features", "grade").limit(sample).collect()
-    if not some:
+    some = features(docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id")).select("doc_id", "features", "grade").limit(sample).toArrow()
+    if not some.num_rows:
         return None
-    some.sort(key=lambda r: (r["doc_id"], len(r["features"])))
-    return fit_ordinal([np.array(r["features"], dtype=np.int64) for r in some], np.array([r["grade"] for r in some]), top)
+    column = some["features"].combine_chunks()
+    ends, flat = column.offsets.to_numpy(), column.values.to_numpy()
+    rows = [flat[a:b] for a, b in zip(ends, ends[1:])]
+    ids = some["doc_id"].to_pylist()
+    order = sorted(range(len(rows)), key=lambda i: (ids[i], len(rows[i])))
+    return fit_ordinal([rows[i] for i in order], some["grade"].to_numpy()[order], top)
 
 
 _known: dict[int, dict[bytes, float]] = {}
