@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import Trace
+from ..sources.store import materialise
 
 
 def edge_id() -> Column:
@@ -48,25 +49,29 @@ def neighbourhood(ledger: DataFrame, account: str, hops: int = 1, max_nodes: int
 
 
 def structural_paths(ledger: DataFrame, account: str, hops: int = 4, max_nodes: int = 1000, keep: int = 100) -> tuple[DataFrame, DataFrame]:
-    """nodes(account, hop) reached over outflows, and the `keep` longest simple paths (array of accounts).
+    """nodes(account, hop) reached over outflows, and the `keep` longest simple paths (path, an array of accounts, and truncated).
 
-    A hop follows the largest 3*max_nodes outflows of its frontier, by amount and row.
+    A hop follows the largest 3*max_nodes outflows of its frontier, by amount and row, and every path that they lengthen.
+    `truncated` is set in all rows if that cap left outflows out or more than max_nodes accounts were reached.
     """
     spark = ledger.sparkSession
     paths = spark.createDataFrame([([account],)], "path array<string>")
-    nodes = spark.createDataFrame([(account, 0)], "account string, hop int")
-    every = paths
+    every, truncated, most = paths, False, 3 * max_nodes
     out = ledger.select("sender_account", "receiver_account", "amount_paise", "row_id").where("sender_account IS NOT NULL AND receiver_account IS NOT NULL")
     for hop in range(1, hops + 1):
         front = paths.select(F.element_at("path", -1).alias("sender_account")).distinct()
-        steps = out.join(F.broadcast(front), "sender_account", "left_semi").orderBy(F.desc("amount_paise"), "row_id").limit(3 * max_nodes)
-        steps = steps.groupBy("sender_account", "receiver_account").agg(F.max("amount_paise").alias("most"), F.min("row_id").alias("row"))
-        longer = steps.join(F.broadcast(paths), F.col("sender_account") == F.element_at("path", -1)).where(~F.array_contains("path", F.col("receiver_account")))
-        paths = _kept(longer.orderBy(F.desc("most"), "row", "path").limit(3 * max_nodes).select(F.concat("path", F.array("receiver_account")).alias("path")))
-        fresh = paths.select(F.element_at("path", -1).alias("account")).distinct().join(F.broadcast(nodes), "account", "left_anti").withColumn("hop", F.lit(hop))
-        nodes = _kept(nodes.unionByName(fresh).orderBy("hop", "account").limit(max_nodes))
+        steps = _kept(out.join(F.broadcast(front), "sender_account", "left_semi").orderBy(F.desc("amount_paise"), "row_id").limit(most + 1))
+        truncated |= steps.count() > most
+        steps = steps.orderBy(F.desc("amount_paise"), "row_id").limit(most).select("sender_account", "receiver_account").distinct()
+        longer = paths.join(F.broadcast(steps), F.col("sender_account") == F.element_at("path", -1)).where(~F.array_contains("path", F.col("receiver_account")))
+        paths = longer.select(F.concat("path", F.array("receiver_account")).alias("path"))
+        if hop < hops:
+            paths = materialise(paths, "paths")
         every = every.unionByName(paths)
-    return nodes, every.orderBy(F.desc(F.size("path")), "path").limit(keep)
+    reached = every.groupBy(F.element_at("path", -1).alias("account")).agg((F.min(F.size("path")) - 1).alias("hop"))
+    nodes = _kept(reached.orderBy("hop", "account").limit(max_nodes + 1))
+    truncated |= nodes.count() > max_nodes
+    return nodes.orderBy("hop", "account").limit(max_nodes), every.orderBy(F.desc(F.size("path")), "path").limit(keep).withColumn("truncated", F.lit(truncated))
 
 
 def reachable(ledger: DataFrame, account: str, hops: int = 4) -> DataFrame:

@@ -7,7 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import Trace
 from ..operators import features, fifo, graph, risk, roles, syndicate, velocity
 from ..sources.ledger import derive_ledger
 from ..sources.store import materialise
@@ -262,9 +261,9 @@ _WALK = lambda edges, hops: f", walk AS (SELECT '{HUB}' AS account, 0 AS hop UNI
 _q("ego_graph_2hop", lambda s, d: graph.neighbourhood(ledger(s, d), HUB, 2, 5_000_000)[0], _WALK("und", 2), _BOTH)
 _q("ego_graph_edges", lambda s, d: graph.neighbourhood(ledger(s, d), HUB, 1, 5_000_000)[1], f" SELECT sender_account||'_'||receiver_account||'_'||transaction_id||'_'||epoch_s||'_'||row_id AS edge_id, row_id, sender_account AS source, receiver_account AS target, amount_paise, epoch_s FROM ledger WHERE sender_account='{HUB}' OR receiver_account='{HUB}'")
 _q("trace_structural_hops", lambda s, d: graph.reachable(ledger(s, d), HUB, 4), _WALK("dir", 4), "dir AS (SELECT DISTINCT sender_account AS a, receiver_account AS b FROM ledger)")
-_q("trace_structural_paths", lambda s, d: graph.structural_paths(ledger(s, d), HUB, 3, 100)[1], None)
-_q("trace_attribution_hops", lambda s, d: graph.attribution_trace(ledger(s, d), HUB, config=Trace(hops=4, branches=10)), None)
-_q("trace_terminals", lambda s, d: graph.terminals(graph.attribution_trace(ledger(s, d), HUB, config=Trace(hops=3, branches=10))), None)
+_q("trace_structural_paths", lambda s, d: graph.structural_paths(ledger(s, d), HUB)[1], None)
+_q("trace_attribution_hops", lambda s, d: graph.attribution_trace(ledger(s, d), HUB), None)
+_q("trace_terminals", lambda s, d: graph.terminals(graph.attribution_trace(ledger(s, d), HUB)), None)
 
 _q("mule_list_filtered", lambda s, d: explore.mule_list(accounts(s, d), role="ANY", min_risk=30.0, sort_by="inflow", limit=50, offset=10).select("account_number", "role", "risk_band", "mule_risk_index", "incoming_volume"), """ SELECT account_number, CASE WHEN cast(layer1_candidate as int)+cast(layer2_candidate as int)+cast(layer3_candidate as int)>1 THEN 'MIXED' WHEN layer1_candidate THEN 'L1_COLLECTOR' WHEN layer2_candidate THEN 'L2_DISTRIBUTOR' ELSE 'L3_TERMINAL' END AS role, risk_band, mule_risk_index::double AS mule_risk_index, incoming_volume
   FROM risk WHERE (layer1_candidate OR layer2_candidate OR layer3_candidate) AND mule_risk_index>=30 ORDER BY incoming_volume DESC NULLS LAST, account_number LIMIT 50 OFFSET 10""", *SCORED)
