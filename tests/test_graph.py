@@ -52,3 +52,11 @@ def test_traces_follow_the_default_branches(spark):
             sums[r["destination_account"]] = sums.get(r["destination_account"], 0) + r["attributed_paise"]
     found = queries.QUERIES["trace_terminals"](spark, SF).collect()
     assert {r["destination_account"]: r["attributed_paise"] for r in found} == sums
+
+
+def test_an_uncapped_neighbourhood_stays_off_the_driver(layered, monkeypatch):
+    capped = [sorted(map(tuple, df.collect())) for df in graph.neighbourhood(layered, "C0", 2, 1000)]
+    monkeypatch.setattr(graph, "_kept", None)
+    nodes, edges = graph.neighbourhood(layered, "C0", 2, None)
+    assert [sorted(map(tuple, df.collect())) for df in (nodes, edges)] == capped
+    assert nodes.where("hop = 1").count() == 5

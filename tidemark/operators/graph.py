@@ -1,7 +1,7 @@
 """Networks around an account: neighbourhoods, structural paths, and attribution over several hops.
 
-Each hop is one join of the frontier with the ledger. Frontiers and results are bounded by node, branch and edge caps,
-so the frontier is broadcast; hops are a loop on the driver over at most six joins.
+Each hop is one join of the frontier with the ledger; hops are a loop on the driver over at most six joins. Where node,
+branch and edge caps bound frontiers and results, the frontier is broadcast.
 """
 
 from __future__ import annotations
@@ -24,25 +24,29 @@ def _kept(df: DataFrame) -> DataFrame:
     return df.sparkSession.createDataFrame(df.collect(), df.schema)
 
 
-def neighbourhood(ledger: DataFrame, account: str, hops: int = 1, max_nodes: int = 500) -> tuple[DataFrame, DataFrame]:
+def neighbourhood(ledger: DataFrame, account: str, hops: int = 1, max_nodes: int | None = 500) -> tuple[DataFrame, DataFrame]:
     """nodes(account, hop) and edges(edge_id, row_id, source, target, amount_paise, epoch_s) within `hops` undirected steps.
 
     At most max_nodes nodes, nearest first and then by account. Edges join kept nodes only and touch a node nearer than
-    the last hop.
+    the last hop. Without max_nodes all are kept: hops are distributed joins, each written to the shared folder.
     """
     spark = ledger.sparkSession
+    small = F.broadcast if max_nodes is not None else (lambda df: df)
     nodes = spark.createDataFrame([(account, 0)], "account string, hop int")
     ends = F.array(F.struct(F.col("sender_account").alias("a"), F.col("receiver_account").alias("b")), F.struct(F.col("receiver_account").alias("a"), F.col("sender_account").alias("b")))
     sides = ledger.select(F.inline(ends))
     for hop in range(1, hops + 1):
         front = nodes.where(F.col("hop") == hop - 1).select(F.col("account").alias("a"))
-        reached = sides.join(F.broadcast(front), "a", "left_semi").select(F.col("b").alias("account")).where("account IS NOT NULL").distinct()
-        fresh = reached.join(F.broadcast(nodes), "account", "left_anti").withColumn("hop", F.lit(hop))
-        nodes = _kept(nodes.unionByName(fresh.orderBy("account").limit(max_nodes)).orderBy("hop", "account").limit(max_nodes))
+        reached = sides.join(small(front), "a", "left_semi").select(F.col("b").alias("account")).where("account IS NOT NULL").distinct()
+        fresh = reached.join(small(nodes), "account", "left_anti").withColumn("hop", F.lit(hop))
+        if max_nodes is None:
+            nodes = materialise(nodes.unionByName(fresh), "neighbourhood")
+        else:
+            nodes = _kept(nodes.unionByName(fresh.orderBy("account").limit(max_nodes)).orderBy("hop", "account").limit(max_nodes))
     inner = nodes.where(F.col("hop") < hops).select("account")
-    near = lambda c: F.broadcast(nodes.select(F.col("account").alias(c)))
+    near = lambda c: small(nodes.select(F.col("account").alias(c)))
     touching = ledger.join(near("sender_account"), "sender_account", "left_semi").join(near("receiver_account"), "receiver_account", "left_semi")
-    own = F.broadcast(inner)
+    own = small(inner)
     flagged = touching.join(own.select(F.col("account").alias("sender_account"), F.lit(True).alias("f")), "sender_account", "left").join(own.select(F.col("account").alias("receiver_account"), F.lit(True).alias("g")), "receiver_account", "left")
     edges = flagged.where("f OR g").select(edge_id().alias("edge_id"), "row_id", F.col("sender_account").alias("source"), F.col("receiver_account").alias("target"), "amount_paise", "epoch_s")
     return nodes, edges

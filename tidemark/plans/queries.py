@@ -258,8 +258,8 @@ _q("fifo_horizon_records", lambda s, d: fifo.horizon_records(ledger(s, d), 6 * 3
 
 _BOTH = "und AS (SELECT sender_account AS a, receiver_account AS b FROM ledger UNION SELECT receiver_account, sender_account FROM ledger)"
 _WALK = lambda edges, hops: f", walk AS (SELECT '{HUB}' AS account, 0 AS hop UNION SELECT b, hop+1 FROM walk JOIN {edges} ON a=account WHERE hop<{hops}) -- recursive\n SELECT account, min(hop) AS hop FROM walk GROUP BY 1"
-_q("ego_graph_2hop", lambda s, d: graph.neighbourhood(ledger(s, d), HUB, 2, 5_000_000)[0], _WALK("und", 2), _BOTH)
-_q("ego_graph_edges", lambda s, d: graph.neighbourhood(ledger(s, d), HUB, 1, 5_000_000)[1], f" SELECT sender_account||'_'||receiver_account||'_'||transaction_id||'_'||epoch_s||'_'||row_id AS edge_id, row_id, sender_account AS source, receiver_account AS target, amount_paise, epoch_s FROM ledger WHERE sender_account='{HUB}' OR receiver_account='{HUB}'")
+_q("ego_graph_2hop", lambda s, d: graph.neighbourhood(ledger(s, d), HUB, 2, None)[0], _WALK("und", 2), _BOTH)
+_q("ego_graph_edges", lambda s, d: graph.neighbourhood(ledger(s, d), HUB, 1, None)[1], f" SELECT sender_account||'_'||receiver_account||'_'||transaction_id||'_'||epoch_s||'_'||row_id AS edge_id, row_id, sender_account AS source, receiver_account AS target, amount_paise, epoch_s FROM ledger WHERE sender_account='{HUB}' OR receiver_account='{HUB}'")
 _q("trace_structural_hops", lambda s, d: graph.reachable(ledger(s, d), HUB, 4), _WALK("dir", 4), "dir AS (SELECT DISTINCT sender_account AS a, receiver_account AS b FROM ledger)")
 _q("trace_structural_paths", lambda s, d: graph.structural_paths(ledger(s, d), HUB)[1], None)
 _q("trace_attribution_hops", lambda s, d: graph.attribution_trace(ledger(s, d), HUB), None)
