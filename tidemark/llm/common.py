@@ -15,19 +15,24 @@ from pyspark.sql import types as T
 WORD = r"[^\x20\x09-\x0D]+"
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
+#: Arrow batches: rows and bytes at most, since texts can be long.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the input tables; long texts make Arrow batches large, so their rows and bytes are bounded here."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    for k, v in BATCHES.items():
+        spark.conf.set(k, v)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a local one where it is unset (tests)."""
+    """The folder that all executors share: spark.checkpoint.dir, or one set on the context, or, with a local master only, a temporary one."""
     jsc = spark.sparkContext._jsc.sc()
     path = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if jsc.getCheckpointDir().isEmpty():
+        if not path and not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(path or tempfile.mkdtemp(prefix="checkpoints-"))
     return path or jsc.getCheckpointDir().get()
 
@@ -45,6 +50,58 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: What this Python worker remembers between batches, by its user.
+_memory: dict[object, dict] = {}
+
+
+def memory(user: object, entries: int = 150_000) -> dict:
+    """The worker's memory for one user, emptied once it holds more than `entries`; the memories of all others are dropped.
+
+    Workers are kept for many tasks of many queries, so what one operator remembers must not stay while the next one runs.
+    Ask for it once a batch.
+    """
+    if user not in _memory or len(_memory[user]) > entries:
+        _memory.clear()
+        _memory[user] = {}
+    return _memory[user]
+
+
+#: Keys with more than this part of all rows are split over tasks; there are fewer of them than this number.
+HEAVY = 10_000
+
+
+def join_heavy(left: DataFrame, right: DataFrame, on: list[str], by: list[str]) -> DataFrame:
+    """left.join(right, on), where right (written, one row a key) says in `n` how many rows of left have each key.
+
+    A key with more than a HEAVY-th of the counted rows is dealt over several tasks by a hash of left's columns `by`.
+    Fewer than HEAVY keys can have so many rows, so the list of them, which is broadcast, has a bounded size.
+    """
+    part = max(1, (right.agg(F.sum("n")).first()[0] or 0) // HEAVY)
+    parts = F.greatest(F.lit(1), F.ceil(F.col("n") / part).cast("int"))
+    heavy = right.where(F.col("n") > part).select(*on, parts.alias("_parts"))
+    salted = left.join(F.broadcast(heavy), on, "left").withColumn("_salt", F.pmod(F.xxhash64(*by), F.coalesce("_parts", F.lit(1))).cast("int")).drop("_parts")
+    copies = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), parts - 1)))
+    return salted.join(copies, [*on, "_salt"]).drop("_salt")
+
+
+#: Bits of the map of keys below, and of one of its rows, which bitmap_construct_agg fixes.
+MAP_BITS, ROW_BITS = 1 << 25, 1 << 15
+
+
+def perhaps_among(rows: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
+    """rows with `_among`: false only where the key is surely not in keys.
+
+    The map of hashed keys that is broadcast has 4 MB whatever the input. Where it fills up, more rows say true, which
+    costs work and no result.
+    """
+    spot = F.pmod(F.xxhash64(*on), F.lit(MAP_BITS))
+    marks = keys.select(spot.alias("s")).groupBy(F.expr(f"cast(s div {ROW_BITS} AS int)").alias("_part")).agg(F.bitmap_construct_agg(F.expr(f"s % {ROW_BITS}")).alias("_map"))
+    placed = rows.withColumn("_spot", spot).withColumn("_part", F.expr(f"cast(_spot div {ROW_BITS} AS int)"))
+    byte = f"cast(conv(hex(substring(_map, cast((_spot % {ROW_BITS}) div 8 AS int) + 1, 1)), 16, 10) AS int)"
+    joined = placed.join(F.broadcast(marks), "_part", "left")
+    return joined.withColumn("_among", F.coalesce(F.expr(f"(shiftright({byte}, cast(_spot % 8 AS int)) & 1) = 1"), F.lit(False))).drop("_spot", "_part", "_map")
+
+
 def texts(batch: pa.RecordBatch, column: str) -> list[bytes]:
     """The column's values as UTF-8, nulls as empty."""
     i = batch.schema.get_field_index(column)

@@ -1,10 +1,14 @@
 """Substring dedup over a compacted de Bruijn graph of word k-mers.
 
-The graph's nodes are sampled word k-mers: of every window of words the least k-mer by hash, so that equal windows have
-the same node. A document is a path over its nodes. An edge is the stretch of words whose windows share a node; stretches
-with equal words are one edge of the graph, owned by the least document that has it, and such repeats are settled whole.
-Where a node has several edges (a branch, such as a passage's end) the touching stretches of a document are compacted
-into paths, and their windows are verified one by one at their source coordinates.
+An edge of the graph is a window of words, and leads from the node that is the window without its last word to the node
+that is it without its first. Edges that several documents have are the repeated part of the graph. Its nonbranching paths
+(inner nodes with one edge in and one out) are compacted by joins with the nodes' degrees; each path keeps the place of its
+first source, the document with the least id. Where documents run along a path, the words there are compared with the
+words at the source's place before they are cut.
+
+Two exact reductions come before the graph: documents with equal words are one class, of which the least is in the graph;
+and of every window the least word 16-mer by hash is its anchor (equal windows have equal anchors), so that windows whose
+anchor no other class has never become edges.
 """
 
 from __future__ import annotations
@@ -15,59 +19,58 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import texts, with_columns, written
+from .common import join_heavy, memory, perhaps_among, texts, with_columns, written
 from .omh import mix
 
-WINDOW, K = 50, 8
-#: Words whose hashes a Python worker remembers; a bound on memory only.
-REMEMBERED = 500_000
-_BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
+#: Words of a window and of an anchor.
+WINDOW, ANCHOR = 50, 16
+_BASE = 0x9E3779B97F4A7C15
 _PLACE = np.uint64((1 << 21) - 1)
-#: Words of one document sampled at a time, for their places to fit 21 bits.
+#: Windows whose anchors are found at a time, for their places to fit 21 bits.
 STRETCH = 1 << 20
+#: Rows of an anchor from which it is kept for its number alone.
+MANY = 1000
 
-_known: dict[bytes, int] = {}
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+_powers: list[np.ndarray] = []
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
-    if len(_known) > REMEMBERED:
-        _known.clear()
-    for w in set(words).difference(_known):
-        _known[w] = xxhash.xxh64_intdigest(w, 9)
-    return np.fromiter(map(_known.__getitem__, words), dtype=np.uint64, count=len(words))
+    known = memory("words")
+    for w in set(words).difference(known):
+        known[w] = xxhash.xxh64_intdigest(w, 9)
+    return np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words))
 
 
-def _power(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of base and of its inverse modulo 2**64."""
-    if base not in _powers or len(_powers[base][0]) < n:
+def _power(n: int) -> list[np.ndarray]:
+    """Powers of the base and of its inverse modulo 2**64."""
+    if not _powers or len(_powers[0]) < n:
         size = max(n, 1 << 15)
-        up, down = np.full(size, base, dtype=np.uint64), np.full(size, pow(base, -1, 1 << 64), dtype=np.uint64)
+        up, down = np.full(size, _BASE, dtype=np.uint64), np.full(size, pow(_BASE, -1, 1 << 64), dtype=np.uint64)
         up[0] = down[0] = 1
-        _powers[base] = np.multiply.accumulate(up), np.multiply.accumulate(down)
-    return _powers[base]
+        _powers[:] = np.multiply.accumulate(up), np.multiply.accumulate(down)
+    return _powers
 
 
 class Spans:
     """Hashes of any span of a word sequence."""
 
-    def __init__(self, hashes: np.ndarray, base: int = 0):
-        h = hashes if not base else mix(hashes + np.uint64(1))
-        up, self.down = _power(_BASES[base], len(h) + 1)
-        self.sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(h * up[: len(h)], dtype=np.uint64)])
+    def __init__(self, hashes: np.ndarray):
+        up, self.down = _power(len(hashes) + 1)
+        self.sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(hashes * up[: len(hashes)], dtype=np.uint64)])
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mix((self.sums[end] - self.sums[start]) * self.down[start])
 
 
-def stretches(hashes: np.ndarray, window: int = WINDOW, k: int = K) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """First and last window of each run of windows with one node, the node, and the hash of the run's words."""
+def stretches(hashes: np.ndarray, window: int = WINDOW, k: int = ANCHOR) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First and last window of each run of windows with one anchor, and the anchor's hash."""
+    k = min(k, window)
     if len(hashes) < window:
-        return (np.zeros(0, np.int32),) * 2 + (np.zeros(0, np.uint64),) * 2
+        return (np.zeros(0, np.int32),) * 2 + (np.zeros(0, np.uint64),)
     spans, found = Spans(hashes), []
     for at in range(0, len(hashes) - window + 1, STRETCH):
         n = min(STRETCH, len(hashes) - window + 1 - at) + window - k
@@ -81,92 +84,150 @@ def stretches(hashes: np.ndarray, window: int = WINDOW, k: int = K) -> tuple[np.
         place = (least & _PLACE).astype(np.int64)
         first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
         last = np.concatenate([first[1:] - 1, [len(place) - 1]])
-        node, where = kmer[place[first]], (place[first] - first).astype(np.uint64)
-        size = (last - first).astype(np.uint64)
-        whole = mix(spans.of(first + at, last + at + window) + where * np.uint64(_BASES[1]) + (size << np.uint64(32)))
-        found.append((first + at, last + at, node, whole))
-    first, last, node, whole = (np.concatenate(x) for x in zip(*found))
-    return first.astype(np.int32), last.astype(np.int32), node, whole
+        found.append((first + at, last + at, kmer[place[first]]))
+    first, last, anchor = (np.concatenate(x) for x in zip(*found))
+    return first.astype(np.int32), last.astype(np.int32), anchor
 
 
-def _lists(columns: list[list[np.ndarray]], kinds: list[pa.DataType]) -> list[pa.Array]:
-    out = []
-    for column, kind in zip(columns, kinds):
-        ends = np.cumsum([0, *map(len, column)]).astype(np.int32)
-        flat = np.concatenate(column) if column else np.zeros(0)
-        out.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.view(np.int64) if flat.dtype == np.uint64 else flat).cast(kind)))
-    return out
+def _digest(words: list[bytes]) -> bytes:
+    return xxhash.xxh3_128_digest(b" ".join(words))
 
 
-def edges(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(doc_id, row, first, last, node, whole): the stretches of every document with an id and a window."""
-    fields = [T.StructField(n, T.ArrayType(t)) for n, t in (("first", T.IntegerType()), ("last", T.IntegerType()), ("node", T.LongType()), ("whole", T.LongType()))]
+def profiles(docs: DataFrame) -> DataFrame:
+    """docs(doc_id, row, text) without the text but with n_words, whole_sha256 and `same`, a 128-bit digest: all of the words, joined by spaces."""
+    fields = [T.StructField("n_words", T.LongType()), T.StructField("whole_sha256", T.StringType()), T.StructField("same", T.BinaryType())]
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
+        for b in batches:
+            found = [t.split() for t in texts(b, "text")]
+            joined = [b" ".join(w) for w in found]
+            yield [pa.array([len(w) for w in found], pa.int64()), pa.array([hashlib.sha256(j).hexdigest() for j in joined], pa.string()), pa.array([xxhash.xxh3_128_digest(j) for j in joined], pa.binary())]
+
+    return with_columns(docs, "text", fields, fill).drop("text")
+
+
+def anchors(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+    """(doc_id, row, class, first, last, anchor): the stretches of every document; class is a hash of all its words."""
+    kinds = {"first": (T.IntegerType(), pa.int32()), "last": (T.IntegerType(), pa.int32()), "anchor": (T.LongType(), pa.int64())}
+    fields = [T.StructField("class", T.LongType())] + [T.StructField(n, T.ArrayType(t)) for n, (t, _) in kinds.items()]
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
         for b in batches:
-            found = [stretches(word_hashes(t.split()), window) for t in texts(b, "text")]
-            yield _lists([list(c) for c in zip(*found)] if found else [[], [], [], []], [pa.int32(), pa.int32(), pa.int64(), pa.int64()])
+            found, same = [], []
+            for t in texts(b, "text"):
+                words = t.split()
+                same.append(int.from_bytes(_digest(words)[:8], "big", signed=True))
+                found.append(stretches(word_hashes(words), window))
+            out = [pa.array(same, pa.int64())]
+            for i, (_, kind) in enumerate(kinds.values()):
+                ends = np.cumsum([0, *(len(f[0]) for f in found)]).astype(np.int32)
+                flat = np.concatenate([f[i] for f in found]) if found else np.zeros(0, np.int32)
+                out.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.view(np.int64) if flat.dtype == np.uint64 else flat).cast(kind)))
+            yield out
 
-    listed = with_columns(docs, "text", fields, fill).drop("text").where(F.size("first") > 0)
-    return listed.select("doc_id", "row", F.inline(F.arrays_zip("first", "last", "node", "whole")))
+    listed = with_columns(docs, "text", fields, fill).where(F.size("first") > 0)
+    return listed.select("doc_id", "row", "class", F.inline(F.arrays_zip("first", "last", "anchor")))
 
 
-def windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(doc_id, row, at, a, b): 80 bits of hash of each window that docs' paths (array of first, last) name."""
-    schema = "doc_id long, row long, at int, a long, b short"
+def edges(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+    """(from, to, doc_id, row, at): the edges of the windows that docs' paths (array of first, last) name."""
+    schema = "from long, to long, doc_id long, row long, at int"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, rows = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("doc_id", "row"))
-            paths = batch.column(batch.schema.get_field_index("paths")).to_pylist()
-            where, count, one, two = [], [], [], []
-            for t, some in zip(texts(batch, "text"), paths):
-                h = word_hashes(t.split())
+            ids, rows, paths = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("doc_id", "row", "paths"))
+            for key, row, t, some in zip(ids, rows, texts(batch, "text"), paths):
                 at = np.concatenate([np.arange(p["first"], p["last"] + 1) for p in some])
-                where.append(at)
-                count.append(len(at))
-                one.append(Spans(h).of(at, at + window))
-                two.append(Spans(h, 1).of(at, at + window))
-            if where:
-                columns = [np.repeat(np.array(ids, dtype=np.int64), count), np.repeat(np.array(rows, dtype=np.int64), count), np.concatenate(where).astype(np.int32), np.concatenate(one).view(np.int64), (np.concatenate(two) >> np.uint64(48)).astype(np.uint16).view(np.int16)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["doc_id", "row", "at", "a", "b"])
+                spans = Spans(word_hashes(t.split()))
+                nodes = [spans.of(at + i, at + i + window - 1).view(np.int64) for i in (0, 1)]
+                columns = [*nodes, np.full(len(at), key, dtype=np.int64), np.full(len(at), row, dtype=np.int64), at.astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["from", "to", "doc_id", "row", "at"])
 
     return docs.mapInArrow(run, schema)
 
 
-def repeated(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(doc_id, row, spans): for each document the windows, as (first, last) starts, that also start in a document with a smaller id.
+def compacted(repeated_edges: DataFrame) -> DataFrame:
+    """repeated_edges(from, to, src, n) with the first place `path`, in the source, of the nonbranching path that the edge is on.
 
-    docs: doc_id (never null), row and text. All groups are reduced before they are joined, so a passage that many documents share
-    is no single task's work.
+    Degrees are counted over the repeated edges. A path goes on over a node with one edge in and one out, as long as its
+    source goes on too, so its edges lie side by side in one document and no task gathers more than a document's edges.
     """
-    graph = written(edges(docs, window), "edges")
-    owners = graph.groupBy("node", "whole").agg(F.min("doc_id").alias("owner"))
-    # a stretch that an earlier document has is settled; of the others the node is kept
-    open_node = F.when(F.col("doc_id") == F.col("owner"), F.col("node"))
-    owned = written(graph.join(owners, ["node", "whole"]).select("doc_id", "row", "first", "last", open_node.alias("node")), "owned")
-    settled = owned.where("node IS NULL").select("doc_id", "row", "first", "last")
-    left = owned.where("node IS NOT NULL")
-    branches = left.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    open_edges = left.join(branches, "node", "left_semi").select("doc_id", "row", "first", "last")
-    # touching stretches of a document compact into one path
-    starts = open_edges.selectExpr("*", "coalesce(lag(last) OVER (PARTITION BY doc_id, row ORDER BY first) + 1 <> first, true) AS fresh")
-    numbered = starts.selectExpr("*", "sum(cast(fresh AS int)) OVER (PARTITION BY doc_id, row ORDER BY first) AS path")
-    paths = numbered.groupBy("doc_id", "row", "path").agg(F.min("first").alias("first"), F.max("last").alias("last"))
-    of_doc = written(paths.groupBy("doc_id", "row").agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias("paths")), "paths")
-    seen = windows(docs.join(of_doc, ["doc_id", "row"]), window)
-    least = seen.groupBy("a", "b").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("most")).where("owner < most").drop("most")
-    verified = seen.join(least, ["a", "b"]).where("doc_id > owner").select("doc_id", "row", F.col("at").alias("first"), F.col("at").alias("last"))
-    both = settled.unionByName(verified)
-    return both.groupBy("doc_id", "row").agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias("spans"))
-
-
-def covered(n: int, spans: list[dict] | None, window: int = WINDOW) -> np.ndarray:
-    """Which of n words lie in a window that starts in one of the spans."""
-    change = np.zeros(n + 1, dtype=np.int64)
+    ends = repeated_edges.select(F.col("from").alias("node"), F.lit(0).alias("enter"), F.lit(1).alias("leave")).union(repeated_edges.select("to", F.lit(1), F.lit(0)))
+    through = ends.groupBy("node").agg(F.sum("enter").alias("enter"), F.sum("leave").alias("leave")).where("enter = 1 AND leave = 1").select(F.col("node").alias("from"), F.lit(True).alias("through"))
+    joined = repeated_edges.join(through, "from", "left").select("from", "to", "n", "src.*", F.coalesce("through", F.lit(False)).alias("through"))
+    side = Window.partitionBy("doc_id", "row").orderBy("at")
+    goes_on = F.col("through") & F.coalesce(F.lag("at").over(side) == F.col("at") - 1, F.lit(False))
+    marked = joined.withColumn("start", F.when(~goes_on, F.col("at")))
+    path = F.last("start", ignorenulls=True).over(side)
+    return marked.select("from", "to", "n", F.col("doc_id").alias("src_id"), F.col("row").alias("src_row"), F.col("at").alias("src_at"), path.alias("path"))
+
+
+def span_digests(docs: DataFrame, wanted: DataFrame, window: int = WINDOW) -> DataFrame:
+    """wanted(src_id, src_row, src_first, size, n) with the digest of the words at that place of docs(doc_id, row, text)."""
+    by_doc = wanted.groupBy(F.col("src_id").alias("doc_id"), F.col("src_row").alias("row")).agg(F.collect_list(F.struct("src_first", "size", "n")).alias("spans"))
+    schema = "src_id long, src_row long, src_first int, size int, n long, digest binary"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, rows, spans = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("doc_id", "row", "spans"))
+            for key, row, t, some in zip(ids, rows, texts(batch, "text"), spans):
+                words = t.split()
+                found = [_digest(words[s["src_first"] : s["src_first"] + s["size"] + window]) for s in some]
+                columns = [pa.array([key] * len(some), pa.int64()), pa.array([row] * len(some), pa.int64()), pa.array([s["src_first"] for s in some], pa.int32()), pa.array([s["size"] for s in some], pa.int32()), pa.array([s["n"] for s in some], pa.int64()), pa.array(found, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["src_id", "src_row", "src_first", "size", "n", "digest"])
+
+    return docs.select("doc_id", "row", "text").join(by_doc, ["doc_id", "row"]).mapInArrow(run, schema)
+
+
+def repeats(docs: DataFrame, profile: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What repeats in docs(doc_id, row, text) with profiles(docs); doc_id is never null.
+
+    copies(doc_id, row): documents whose words a document with a smaller id has too, all of them, and at least a window.
+    spans(doc_id, row, spans): of the others, the windows, as (first, last) starts, that also start in a document with a
+    smaller id, each with a digest of the words from the first one's first to the last one's last at their source.
+    texts(doc_id, row, text): of all documents with spans, and of some more.
+
+    All groups are reduced before they are joined, and keys that many rows have are split, so a passage that many
+    documents share is no single task's work.
+    """
+    key = ["doc_id", "row"]
+    long = profile.where(F.col("n_words") >= window)
+    classes = written(long.groupBy("same").agg(F.min(F.struct(*key)).alias("least"), F.count(F.lit(1)).alias("n")), "classes")
+    copies = join_heavy(long.select(*key, "same"), classes, ["same"], ["doc_id"]).where("doc_id > least.doc_id").select(*key).distinct()
+    # anchors of several classes, and those that many rows have
+    found = anchors(docs, window)
+    per_anchor = found.groupBy("anchor").agg(F.min("class").alias("a"), F.max("class").alias("b"), F.count(F.lit(1)).alias("n"))
+    kept = written(per_anchor.where(f"a <> b OR n > {MANY}").select("anchor", F.col("a").eqNullSafe(F.col("b")).alias("own"), "n"), "anchors")
+    met = join_heavy(found.drop("class"), kept, ["anchor"], ["doc_id"]).where("NOT own").select(*key, "first", "last")
+    of_doc = written(met.join(classes.select("least.*"), key, "left_semi").groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias("paths")), "paths")
+    near = perhaps_among(docs, of_doc, key).where("_among").drop("_among")
+    held = written(near.dropDuplicates(key).join(of_doc, key), "texts")
+    graph = edges(held, window)
+    shared = graph.groupBy("from", "to").agg(F.min(F.struct(*key, "at")).alias("src"), F.max("doc_id").alias("most"), F.count(F.lit(1)).alias("n")).where("src.doc_id < most").drop("most")
+    on_paths = written(compacted(written(shared, "repeated")), "compacted")
+    runs = join_heavy(graph, on_paths, ["from", "to"], ["doc_id", "at"]).where("doc_id > src_id")
+    # a run goes on while it and its path do
+    side = Window.partitionBy(*key).orderBy("at")
+    before = lambda c: F.lag(c).over(side)
+    goes_on = (before("at") + 1 == F.col("at")) & (before("src_at") + 1 == F.col("src_at")) & (before("src_id") == F.col("src_id")) & (before("src_row") == F.col("src_row")) & (before("path") == F.col("path"))
+    numbered = runs.withColumn("fresh", F.when(goes_on, 0).otherwise(1)).withColumn("run", F.sum("fresh").over(side))
+    spans = written(
+        numbered.groupBy(*key, "run").agg(F.min("at").alias("first"), F.max("at").alias("last"), F.min("src_id").alias("src_id"), F.min("src_row").alias("src_row"), F.min("src_at").alias("src_first")).withColumn("size", F.col("last") - F.col("first")).drop("run"),
+        "runs",
+    )
+    place = ["src_id", "src_row", "src_first", "size"]
+    at_source = written(span_digests(held, spans.groupBy(*place).agg(F.count(F.lit(1)).alias("n")), window), "sources")
+    with_words = join_heavy(spans, at_source, place, ["doc_id", "first"]).groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("first", "last", "digest"))).alias("spans"))
+    return copies, with_words, held.drop("paths")
+
+
+def covered(words: list[bytes], spans: list[dict] | None, window: int = WINDOW) -> np.ndarray:
+    """Which words lie in a window that starts in one of the spans; a span whose words differ from their source's counts for nothing."""
+    change = np.zeros(len(words) + 1, dtype=np.int64)
     for s in spans or ():
-        change[s["first"]] += 1
-        change[min(n, s["last"] + window)] -= 1
+        if _digest(words[s["first"] : s["last"] + window]) == s["digest"]:
+            change[s["first"]] += 1
+            change[min(len(words), s["last"] + window)] -= 1
     return np.cumsum(change[:-1]) > 0
 
 
@@ -176,13 +237,6 @@ def row_key(docs: DataFrame) -> Column:
     return F.xxhash64("text") if again else F.lit(0).cast("long")
 
 
-def _cut(docs: DataFrame, window: int) -> DataFrame:
-    rows = docs.select("doc_id", row_key(docs).alias("row"), "text")
-    named = rows.where(F.col("doc_id").isNotNull())
-    done = named.join(repeated(named, window), ["doc_id", "row"], "left")
-    return done.unionByName(rows.where(F.col("doc_id").isNull()), allowMissingColumns=True)
-
-
 def kept_digests(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_removed and kept_sha256 of docs(doc_id, text).
 
@@ -190,52 +244,58 @@ def kept_digests(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     neither smaller nor greater than any. Null texts have no words. Rows that share an id don't count as each other's
     source. An empty table gives no rows.
     """
-    fields = [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_sha256", T.StringType())]
+    rows = docs.select("doc_id", row_key(docs).alias("row"), "text")
+    profile = written(profiles(rows), "profiles")
+    named = F.col("doc_id").isNotNull()
+    copies, spans, held = repeats(rows.where(named), profile.where(named), window)
+    fields = [T.StructField("n_removed", T.LongType()), T.StructField("kept_sha256", T.StringType())]
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
         for b in batches:
-            spans = b.column(b.schema.get_field_index("spans")).to_pylist()
-            total, gone, digest = [], [], []
-            for t, s in zip(texts(b, "text"), spans):
+            gone, digest = [], []
+            for t, s in zip(texts(b, "text"), b.column(b.schema.get_field_index("spans")).to_pylist()):
                 words = t.split()
-                if s:
-                    out = covered(len(words), s, window)
-                    kept = [w for w, x in zip(words, out.tolist()) if not x]
-                else:
-                    kept = words
-                total.append(len(words))
-                gone.append(len(words) - len(kept))
-                digest.append(hashlib.sha256(b" ".join(kept)).hexdigest())
-            yield [pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(digest, pa.string())]
+                out = covered(words, s, window).tolist()
+                gone.append(sum(out))
+                digest.append(hashlib.sha256(b" ".join(w for w, x in zip(words, out) if not x)).hexdigest())
+            yield [pa.array(gone, pa.int64()), pa.array(digest, pa.string())]
 
-    return with_columns(_cut(docs, window), "text", fields, fill).select("doc_id", "n_words", "n_removed", "kept_sha256")
+    changed = with_columns(held.join(spans, ["doc_id", "row"]), "text", fields, fill).select("doc_id", "row", "n_removed", "kept_sha256")
+    all_gone = copies.join(profile, ["doc_id", "row"]).select("doc_id", "row", F.col("n_words").alias("n_removed"), F.lit(hashlib.sha256(b"").hexdigest()).alias("kept_sha256")).distinct()
+    done = profile.where(named).join(changed.union(all_gone), ["doc_id", "row"], "left").unionByName(profile.where(~named), allowMissingColumns=True)
+    return done.select("doc_id", "n_words", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("kept_sha256", "whole_sha256").alias("kept_sha256"))
 
 
 def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """docs with the removed words cut from `text` (the rest is joined by single spaces) and n_chars, if there, counted anew.
 
-    Texts that lose nothing are unchanged, nulls too.
+    Texts that lose nothing are unchanged, nulls too, and so are rows without an id. Repeated rows lose the same. Columns
+    of any other name pass through; an empty table gives no rows.
     """
-    fields = [T.StructField("text", T.StringType(), True)]
+    rows = docs.withColumn("_row", row_key(docs))
+    plain = rows.where(F.col("doc_id").isNotNull()).select("doc_id", F.col("_row").alias("row"), "text")
+    copies, spans, _ = repeats(plain, profiles(plain), window)
+    lost = spans.withColumn("all", F.lit(False)).unionByName(copies.withColumn("all", F.lit(True)), allowMissingColumns=True)
+    changes = written(lost.select("doc_id", F.col("row").alias("_row"), F.col("spans").alias("_spans"), F.col("all").alias("_all")), "changes")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
         for b in batches:
-            spans = b.column(b.schema.get_field_index("spans")).to_pylist()
-            column = b.column(b.schema.get_field_index("text")).to_pylist()
+            spans, gone, column = (b.column(b.schema.get_field_index(c)).to_pylist() for c in ("_spans", "_all", "text"))
             new = []
-            for t, s in zip(column, spans):
-                if t is not None and s:
+            for t, s, everything in zip(column, spans, gone):
+                if everything:
+                    t = ""
+                elif t is not None and s:
                     words = t.encode().split()
-                    out = covered(len(words), s, window).tolist()
-                    t = b" ".join(w for w, x in zip(words, out) if not x).decode()
+                    out = covered(words, s, window).tolist()
+                    if any(out):
+                        t = b" ".join(w for w, x in zip(words, out) if not x).decode()
                 new.append(t)
             yield [pa.array(new, pa.string())]
 
-    rows = docs.withColumn("_row", row_key(docs))
-    named = [c for c in docs.columns if c not in ("doc_id", "text")]
-    spans = repeated(rows.where(F.col("doc_id").isNotNull()).select("doc_id", F.col("_row").alias("row"), "text"), window).withColumnRenamed("row", "_row")
-    joined = rows.join(spans, ["doc_id", "_row"], "left").select("doc_id", *[F.col(f"`{c}`") for c in named], "text", "spans")
-    done = with_columns(joined, "text", fields, fill)
+    asked = perhaps_among(rows, changes, ["doc_id", "_row"])
+    cut = with_columns(asked.where("_among").join(changes, ["doc_id", "_row"], "left"), "text", [T.StructField("text", T.StringType(), True)], fill)
     if "n_chars" in docs.columns:
-        done = done.withColumn("n_chars", F.when(F.size("spans") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return done.select(*[F.col(f"`{c}`") for c in docs.columns])
+        cut = cut.withColumn("n_chars", F.when(F.col("_all").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return asked.where("NOT _among").select(columns).union(cut.select(columns))
