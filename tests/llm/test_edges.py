@@ -45,10 +45,13 @@ def test_nulls_repeats_and_clashing_names(clashing, name):
     assert Counter(r["doc_id"] for r in rows) == Counter([1, 1, None, 2, None, 3])
 
 
-def test_keep_first(clashing, empty_docs):
-    rows = keep_first(clashing).collect()
-    assert Counter(r["doc_id"] for r in rows) == Counter([1, 1, 2, None, None])
+def test_keep_first(spark, clashing, empty_docs):
+    """One row of each group stays: repeated rows, other texts of the same id and copies without an id go too."""
+    assert sorted((r["doc_id"], r["text"]) for r in keep_first(clashing).collect()) == [(1, "one two three"), (2, None)]
     assert keep_first(clashing).columns == clashing.columns and keep_first(empty_docs).collect() == []
+    one, other = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    rows = spark.createDataFrame([(1, one), (5, one), (5, other), (None, other), (None, "alone so far"), (None, "alone so far")], "doc_id long, text string")
+    assert sorted(((r["doc_id"] or 0, r["text"]) for r in keep_first(rows).collect())) == [(0, "alone so far"), (1, one), (5, other)]
 
 
 def test_quality_without_labels(spark, clashing):

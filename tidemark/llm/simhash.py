@@ -18,11 +18,11 @@ from itertools import accumulate, combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, cut, texts, with_columns
+from .common import LOWER, cut, perhaps_among, texts, with_columns
 from .components import components
 
 BITS, RADIUS = 64, 3
@@ -97,13 +97,20 @@ def near_groups(docs: DataFrame) -> DataFrame:
     one fingerprint are one class and meet only by it, so copies are never paired. Null ids are carried along and are a
     component's id only if it has no other; an empty table gives no rows.
     """
-    prints = cut(simhash(docs.select("doc_id", "text")).select("doc_id", "fp"))
-    classes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    prints, groups = near_prints(docs.select("doc_id", "text"))
+    return prints.join(groups, "fp").select("doc_id", "fp", "component_id")
+
+
+def near_prints(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """docs with fp and without text, and (fp, root, component_id) of each fingerprint."""
+    prints = cut(simhash(docs).drop("text"))
+    #: a class makes up to a thousand variants, so classes are dealt out by their number and not by their few bytes
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    classes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least")).repartition(parts, "fp"))
     joined = components(links(classes.select("fp")), "fp", "rep")
     grouped = classes.join(joined, classes["fp"] == joined["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_class = grouped.join(named, "root").select("fp", "component_id")
-    return prints.join(of_class, "fp").select("doc_id", "fp", "component_id")
+    return prints, grouped.join(named, "root").select("fp", "root", "component_id")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -112,6 +119,22 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """docs without near-duplicates: of each component the rows with its least doc_id stay; rows without an id stay too."""
-    kept = near_groups(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").unionByName(docs.where(F.col("doc_id").isNull())).select(*docs.columns)
+    """docs without near-duplicates: one row of each component stays, with its least doc_id; null texts are near-duplicates of empty ones.
+
+    Of several rows with that id the one with the least fingerprint and hash of its text stays, and where the component has
+    no id at all the one with the least of these. Rows that are equal in all of them are told apart by nothing and stay
+    as one. Other columns pass through, whatever their names; an empty table gives no rows.
+    """
+    text = F.xxhash64(F.coalesce("text", F.lit("")))
+    prints, groups = near_prints(docs.select("doc_id", "text", text.alias("row")))
+    named = prints.join(groups, "fp")
+    # classes are reduced before components are: no component's rows meet in one task
+    per_class = named.groupBy("component_id", "root", "fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "fp", "row")).alias("least"))
+    kept = per_class.groupBy("component_id", "root").agg(F.min("least").alias("least")).select("least.doc_id", "least.row")
+    keys = kept.select(F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("doc_id").isNull().alias("_none"), F.col("row").alias("_row")).distinct()
+    rows = docs.select(F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("doc_id").isNull().alias("_none"), text.alias("_row"), *[F.col(f"`{c}`") for c in docs.columns])
+    on = ["_id", "_none", "_row"]
+    met = perhaps_among(rows, keys, on).where("_among").join(keys, on, "left_semi")
+    # repeated rows of what is kept
+    again = Window.partitionBy(*on).orderBy(F.lit(1))
+    return met.withColumn("_n", F.row_number().over(again)).where("_n = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
