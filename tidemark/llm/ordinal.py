@@ -1,8 +1,8 @@
 """A quality classifier by ordinal cumulative-link regression.
 
 Graded ratings share one weight for each hashed text feature and are told apart by ordered thresholds:
-P(grade >= j) = sigmoid(weights . features - threshold_j). The expected grade ranks documents, the tail probability of
-the best grade selects them.
+P(grade >= j) = sigmoid(weights . features - threshold_j), and the likelihood of a grade is the difference of two
+neighbouring tails. The expected grade ranks documents, the tail probability of the best grade selects them.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import texts, with_columns
+from .common import memory, texts, with_columns
 
 BUCKETS = 1 << 18
 #: Lengths of the beginnings of words that are features.
@@ -26,7 +26,7 @@ HEADS = (4, 5)
 #: Labelled rows that are fitted at most, drawn by a hash of doc_id.
 SAMPLE = 12_000
 #: Words whose weights a Python worker remembers; a bound on memory only.
-REMEMBERED = 800_000
+REMEMBERED = 250_000
 
 _CORE = re.compile(rb"^([\x21-\x2f\x3a-\x40\x5b-\x60\x7b-\x7e]*)(.*?)([\x21-\x2f\x3a-\x40\x5b-\x60\x7b-\x7e]*)$", re.S)
 
@@ -74,8 +74,19 @@ def grade(quality, toxic):
     return F.when(quality == 0, 0).when(quality == 1, F.when(toxic == 1, 1).otherwise(2))
 
 
+def cumulative_link_gradients(tail: np.ndarray, grades: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of -log(P(>= grade) - P(>= grade + 1)), by the score and by each threshold; tail: P(>= j) for j from 1, by row."""
+    rows, top = np.arange(len(tail)), tail.shape[1]
+    whole = np.concatenate([np.ones((len(tail), 1)), tail, np.zeros((len(tail), 1))], axis=1)
+    upper, lower = whole[rows, grades], whole[rows, grades + 1]
+    by_cut, share = np.zeros_like(whole), np.maximum(upper - lower, 1e-12)
+    by_cut[rows, grades] += upper * (1 - upper) / share
+    by_cut[rows, grades + 1] -= lower * (1 - lower) / share
+    return upper + lower - 1, by_cut[:, 1 : top + 1]
+
+
 def fit_ordinal(rows: list[np.ndarray], grades: np.ndarray, top: int, epochs: int = 6, rate: float = 0.3, sparsity: float = 0.006, decay: float = 1.0, seed: int = 3) -> OrdinalModel:
-    """Minimises the cumulative-link loss over shuffled minibatches; thresholds stay ordered by positive gaps.
+    """Minimises the cumulative-link loss, -log(P(>= grade) - P(>= grade + 1)), over shuffled minibatches; thresholds stay ordered by positive gaps.
 
     Weights follow the regularized leader: one whose gradients add up to less than `sparsity` for each row stays zero, so
     that words which are merely rare carry no weight. Thresholds are moved by Adam.
@@ -98,15 +109,14 @@ def fit_ordinal(rows: list[np.ndarray], grades: np.ndarray, top: int, epochs: in
             gaps = np.exp(cuts[1:])
             theta = cuts[0] + np.concatenate([[0.0], np.cumsum(gaps)])
             tail = 1 / (1 + np.exp(np.clip(theta[None, :] - score[:, None], -60, 60)))
-            #: a chain of binary losses: is the grade at least j?
-            error = (tail - (grades[at][:, None] >= np.arange(1, top + 1)[None, :])) * weight[at][:, None]
+            error, by_cut = cumulative_link_gradients(tail, grades[at])
             f, which = np.unique(flat, return_inverse=True)
-            g = np.bincount(which, error.sum(axis=1)[owner])
+            g = np.bincount(which, (error * weight[at])[owner])
             root = np.sqrt(square[f] + g * g)
             lead[f] += g - (root - np.sqrt(square[f])) / rate * w[f]
             square[f] += g * g
             w[f] = -np.sign(lead[f]) * np.maximum(0, np.abs(lead[f]) - zero) / ((1 + root) / rate + decay)
-            gt = -error.mean(axis=0)
+            gt = (by_cut * weight[at][:, None]).mean(axis=0)
             gc = np.concatenate([[gt.sum()], [gt[j:].sum() * gaps[j - 1] for j in range(1, top)]])
             t += 1
             cm += 0.1 * (gc - cm)
@@ -133,11 +143,13 @@ def features(docs: DataFrame, text: str = "text", out: str = "features") -> Data
 def train(docs: DataFrame, ratings: DataFrame, sample: int = SAMPLE, top: int = 2) -> OrdinalModel | None:
     """Fits ratings(doc_id, grade) to the texts of docs; at most `sample` rated documents, drawn by hash, reach the driver.
 
-    Ratings without a grade or an id are left out; of several for one document the least counts. None without ratings.
+    Ratings without a grade or an id are left out; of several for one document the least counts, and of several texts of
+    one id the least, so no more rows than the sample are fitted. None without ratings.
     """
     rated = ratings.where("doc_id IS NOT NULL AND grade IS NOT NULL").groupBy("doc_id").agg(F.min("grade").alias("grade"))
     drawn = rated.orderBy(F.xxhash64(F.lit(17), "doc_id"), "doc_id").limit(sample)
-    some = features(docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id")).select("doc_id", "features", "grade").limit(sample).toArrow()
+    one = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("grade").alias("grade"))
+    some = features(one).select("doc_id", "features", "grade").toArrow()
     if not some.num_rows:
         return None
     column = some["features"].combine_chunks()
@@ -148,16 +160,13 @@ def train(docs: DataFrame, ratings: DataFrame, sample: int = SAMPLE, top: int =
     return fit_ordinal([rows[i] for i in order], some["grade"].to_numpy()[order], top)
 
 
-_known: dict[int, dict[bytes, float]] = {}
-
-
-def rate(docs: DataFrame, model: OrdinalModel | None, text: str = "text") -> DataFrame:
-    """docs with expected_grade, sound_prob (P(grade >= 1)) and tail_prob (P(best grade)), all double.
+def rate(docs: DataFrame, model: OrdinalModel | None, text: str = "text", names: tuple[str, str, str] = ("expected_grade", "sound_prob", "tail_prob")) -> DataFrame:
+    """docs with expected_grade, sound_prob (P(grade >= 1)) and tail_prob (P(best grade)), all double, or under other names.
 
     Null and empty texts have only the features of an empty text. Without a model all three are null. Columns of these
     names are replaced; repeated rows rate alike; an empty table gives no rows. The model is broadcast: its size is fixed.
     """
-    fields = [T.StructField(n, T.DoubleType(), True) for n in ("expected_grade", "sound_prob", "tail_prob")]
+    fields = [T.StructField(n, T.DoubleType(), True) for n in names]
     if model is None:
         return docs.withColumns({f.name: F.lit(None).cast("double") for f in fields})
     shared, key = docs.sparkSession.sparkContext.broadcast(model), hash(model.weights.tobytes())
@@ -165,10 +174,7 @@ def rate(docs: DataFrame, model: OrdinalModel | None, text: str = "text") -> Dat
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
         for b in batches:
             w = shared.value.weights.astype(np.float64)
-            if key not in _known or len(_known[key]) > REMEMBERED:
-                _known.clear()
-                _known[key] = {}
-            known = _known[key]
+            known = memory(("ordinal", key), REMEMBERED)
             score = []
             for t in texts(b, text):
                 words = t.split()
@@ -189,7 +195,8 @@ def label_grades(labels: DataFrame) -> DataFrame:
 def select_best(docs: DataFrame, labels: DataFrame, least: float = 0.5) -> DataFrame:
     """docs(doc_id, text) rated by a model of the labels, with keep: is the best grade's probability at least `least`?
 
-    Without labels nothing is rejected.
+    Without labels nothing is rejected. Null and empty texts are rated as empty ones; repeated rows rate alike; columns of
+    these names are replaced; an empty table gives no rows.
     """
     rated = rate(docs, train(docs, label_grades(labels)))
     return rated.withColumn("keep", F.coalesce(F.col("tail_prob") >= least, F.lit(True)))
