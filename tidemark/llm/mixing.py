@@ -93,12 +93,12 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, most: int = MOST_PASSES, seed
     """docs with size, source_size, target and taken: how many of a document's words the mix takes, repeats counted.
 
     A document is taken whole, up to `most` times. A null text has size zero and is never taken. Repeated rows count
-    each; which of equal rows is taken makes no difference. Reruns agree, since the draw hashes seed and doc_id.
+    each; which of equal rows is taken makes no difference. Reruns agree, since the draw hashes seed, doc_id and text.
     Columns of these names are replaced. An empty table gives no rows. Totals by source reach the driver, and nothing
     else does; one source's counts by length are fitted in one task.
     """
     names = ("size", "source_size", "target", "taken")
-    draw = F.xxhash64(F.lit(seed), "doc_id")
+    draw = F.xxhash64(F.lit(seed), "doc_id", "text")
     rows = docs.drop(*names).withColumn("size", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"))
     rows = rows.withColumn("_draw", draw).withColumn("_range", F.shiftrightunsigned("_draw", 64 - (RANGES - 1).bit_length()).cast("int"))
     ranges = cut(rows.groupBy("source", "size", "_range").agg(F.count(F.lit(1)).alias("n")))

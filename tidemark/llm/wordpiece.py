@@ -16,10 +16,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import texts, with_columns
+from .common import memory, texts, with_columns
 
 #: Words whose counts a Python worker remembers; a bound on memory only.
-REMEMBERED = 2_000_000
+REMEMBERED = 300_000
 
 
 class Automaton:
@@ -111,7 +111,7 @@ def read_vocabulary(path: str) -> list[bytes]:
         return [base64.b64decode(line.split()[0]) for line in f]
 
 
-_workers: dict[int, tuple[Automaton, dict[bytes, int]]] = {}
+_automata: dict[int, Automaton] = {}
 
 
 def count_pieces(docs: DataFrame, vocabulary: list[bytes], text: str = "text", marker: bytes = b" ") -> DataFrame:
@@ -124,17 +124,16 @@ def count_pieces(docs: DataFrame, vocabulary: list[bytes], text: str = "text", m
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
         for batch in batches:
-            if key not in _workers:
-                _workers[key] = Automaton(shared.value), {}
-            automaton, known = _workers[key]
+            if key not in _automata:
+                _automata.clear()
+                _automata[key] = Automaton(shared.value)
+            known = memory(("pieces", key), REMEMBERED)
             column = texts(batch, text)
-            if len(known) > REMEMBERED:
-                known.clear()
             new: set[bytes] = set()
             for t in column:
                 new.update(t.split())
             todo = list(new.difference(known))
-            known.update(zip(todo, automaton.counts([marker + w for w in todo]).tolist()))
+            known.update(zip(todo, _automata[key].counts([marker + w for w in todo]).tolist()))
             words, tokens = [], []
             for t in column:
                 ws = t.split()
