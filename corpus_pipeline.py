@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.bpe import bpe_encode, read_ranks
+from tidemark.llm.bpe import bpe_decode, bpe_encode, read_ranks
 from tidemark.llm.common import table, written
 from tidemark.llm.mixing import mixed
 from tidemark.llm.ordinal import label_grades, rate, train
@@ -17,34 +17,40 @@ LEAST_TAIL = 0.5
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rates documents by a model of the labels; those whose best grade is improbable go. Without labels all stay."""
+    """Rates documents by a model of the labels; those whose best grade is improbable go. Without labels all stay.
+
+    Null texts are rated as empty ones. Columns of any name pass through; an empty table gives no rows.
+    """
     model = train(docs, label_grades(table(spark, sf_dir, "labels")))
-    rated = rate(docs.withColumn("_text", F.col("text")), model, text="_text")
-    return rated.where(F.coalesce(F.col("tail_prob") >= LEAST_TAIL, F.lit(True))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    rated = rate(docs, model, names=("_expected", "_sound", "_tail"))
+    return rated.where(F.coalesce(F.col("_tail") >= LEAST_TAIL, F.lit(True))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the least id of each group of SimHash near-duplicates."""
+    """Keeps the document with the least id of each group of SimHash near-duplicates; see keep_first for nulls, repeats and clashes."""
     return keep_first(docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts the words of windows that repeat an earlier document's."""
+    """Cuts the words of windows that repeat an earlier document's; see without_repeats for nulls, repeats and clashes."""
     return without_repeats(docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix of sources takes it."""
+    """Each document as often as the mix of sources takes it; null and empty texts have no words and are not taken."""
     return mixed(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The ids of every text, with its id and source."""
+    """The ids of every text, with its id and source, and a digest of the bytes that the ids decode to.
+
+    Null texts have no ids; only the three columns are read; an empty table gives no rows.
+    """
     import public_tokenizers as public
 
     ranks = read_ranks(public.path("byte_bpe_multi_50k.tiktoken"))
-    coded = bpe_encode(docs.select("doc_id", "source", "text"), ranks, public.PATTERN).drop("text")
-    return coded.select("doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "ids")
+    coded = bpe_decode(bpe_encode(docs.select("doc_id", "source", "text"), ranks, public.PATTERN).drop("text"), ranks)
+    return coded.select("doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 STAGES = [("quality", quality), ("near_dedup", near_dedup), ("substring_dedup", substring_dedup), ("mixing", mixing), ("tokens", tokens)]
