@@ -172,6 +172,26 @@ def terminals(edges: DataFrame) -> DataFrame:
     return edges.join(edges.select(F.col("account").alias("destination_account")).distinct(), "destination_account", "left_anti").groupBy("destination_account").agg(F.sum("attributed_paise").alias("attributed_paise"), F.max("hop").alias("max_hop"))
 
 
+def hop_summary(edges: DataFrame) -> DataFrame:
+    """Edges, accounts reached, money and closed cycles of each hop of a trace."""
+    return edges.groupBy("hop").agg(F.count(F.lit(1)).alias("edges"), F.countDistinct("destination_account").alias("accounts"), F.sum("attributed_paise").alias("paise"), F.count_if("cycle").alias("cycles"))
+
+
+def named_edges(edges: DataFrame) -> DataFrame:
+    """edges with edge_id, made of the rows that money comes from and goes to and the hop, and edge_type."""
+    first = F.col("hop") == 1
+    name = F.concat_ws("_", F.lit("ATTR"), F.coalesce(F.col("source_row_id").cast("string"), F.lit("ROOT")), F.col("destination_row_id").cast("string"), F.concat(F.lit("H"), F.col("hop").cast("string")))
+    return edges.withColumn("edge_id", name).withColumn("edge_type", F.when(first, "ROOT_SEED").otherwise("FIFO_ATTRIBUTION"))
+
+
+def node_sums(edges: DataFrame) -> DataFrame:
+    """What each account of a trace gets and passes on, and the least hop that reaches it (0: it starts the trace)."""
+    into = edges.groupBy(F.col("destination_account").alias("node")).agg(F.sum("attributed_paise").alias("received_paise"), F.min("hop").alias("hop"))
+    out = edges.groupBy(F.col("account").alias("node")).agg(F.sum("attributed_paise").alias("passed_paise"))
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
+    return into.join(out, "node", "full").select(F.col("node").alias("account"), zero("received_paise"), zero("passed_paise"), zero("hop"))
+
+
 def layers(edges: DataFrame, depth: int = 10) -> DataFrame:
     """(account, layer): the least hop at which a trace reaches each account."""
     return edges.where(F.col("hop") < depth).groupBy(F.col("destination_account").alias("account")).agg(F.min("hop").alias("layer"))

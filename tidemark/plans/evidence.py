@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..config import Settings
 from ..operators.graph import attribution_trace, terminals
@@ -11,9 +14,20 @@ from ..operators.roles import investigation_label
 from .explore import party
 
 
-def digest(*columns: Column | str) -> Column:
-    """SHA-256 of a struct's JSON text, fields in the given order."""
-    return F.sha2(F.to_json(F.struct(*columns)), 256)
+def by_name(column: Column, kind: T.DataType) -> Column:
+    """The value with the fields of all its structs, nested ones too, in the order of their names."""
+    if isinstance(kind, T.StructType):
+        inner = F.struct(*[by_name(column[f.name], f.dataType).alias(f.name) for f in sorted(kind.fields, key=lambda f: f.name)])
+        return F.when(column.isNotNull(), inner)
+    if isinstance(kind, T.ArrayType):
+        return F.transform(column, lambda x: by_name(x, kind.elementType))
+    return column
+
+
+def canonical(df: DataFrame, columns: list[str] | None = None) -> Column:
+    """JSON text of a row's columns, all of them unless some are named, with fields by name at every level."""
+    kind = T.StructType([df.schema[c] for c in columns or df.columns])
+    return F.to_json(F.struct(*[by_name(F.col(f.name), f.dataType).alias(f.name) for f in sorted(kind.fields, key=lambda f: f.name)]))
 
 
 def short_id(prefix: str, hashed: Column) -> Column:
@@ -31,25 +45,79 @@ def investigation(ledger: DataFrame, accounts: DataFrame, account: str, settings
     who = accounts.where(F.col("account_number") == account).select("account_number", "incoming_volume", "outgoing_volume", "transaction_count", "unique_counterparties", "mule_risk_index", "risk_band", investigation_label().alias("role"))
     whole = who.crossJoin(traced).crossJoin(listed).crossJoin(first)
     warnings = F.filter(F.array(F.when(F.col("truncated"), "The trace was cut at a limit."), F.when(F.col("edge_count") == 0, "No money was traced."), F.lit("Sums over hops are propagation, not separate money.")), lambda x: x.isNotNull())
-    return whole.withColumn("warnings", warnings).withColumn("investigation_id", short_id("INV-", digest("account_number", "edge_count", "root_paise", "downstream_paise", "terminals")))
+    whole = whole.withColumn("warnings", warnings)
+    return whole.withColumn("investigation_id", short_id("INV-", F.sha2(canonical(whole, ["account_number", "edge_count", "root_paise", "downstream_paise", "terminals"]), 256)))
 
 
 def case_file(inv: DataFrame) -> DataFrame:
-    """The snapshot as canonical JSON (fields by name) with its digest and id."""
-    return inv.select(F.to_json(F.struct(*sorted(inv.columns))).alias("snapshot")).withColumn("sha256", F.sha2("snapshot", 256)).withColumn("case_id", short_id("CASE-", F.col("sha256")))
+    """The snapshot as canonical JSON (fields by name at every level) with its digest and id."""
+    return inv.select(canonical(inv).alias("snapshot")).withColumn("sha256", F.sha2("snapshot", 256)).withColumn("case_id", short_id("CASE-", F.col("sha256")))
+
+
+#: (category, code, words before the value, column, source, provenance) of the facts that an investigation's one row gives.
+FACTS = (
+    ("SUBJECT", "ACCOUNT_NUMBER", "Subject account", "account_number", "account_number", "RAW"),
+    ("SUBJECT", "OBSERVED_INFLOW", "Money received", "incoming_volume", "account_summary.incoming", "RAW"),
+    ("SUBJECT", "OBSERVED_OUTFLOW", "Money paid", "outgoing_volume", "account_summary.outgoing", "RAW"),
+    ("SUBJECT", "TX_COUNT", "Transfers", "transaction_count", "account_summary.transactions", "RAW"),
+    ("SUBJECT", "UNIQUE_COUNTERPARTIES", "Counterparties", "unique_counterparties", "account_summary.counterparties", "RAW"),
+    ("RISK", "RISK_INDEX", "Risk index", "mule_risk_index", "risk.risk_index", "DERIVED"),
+    ("RISK", "RISK_BAND", "Risk band", "risk_band", "risk.risk_band", "DERIVED"),
+    ("ROLE", "PRIMARY_ROLE", "Role", "role", "roles.primary_role_label", "DERIVED"),
+    ("ATTRIBUTION", "ROOT_SEED_OUTFLOW", "Paise that leave the account itself", "root_paise", "trace.edges", "ATTRIBUTED"),
+    ("ATTRIBUTION", "DOWNSTREAM_FIFO", "Paise passed on over later hops (the same money again)", "downstream_paise", "trace.edges", "ATTRIBUTED"),
+    ("ATTRIBUTION", "MAX_HOPS", "Hops traced", "hops", "trace.total_hops_found", "ATTRIBUTED"),
+    ("ATTRIBUTION", "TRUNCATED", "Trace cut at a limit", "truncated", "trace.truncated", "ATTRIBUTED"),
+    ("PROVENANCE", "INVESTIGATION_ID", "Investigation", "investigation_id", "investigation_id", "RAW"),
+)
+#: How many of the first transfers and of the terminals have a fact of their own.
+TRANSFER_FACTS, TERMINAL_FACTS = 5, 10
 
 
 def facts(inv: DataFrame) -> DataFrame:
-    """(code, fact): one fact a figure and a transfer, coded by row."""
-    row = inv.select(F.explode(F.array(*[F.struct(F.lit(k).alias("code"), F.concat(F.lit(t), F.col(c).cast("string")).alias("fact")) for k, t, c in (("ACCOUNT", "Account ", "account_number"), ("ROLE", "Role ", "role"), ("BAND", "Risk band ", "risk_band"), ("COUNT", "Transfers ", "transaction_count"), ("EDGES", "Traced edges ", "edge_count"))])).alias("f")).select("f.*")
-    moves = inv.select(F.explode("transfers").alias("t")).select(F.concat(F.lit("TX_"), F.col("t.row_id").cast("string")).alias("code"), F.concat(F.col("t.sender_account"), F.lit(" paid "), F.col("t.receiver_account"), F.lit(" "), (F.col("t.amount_paise") / 100).cast("decimal(20,2)").cast("string")).alias("fact"))
-    return row.unionByName(moves)
-
-
-def chronology(events: DataFrame) -> DataFrame:
-    """Timeline events numbered in the order of time."""
-    order = Window.partitionBy(F.lit(1)).orderBy("epoch_s", F.coalesce("row_id", F.lit(-1)), "event_id")  # one account's events
-    return events.select(F.row_number().over(order).alias("entry"), "event_type", "epoch_s", "row_id", "event_id")
+    """(category, code, statement, value, source, provenance): a fact for each figure of an investigation, its first transfers and its terminals."""
+    row = lambda c, k, words, value, source, origin: F.struct(F.lit(c).alias("category"), k.alias("code"), F.concat_ws(": ", words, value).alias("statement"), value.alias("value"), source.alias("source"), F.lit(origin).alias("provenance"))
+    text = lambda c: F.col(c).cast("string")
+    own = F.array(*[row(c, F.lit(k), F.lit(words), text(column), F.lit(source), origin) for c, k, words, column, source, origin in FACTS])
+    moved = lambda t: row("TRANSACTION", F.concat(F.lit("TX_"), t["transaction_id"]), F.concat(t["sender_account"], F.lit(" to "), t["receiver_account"]), t["amount_paise"].cast("string"), F.concat(F.lit("row:"), t["row_id"].cast("string")), "RAW")
+    ended = lambda t: row("ATTRIBUTION", F.concat(F.lit("TERMINAL_"), t["destination_account"]), F.concat(F.lit("Ends at hop "), t["max_hop"].cast("string")), t["attributed_paise"].cast("string"), F.concat(F.lit("terminals."), t["destination_account"]), "ATTRIBUTED")
+    parts = (own, F.transform(F.slice("transfers", 1, TRANSFER_FACTS), moved), F.transform(F.slice("terminals", 1, TERMINAL_FACTS), ended))
+    return reduce(DataFrame.union, [inv.select(F.inline(p)) for p in parts])
+
+
+def chronology(inv: DataFrame, edges: DataFrame, reasons: DataFrame) -> DataFrame:
+    """(entry, event_type, epoch_s, row_id, detail): the case's opening, its transfers, the attributed hops (edges with epoch_s) and the findings, in the order of time.
+
+    An opening and findings have no time of their own: the one comes first, the others come last. Numbers are given by one
+    window over one case, whose transfers and hops have limits.
+    """
+    kind = lambda df, name, order, s, r, d: df.select(F.lit(order).alias("order"), F.lit(name).alias("event_type"), s.cast("long").alias("epoch_s"), r.cast("long").alias("row_id"), d.cast("string").alias("detail"))
+    none = F.lit(None)
+    moves = inv.select(F.inline("transfers"))
+    parts = [
+        kind(inv, "CASE_OPENED", 0, none, none, F.col("investigation_id")),
+        kind(moves, "ROOT_TRANSACTION", 1, F.col("epoch_s"), F.col("row_id"), F.col("transaction_id")),
+        kind(edges.distinct(), "ATTRIBUTION_HOP", 1, F.col("epoch_s"), F.col("destination_row_id"), F.concat_ws(">", "account", "destination_account", F.col("hop").cast("string"))),
+        kind(reasons, "FINDING", 2, none, none, F.col("code")),
+    ]
+    numbered = F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("order", F.coalesce("epoch_s", F.lit(-1)), F.coalesce("row_id", F.lit(-1)), "event_type", "detail"))
+    return reduce(DataFrame.union, parts).select(numbered.alias("entry"), "event_type", "epoch_s", "row_id", "detail")
+
+
+#: Sections that a narrative must have.
+SECTIONS = ("Investigative Overview", "Subject Account Activity", "Investigative Limitations")
+
+
+def narrative(inv: DataFrame) -> DataFrame:
+    """(account_number, text): a narrative of an investigation from its figures alone, with the sections that a check asks for."""
+    money = lambda c: F.format_number(F.col(c) / 100, 2)
+    parts = (
+        (SECTIONS[0], ("Account ", F.col("account_number"), " has the role ", F.col("role"), " and the risk band ", F.col("risk_band"), ".")),
+        (SECTIONS[1], ("It took part in ", F.col("transaction_count").cast("string"), " transfers. INR ", money("root_paise"), " left it on traced paths, over ", F.col("hops").cast("string"), " hops.")),
+        (SECTIONS[2], ("Sums over hops are the same money again. ", F.when(F.col("truncated"), "The trace was cut at a limit. ").otherwise(""), "Indicators are no legal finding.")),
+    )
+    said = [F.concat(F.lit(f"{head}\n"), *[F.lit(w) if isinstance(w, str) else F.coalesce(w, F.lit("unknown")) for w in words]) for head, words in parts]
+    return inv.select("account_number", F.concat_ws("\n\n", *said).alias("text"))
 
 
 def findings(accounts: DataFrame, account: str, top: int = 5) -> DataFrame:
@@ -61,27 +129,73 @@ def findings(accounts: DataFrame, account: str, top: int = 5) -> DataFrame:
 def legal_evidence(inv: DataFrame) -> DataFrame:
     """A draft's evidence: placeholders stand for what nobody has entered."""
     blank = lambda c: F.coalesce(F.nullif(F.trim(F.col(c).cast("string")), F.lit("")), F.lit("[TO BE FILLED]")).alias(c)
-    kept = inv.select(blank("account_number"), blank("role"), blank("risk_band"), "root_paise", "downstream_paise", F.lit("[TO BE FILLED]").alias("officer"), F.lit("[TO BE FILLED]").alias("reference"))
-    return kept.withColumn("sha256", digest(*kept.columns)).withColumn("draft_id", short_id("DRAFT-", F.col("sha256")))
+    kept = inv.select(
+        blank("account_number"), blank("role"), blank("risk_band"), "incoming_volume", "outgoing_volume", "transaction_count", "root_paise", "downstream_paise", "hops", "truncated",
+        F.transform(F.slice("terminals", 1, TERMINAL_FACTS), lambda t: t["destination_account"]).alias("terminal_accounts"), F.size("transfers").alias("transfers_listed"), "warnings", "investigation_id",
+        F.lit("[TO BE FILLED]").alias("officer"), F.lit("[TO BE FILLED]").alias("reference"), F.lit("[TO BE FILLED]").alias("bank_branch"),
+    )
+    return kept.withColumn("sha256", F.sha2(canonical(kept), 256)).withColumn("draft_id", short_id("DRAFT-", F.col("sha256")))
 
 
 #: What an account number looks like in text.
 ACCOUNT = r"\b([A-Z]{2,6}[0-9]{8,12})\b"
-FORBIDDEN = ("is guilty", "is a criminal", "proves fraud", "confirmed fraudster", "beyond doubt", "has confessed", "must be convicted", "definitely laundered")
-
-
-def check_narratives(texts: DataFrame, known: list[str], text: str = "text") -> DataFrame:
-    """texts with unknown_accounts (mentioned, but not among the known ones), forbidden (does it use such a phrase?) and passes."""
-    found = F.array_distinct(F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(ACCOUNT), 1))
+#: Legal conclusions that a narrative must not draw, in any case of letters.
+FORBIDDEN = (
+    r"\bcommitted\s+fraud\b",
+    r"\bproves?\s+(?:criminal|guilt|fraud)\b",
+    r"\bis\s+guilty\b",
+    r"\bmust\s+be\s+arrested\b",
+    r"\bmust\s+be\s+frozen\b",
+    r"\blaundered\s+money\b",
+    r"\bcriminal\s+intent\b",
+    r"\billegal\s+activity\s+confirmed\b",
+)
+
+
+def check_narratives(texts: DataFrame, known: list[str], text: str = "text", sections: tuple[str, ...] = SECTIONS) -> DataFrame:
+    """texts with unknown_accounts (mentioned, but not among the known ones), forbidden (does it draw a legal conclusion?), violations and passes.
+
+    violations lists unknown accounts, each forbidden pattern that is met, and each section that is missing; null texts are empty.
+    """
+    given = F.coalesce(F.col(text), F.lit(""))
+    found = F.array_sort(F.array_distinct(F.regexp_extract_all(given, F.lit(ACCOUNT), 1)))
     allowed = F.array(*[F.lit(k) for k in known]).cast("array<string>")
-    bad = F.lower(F.coalesce(F.col(text), F.lit(""))).rlike("|".join(FORBIDDEN))
-    return texts.withColumns({"unknown_accounts": F.array_except(found, allowed), "forbidden": bad}).withColumn("passes", ~F.col("forbidden") & (F.size("unknown_accounts") == 0))
+    unknown = F.array_except(found, allowed)
+    legal = [F.when(given.rlike(f"(?i){p}"), F.lit(f"LEGAL_CONCLUSION: {p}")) for p in FORBIDDEN]
+    absent = [F.when(~given.contains(x), F.lit(f"MISSING_SECTION: {x}")) for x in sections]
+    named = F.when(F.size(unknown) > 0, F.concat(F.lit("UNKNOWN_ACCOUNTS: "), F.array_join(unknown, ", ")))
+    violations = F.filter(F.array(named, *legal, *absent), lambda x: x.isNotNull())
+    checked = texts.withColumns({"unknown_accounts": unknown, "forbidden": given.rlike("(?i)" + "|".join(FORBIDDEN)), "violations": violations})
+    return checked.withColumn("passes", F.size("violations") == 0)
 
 
 def save_packages(df: DataFrame, path: str) -> None:
-    """Packages as JSON, one folder for each id column value kept by the caller; adds to what is there."""
+    """Packages (a row each, with case_id) as JSON; adds to what is there."""
     df.write.mode("append").json(path)
 
 
 def load_packages(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.json(path)
+
+
+def get_package(spark: SparkSession, path: str, case_id: str) -> DataFrame:
+    """The package of that id; no row if there is none."""
+    return load_packages(spark, path).where(F.col("case_id") == case_id)
+
+
+def has_package(spark: SparkSession, path: str, case_id: str) -> bool:
+    return get_package(spark, path, case_id).limit(1).count() == 1
+
+
+def list_packages(spark: SparkSession, path: str) -> DataFrame:
+    """The ids of all packages."""
+    return load_packages(spark, path).select("case_id").distinct().orderBy("case_id")
+
+
+def write_report(df: DataFrame, path: str, kind: str = "json") -> None:
+    """A report's rows as one JSON or CSV (with a header) file in a folder, in place of what is there. Reports have as many rows as policies or figures."""
+    out = df.coalesce(1).write.mode("overwrite")
+    if kind == "csv":
+        out.option("header", True).csv(path)
+    else:
+        out.json(path)

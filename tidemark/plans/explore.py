@@ -112,10 +112,12 @@ def explorer_page(ledger: DataFrame, test: Column, sort_by: str = "timestamp", o
     return rows.join(F.broadcast(ids), "transaction_id", "left")
 
 
-def page_numbers(total: int, page: int, size: int) -> dict:
-    size = max(1, min(250, size))
-    pages = max(1, -(-total // size))
-    return {"total": total, "page": page, "page_size": size, "total_pages": pages, "has_next": page < pages, "has_previous": page > 1}
+def explorer_pages(ledger: DataFrame, test: Column, page: int = 1, size: int = 50) -> DataFrame:
+    """One row: matching transfers, the page and its size, pages in all, and whether there is one after and before."""
+    page, size = max(1, page), max(1, min(250, size))
+    pages = F.greatest(F.lit(1), F.ceil(F.col("total") / size)).cast("long")
+    counted = ledger.where(test).agg(F.count(F.lit(1)).alias("total")).withColumn("total_pages", pages)
+    return counted.select("total", F.lit(page).alias("page"), F.lit(size).alias("page_size"), "total_pages", (F.col("total_pages") > page).alias("has_next"), F.lit(page > 1).alias("has_previous"))
 
 
 def duplicate_ids(ledger: DataFrame) -> DataFrame:
@@ -137,25 +139,64 @@ def stable_id(text: str) -> Column:
     return F.col("row_id") == int(number) if number.isdigit() else F.col("transaction_id") == text.strip().upper()
 
 
-def timeline(ledger: DataFrame, accounts: DataFrame, pairs: DataFrame, edges: DataFrame, account: str, start: str = START, cap: int = 5000) -> DataFrame:
-    """Events of one account: its first `cap` transfers, velocity pairs, attributions, the risk when first seen, and a terminal role when last seen.
+#: Transfers in a timeline at most: of one account, and where no account is given.
+OWN_CAP, GLOBAL_CAP = 5000, 1000
+
+
+def _timeline_test(account: str | None, direction: str, payment_mode: str, device_type: str, start_s: int | None, end_s: int | None) -> Column:
+    tests = [F.col("epoch_s") >= start_s] if start_s is not None else []
+    if end_s is not None:
+        tests.append(F.col("epoch_s") <= end_s)
+    if account:
+        tests.append({"in": F.col("receiver_account") == account, "out": F.col("sender_account") == account}.get(direction.lower(), party(account)))
+    if payment_mode.lower() != "all":
+        tests.append(F.col("payment_mode") == payment_mode.upper())
+    if device_type.lower() != "all":
+        tests.append(F.col("device_type") == device_type)
+    return reduce(and_, tests, F.lit(True))
 
-    Columns: event_id, event_type, epoch_s, row_id, direction, amount_paise, counterparty; ordered by time, row and id.
+
+def timeline(ledger: DataFrame, accounts: DataFrame, pairs: DataFrame, edges: DataFrame, account: str | None, start: str = START, cap: int | None = None, direction: str = "all", payment_mode: str = "all", device_type: str = "all", event_type: str = "all", start_s: int | None = None, end_s: int | None = None) -> DataFrame:
+    """Events of one account: its first `cap` transfers, velocity pairs, attributions, the risk when first seen, and when last seen a terminal role and no other.
+
+    The window (seconds, ends included) holds for all events; direction, mode and device choose transfers only. Without
+    an account there are transfers alone, all of them observed. Columns: event_id, event_type, epoch_s, row_id, direction,
+    amount_paise, counterparty; ordered by time, row and id.
     """
     kind = lambda df, name, **c: df.select(*[c.get(k, F.lit(None).cast(t)).alias(k) for k, t in (("event_id", "string"), ("epoch_s", "long"), ("row_id", "long"), ("direction", "string"), ("amount_paise", "long"), ("counterparty", "string"))], F.lit(name).alias("event_type"))
     text = lambda head, *cols: F.concat_ws("_", F.lit(head), *[F.col(c).cast("string") for c in cols])
-    into = F.col("receiver_account") == account
-    own = ledger.where(party(account)).orderBy("epoch_s", "row_id").limit(cap)
-    seconds = lambda c: F.unix_seconds(F.col(c).cast("timestamp")) - F.unix_seconds(F.lit(start).cast("timestamp"))
-    one = accounts.where(F.col("account_number") == account)
-    parts = [
-        kind(own, "TRANSACTION", event_id=text("TX", "row_id"), epoch_s=F.col("epoch_s"), row_id=F.col("row_id"), direction=F.when(into, "INCOMING").otherwise("OUTGOING"), amount_paise=F.col("amount_paise"), counterparty=F.when(into, F.col("sender_account")).otherwise(F.col("receiver_account"))),
-        kind(pairs.where(F.col("acc") == account), "VELOCITY", event_id=text("VEL", "in_row", "out_row"), epoch_s=F.col("out_s"), row_id=F.col("out_row"), amount_paise=F.least("in_paise", "out_paise")),
-        kind(edges.where(F.col("account") == account).join(ledger.select(F.col("row_id").alias("destination_row_id"), "epoch_s"), "destination_row_id"), "ATTRIBUTION", event_id=text("ATTR", "source_row_id", "destination_row_id"), epoch_s=F.col("epoch_s"), row_id=F.col("destination_row_id"), amount_paise=F.col("attributed_paise"), counterparty=F.col("destination_account")),
-        kind(one, "RISK", event_id=text("RISK", "account_number"), epoch_s=seconds("first_seen_timestamp")),
-        kind(one.where("layer3_candidate"), "TERMINAL", event_id=text("TERM", "account_number"), epoch_s=seconds("last_seen_timestamp")),
-    ]
-    return reduce(DataFrame.unionByName, parts).orderBy("epoch_s", F.coalesce("row_id", F.lit(-1)), "event_id")
+    chosen = ledger.where(_timeline_test(account, direction, payment_mode, device_type, start_s, end_s)).orderBy("epoch_s", "row_id").limit(cap or (OWN_CAP if account else GLOBAL_CAP))
+    into = F.coalesce(F.col("receiver_account") == account, F.lit(False)) if account else F.lit(False)
+    way = F.when(into, "INCOMING").otherwise("OUTGOING") if account else F.lit("OBSERVED")
+    parts = [kind(chosen, "TRANSACTION", event_id=text("TX", "row_id"), epoch_s=F.col("epoch_s"), row_id=F.col("row_id"), direction=way, amount_paise=F.col("amount_paise"), counterparty=F.when(into, F.col("sender_account")).otherwise(F.col("receiver_account")))]
+    if account:
+        seconds = lambda c: F.unix_seconds(F.col(c).cast("timestamp")) - F.unix_seconds(F.lit(start).cast("timestamp"))
+        one = accounts.where(F.col("account_number") == account)
+        alone = F.col("layer3_candidate") & ~F.col("layer1_candidate") & ~F.col("layer2_candidate")
+        others = [
+            kind(pairs.where(F.col("acc") == account), "VELOCITY", event_id=text("VEL", "in_row", "out_row"), epoch_s=F.col("out_s"), row_id=F.col("out_row"), direction=F.lit("OUTGOING"), amount_paise=F.least("in_paise", "out_paise")),
+            kind(edges.where(F.col("account") == account).join(ledger.select(F.col("row_id").alias("destination_row_id"), "epoch_s"), "destination_row_id"), "ATTRIBUTION", event_id=text("ATTR", "source_row_id", "destination_row_id"), epoch_s=F.col("epoch_s"), row_id=F.col("destination_row_id"), direction=F.lit("OUTGOING"), amount_paise=F.col("attributed_paise"), counterparty=F.col("destination_account")),
+            kind(one, "RISK_ROLE", event_id=text("RISK", "account_number"), epoch_s=seconds("first_seen_timestamp")),
+            kind(one.where(alone), "TERMINAL", event_id=text("TERM", "account_number"), epoch_s=seconds("last_seen_timestamp")),
+        ]
+        parts += [o.where(_timeline_test(None, "all", "all", "all", start_s, end_s)) for o in others]
+    events = reduce(DataFrame.unionByName, parts)
+    if event_type.lower() != "all":
+        events = events.where(F.col("event_type") == event_type.upper())
+    return events.orderBy("epoch_s", F.coalesce("row_id", F.lit(-1)), "event_id")
+
+
+def timeline_page(events: DataFrame, page: int = 1, size: int = 50) -> DataFrame:
+    """A page of a timeline's events, each with the number of all events and whether more follow; size is clamped to 1..250."""
+    page, size = max(1, page), max(1, min(250, size))
+    rows = events.orderBy("epoch_s", F.coalesce("row_id", F.lit(-1)), "event_id").offset((page - 1) * size).limit(size)
+    total = events.agg(F.count(F.lit(1)).alias("total_events"))
+    return rows.crossJoin(F.broadcast(total)).withColumn("has_more", F.col("total_events") > page * size)
+
+
+def event_counts(events: DataFrame) -> DataFrame:
+    """How many events of each kind a timeline has."""
+    return events.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
 
 
 def timeline_summary(ledger: DataFrame, account: str) -> DataFrame:

@@ -2,20 +2,58 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.ledger import entity_view
 
 COLUMNS = ("row_id", "transaction_id", "sender_account", "receiver_account", "amount_paise", "epoch_s", "payment_mode", "narration", "ip_address", "device_type")
-KEYWORDS = ("salary", "rent", "refund", "loan", "invoice", "gift", "a_f", "n_o", "r_f", "_1")
+#: Words that are looked for in narrations, and prefixes of addresses.
+KEYWORDS = ("crypto", "usdt", "binance", "p2p", "paxful", "telegram", "wallet", "commission", "task", "refund")
+ADDRESS_PREFIXES = {"ip_185": ("185.",), "ip_194": ("194.",), "private": ("10.", "192.168.", "172.16.")}
 
 
 def columns(ledger: DataFrame) -> DataFrame:
-    """One row a column: rows, non-null, distinct, least and greatest as text; all columns in one pass."""
-    text = {c: F.col(c).cast("string") for c in COLUMNS}
-    stats = ledger.agg(*[F.struct(F.lit(c).alias("column"), F.count(F.lit(1)).alias("rows"), F.count(x).alias("non_null"), F.countDistinct(x).alias("distinct"), F.min(x).alias("least"), F.max(x).alias("greatest")).alias(c) for c, x in text.items()])
-    return stats.select(F.inline(F.array(*COLUMNS)))
+    """One row a column: rows, non-null, distinct, least and greatest as text; each column is counted by value in a scan of its own, then summed."""
+    per = []
+    for c in COLUMNS:
+        values = ledger.groupBy(F.col(c).cast("string").alias("v")).agg(F.count(F.lit(1)).alias("n"))
+        per.append(values.agg(F.lit(c).alias("column"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.coalesce(F.sum(F.when(F.col("v").isNotNull(), F.col("n"))), F.lit(0)).alias("non_null"), F.count("v").alias("distinct"), F.min("v").alias("least"), F.max("v").alias("greatest")))
+    return reduce(DataFrame.unionByName, per)
+
+
+def samples(ledger: DataFrame, n: int = 3) -> DataFrame:
+    """(column, value): the n least different values of each column, as text."""
+    least = [ledger.select(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")).where("value IS NOT NULL").distinct().orderBy("value").limit(n) for c in COLUMNS]
+    return reduce(DataFrame.unionByName, least)
+
+
+def top_values(ledger: DataFrame, column: str, n: int) -> DataFrame:
+    """The n most frequent values of a column and their counts; ties go by value."""
+    return ledger.groupBy(F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), F.asc_nulls_last("value")).limit(n)
+
+
+def top_lists(ledger: DataFrame) -> DataFrame:
+    """(list, value, n): the five accounts that most transfers go to and come from, and the ten most frequent narrations."""
+    lists = {"incoming": ("receiver_account", 5), "outgoing": ("sender_account", 5), "narration": ("narration", 10)}
+    return reduce(DataFrame.unionByName, [top_values(ledger, c, n).select(F.lit(k).alias("list"), "value", "n") for k, (c, n) in lists.items()])
+
+
+def hours(ledger: DataFrame) -> DataFrame:
+    """Transfers and amounts by hour of the day, and whether the hour is one of the night (0 to 5)."""
+    hour = F.floor(F.col("epoch_s") / 3600) % 24
+    return ledger.groupBy(hour.alias("hour")).agg(F.count(F.lit(1)).alias("n"), F.sum("amount_paise").alias("paise")).withColumn("night", F.col("hour") < 6)
+
+
+def casts(raw: DataFrame) -> DataFrame:
+    """One row: texts of a raw ledger's Amount and Timestamp that are no number or time, and account numbers and branch codes of another form."""
+    given = lambda c: F.nullif(F.trim(F.col(c).cast("string")), F.lit("")).isNotNull()
+    fails = lambda c, kind: F.count_if(given(c) & F.col(c).cast("string").try_cast(kind).isNull())
+    differs = lambda c, form: F.count_if(given(c) & ~F.col(c).cast("string").rlike(form))
+    return raw.agg(F.count(F.lit(1)).alias("rows"), fails("Amount", "double").alias("no_number"), fails("Timestamp", "timestamp").alias("no_time"), differs("Sender_IFSC", IFSC).alias("other_ifsc"), differs("Transaction_ID", "^TXN[0-9]+$").alias("other_id"))
 
 
 def amount_percentiles(ledger: DataFrame, by: str | None = None) -> DataFrame:
@@ -76,25 +114,56 @@ def keyword_counts(ledger: DataFrame) -> DataFrame:
 
 
 def address_classes(ledger: DataFrame) -> DataFrame:
-    ip = F.col("ip_address")
-    kind = F.when(ip.startswith("185.") | ip.startswith("194."), "HOSTING").when(ip.startswith("10.") | ip.startswith("192.168.") | ip.rlike(r"^172\.(1[6-9]|2[0-9]|3[01])\."), "PRIVATE").otherwise("OTHER")
-    return ledger.groupBy(kind.alias("kind")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("ip_address").alias("addresses"))
+    """One row: addresses with each of the prefixes, and how many there are."""
+    begins = lambda some: reduce(or_, [F.col("ip_address").startswith(p) for p in some])
+    return ledger.agg(*[F.count_if(begins(some)).alias(k) for k, some in ADDRESS_PREFIXES.items()], F.countDistinct("ip_address").alias("addresses"))
+
+
+#: Rows from which a ledger counts as full scale (a fixed value), and the form of a branch code.
+FULL_SCALE, IFSC = 2_000_000, "^[A-Z]{4}0[A-Z0-9]{6}$"
+NEEDED = ("transaction_id", "sender_account", "receiver_account", "sender_ifsc", "receiver_ifsc", "amount_paise", "epoch_s", "payment_mode", "narration", "ip_address", "device_type")
 
 
 def validation(ledger: DataFrame) -> DataFrame:
-    """One row of checks and a category: A sound, B repeated ids, C malformed values, D missing values."""
+    """One row of checks and a category by fidelity and scale.
+
+    A: full scale, all columns there, and every row has a time and a device; B: all columns, but too few rows; C: no row
+    has a time, or none a device; D: anything else.
+    """
     bad = {
-        "bad_ifsc": ~(F.col("sender_ifsc").rlike("^[A-Z]{4}0[A-Z0-9]{6}$") & F.col("receiver_ifsc").rlike("^[A-Z]{4}0[A-Z0-9]{6}$")),
+        "bad_ifsc": ~(F.col("sender_ifsc").rlike(IFSC) & F.col("receiver_ifsc").rlike(IFSC)),
         "bad_ip": ~F.col("ip_address").rlike(r"^([0-9]{1,3}\.){3}[0-9]{1,3}$"),
         "bad_amount": F.col("amount_paise") <= 0,
         "self_transfers": F.col("sender_account") == F.col("receiver_account"),
-        "missing": F.col("sender_account").isNull() | F.col("receiver_account").isNull() | F.col("amount_paise").isNull() | F.col("epoch_s").isNull(),
+        "no_time": F.col("epoch_s").isNull(),
+        "no_device": F.col("device_type").isNull(),
     }
-    sums = ledger.agg(F.count(F.lit(1)).alias("rows"), (F.count("transaction_id") - F.countDistinct("transaction_id")).alias("surplus_ids"), *[F.count_if(F.coalesce(c, F.lit(False))).alias(k) for k, c in bad.items()])
-    return sums.withColumn("category", F.when(F.col("missing") > 0, "D").when(F.col("bad_ifsc") + F.col("bad_ip") + F.col("bad_amount") > 0, "C").when(F.col("surplus_ids") > 0, "B").otherwise("A"))
+    there = set(NEEDED) <= set(ledger.columns)
+    known = [c for c in NEEDED if c not in ledger.columns]
+    whole = ledger.withColumns({c: F.lit(None).cast("string") for c in known}) if known else ledger
+    sums = whole.agg(F.count(F.lit(1)).alias("rows"), (F.count("transaction_id") - F.countDistinct("transaction_id")).alias("surplus_ids"), *[F.count_if(F.coalesce(c, F.lit(False))).alias(k) for k, c in bad.items()])
+    all_there = F.lit(there)
+    full = (F.col("rows") >= FULL_SCALE) & all_there & (F.col("no_time") == 0) & (F.col("no_device") == 0)
+    none = (F.col("no_time") == F.col("rows")) | (F.col("no_device") == F.col("rows"))
+    return sums.withColumn("category", F.when(full, "A").when((F.col("rows") < FULL_SCALE) & all_there, "B").when(none, "C").otherwise("D"))
 
 
 def reconcile(a: DataFrame, b: DataFrame, tolerance_paise: int = 5) -> DataFrame:
     """One row: rows that both ledgers have by row_id, those whose amounts differ by more than the tolerance, rows of one only."""
     both = a.select("row_id", F.col("amount_paise").alias("x")).join(b.select("row_id", F.col("amount_paise").alias("y")), "row_id", "full")
     return both.agg(F.count_if(F.expr("x IS NOT NULL AND y IS NOT NULL")).alias("matched"), F.count_if(F.abs(F.col("x") - F.col("y")) > tolerance_paise).alias("mismatched"), F.count_if(F.expr("y IS NULL")).alias("only_a"), F.count_if(F.expr("x IS NULL")).alias("only_b"))
+
+
+def totals(ledger: DataFrame) -> DataFrame:
+    """One row of figures by which two copies of a ledger are compared."""
+    missing = [F.count_if(F.col(c).isNull()).alias(f"null_{c}") for c in ("sender_account", "receiver_account", "amount_paise", "epoch_s", "device_type")]
+    return ledger.agg(F.count(F.lit(1)).alias("rows"), F.sum("amount_paise").alias("paise"), F.min("amount_paise").alias("least"), F.max("amount_paise").alias("greatest"), F.countDistinct("transaction_id").alias("ids"), *missing)
+
+
+def compare_totals(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(figure, a, b, same): the totals of two ledgers side by side."""
+    def long(df: DataFrame, name: str) -> DataFrame:
+        one = totals(df)
+        return one.select(F.inline(F.array(*[F.struct(F.lit(c).alias("figure"), F.col(c).cast("long").alias(name)) for c in one.columns])))
+
+    return long(a, "a").join(long(b, "b"), "figure").withColumn("same", F.col("a").eqNullSafe(F.col("b")))

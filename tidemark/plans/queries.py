@@ -116,7 +116,7 @@ rol AS (SELECT *, a1 AND a2 AND a3 AS layer1_candidate, b1 AND b2 AND b3 AS laye
 
 VELOCITY = """
 pairs AS (SELECT i.receiver_account AS acc, i.row_id AS in_row, o.row_id AS out_row, i.transaction_id AS in_tx, o.transaction_id AS out_tx, i.epoch_s AS in_s, o.epoch_s AS out_s, i.amount_paise AS in_paise, o.amount_paise AS out_paise, o.epoch_s-i.epoch_s AS delay_s
-  FROM ledger i JOIN ledger o ON i.receiver_account=o.sender_account AND o.epoch_s-i.epoch_s BETWEEN 180 AND 900),
+  FROM (SELECT *, unnest([epoch_s//900, epoch_s//900+1]) AS slot FROM ledger) i JOIN (SELECT *, epoch_s//900 AS slot FROM ledger) o ON i.receiver_account=o.sender_account AND i.slot=o.slot AND o.epoch_s-i.epoch_s BETWEEN 180 AND 900),
 po AS (SELECT acc, out_row, out_paise, least(out_paise, sum(in_paise)) AS paise, median(delay_s) AS delay FROM pairs GROUP BY 1,2,3),
 pa AS (SELECT acc, sum(paise) AS attributed, sum(out_paise) AS rapid, count(*) AS n, median(delay) AS delay FROM po GROUP BY 1),
 ti AS (SELECT receiver_account AS acc, sum(amount_paise) AS inflow FROM ledger GROUP BY 1),
@@ -229,12 +229,13 @@ _SCORES = ["account_number", "behavioral_risk_index", "structural_risk_index", "
 _q("risk_scores", lambda s, d: accounts(s, d).select(*_SCORES), " SELECT account_number, behavioral_risk_index::double AS behavioral_risk_index, structural_risk_index::double AS structural_risk_index, mule_risk_index::double AS mule_risk_index, risk_band, evidence_signal FROM risk", *SCORED)
 _q("risk_band_counts", lambda s, d: accounts(s, d).groupBy("risk_band").agg(F.count(F.lit(1)).alias("n")), " SELECT risk_band, count(*) AS n FROM risk GROUP BY 1", *SCORED)
 _P = lambda cond, code, points: f"SELECT account_number, '{code}' AS code, {points}::double AS points FROM risk WHERE {cond}"
-_q("risk_reasons_exploded", lambda s, d: accounts(s, d).select("account_number", F.explode("risk_reasons").alias("r")).select("account_number", "r.code", "r.points"), " " + " UNION ALL ".join([
+_REASONS = " UNION ALL ".join([
     _P("b_vel>=30", "CRITICAL_PASS_THROUGH_VELOCITY", "b_vel"), _P("b_vel>=10 AND b_vel<30", "ELEVATED_PASS_THROUGH_VELOCITY", "b_vel"), _P("b_auto>=18", "HEAVY_AUTOMATED_DEVICE_USAGE", "b_auto"), _P("b_auto>=10 AND b_auto<18", "AUTOMATED_DEVICE_DETECTED", "b_auto"),
     _P("b_parity>=14 AND incoming_volume>0 AND outgoing_volume>0", "BALANCED_TRANSIT_FLOW", "b_parity"), _P("b_parity>=14 AND NOT (incoming_volume>0 AND outgoing_volume>0) AND outgoing_txn_count=0", "TERMINAL_ACCUMULATION_SINK", "b_parity"), _P("b_burst>=5", "HIGH_BURST_FREQUENCY", "b_burst"),
     _P("s_degree>=25", "EXTREME_COUNTERPARTY_DEGREE", "s_degree"), _P("s_degree>=8 AND s_degree<25", "ELEVATED_COUNTERPARTY_DEGREE", "s_degree"), _P("s_intermediary>=20", "INTERMEDIARY_CONDUIT_TOPOLOGY", "s_intermediary"), _P("s_intermediary>=10 AND s_intermediary<20", "ASYMMETRIC_FLOW_DISPERSAL", "s_intermediary"),
     _P("s_volume>=14", "HIGH_MONETARY_THROUGHPUT", "s_volume"), _P("s_volume>=4 AND s_volume<14", "ELEVATED_MONETARY_VOLUME", "s_volume"), *[_P(f"layer{i}_candidate", c, "10") for i, c in ((1, "LAYER1_COLLECTOR_ROLE_CANDIDATE"), (2, "LAYER2_DISTRIBUTOR_ROLE_CANDIDATE"), (3, "LAYER3_TERMINAL_ROLE_CANDIDATE"))],
-]), *SCORED)
+])
+_q("risk_reasons_exploded", lambda s, d: accounts(s, d).select("account_number", F.explode("risk_reasons").alias("r")).select("account_number", "r.code", "r.points"), " " + _REASONS, *SCORED)
 
 _q("syndicate_nodes", lambda s, d: accounts(s, d).where("predicted_mule_candidate").select("account_number", "syndicate_stage"), " SELECT * FROM synd", *SCORED, SYNDICATE)
 _q("syndicate_chain_metrics", lambda s, d: syndicate.chain_metrics(ledger(s, d), accounts(s, d)), " SELECT count(distinct collector) AS collectors, count(distinct distributor) AS distributors, count(distinct terminal) AS terminals, count(*) AS chains FROM chains", *SCORED, SYNDICATE)
@@ -277,10 +278,10 @@ _q("explorer_duplicates", lambda s, d: explore.duplicate_ids(ledger(s, d)), " SE
 _q("tx_detail_enriched", lambda s, d: explore.enriched(ledger(s, d), accounts(s, d), explore.stable_id("row_10")).select("row_id", "transaction_id", "sender_account", "receiver_account", "sender_risk", "receiver_risk", "same_id"), " SELECT l.row_id, l.transaction_id, l.sender_account, l.receiver_account, a.mule_risk_index::double AS sender_risk, b.mule_risk_index::double AS receiver_risk, (SELECT count(*) FROM ledger x WHERE x.transaction_id=l.transaction_id) AS same_id FROM ledger l JOIN risk a ON a.account_number=l.sender_account JOIN risk b ON b.account_number=l.receiver_account WHERE l.row_id=10", *SCORED)
 
 
-def _timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _timeline(spark: SparkSession, sf_dir: str, **filters) -> DataFrame:
     rows = ledger(spark, sf_dir)
     own = rows.where(explore.party(THROUGH))
-    return explore.timeline(rows, accounts(spark, sf_dir), velocity.velocity_pairs(own), fifo.fifo_edges(own), THROUGH)
+    return explore.timeline(rows, accounts(spark, sf_dir), velocity.velocity_pairs(own), fifo.fifo_edges(own), THROUGH, **filters)
 
 
 def _dense_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -288,12 +289,26 @@ def _dense_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _timeline(spark, sf_dir).na.fill({"row_id": -1, "amount_paise": 0})
 
 
-_q("timeline_events", _dense_timeline, f""" SELECT event_id, epoch_s, coalesce(row_id,-1) AS row_id, direction, coalesce(amount_paise,0) AS amount_paise, counterparty, event_type FROM (
-  SELECT 'TX_'||row_id AS event_id, epoch_s, row_id, CASE WHEN receiver_account='{THROUGH}' THEN 'INCOMING' ELSE 'OUTGOING' END AS direction, amount_paise, CASE WHEN receiver_account='{THROUGH}' THEN sender_account ELSE receiver_account END AS counterparty, 'TRANSACTION' AS event_type FROM (SELECT * FROM ledger WHERE sender_account='{THROUGH}' OR receiver_account='{THROUGH}' ORDER BY epoch_s,row_id LIMIT 5000)
-  UNION ALL SELECT 'VEL_'||in_row||'_'||out_row, out_s, out_row, NULL, least(in_paise,out_paise), NULL, 'VELOCITY' FROM pairs WHERE acc='{THROUGH}'
-  UNION ALL SELECT 'ATTR_'||source_row_id||'_'||destination_row_id, l.epoch_s, destination_row_id, NULL, attributed_paise, l.receiver_account, 'ATTRIBUTION' FROM edges JOIN ledger l ON l.row_id=destination_row_id WHERE account='{THROUGH}'
-  UNION ALL SELECT 'RISK_{THROUGH}', min(epoch_s), NULL, NULL, NULL, NULL, 'RISK' FROM e WHERE acc='{THROUGH}'
-  UNION ALL SELECT 'TERM_{THROUGH}', max(epoch_s), NULL, NULL, NULL, NULL, 'TERMINAL' FROM e WHERE acc='{THROUGH}' AND (SELECT layer3_candidate FROM rol WHERE account_number='{THROUGH}') HAVING count(*)>0)""", FEATURES, ROLES, VELOCITY, FIFO)
+_OWN = f"own AS (SELECT * FROM ledger WHERE sender_account='{THROUGH}' OR receiver_account='{THROUGH}')"
+_EVENTS = f"""events AS (
+  SELECT 'TX_'||row_id AS event_id, epoch_s, row_id, CASE WHEN receiver_account='{THROUGH}' THEN 'INCOMING' ELSE 'OUTGOING' END AS direction, amount_paise, CASE WHEN receiver_account='{THROUGH}' THEN sender_account ELSE receiver_account END AS counterparty, 'TRANSACTION' AS event_type FROM (SELECT * FROM own ORDER BY epoch_s,row_id LIMIT 5000)
+  UNION ALL SELECT 'VEL_'||in_row||'_'||out_row, out_s, out_row, 'OUTGOING', least(in_paise,out_paise), NULL, 'VELOCITY' FROM pairs WHERE acc='{THROUGH}'
+  UNION ALL SELECT 'ATTR_'||source_row_id||'_'||destination_row_id, l.epoch_s, destination_row_id, 'OUTGOING', attributed_paise, l.receiver_account, 'ATTRIBUTION' FROM edges JOIN own l ON l.row_id=destination_row_id WHERE account='{THROUGH}'
+  UNION ALL SELECT 'RISK_{THROUGH}', min(epoch_s), NULL, NULL, NULL, NULL, 'RISK_ROLE' FROM e WHERE acc='{THROUGH}'
+  UNION ALL SELECT 'TERM_{THROUGH}', max(epoch_s), NULL, NULL, NULL, NULL, 'TERMINAL' FROM e WHERE acc='{THROUGH}' AND (SELECT layer3_candidate AND NOT layer1_candidate AND NOT layer2_candidate FROM rol WHERE account_number='{THROUGH}') HAVING count(*)>0)"""
+_TIMELINE = (FEATURES, ROLES, _OWN, VELOCITY.replace("FROM ledger", "FROM own").replace("JOIN ledger", "JOIN own"), FIFO.replace("FROM ledger", "FROM own"), _EVENTS)
+_q("timeline_events", _dense_timeline, " SELECT event_id, epoch_s, coalesce(row_id,-1) AS row_id, direction, coalesce(amount_paise,0) AS amount_paise, counterparty, event_type FROM events", *_TIMELINE)
+
+
+def _filtered_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The second page of a window's outgoing UPI transfers, with the other events of the window."""
+    events = _timeline(spark, sf_dir, direction="out", payment_mode="upi", start_s=200_000, end_s=900_000)
+    return explore.timeline_page(events, 2, 40).na.fill({"row_id": -1, "amount_paise": 0})
+
+
+_q("timeline_page", _filtered_page, f", kept AS (SELECT * FROM events WHERE epoch_s BETWEEN 200000 AND 900000 AND (event_type<>'TRANSACTION' OR row_id IN (SELECT row_id FROM own WHERE sender_account='{THROUGH}' AND payment_mode='UPI'))) SELECT event_id, epoch_s, coalesce(row_id,-1) AS row_id, direction, coalesce(amount_paise,0) AS amount_paise, counterparty, event_type, (SELECT count(*) FROM kept) AS total_events, (SELECT count(*) FROM kept)>80 AS has_more FROM (SELECT * FROM kept ORDER BY epoch_s, coalesce(row_id,-1), event_id LIMIT 40 OFFSET 40)", *_TIMELINE)
+_q("timeline_counts", lambda s, d: explore.event_counts(_timeline(s, d)), " SELECT event_type, count(*) AS n FROM events GROUP BY 1", *_TIMELINE)
+_q("timeline_global", lambda s, d: explore.timeline(ledger(s, d), accounts(s, d), None, None, None, device_type="iOS", event_type="transaction").select("event_id", "epoch_s", "row_id", "direction", "amount_paise", "counterparty"), " SELECT 'TX_'||row_id AS event_id, epoch_s, row_id, 'OBSERVED' AS direction, amount_paise, receiver_account AS counterparty FROM ledger WHERE device_type='iOS' ORDER BY epoch_s, row_id LIMIT 1000")
 _q("timeline_summary", lambda s, d: explore.timeline_summary(ledger(s, d), THROUGH), f" SELECT count(*) AS n, cast(coalesce(sum(amount_paise) FILTER (WHERE receiver_account='{THROUGH}'),0) as bigint) AS in_paise, cast(coalesce(sum(amount_paise) FILTER (WHERE sender_account='{THROUGH}'),0) as bigint) AS out_paise, min(epoch_s) AS first_s, max(epoch_s) AS last_s FROM ledger WHERE sender_account='{THROUGH}' OR receiver_account='{THROUGH}'")
 
 
@@ -305,9 +320,30 @@ _q("investigation_summary", lambda s, d: _investigation(s, d).select("account_nu
 _q("evidence_hash", lambda s, d: evidence.case_file(_investigation(s, d)).select("case_id", "sha256"), None)
 _q("legal_evidence", lambda s, d: evidence.legal_evidence(_investigation(s, d)), None)
 _q("diary_facts", lambda s, d: evidence.facts(_investigation(s, d)), None)
-_q("diary_chronology", lambda s, d: evidence.chronology(_timeline(s, d)), None)
-_q("diary_findings", lambda s, d: evidence.findings(accounts(s, d), HUB), None)
-_q("narrative_guardrail", lambda s, d: evidence.check_narratives(ledger(s, d).select("row_id", F.concat_ws(" ", F.lit("Account"), "sender_account", F.lit("paid"), "receiver_account", F.when(F.col("row_id") % 7 == 0, "and is guilty")).alias("text")), [HUB, THROUGH]).select("row_id", F.size("unknown_accounts").cast("long").alias("unknown"), "forbidden", "passes"), f" SELECT row_id, cast(x as bigint) AS unknown, row_id%7=0 AS forbidden, row_id%7<>0 AND x=0 AS passes FROM (SELECT row_id, CASE WHEN sender_account IN ('{HUB}','{THROUGH}') THEN 0 ELSE 1 END + CASE WHEN receiver_account IN ('{HUB}','{THROUGH}') OR receiver_account=sender_account THEN 0 ELSE 1 END AS x FROM ledger)")
+
+
+def _chronology(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = ledger(spark, sf_dir)
+    times = rows.select(F.col("row_id").alias("destination_row_id"), "epoch_s")
+    edges = graph.attribution_trace(rows, THROUGH)  # at most as many rows as the trace's cap
+    return evidence.chronology(_investigation(spark, sf_dir), times.join(F.broadcast(edges), "destination_row_id"), evidence.findings(accounts(spark, sf_dir), THROUGH))
+
+
+_q("diary_chronology", _chronology, None)
+_q("diary_findings", lambda s, d: evidence.findings(accounts(s, d), HUB).select("code", "points"), f" SELECT code, points FROM ({_REASONS}) WHERE account_number='{HUB}' ORDER BY points DESC, code LIMIT 5", *SCORED)
+_q("diary_narrative", lambda s, d: evidence.check_narratives(evidence.narrative(_investigation(s, d)), [THROUGH]).select("account_number", F.size("violations").alias("violations"), "passes"), f" SELECT '{THROUGH}' AS account_number, 0 AS violations, true AS passes")
+
+
+def _told(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A text for every transfer: some draw a legal conclusion, some lack a section."""
+    says = F.when(F.col("row_id") % 7 == 0, "who IS  guilty").when(F.col("row_id") % 11 == 0, "of laundered money")
+    ends = F.when(F.col("row_id") % 5 != 0, F.lit("Investigative Limitations"))
+    return ledger(spark, sf_dir).select("row_id", F.concat_ws(" ", F.lit("Investigative Overview: account"), "sender_account", F.lit("paid"), "receiver_account", says, F.lit("Subject Account Activity"), ends).alias("text"))
+
+
+_q("narrative_guardrail", lambda s, d: evidence.check_narratives(_told(s, d), [HUB, THROUGH]).select("row_id", F.size("unknown_accounts").cast("long").alias("unknown"), "forbidden", F.size("violations").cast("long").alias("violations"), "passes"), f" SELECT row_id, x AS unknown, f AS forbidden, v AS violations, v=0 AS passes FROM (SELECT *, cast(x>0 as bigint)+cast(f as bigint)+cast(row_id%5=0 as bigint) AS v FROM (SELECT row_id, row_id%7=0 OR row_id%11=0 AS f, cast(CASE WHEN sender_account IN ('{HUB}','{THROUGH}') THEN 0 ELSE 1 END + CASE WHEN receiver_account IN ('{HUB}','{THROUGH}') OR receiver_account=sender_account THEN 0 ELSE 1 END as bigint) AS x FROM ledger))")
+_q("trace_hop_summary", lambda s, d: graph.hop_summary(graph.attribution_trace(ledger(s, d), THROUGH)), None)
+_q("trace_node_sums", lambda s, d: graph.node_sums(graph.attribution_trace(ledger(s, d), THROUGH)), None)
 
 
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -335,7 +371,16 @@ _q("profile_gap_histogram", lambda s, d: profile.gap_histogram(ledger(s, d)), ",
 _q("profile_inversions", lambda s, d: profile.inversions(ledger(s, d)), " SELECT count(*) AS inversions FROM (SELECT epoch_s, lag(epoch_s) OVER (ORDER BY row_id) AS p FROM ledger) WHERE epoch_s<p")
 _q("profile_party_roles", lambda s, d: profile.party_roles(ledger(s, d)), ' SELECT count(*) FILTER (WHERE o=1 AND i=0) AS only_send, count(*) FILTER (WHERE o=0 AND i=1) AS only_receive, count(*) FILTER (WHERE o=1 AND i=1) AS "both" FROM (SELECT acc, max(is_out) AS o, max(is_in) AS i FROM e GROUP BY 1)')
 _q("profile_keyword_counts", lambda s, d: profile.keyword_counts(ledger(s, d)), " " + " UNION ALL ".join(f"SELECT '{k}' AS keyword, count(*) FILTER (WHERE contains(lower(narration), '{k}')) AS n FROM ledger" for k in profile.KEYWORDS))
-_q("profile_address_classes", lambda s, d: profile.address_classes(ledger(s, d)), " SELECT CASE WHEN ip_address LIKE '185.%' OR ip_address LIKE '194.%' THEN 'HOSTING' WHEN ip_address LIKE '10.%' OR ip_address LIKE '192.168.%' THEN 'PRIVATE' ELSE 'OTHER' END AS kind, count(*) AS n, count(distinct ip_address) AS addresses FROM ledger GROUP BY 1")
+_q("profile_address_classes", lambda s, d: profile.address_classes(ledger(s, d)), " SELECT " + ", ".join("count(*) FILTER (WHERE " + " OR ".join(f"ip_address LIKE '{p}%'" for p in some) + f") AS {k}" for k, some in profile.ADDRESS_PREFIXES.items()) + ", count(distinct ip_address) AS addresses FROM ledger")
+_q("profile_samples", lambda s, d: profile.samples(ledger(s, d)), " SELECT * FROM (" + " UNION ALL ".join(f"SELECT * FROM (SELECT DISTINCT '{c}' AS \"column\", cast({c} as varchar) AS value FROM ledger WHERE {c} IS NOT NULL ORDER BY value LIMIT 3)" for c in profile.COLUMNS) + ")")
+_TOP = lambda k, c, n: f"SELECT * FROM (SELECT '{k}' AS list, {c} AS value, count(*) AS n FROM ledger GROUP BY 2 ORDER BY n DESC, value NULLS LAST LIMIT {n})"
+_q("profile_top_lists", lambda s, d: profile.top_lists(ledger(s, d)), " " + " UNION ALL ".join([_TOP("incoming", "receiver_account", 5), _TOP("outgoing", "sender_account", 5), _TOP("narration", "narration", 10)]))
+_q("profile_hours", lambda s, d: profile.hours(ledger(s, d)), " SELECT epoch_s//3600%24 AS hour, count(*) AS n, cast(sum(amount_paise) as bigint) AS paise, epoch_s//3600%24<6 AS night FROM ledger GROUP BY 1,4")
+_RAW = lambda rows: rows.select(F.when(F.col("row_id") % 9 == 0, "n/a").otherwise((F.col("amount_paise") / 100).cast("decimal(20,2)").cast("string")).alias("Amount"), F.when(F.col("row_id") % 13 == 0, "soon").otherwise("2026-09-15 00:00:00").alias("Timestamp"), F.when(F.col("row_id") % 17 == 0, "x").otherwise("BANK0123456").alias("Sender_IFSC"), "transaction_id").withColumnRenamed("transaction_id", "Transaction_ID")
+_q("profile_casts", lambda s, d: profile.casts(_RAW(ledger(s, d))), " SELECT count(*) AS rows, count(*) FILTER (WHERE row_id%9=0) AS no_number, count(*) FILTER (WHERE row_id%13=0) AS no_time, count(*) FILTER (WHERE row_id%17=0) AS other_ifsc, 0::bigint AS other_id FROM ledger")
+_q("explorer_pages", lambda s, d: explore.explorer_pages(ledger(s, d), explore.explorer_filter(payment_mode="neft", start_s=100_000, end_s=800_000), 2, 300), " SELECT total, 2 AS page, 250 AS page_size, greatest(1,(total+249)//250) AS total_pages, (total+249)//250>2 AS has_next, true AS has_previous FROM (SELECT count(*) AS total FROM ledger WHERE payment_mode='NEFT' AND epoch_s BETWEEN 100000 AND 800000)")
+_q("reconcile_totals", lambda s, d: profile.compare_totals(ledger(s, d), ledger(s, d).where("row_id % 777 <> 5")), """, t AS (SELECT row_id%777<>5 AS k, * FROM ledger), f AS (SELECT unnest(['rows','paise','least','greatest','ids','null_sender_account','null_receiver_account','null_amount_paise','null_epoch_s','null_device_type']) AS figure, unnest([count(*), cast(sum(amount_paise) as bigint), min(amount_paise), max(amount_paise), count(distinct transaction_id), 0, 0, 0, 0, 0]) AS a,
+  unnest([count(*) FILTER (WHERE k), cast(sum(amount_paise) FILTER (WHERE k) as bigint), min(amount_paise) FILTER (WHERE k), max(amount_paise) FILTER (WHERE k), count(distinct transaction_id) FILTER (WHERE k), 0, 0, 0, 0, 0]) AS b FROM t) SELECT figure, a, b, a=b AS same FROM f""")
 _q("profile_day_counts", lambda s, d: ledger(s, d).groupBy(F.floor(F.col("epoch_s") / 86400).alias("day")).agg(F.count(F.lit(1)).alias("n"), F.sum("amount_paise").alias("paise")), " SELECT epoch_s//86400 AS day, count(*) AS n, cast(sum(amount_paise) as bigint) AS paise FROM ledger GROUP BY 1")
-_q("validate_category", lambda s, d: profile.validation(ledger(s, d)), " SELECT *, CASE WHEN missing>0 THEN 'D' WHEN bad_ifsc+bad_ip+bad_amount>0 THEN 'C' WHEN surplus_ids>0 THEN 'B' ELSE 'A' END AS category FROM (SELECT count(*) AS rows, count(*)-count(distinct transaction_id) AS surplus_ids, count(*) FILTER (WHERE NOT (regexp_matches(sender_ifsc,'^[A-Z]{4}0[A-Z0-9]{6}$') AND regexp_matches(receiver_ifsc,'^[A-Z]{4}0[A-Z0-9]{6}$'))) AS bad_ifsc, 0::bigint AS bad_ip, count(*) FILTER (WHERE amount_paise<=0) AS bad_amount, count(*) FILTER (WHERE sender_account=receiver_account) AS self_transfers, 0::bigint AS missing FROM ledger)")
+_q("validate_category", lambda s, d: profile.validation(ledger(s, d)), f" SELECT *, CASE WHEN rows>={profile.FULL_SCALE} AND no_time=0 AND no_device=0 THEN 'A' WHEN rows<{profile.FULL_SCALE} THEN 'B' WHEN no_time=rows OR no_device=rows THEN 'C' ELSE 'D' END AS category FROM (SELECT count(*) AS rows, count(*)-count(distinct transaction_id) AS surplus_ids, count(*) FILTER (WHERE NOT (regexp_matches(sender_ifsc,'{profile.IFSC}') AND regexp_matches(receiver_ifsc,'{profile.IFSC}'))) AS bad_ifsc, 0::bigint AS bad_ip, count(*) FILTER (WHERE amount_paise<=0) AS bad_amount, count(*) FILTER (WHERE sender_account=receiver_account) AS self_transfers, count(*) FILTER (WHERE epoch_s IS NULL) AS no_time, count(*) FILTER (WHERE device_type IS NULL) AS no_device FROM ledger)")
 _q("reconcile_self", lambda s, d: profile.reconcile(ledger(s, d), ledger(s, d).withColumn("amount_paise", F.col("amount_paise") + F.when(F.col("row_id") % 1000 == 0, 9).otherwise(0)).where("row_id % 777 <> 5")), " SELECT count(*) FILTER (WHERE row_id%777<>5) AS matched, count(*) FILTER (WHERE row_id%777<>5 AND row_id%1000=0) AS mismatched, count(*) FILTER (WHERE row_id%777=5) AS only_a, 0::bigint AS only_b FROM ledger")

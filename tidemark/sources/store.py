@@ -12,10 +12,13 @@ _local: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or one local folder where it is unset (a single machine)."""
+    """spark.checkpoint.dir, or the folder given to setCheckpointDir, or with a local master only one temporary folder."""
     path = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if path:
-        return path.rstrip("/")
+    given = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if path or not given.isEmpty():
+        return (path or given.get()).rstrip("/")
+    if spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _local:
         _local.append(tempfile.mkdtemp(prefix="tiers-"))
     return _local[0]
