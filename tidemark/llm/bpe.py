@@ -8,7 +8,6 @@ concatenates the pieces by an ordered aggregation. Tasks need no shuffle: a word
 from __future__ import annotations
 
 import base64
-import heapq
 import re
 from collections.abc import Iterator
 
@@ -20,41 +19,63 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import with_columns
+from .common import memory, with_columns
 
-#: Words whose ids a Python worker remembers; beyond it the memory starts anew. A bound on memory, not on input.
-REMEMBERED = 500_000
-#: Words contracted by one recursive query, and tokens decoded by one query.
-WORDS_A_QUERY, TOKENS_A_QUERY = 15_000, 150_000
+#: Words whose ids a Python worker remembers in each of two generations. A bound on memory, not on input.
+REMEMBERED = 200_000
+#: A recursive query keeps every step of its words, at most half the sum of their squared lengths; this bounds the sum, and so DuckDB's memory.
+WORK_A_QUERY = 1_500_000
+#: Tokens decoded by one query.
+TOKENS_A_QUERY = 150_000
 #: What DuckDB may take in each worker.
-DUCKDB = {"threads": 1, "memory_limit": "200MB", "temp_directory": ""}
-#: The query keeps every step of a word, which is quadratic in its length; longer words take the merge queue below.
-LONGEST_BY_QUERY = 200
+DUCKDB = {"threads": 1, "memory_limit": "150MB", "temp_directory": ""}
 
 #: Pair keys hold the rank over the pair's position over the next token's position (20 bits each), so that min() finds
 #: the leftmost pair of least rank.
 CONTRACT = """
 WITH RECURSIVE s(w, p, t, q, u, k, step) AS (
-  SELECT w, p, t, q, u, (m.rank << 40) | (p << 20) | q, 0 FROM start LEFT JOIN merges m ON m.pair = (t << 17) | u
+  SELECT w, p, t, q, u, (m.rank << 40) | (p::BIGINT << 20) | q, 0 FROM start LEFT JOIN merges m ON m.pair = (t::BIGINT << 17) | u
   UNION ALL
-  SELECT w, p, t, q, u, CASE WHEN changed THEN (m.rank << 40) | (p << 20) | q ELSE k END, step + 1
+  SELECT w, p, t, q, u, CASE WHEN changed THEN (m.rank << 40) | (p::BIGINT << 20) | q ELSE k END, step + 1
   FROM (
     SELECT s.w, s.p, s.k, s.step,
-      CASE WHEN s.k = best.k THEN best.k >> 40 ELSE s.t END AS t,
+      CASE WHEN s.k = best.k THEN (best.k >> 40)::INTEGER ELSE s.t END AS t,
       CASE WHEN s.k = best.k THEN other.q ELSE s.q END AS q,
-      CASE WHEN s.k = best.k THEN other.u WHEN s.q = (best.k >> 20) & 1048575 THEN best.k >> 40 ELSE s.u END AS u,
-      s.k IS NOT DISTINCT FROM best.k OR coalesce(s.q = (best.k >> 20) & 1048575, false) AS changed
+      CASE WHEN s.k = best.k THEN other.u WHEN s.q = ((best.k >> 20) & 1048575)::INTEGER THEN (best.k >> 40)::INTEGER ELSE s.u END AS u,
+      s.k IS NOT DISTINCT FROM best.k OR coalesce(s.q = ((best.k >> 20) & 1048575)::INTEGER, false) AS changed
     FROM s
     JOIN (SELECT w, min(k) AS k FROM s GROUP BY w HAVING min(k) IS NOT NULL) best ON s.w = best.w
-    JOIN s AS other ON other.w = best.w AND other.p = best.k & 1048575
-    WHERE s.p <> best.k & 1048575
-  ) x LEFT JOIN merges m ON m.pair = CASE WHEN changed THEN (x.t << 17) | x.u END
+    JOIN s AS other ON other.w = best.w AND other.p = (best.k & 1048575)::INTEGER
+    WHERE s.p <> (best.k & 1048575)::INTEGER
+  ) x LEFT JOIN merges m ON m.pair = CASE WHEN changed THEN (x.t::BIGINT << 17) | x.u END
 )
 SELECT s.w, list(s.t ORDER BY s.p) AS ids
 FROM s JOIN (SELECT w, max(step) AS step FROM s GROUP BY w) last ON s.w = last.w AND s.step = last.step
 GROUP BY s.w
 """
 
+#: For one word whose squared length is beyond a query: some steps at a time, the rows of the last step start the next query. A step
+#: contracts all places of the pair of least rank, of overlapping ones every other from the left, as one after the other would: a
+#: token that a contraction makes has no pair of a lower rank, since what it is made of had none left.
+CONTRACT_LONG = """
+WITH RECURSIVE s(p, t, r, step) AS (
+  SELECT p, t, m.rank, 0 FROM (SELECT p, t, lead(t) OVER (ORDER BY p) AS u FROM start) x LEFT JOIN merges m ON m.pair = (x.t::BIGINT << 17) | x.u
+  UNION ALL
+  SELECT p, t, m.rank, step + 1
+  FROM (
+    SELECT p, t, step, lead(t) OVER (ORDER BY p) AS u
+    FROM (
+      SELECT p, step, CASE WHEN merged THEN least ELSE t END AS t, coalesce(lag(merged) OVER (ORDER BY p), false) AS gone
+      FROM (
+        SELECT p, t, step, least, here AND row_number() OVER (PARTITION BY run, here ORDER BY p) % 2 = 1 AS merged
+        FROM (SELECT *, sum(CASE WHEN here THEN 0 ELSE 1 END) OVER (ORDER BY p) AS run FROM (SELECT p, t, step, b.least, coalesce(r = b.least, false) AS here FROM s, (SELECT min(r) AS least FROM s) b WHERE b.least IS NOT NULL AND s.step < {steps}))
+      )
+    ) WHERE NOT gone
+  ) x LEFT JOIN merges m ON m.pair = (x.t::BIGINT << 17) | x.u
+)
+SELECT p, t, r FROM s WHERE step = (SELECT max(step) FROM s) ORDER BY p
+"""
+
 DECODE = """
 SELECT d, array_to_string(list(piece ORDER BY p), '') AS bytes FROM tokens JOIN vocabulary USING (id) GROUP BY d
 """
@@ -78,96 +99,96 @@ def pair_table(ranks: dict[bytes, int]) -> pa.Table:
     return pa.table({"pair": pa.array(pair, pa.int64()), "rank": pa.array(rank, pa.int64())})
 
 
-def merged_by_queue(word: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """The same contraction by a queue of pairs, for words too long for the recursive query."""
-    parts: list[bytes | None] = [bytes([b]) for b in word]
-    after, before = list(range(1, len(parts) + 1)), list(range(-1, len(parts) - 1))
-    queue: list[tuple[int, int, bytes, bytes]] = []
-
-    def offer(i: int) -> None:
-        if 0 <= i and after[i] < len(parts) and (r := ranks.get(parts[i] + parts[after[i]])) is not None:
-            heapq.heappush(queue, (r, i, parts[i], parts[after[i]]))
-
-    for i in range(len(parts)):
-        offer(i)
-    while queue:
-        _, i, a, b = heapq.heappop(queue)
-        j = after[i]
-        if parts[i] != a or j >= len(parts) or parts[j] != b:
-            continue
-        parts[i], parts[j], after[i] = a + b, None, after[j]
-        if after[i] < len(parts):
-            before[after[i]] = i
-        offer(i)
-        offer(before[i])
-    return [ranks[x] for x in parts if x is not None]
+#: A fixed value: the pattern for which `Encoder.segments` may cut texts at single white space.
+EVEN_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
 class Encoder:
-    """One Python worker's connection, vocabulary and remembered words."""
+    """One Python worker's connection and vocabulary."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.ranks, self.split = ranks, regex.compile(pattern).findall
-        self.of_byte = np.array([ranks[bytes([b])] for b in range(256)], dtype=np.int64)
+        self.ranks, self.split, self.even = ranks, regex.compile(pattern).findall, pattern == EVEN_PATTERN
+        self.of_byte = np.array([ranks[bytes([b])] for b in range(256)], dtype=np.int32)
         self.con = duckdb.connect(config=DUCKDB)
         self.con.execute("SET preserve_insertion_order = false")
         self.con.register("merges_", pair_table(ranks))
         self.con.execute("CREATE TABLE merges AS SELECT * FROM merges_")
-        #: ids of words, and of segments: a word is the only word of the segment that it makes
-        self.known: dict[str, bytes] = {}
+        #: ids of words, and of segments, in two generations: a word is the only word of the segment that it makes
+        self.new_ids: dict[str, bytes] = {}
+        self.old_ids: dict[str, bytes] = {}
 
     #: Two white-space characters side by side.
     UNEVEN = re.compile(r"\s\s")
 
-    def cut(self, text: str) -> list[str]:
+    def segments(self, text: str) -> list[str]:
         """Segments whose words, one after the other, are the text's words.
 
-        Where white space is single, no match of the pattern reaches over a space from its left or over a line end.
+        Where white space is single, no match of that pattern reaches over a space from its left or over a line end.
         """
-        if "\0" in text or self.UNEVEN.search(text):
+        if not self.even or "\0" in text or self.UNEVEN.search(text):
             return self.split(text)
         return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
 
-    def merge(self, words: list[str]) -> None:
-        """Remembers the ids of new words."""
+    def merge(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
+        """Each word and its ids; words are contracted together up to the work that a query may take."""
         todo: list[tuple[str, bytes]] = []
+        work = 0
         for w in words:
             b = w.encode()
             if (r := self.ranks.get(b)) is not None:
-                self.known[w] = np.int32(r).tobytes()
-            elif len(b) > LONGEST_BY_QUERY:
-                self.known[w] = np.array(merged_by_queue(b, self.ranks), dtype=np.int32).tobytes()
+                yield w, np.int32(r).tobytes()
+            elif len(b) ** 2 > WORK_A_QUERY:
+                yield w, self.contract_long(b)
             elif b:
+                if work + len(b) ** 2 > WORK_A_QUERY:
+                    yield from self.contract(todo)
+                    todo, work = [], 0
                 todo.append((w, b))
-        for i in range(0, len(todo), WORDS_A_QUERY):
-            some = todo[i : i + WORDS_A_QUERY]
-            size = np.array([len(b) for _, b in some])
-            end = np.cumsum(size)
-            token = self.of_byte[np.frombuffer(b"".join(b for _, b in some), dtype=np.uint8)]
-            pos = np.arange(len(token)) - np.repeat(end - size, size)
-            last = np.zeros(len(token), dtype=bool)
-            last[end - 1] = True
-            start = pa.table({"w": np.repeat(np.arange(len(some)), size), "p": pos, "t": token, "q": pa.array(pos + 1, mask=last), "u": pa.array(np.append(token[1:], 0), mask=last)})
-            self.con.register("start", start)
-            found = self.con.sql(CONTRACT).to_arrow_table()
-            ids = found["ids"].combine_chunks()
-            flat, ends = ids.values.to_numpy().astype(np.int32), ids.offsets.to_numpy()
-            for w, a, b in zip(found["w"].to_pylist(), ends, ends[1:]):
-                self.known[some[w][0]] = flat[a:b].tobytes()
+                work += len(b) ** 2
+            else:
+                yield w, b""
+        if todo:
+            yield from self.contract(todo)
+
+    def contract(self, some: list[tuple[str, bytes]]) -> Iterator[tuple[str, bytes]]:
+        size = np.array([len(b) for _, b in some])
+        end = np.cumsum(size)
+        token = self.of_byte[np.frombuffer(b"".join(b for _, b in some), dtype=np.uint8)]
+        pos = (np.arange(len(token)) - np.repeat(end - size, size)).astype(np.int32)
+        last = np.zeros(len(token), dtype=bool)
+        last[end - 1] = True
+        word = np.repeat(np.arange(len(some), dtype=np.int32), size)
+        self.con.register("start", pa.table({"w": word, "p": pos, "t": token, "q": pa.array(pos + 1, mask=last), "u": pa.array(np.append(token[1:], np.int32(0)), mask=last)}))
+        found = self.con.sql(CONTRACT).to_arrow_table()
+        ids = found["ids"].combine_chunks()
+        flat, ends = ids.values.to_numpy().astype(np.int32), ids.offsets.to_numpy()
+        for w, a, b in zip(found["w"].to_pylist(), ends, ends[1:]):
+            yield some[w][0], flat[a:b].tobytes()
+
+    def contract_long(self, word: bytes) -> bytes:
+        now = pa.table({"p": np.arange(len(word), dtype=np.int32), "t": self.of_byte[np.frombuffer(word, dtype=np.uint8)]})
+        while True:
+            self.con.register("start", now)
+            now = self.con.sql(CONTRACT_LONG.format(steps=max(1, WORK_A_QUERY // (2 * now.num_rows)))).to_arrow_table()
+            if now["r"].null_count == now.num_rows:
+                return now["t"].to_numpy().astype(np.int32).tobytes()
 
     def encode(self, column: list[str]) -> list[np.ndarray]:
-        if len(self.known) > REMEMBERED:
-            self.known = {}
-        cut = [self.cut(text) for text in column]
+        if len(self.new_ids) > REMEMBERED:
+            self.new_ids, self.old_ids = {}, self.new_ids
+        new_ids, old_ids = self.new_ids, self.old_ids
+        cut = [self.segments(text) for text in column]
         new: set[str] = set()
         new.update(*cut)
-        new.difference_update(self.known)
+        new.difference_update(new_ids)
+        for s in new.intersection(old_ids):
+            new_ids[s] = old_ids[s]
+        new.difference_update(new_ids)
         inside = {s: ws for s in new if (ws := self.split(s)) != [s]}
-        single = new.difference(inside)
-        self.merge(list(single.union(*inside.values()).difference(self.known)))
+        new_ids.update(self.merge(list(new.difference(inside).union(*inside.values()).difference(new_ids))))
         for s, ws in inside.items():
-            self.known[s] = b"".join(map(self.known.__getitem__, ws))
-        return [np.frombuffer(b"".join(map(self.known.__getitem__, segments)), dtype=np.int32) for segments in cut]
+            new_ids[s] = b"".join(map(new_ids.__getitem__, ws))
+        return [np.frombuffer(b"".join(map(new_ids.__getitem__, segments)), dtype=np.int32) for segments in cut]
 
 
 class Decoder:
@@ -201,14 +222,12 @@ class Decoder:
         return out
 
 
-#: Made once in each Python worker, which Spark keeps for many tasks.
-_workers: dict[tuple, Encoder | Decoder] = {}
-
-
 def _worker(kind: type, key: tuple, *args):
-    if (kind, key) not in _workers:
-        _workers[kind, key] = kind(*args)
-    return _workers[kind, key]
+    """One encoder or decoder of a vocabulary in each Python worker; they go when another operator uses the worker."""
+    made = memory(("bpe", key))
+    if kind not in made:
+        made[kind] = kind(*args)
+    return made[kind]
 
 
 #: Texts encoded at a time, in characters.
@@ -222,28 +241,43 @@ def bpe_encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str
     Rows are encoded one by one, so repeated rows and keys need nothing special; a column already named `ids` is
     replaced, others pass through. Empty input gives an empty result.
     """
-    shared, key = docs.sparkSession.sparkContext.broadcast(ranks), (hash(frozenset(ranks.items())), pattern)
+    shared, key = docs.sparkSession.sparkContext.broadcast(ranks), hash((frozenset(ranks.items()), pattern))
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
         for b in batches:
-            coder = _worker(Encoder, key, shared.value, pattern)
-            column = [x or "" for x in b.column(b.schema.get_field_index(text)).to_pylist()]
-            done: list[np.ndarray] = []
-            i = 0
-            while i < len(column):
-                j, n = i, 0
-                while j < len(column) and (j == i or n + len(column[j]) <= CHARS_A_BATCH):
-                    n += len(column[j])
-                    j += 1
-                done += coder.encode(column[i:j])
-                i = j
-            ends = np.cumsum([0, *map(len, done)]).astype(np.int32)
-            flat = np.concatenate(done) if done else np.zeros(0, dtype=np.int32)
-            yield [pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))]
+            yield [_encoded(b, text, _worker(Encoder, key, shared.value, pattern))]
 
     return with_columns(docs, text, [T.StructField(ids, T.ArrayType(T.IntegerType()), True)], fill)
 
 
+def _encoded(b: pa.RecordBatch, text: str, coder: Encoder) -> pa.ListArray:
+    column = [x or "" for x in b.column(b.schema.get_field_index(text)).to_pylist()]
+    done: list[np.ndarray] = []
+    i = 0
+    while i < len(column):
+        j, n = i, 0
+        while j < len(column) and (j == i or n + len(column[j]) <= CHARS_A_BATCH):
+            n += len(column[j])
+            j += 1
+        done += coder.encode(column[i:j])
+        i = j
+    ends = np.cumsum([0, *map(len, done)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(done) if done else np.zeros(0, dtype=np.int32)))
+
+
+def bpe_roundtrip(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text", ids: str = "ids", out: str = "decoded") -> DataFrame:
+    """docs with the ids of every whole text and the bytes that they decode to; bpe_encode and bpe_decode in one pass over the rows."""
+    shared, key = docs.sparkSession.sparkContext.broadcast(ranks), hash((frozenset(ranks.items()), pattern))
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
+        for b in batches:
+            found = _encoded(b, text, _worker(Encoder, key, shared.value, pattern))
+            yield [found, pa.array(_worker(Decoder, key, shared.value).decode(found), pa.binary())]
+
+    fields = [T.StructField(ids, T.ArrayType(T.IntegerType()), True), T.StructField(out, T.BinaryType(), True)]
+    return with_columns(docs, text, fields, fill)
+
+
 def bpe_decode(df: DataFrame, ranks: dict[bytes, int], ids: str = "ids", out: str = "decoded") -> DataFrame:
     """df with the column `out` (binary): the bytes of every row's ids. Null ids decode to no bytes; unknown ids fail."""
     shared, key = df.sparkSession.sparkContext.broadcast(ranks), hash(frozenset(ranks.items()))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .audio import media_digests
-from .bpe import bpe_decode, bpe_encode, digests, read_ranks
+from .bpe import bpe_roundtrip, digests, read_ranks
 from .common import doc_key, table
 from .hyperdim import held_out_languages
 from .lm import lm_scores
@@ -30,8 +30,7 @@ def op1_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers as public
 
     ranks = read_ranks(public.path("byte_bpe_multi_50k.tiktoken"))
-    encoded = bpe_encode(doc_key(table(spark, sf_dir, "documents")), ranks, public.PATTERN).drop("text")
-    return digests(bpe_decode(encoded, ranks))
+    return digests(bpe_roundtrip(doc_key(table(spark, sf_dir, "documents")), ranks, public.PATTERN))
 
 
 @query
