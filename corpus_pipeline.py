@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.bpe import bpe_decode, bpe_encode, read_ranks
+from tidemark.llm.bpe import bpe_roundtrip, read_ranks
 from tidemark.llm.common import table, written
 from tidemark.llm.mixing import mixed
 from tidemark.llm.ordinal import label_grades, rate, train
@@ -49,7 +49,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers as public
 
     ranks = read_ranks(public.path("byte_bpe_multi_50k.tiktoken"))
-    coded = bpe_decode(bpe_encode(docs.select("doc_id", "source", "text"), ranks, public.PATTERN).drop("text"), ranks)
+    coded = bpe_roundtrip(docs.select("doc_id", "source", "text"), ranks, public.PATTERN)
     return coded.select("doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
