@@ -201,7 +201,8 @@ def features(codec: str, pcm: np.ndarray, to: np.ndarray, to_rate: int) -> str:
 def read_audio(df: DataFrame, media: str = "media", rate: int = 16000, payload: str = "payload", feature: str = "feature", pcm: str | None = None) -> DataFrame:
     """df with the stored payload and a feature string of every WAV file in `media`; with `pcm`, also a WAV file of the resampled PCM.
 
-    Null media give nulls; a file that is no WAV file of a known format is an error. Columns of the same names are replaced.
+    Null media give nulls; a file that is no WAV file of a known format is an error. Files are read whole, of any length,
+    some megabytes of them at a time. Columns of the same names are replaced; an empty table gives no rows.
     """
     fields = [T.StructField(payload, T.BinaryType(), True), T.StructField(feature, T.StringType(), True)]
     if pcm:
@@ -226,10 +227,15 @@ def read_audio(df: DataFrame, media: str = "media", rate: int = 16000, payload:
 
 
 def media_digests(docs: DataFrame) -> DataFrame:
-    """Stores every text's UTF-8 bytes as audio, reads them back, and returns lengths, digests and features by doc_id."""
+    """Stores every text's UTF-8 bytes as audio, reads them back, and returns lengths, digests and features by doc_id.
+
+    pcm_bytes and pcm_sha256 are of the stored WAV file of the resampled PCM. Null texts are empty, and empty ones make one
+    block; texts are whole, of any length; one row per row of docs, also for null and repeated ids; columns other than
+    doc_id and text are not read; an empty table gives no rows.
+    """
     stored = store_audio(docs.select("doc_id", F.coalesce(F.encode("text", "UTF-8"), F.lit(b"")).alias("payload")))
     kept = stored.select("doc_id", F.length("payload").cast("long").alias("n_bytes"), "media")
-    back = read_audio(kept)
+    back = read_audio(kept, pcm="pcm")
     return back.select(
         "doc_id",
         "n_bytes",
@@ -239,4 +245,6 @@ def media_digests(docs: DataFrame) -> DataFrame:
         F.length("media").cast("long").alias("media_bytes"),
         F.sha2("media", 256).alias("media_sha256"),
         "feature",
+        F.length("pcm").cast("long").alias("pcm_bytes"),
+        F.sha2("pcm", 256).alias("pcm_sha256"),
     )

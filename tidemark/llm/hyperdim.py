@@ -152,7 +152,12 @@ def fold(folds: int, which: int, id_col: str = "doc_id") -> Column:
 
 
 def held_out_languages(docs: DataFrame) -> DataFrame:
-    """doc_id, held_out, lang_pred and score; the profiles learn from the documents that aren't held out."""
+    """doc_id, held_out, lang_pred and score; the profiles learn from the documents that aren't held out.
+
+    Null ids are not held out; rows of one id are all in the same part; null languages teach nothing; null and letterless
+    texts are `und`. Texts are whole, of any length; columns other than doc_id, text and lang are not read; an empty table
+    gives no rows. One vector for each language that occurs reaches the driver.
+    """
     rows = docs.select(F.col("doc_id").cast("long"), "text", "lang").withColumn("held_out", fold(4, 2))
     profiles = learn(rows.where(~F.col("held_out")))
     return identify(rows.select("doc_id", "held_out", "text"), profiles).select("doc_id", "held_out", "lang_pred", "score")

@@ -50,12 +50,8 @@ class OrderMinHash:
                 h, have = h[:-1] * _ODD + c[len(c) - len(h) + 1 :], have + 1
         h = mix(h)
         n = len(h)
-        if n < 1 << 21:
-            order = np.sort((h & ~np.uint64((1 << 21) - 1)) | np.arange(n, dtype=np.uint64))
-            at, key = (order & np.uint64((1 << 21) - 1)).astype(np.int64), order >> np.uint64(21)
-        else:
-            at = np.argsort(h, kind="stable")
-            key = h[at]
+        at = np.argsort(h, kind="stable")
+        key = h[at]
         again = np.flatnonzero(key[1:] == key[:-1]) + 1
         if len(again):
             first = np.maximum.accumulate(np.where(np.concatenate([[True], key[1:] != key[:-1]]), np.arange(n), 0))
