@@ -18,9 +18,20 @@ def _when(cond: Column) -> Column:
     return F.coalesce(F.sum(F.when(cond, 1).otherwise(0)), F.lit(0)).cast("long")
 
 
-def _distinct(x: Column) -> Column:
-    """An exact distinct count in one pass: many countDistinct would expand each row once for each of them."""
-    return F.size(F.collect_set(x)).cast("long")
+def by_value(e: DataFrame, **kinds: Column) -> DataFrame:
+    """(acc, kind, n, is_in, is_out): a row for each account, kind and different value, how many transfers have it, and on which sides.
+
+    An account's values are counted by (account, kind, value) before they are counted by account, with partial sums in both
+    steps, so no task and no row holds all that a hub has. Nulls are no value.
+    """
+    each = F.array(*[F.struct(F.lit(k).alias("kind"), x.cast("string").alias("value")) for k, x in kinds.items()])
+    rows = e.select("acc", "is_in", "is_out", F.inline(each)).where(F.col("value").isNotNull())
+    return rows.groupBy("acc", "kind", "value").agg(F.count(F.lit(1)).alias("n"), F.max("is_in").alias("is_in"), F.max("is_out").alias("is_out")).drop("value")
+
+
+def _values(kind: str, side: str | None = None) -> Column:
+    """How many different values of a kind an account has, of all its rows or those of one side."""
+    return F.count_if((F.col("kind") == kind) & (F.col(side) == 1) if side else F.col("kind") == kind)
 
 
 def _at(epoch: Column, start: str) -> Column:
@@ -31,25 +42,32 @@ def accounts_dimension(ledger: DataFrame, start: str = START) -> DataFrame:
     """Eighteen columns by account; a transfer to oneself counts on both sides."""
     e, inward, outward = entity_view(ledger), F.col("is_in") == 1, F.col("is_out") == 1
     total = lambda c: F.sum(F.when(c, F.col("amount_paise")).otherwise(0))
-    return e.groupBy(F.col("acc").alias("account_number")).agg(
+    values = by_value(e, cp=F.col("cp"), ifsc=F.col("ifsc"), ip=F.col("ip_address"), device=F.col("device_type"), mode=F.col("payment_mode"))
+    different = values.groupBy("acc").agg(
+        _values("cp", "is_in").alias("unique_senders"),
+        _values("cp", "is_out").alias("unique_receivers"),
+        _values("cp").alias("counterparty_count"),
+        _values("ifsc", "is_out").alias("sender_ifsc_count"),
+        _values("ifsc", "is_in").alias("receiver_ifsc_count"),
+        _values("ip").alias("unique_ip_count"),
+        _values("device").alias("unique_device_count"),
+        _values("mode").alias("unique_payment_mode_count"),
+    )
+    sums = e.groupBy("acc").agg(
         rupees(total(inward)).alias("total_inflow"),
         rupees(total(outward)).alias("total_outflow"),
         rupees(total(inward) - total(outward)).alias("net_flow_delta"),
         F.sum("is_in").cast("long").alias("incoming_txn_count"),
         F.sum("is_out").cast("long").alias("outgoing_txn_count"),
         F.count(F.lit(1)).alias("transaction_count"),
-        _distinct(F.when(inward, F.col("cp"))).alias("unique_senders"),
-        _distinct(F.when(outward, F.col("cp"))).alias("unique_receivers"),
-        _distinct(F.col("cp")).alias("counterparty_count"),
         _at(F.min("epoch_s"), start).alias("first_seen_timestamp"),
         _at(F.max("epoch_s"), start).alias("last_seen_timestamp"),
-        _distinct(F.when(outward, F.col("ifsc"))).alias("sender_ifsc_count"),
-        _distinct(F.when(inward, F.col("ifsc"))).alias("receiver_ifsc_count"),
-        _distinct(F.col("ip_address")).alias("unique_ip_count"),
-        _distinct(F.col("device_type")).alias("unique_device_count"),
-        _distinct(F.col("payment_mode")).alias("unique_payment_mode_count"),
-        F.lit("DERIVED").alias("provenance"),
     )
+    return sums.join(different, "acc").select(
+        F.col("acc").alias("account_number"), "total_inflow", "total_outflow", "net_flow_delta", "incoming_txn_count", "outgoing_txn_count", "transaction_count",
+        "unique_senders", "unique_receivers", "counterparty_count", "first_seen_timestamp", "last_seen_timestamp", "sender_ifsc_count", "receiver_ifsc_count",
+        "unique_ip_count", "unique_device_count", "unique_payment_mode_count", F.lit("DERIVED").alias("provenance"),
+    )
 
 
 #: Devices and payment modes with a counter of their own.
@@ -67,8 +85,8 @@ def _stats(side: str, flag: Column) -> list[Column]:
 def account_features(ledger: DataFrame, start: str = START) -> DataFrame:
     """The feature store: one row by account.
 
-    All but the busiest address come from one aggregation of the entity view; the counts by address are a second one,
-    on the same exchange key, so the join adds no shuffle.
+    Sums come from one aggregation of the entity view; counts of different values, and the busiest address, from a second
+    one that counts by value first.
     """
     e = entity_view(ledger)
     inward, outward = F.col("is_in") == 1, F.col("is_out") == 1
@@ -82,29 +100,32 @@ def account_features(ledger: DataFrame, start: str = START) -> DataFrame:
         rupees(vol_in).alias("incoming_volume"),
         rupees(vol_out).alias("outgoing_volume"),
         rupees(vol_in - vol_out).alias("net_flow_delta"),
-        _distinct(F.when(inward, F.col("cp"))).alias("fan_in"),
-        _distinct(F.when(outward, F.col("cp"))).alias("fan_out"),
-        _distinct(F.col("cp")).alias("unique_counterparties"),
         F.min("epoch_s").alias("first_s"),
         F.max("epoch_s").alias("last_s"),
-        _distinct(F.floor(F.col("epoch_s") / DAY)).alias("active_day_count"),
-        _distinct(F.floor(F.col("epoch_s") / HOUR)).alias("active_hour_count"),
-        _distinct(hour).alias("unique_active_hours"),
         _when(hour.between(0, 5)).alias("night_transaction_count"),
-        _distinct(F.col("device_type")).alias("unique_device_count"),
-        _distinct(F.col("ip_address")).alias("unique_ip_count"),
-        _distinct(F.col("narration")).alias("unique_narration_count"),
         _when(blank).alias("empty_narration_count"),
         *[_when(F.col("device_type") == v).alias(f"{k}_txn_count") for k, v in DEVICES.items()],
         *[_when(F.col("payment_mode") == v).alias(f"{k}_txn_count") for k, v in MODES.items()],
         *_stats("incoming", inward),
         *_stats("outgoing", outward),
     )
-    top = e.groupBy("acc", "ip_address").agg(F.count(F.lit(1)).alias("k")).groupBy("acc").agg(F.max("k").alias("top_ip_transaction_count"))
+    values = by_value(e, cp=F.col("cp"), day=F.floor(F.col("epoch_s") / DAY), hour=F.floor(F.col("epoch_s") / HOUR), clock=hour, device=F.col("device_type"), ip=F.col("ip_address"), narration=F.col("narration"))
+    different = values.groupBy("acc").agg(
+        _values("cp", "is_in").alias("fan_in"),
+        _values("cp", "is_out").alias("fan_out"),
+        _values("cp").alias("unique_counterparties"),
+        _values("day").alias("active_day_count"),
+        _values("hour").alias("active_hour_count"),
+        _values("clock").alias("unique_active_hours"),
+        _values("device").alias("unique_device_count"),
+        _values("ip").alias("unique_ip_count"),
+        _values("narration").alias("unique_narration_count"),
+        F.max(F.when(F.col("kind") == "ip", F.col("n"))).alias("top_ip_transaction_count"),
+    )
     n = F.col("n")
     ratio = lambda a, b: F.when(b > 0, F.round(a / b, 4))
     share = lambda c: F.round(F.col(c) / n, 4)
-    return agg.join(top, "acc", "left").select(
+    return agg.join(different, "acc").select(
         F.col("acc").alias("account_number"),
         n.alias("transaction_count"),
         "incoming_txn_count", "outgoing_txn_count", "incoming_volume", "outgoing_volume", "net_flow_delta",

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window
 
+from .store import materialise
+
 #: Columns of a raw ledger file.
 RAW = T.StructType(
     [
@@ -69,18 +71,16 @@ def file_digests(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "length", F.sha2("content", 256).alias("sha256"))
 
 
-def numbered(df: DataFrame, order: list[str], ranges: int = 64, by: str | None = None) -> DataFrame:
-    """df with `row_id`: 0, 1, … by the order columns, without sorting all rows in one task.
+def numbered(df: DataFrame, order: list[str]) -> DataFrame:
+    """df with `row_id`: 0, 1, … by the order columns, which are a unique key; nulls come first. No task sorts all rows.
 
-    Rows are dealt by equal ranges of the leading numeric column; a range's rows are numbered from the count of those
-    before it. Nulls of the leading column come first.
+    Rows are dealt by ranges of the order columns, whose bounds Spark draws from the data, and written once, so that a
+    range keeps its rows; a range's rows are numbered from the count of those before it.
     """
-    key = by or order[0]
-    ends = df.agg(F.min(key).alias("lo"), F.max(key).alias("hi"))
-    width = F.greatest(F.lit(1), F.ceil((F.col("hi") - F.col("lo") + 1) / ranges))
-    dealt = df.crossJoin(F.broadcast(ends)).withColumn("_range", F.coalesce(F.floor((F.col(key) - F.col("lo")) / width), F.lit(-1)).cast("int")).drop("lo", "hi")
+    parts = 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = materialise(df.repartitionByRange(parts, *order).withColumn("_range", F.spark_partition_id()), "ranges")
     counts = dealt.groupBy("_range").count()
-    before = counts.select("_range", F.coalesce(F.sum("count").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    before = counts.select("_range", F.coalesce(F.sum("count").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))  # as many rows as ranges
     place = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
     return dealt.join(F.broadcast(before), "_range").withColumn("row_id", (F.col("_before") + place - 1).cast("long")).drop("_range", "_before")
 
