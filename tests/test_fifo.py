@@ -66,3 +66,36 @@ def test_velocity_band(ledger, delay, inside):
 def test_empty(ledger, spark):
     none = spark.createDataFrame([], SCHEMA)
     assert fifo.fifo_edges(none).count() == 0 and velocity.velocity_accounts(none).count() == 0
+
+
+def test_accounts_cut_into_blocks_have_the_same_edges(spark):
+    """A hub with over a third of all transfers, in blocks of a few rows, beside a plain queue."""
+    import random
+
+    draw = random.Random(5)
+    names = ["HUB", *[f"A{i}" for i in range(6)]]
+    rows = []
+    for i in range(400):
+        a, b = (draw.choice(names) if draw.random() < 0.5 else "HUB", draw.choice(names[1:]))
+        rows.append((i, f"T{i}", *((a, b) if draw.random() < 0.5 else (b, a)), draw.randrange(150) * (1 + i % 3), draw.randrange(1, 500)))
+    df = spark.createDataFrame(rows, SCHEMA)
+    plain = []
+    for acc in names:
+        queue = []
+        for row, _, s, r, at, paise in sorted(rows, key=lambda x: (x[4], x[0])):
+            if s == acc:
+                need = paise
+                while need and queue:
+                    take = min(need, queue[0][1])
+                    plain.append((acc, queue[0][0], row, take))
+                    need -= take
+                    queue[0][1] -= take
+                    if not queue[0][1]:
+                        queue.pop(0)
+            if r == acc:
+                queue.append([row, paise])
+    for few in (7, 40, 100_000):
+        got = sorted((r["account"], r["source_row_id"], r["destination_row_id"], r["attributed_paise"]) for r in fifo.fifo_edges(df, few).collect())
+        assert got == sorted(plain), few
+    lines = [sorted(map(tuple, fifo.money_line(df, few).select("acc", "row_id", "side", "lo", "hi", "came_in").collect())) for few in (7, 100_000)]
+    assert lines[0] == lines[1]

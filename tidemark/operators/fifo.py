@@ -4,15 +4,20 @@ Let I be what came in before an outflow and O what went out up to it. What is at
 O + min(0, running min of I - O). Inflows and attributed outflows tile one line of money from zero, so an edge is a
 stretch of that line between two neighbouring boundaries: windows find all edges of an account in the order of its
 transfers, without joining inflows to outflows.
+
+An account with very many transfers is cut into blocks, of time for the line and of money for the edges. Windows run within
+blocks, and what a block needs from those before it (sums, the least difference, the last inflow and outflow) comes from one
+row a block. So no task holds a hub, unless most of its transfers are of one second.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+
 def events(ledger: DataFrame) -> DataFrame:
     """Each transfer as an inflow (side 0) and an outflow (side 1); a row's outflow comes first, so it never funds itself."""
     side = lambda acc, cp, n: F.struct(F.col(acc).alias("acc"), F.col(cp).alias("cp"), F.lit(n).alias("side"))
@@ -20,35 +25,96 @@ def events(ledger: DataFrame) -> DataFrame:
     return ledger.select("row_id", "transaction_id", "epoch_s", F.col("amount_paise").alias("paise"), F.inline(both)).where("acc IS NOT NULL")
 
 
-def money_line(ledger: DataFrame) -> DataFrame:
+#: Accounts with more than this part of all events, and with more than FEW, are cut; there are fewer of them than this number.
+HEAVY, FEW = 10_000, 100_000
+
+
+def _out() -> Column:
+    return F.col("side") == 1
+
+
+def _placed(ledger: DataFrame, few: int) -> DataFrame:
+    """events with the block of time of each, 0 but for heavy accounts, and its width, null but for them."""
+    e = events(ledger)
+    part = max(few, 2 * ledger.count() // HEAVY)
+    per = e.groupBy("acc").agg(F.count(F.lit(1)).alias("n"), F.min("epoch_s").alias("from_s"), F.max("epoch_s").alias("to_s")).where(F.col("n") > part)
+    heavy = per.select("acc", "from_s", F.greatest(F.lit(1), F.ceil((F.col("to_s") - F.col("from_s") + 1) / F.ceil(F.col("n") / part))).alias("width"))
+    block = F.coalesce(F.floor((F.col("epoch_s") - F.col("from_s")) / F.col("width")), F.lit(0)).cast("int")
+    return e.join(F.broadcast(heavy), "acc", "left").withColumn("block", block).drop("from_s")
+
+
+def _in_block(last: int) -> WindowSpec:
+    """A block's rows in the order of time, up to so many after the current one."""
+    return Window.partitionBy("acc", "block").orderBy("epoch_s", "row_id", F.col("side").desc()).rowsBetween(Window.unboundedPreceding, last)
+
+
+def _earlier() -> WindowSpec:
+    """An account's blocks before the current one."""
+    return Window.partitionBy("acc").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+
+
+def _within(placed: DataFrame) -> DataFrame:
+    """Sums of either side and the least difference before an outflow, so far within each block."""
+    sums = placed.withColumns({f"c{i}": F.sum(F.when(F.col("side") == i, F.col("paise")).otherwise(0)).over(_in_block(0)) for i in (0, 1)})
+    return sums.withColumn("low", F.min(F.when(_out(), F.col("c0") - F.col("c1"))).over(_in_block(0)))
+
+
+def _before_blocks(placed: DataFrame) -> DataFrame:
+    """(acc, block, o0, o1, ol, came): of heavy accounts, both sides' sums and the least difference before each block, and all that comes in."""
+    ends = _within(placed.where("width IS NOT NULL")).groupBy("acc", "block").agg(F.max("c0").alias("b0"), F.max("c1").alias("b1"), F.min("low").alias("bl"))
+    sums = ends.withColumns({f"o{i}": F.coalesce(F.sum(f"b{i}").over(_earlier()), F.lit(0)) for i in (0, 1)})
+    least = sums.withColumn("ol", F.min(F.col("bl") + F.col("o0") - F.col("o1")).over(_earlier()))
+    return least.select("acc", "block", "o0", "o1", "ol", F.sum("b0").over(Window.partitionBy("acc")).alias("came"))
+
+
+def _lined(placed: DataFrame, blocks: DataFrame) -> DataFrame:
+    """placed rows with lo and hi; blocks: what comes before each block of heavy accounts."""
+    known = F.broadcast(blocks.select("acc", "block", "o0", "o1", "ol"))
+    sums = _within(placed).join(known, ["acc", "block"], "left").na.fill(0, ["o0", "o1"])
+    floor = F.least(F.lit(0), F.col("low") + F.col("o0") - F.col("o1"), F.col("ol"))
+    lined = sums.withColumn("c0", F.col("c0") + F.col("o0")).withColumn("hi", F.when(_out(), F.col("c1") + F.col("o1") + floor).otherwise(F.col("c0")))
+    before = F.coalesce(F.max(F.when(_out(), F.col("hi"))).over(_in_block(-1)), F.col("o1") + F.least(F.lit(0), F.col("ol")))
+    return lined.withColumn("lo", F.when(_out(), before).otherwise(F.col("c0") - F.col("paise"))).withColumnRenamed("c0", "came_in").drop("c1", "low", "o0", "o1", "ol", "block", "width")
+
+
+def money_line(ledger: DataFrame, few: int = FEW) -> DataFrame:
     """events with lo and hi, the stretch of the account's line that an inflow fills or an outflow consumes, and what came in before."""
-    by = Window.partitionBy("acc").orderBy("epoch_s", "row_id", F.col("side").desc())
-    so_far = by.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    sums = events(ledger).withColumns({f"c{i}": F.sum(F.when(F.col("side") == i, F.col("paise")).otherwise(0)).over(so_far) for i in (0, 1)})
-    outward = F.col("side") == 1
-    floor = F.least(F.lit(0), F.min(F.when(outward, F.col("c0") - F.col("c1"))).over(so_far))
-    lined = sums.withColumn("hi", F.when(outward, F.col("c1") + floor).otherwise(F.col("c0")))
-    before = F.coalesce(F.max(F.when(outward, F.col("hi"))).over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return lined.withColumn("lo", F.when(outward, before).otherwise(F.col("c0") - F.col("paise"))).withColumnRenamed("c0", "came_in").drop("c1")
+    placed = _placed(ledger, few)
+    return _lined(placed, _before_blocks(placed))
 
 
-def fifo_edges(ledger: DataFrame) -> DataFrame:
+def fifo_edges(ledger: DataFrame, few: int = FEW) -> DataFrame:
     """One row for each inflow and outflow that share money: ids, attributed paise, delay."""
-    line = money_line(ledger).where("hi > lo")
+    placed = _placed(ledger, few)
+    blocks = _before_blocks(placed)
+    #: blocks of money: as many as the account has of time
+    steps = F.broadcast(blocks.groupBy("acc").agg(F.ceil((F.max("came") + 1) / F.count(F.lit(1))).alias("step")))
+    cut = lambda rows: _lined(rows, blocks).where("hi > lo").join(steps, "acc", "left").withColumn("block", F.coalesce(F.floor(F.col("lo") / F.col("step")), F.lit(0)))
     what = F.struct("row_id", "transaction_id", "cp", "epoch_s", "paise")
-    at = Window.partitionBy("acc").orderBy("lo", "side", "row_id")
+    order, inward = F.struct("lo", "side", "row_id"), F.col("side") == 0
+    # of heavy accounts: the last inflow and outflow before each block, the first boundary after it, and the line's end
+    ends = cut(placed.where("width IS NOT NULL")).groupBy("acc", "block").agg(
+        F.min("lo").alias("first"), F.max_by(what, F.when(inward, order)).alias("li"), F.max_by(what, F.when(_out(), order)).alias("lo_"), F.max(F.when(_out(), F.col("hi"))).alias("top")
+    )
+    around = F.broadcast(ends.select(
+        "acc", "block", F.last("li", ignorenulls=True).over(_earlier()).alias("pi"), F.last("lo_", ignorenulls=True).over(_earlier()).alias("po"),
+        F.lead("first").over(Window.partitionBy("acc").orderBy("block")).alias("after"), F.max("top").over(Window.partitionBy("acc")).alias("whole"),
+    ))
+    at = Window.partitionBy("acc", "block").orderBy("lo", "side", "row_id")
     until = at.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    inward, outward = F.col("side") == 0, F.col("side") == 1
-    cut = line.select(
+    local = cut(placed).select(
         "acc",
+        "block",
         "lo",
         F.last(F.when(inward, what), ignorenulls=True).over(until).alias("i"),
-        F.last(F.when(outward, what), ignorenulls=True).over(until).alias("o"),
+        F.last(F.when(_out(), what), ignorenulls=True).over(until).alias("o"),
         F.lead("lo").over(at).alias("next"),
-        F.max(F.when(outward, F.col("hi"))).over(Window.partitionBy("acc")).alias("end"),
+        F.max(F.when(_out(), F.col("hi"))).over(Window.partitionBy("acc", "block")).alias("end"),
     )
-    amount = F.least(F.coalesce("next", "end"), "end") - F.col("lo")
-    found = cut.withColumn("attributed_paise", amount).where("attributed_paise > 0 AND i IS NOT NULL AND o IS NOT NULL")
+    joined = local.join(around, ["acc", "block"], "left")
+    end = F.coalesce("whole", "end")
+    amount = F.least(F.coalesce("next", "after", end), end) - F.col("lo")
+    found = joined.select("acc", F.coalesce("i", "pi").alias("i"), F.coalesce("o", "po").alias("o"), amount.alias("attributed_paise")).where("attributed_paise > 0 AND i IS NOT NULL AND o IS NOT NULL")
     return found.select(
         F.col("acc").alias("account"),
         F.col("i.row_id").alias("source_row_id"), F.col("i.transaction_id").alias("source_transaction_id"), F.col("i.cp").alias("source_account"), F.col("i.paise").alias("source_paise"),
