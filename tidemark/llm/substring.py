@@ -195,7 +195,7 @@ def repeats(docs: DataFrame, profile: DataFrame, window: int = WINDOW) -> tuple[
     classes = written(long.groupBy("same").agg(F.min(F.struct(*key)).alias("least"), F.count(F.lit(1)).alias("n")), "classes")
     copies = join_heavy(long.select(*key, "same"), classes, ["same"], ["doc_id"]).where("doc_id > least.doc_id").select(*key).distinct()
     # anchors of several classes, and those that many rows have
-    found = anchors(docs, window)
+    found = written(anchors(docs, window), "stretches")
     per_anchor = found.groupBy("anchor").agg(F.min("class").alias("a"), F.max("class").alias("b"), F.count(F.lit(1)).alias("n"))
     kept = written(per_anchor.where(f"a <> b OR n > {MANY}").select("anchor", F.col("a").eqNullSafe(F.col("b")).alias("own"), "n"), "anchors")
     met = join_heavy(found.drop("class"), kept, ["anchor"], ["doc_id"]).where("NOT own").select(*key, "first", "last")
