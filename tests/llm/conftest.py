@@ -4,7 +4,10 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
+#: Names of columns that operators make.
+CLASHES = ("fp", "row", "root", "component_id", "ids", "decoded", "n_words", "tail_prob", "expected_grade", "lang_pred", "score", "spans", "paths", "class", "bucket", "node", "held_out", "payload", "media", "taken", "target")
 DATA = "/root/testdata/sf0.001"
 SCHEMA = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("lang", pa.string()), ("source", pa.string()), ("n_chars", pa.int64())])
 
@@ -49,4 +52,5 @@ def empty_docs(spark):
 def clashing(spark):
     """Null and repeated ids, and columns named as operators name theirs."""
     rows = [(1, "one two three", "fp", 1), (1, "one two three", "fp", 1), (None, "one two three", None, 2), (2, None, None, None), (None, None, "x", 0), (3, "", "x", 0)]
-    return spark.createDataFrame(rows, "doc_id long, text string, source string, size int")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, size int")
+    return docs.withColumns({c: F.lit(f"own {c}") for c in CLASHES})

@@ -2,6 +2,7 @@
 
 from collections import Counter
 
+import numpy as np
 import public_tokenizers as public
 import pytest
 
@@ -12,7 +13,7 @@ from tidemark.llm.hyperdim import held_out_languages
 from tidemark.llm.lm import lm_scores
 from tidemark.llm.mixing import mix, mixed
 from tidemark.llm.omh import edited_pairs
-from tidemark.llm.ordinal import rate, select_best
+from tidemark.llm.ordinal import OrdinalModel, rate, select_best
 from tidemark.llm.simhash import keep_first, near_duplicates
 from tidemark.llm.substring import kept_digests, without_repeats
 from tidemark.llm.wordpiece import count_pieces
@@ -61,3 +62,23 @@ def test_quality_without_labels(spark, clashing):
 
 def test_mixed(clashing, empty_docs):
     assert mixed(empty_docs).collect() == [] and mixed(clashing).columns == clashing.columns
+
+
+@pytest.mark.parametrize("keeps", [mixed, keep_first, without_repeats])
+def test_columns_with_clashing_names_pass_through(clashing, keeps):
+    rows, own = keeps(clashing).collect(), clashing.columns[4:]
+    assert rows and len(own) > 20 and all(r[c] == f"own {c}" for r in rows for c in own)
+
+
+def test_values_of_nulls_and_repeats(clashing):
+    by = lambda df, c: Counter((r["doc_id"], r["text"] if "text" in df.columns else None, r[c]) for r in df.collect())
+    assert by(count_pieces(clashing, list(RANKS)), "n_words") == Counter([(1, "one two three", 3)] * 2 + [(None, "one two three", 3), (2, None, 0), (None, None, 0), (3, "", 0)])
+    groups = {(r["doc_id"], r["fingerprint"]): r["component_id"] for r in near_duplicates(doc_key(clashing)).collect()}
+    empty = "0" * 16
+    assert groups[2, empty] == groups[None, empty] == groups[3, empty] == 2 and len({v for (d, _), v in groups.items() if d == 1}) == 1
+    model = OrdinalModel(np.zeros(1 << 18, dtype=np.float32), np.array([-1.0, 1.0]))
+    rated = rate(clashing, model).collect()
+    assert len(rated) == 6 and all(r["tail_prob"] == pytest.approx(1 / (1 + np.e)) and r["expected_grade"] == pytest.approx(1) for r in rated)
+    kept = kept_digests(doc_key(clashing)).collect()
+    assert all(r["n_removed"] == 0 for r in kept) and {r["n_words"] for r in kept} == {0, 3}
+    assert sorted(r["taken"] for r in mix(clashing).collect()) == sorted(r["taken"] for r in mix(clashing.repartition(3)).collect())
