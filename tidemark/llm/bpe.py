@@ -22,13 +22,13 @@ from pyspark.sql import types as T
 from .common import memory, with_columns
 
 #: Words whose ids a Python worker remembers in each of two generations. A bound on memory, not on input.
-REMEMBERED = 200_000
+REMEMBERED = 250_000
 #: A recursive query keeps every step of its words, at most half the sum of their squared lengths; this bounds the sum, and so DuckDB's memory.
-WORK_A_QUERY = 1_500_000
+WORK_A_QUERY = 1_000_000
 #: Tokens decoded by one query.
-TOKENS_A_QUERY = 150_000
+TOKENS_A_QUERY = 100_000
 #: What DuckDB may take in each worker.
-DUCKDB = {"threads": 1, "memory_limit": "150MB", "temp_directory": ""}
+DUCKDB = {"threads": 1, "memory_limit": "100MB", "temp_directory": ""}
 
 #: Pair keys hold the rank over the pair's position over the next token's position (20 bits each), so that min() finds
 #: the leftmost pair of least rank.
@@ -106,7 +106,8 @@ EVEN_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s
 class Encoder:
     """One Python worker's connection and vocabulary."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, remembered: int = REMEMBERED):
+        self.remembered = remembered
         self.ranks, self.split, self.even = ranks, regex.compile(pattern).findall, pattern == EVEN_PATTERN
         self.of_byte = np.array([ranks[bytes([b])] for b in range(256)], dtype=np.int32)
         self.con = duckdb.connect(config=DUCKDB)
@@ -174,7 +175,7 @@ class Encoder:
                 return now["t"].to_numpy().astype(np.int32).tobytes()
 
     def encode(self, column: list[str]) -> list[np.ndarray]:
-        if len(self.new_ids) > REMEMBERED:
+        if len(self.new_ids) > self.remembered:
             self.new_ids, self.old_ids = {}, self.new_ids
         new_ids, old_ids = self.new_ids, self.old_ids
         cut = [self.segments(text) for text in column]
@@ -231,21 +232,21 @@ def _worker(kind: type, key: tuple, *args):
 
 
 #: Texts encoded at a time, in characters.
-CHARS_A_BATCH = 2_000_000
+CHARS_A_BATCH = 1_000_000
 
 
-def bpe_encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
+def bpe_encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text", ids: str = "ids", remembered: int = REMEMBERED) -> DataFrame:
     """docs with the column `ids` (array<int>): the ids of every whole text, split by `pattern`, without special tokens.
 
     A null or empty text has no ids. The vocabulary is broadcast: its size is the tokenizer's, whatever the input's.
     Rows are encoded one by one, so repeated rows and keys need nothing special; a column already named `ids` is
     replaced, others pass through. Empty input gives an empty result.
     """
-    shared, key = docs.sparkSession.sparkContext.broadcast(ranks), hash((frozenset(ranks.items()), pattern))
+    shared, key = docs.sparkSession.sparkContext.broadcast(ranks), hash((frozenset(ranks.items()), pattern, remembered))
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
         for b in batches:
-            yield [_encoded(b, text, _worker(Encoder, key, shared.value, pattern))]
+            yield [_encoded(b, text, _worker(Encoder, key, shared.value, pattern, remembered))]
 
     return with_columns(docs, text, [T.StructField(ids, T.ArrayType(T.IntegerType()), True)], fill)
 
@@ -265,13 +266,13 @@ def _encoded(b: pa.RecordBatch, text: str, coder: Encoder) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(done) if done else np.zeros(0, dtype=np.int32)))
 
 
-def bpe_roundtrip(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text", ids: str = "ids", out: str = "decoded") -> DataFrame:
+def bpe_roundtrip(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text", ids: str = "ids", out: str = "decoded", remembered: int = REMEMBERED) -> DataFrame:
     """docs with the ids of every whole text and the bytes that they decode to; bpe_encode and bpe_decode in one pass over the rows."""
-    shared, key = docs.sparkSession.sparkContext.broadcast(ranks), hash((frozenset(ranks.items()), pattern))
+    shared, key = docs.sparkSession.sparkContext.broadcast(ranks), hash((frozenset(ranks.items()), pattern, remembered))
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
         for b in batches:
-            found = _encoded(b, text, _worker(Encoder, key, shared.value, pattern))
+            found = _encoded(b, text, _worker(Encoder, key, shared.value, pattern, remembered))
             yield [found, pa.array(_worker(Decoder, key, shared.value).decode(found), pa.binary())]
 
     fields = [T.StructField(ids, T.ArrayType(T.IntegerType()), True), T.StructField(out, T.BinaryType(), True)]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -16,7 +18,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 #: Arrow batches: rows and bytes at most, since texts can be long.
-BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,6 +68,13 @@ def memory(user: object, entries: int = 150_000) -> dict:
     return _memory[user]
 
 
+def release() -> None:
+    """Gives freed memory back to the system; a worker that waits for its next task should hold no more than it remembers."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only where the C library has it
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 #: Keys with more than this part of all rows are split over tasks; there are fewer of them than this number.
 HEAVY = 10_000
 
@@ -131,6 +140,7 @@ def with_columns(
         for arrays in fill(tee()):
             b = held.pop(0)
             yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index(c)) for c in keep] + arrays, names=keep + names)
+        release()
 
     return kept.mapInArrow(run, schema)
 
