@@ -14,6 +14,8 @@ from tidemark.llm.substring import without_repeats
 
 #: The least probability of the best grade with which a document stays.
 LEAST_TAIL = 0.5
+#: Words whose ids a worker remembers in the last stage, when the stages before have left the executors little memory.
+REMEMBERED = 60_000
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,7 +51,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers as public
 
     ranks = read_ranks(public.path("byte_bpe_multi_50k.tiktoken"))
-    coded = bpe_roundtrip(docs.select("doc_id", "source", "text"), ranks, public.PATTERN)
+    coded = bpe_roundtrip(docs.select("doc_id", "source", "text"), ranks, public.PATTERN, remembered=REMEMBERED)
     return coded.select("doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
