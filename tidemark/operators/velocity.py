@@ -20,7 +20,10 @@ def velocity_pairs(ledger: DataFrame, config: Velocity = Velocity()) -> DataFram
     A band join on (account, time bucket): each outflow looks in the buckets that its band touches, so a hub's inflows
     and outflows meet within buckets of the band's width only, and a hub is no single task's work.
     """
-    ins, outs = _sides(ledger)
+    return _in_band(*_sides(ledger), config)
+
+
+def _in_band(ins: DataFrame, outs: DataFrame, config: Velocity) -> DataFrame:
     width = config.high
     at = ins.withColumn("b", F.floor(F.col("in_s") / width))
     probe = outs.withColumn("b", F.explode(F.sequence(F.floor((F.col("out_s") - config.high) / width), F.floor((F.col("out_s") - config.low) / width))))
@@ -29,23 +32,29 @@ def velocity_pairs(ledger: DataFrame, config: Velocity = Velocity()) -> DataFram
 
 
 def _outflow_flags(ledger: DataFrame, config: Velocity) -> DataFrame:
-    """Per account: outflows that follow some inflow too soon, or late but within the horizon; by range frames, without pairs."""
+    """Per account: outflows that follow some inflow too soon, or late but within the horizon; by range frames over its seconds, without pairs."""
     ins, outs = _sides(ledger)
-    events = ins.select("acc", F.col("in_s").alias("s"), F.lit(1).alias("i")).unionByName(outs.select("acc", F.col("out_s").alias("s"), F.lit(0).alias("i")))
+    each = ins.select("acc", F.col("in_s").alias("s"), F.lit(1).alias("i"), F.lit(0).alias("o")).unionByName(outs.select("acc", F.col("out_s").alias("s"), F.lit(0).alias("i"), F.lit(1).alias("o")))
+    events = each.groupBy("acc", "s").agg(F.sum("i").alias("i"), F.sum("o").alias("o"))
     by = Window.partitionBy("acc").orderBy("s")
     seen = lambda lo, hi: F.sum("i").over(by.rangeBetween(lo, hi)) > 0
-    marked = events.select("acc", "i", seen(-(config.low - 1), 0).alias("soon"), seen(-config.horizon, -(config.high + 1)).alias("late"))
-    return marked.where("i = 0").groupBy("acc").agg(F.count_if("soon").alias("under_3_minute_event_count"), F.count_if("late").alias("over_15_minute_event_count"))
+    marked = events.select("acc", "o", seen(-(config.low - 1), 0).alias("soon"), seen(-config.horizon, -(config.high + 1)).alias("late"))
+    total = lambda c, name: F.coalesce(F.sum(F.when(F.col(c), F.col("o"))), F.lit(0)).alias(name)
+    return marked.where("o > 0").groupBy("acc").agg(total("soon", "under_3_minute_event_count"), total("late", "over_15_minute_event_count"))
 
 
 def velocity_accounts(ledger: DataFrame, config: Velocity = Velocity()) -> DataFrame:
     """Velocity figures of every account that has an inflow.
 
     An outflow is credited with at most its own amount of the inflows in its band; inflows may count for several
-    outflows, so the ratio may exceed one.
+    outflows, so the ratio may exceed one. Inflows and outflows meet by seconds, not one by one: what an outflow's band
+    holds depends on its second alone.
     """
-    pairs = velocity_pairs(ledger, config)
-    per_out = pairs.groupBy("acc", "out_row").agg(F.least(F.first("out_paise"), F.sum("in_paise")).alias("paise"), F.first("out_paise").alias("out_paise"), F.median("delay_s").alias("delay"))
+    ins, sent = _sides(ledger)
+    by_second = ins.groupBy("acc", "in_s").agg(F.sum("in_paise").alias("in_paise"), F.count(F.lit(1)).alias("n"))
+    met = _in_band(by_second, sent.select("acc", "out_s").distinct(), config)
+    band = met.groupBy("acc", "out_s").agg(F.sum("in_paise").alias("in_paise"), F.percentile("delay_s", 0.5, F.col("n")).alias("delay"))
+    per_out = sent.join(band, ["acc", "out_s"]).select("acc", "out_paise", "delay", F.least("out_paise", "in_paise").alias("paise"))
     outs = per_out.groupBy("acc").agg(F.sum("paise").alias("attributed"), F.sum("out_paise").alias("rapid"), F.count(F.lit(1)).alias("n"), F.median("delay").alias("delay"))
     total = ledger.groupBy(F.col("receiver_account").alias("acc")).agg(F.sum("amount_paise").alias("inflow"))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long")
