@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from .common import WORD, cut
 
 WEIGHTS, MOST_PASSES = (5, 2, 1), 3
+#: Columns that mix adds.
+FIGURES = ("size", "source_size", "target", "taken")
 #: Hash ranges into which the documents of one source and length are dealt, so that none is a task of its own.
 RANGES = 64
 #: Rows of the plan that may be broadcast; a longer plan is joined by a shuffle.
@@ -97,9 +99,8 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, most: int = MOST_PASSES, seed
     Columns of these names are replaced. An empty table gives no rows. Totals by source reach the driver, and nothing
     else does; one source's counts by length are fitted in one task.
     """
-    names = ("size", "source_size", "target", "taken")
     draw = F.xxhash64(F.lit(seed), "doc_id", "text")
-    rows = docs.drop(*names).withColumn("size", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"))
+    rows = docs.drop(*FIGURES).withColumn("size", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"))
     rows = rows.withColumn("_draw", draw).withColumn("_range", F.shiftrightunsigned("_draw", 64 - (RANGES - 1).bit_length()).cast("int"))
     ranges = cut(rows.groupBy("source", "size", "_range").agg(F.count(F.lit(1)).alias("n")))
     sizes = {r["source"]: int(r["words"]) for r in ranges.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("words")).collect()}
@@ -137,7 +138,8 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, most: int = MOST_PASSES, seed
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: each row of docs as often as it is taken, with the columns of docs."""
-    rows = mix(docs, **options).where("taken > 0")
+    """The mix itself: each row of docs as often as it is taken, with the columns of docs, also those that mix would replace."""
+    aside = {c: f"_own_{c}" for c in docs.columns if c in FIGURES}
+    rows = mix(docs.withColumnsRenamed(aside), **options).where("taken > 0")
     copies = F.sequence(F.lit(1), (F.col("taken") / F.col("size")).cast("int"))
-    return rows.withColumn("_copy", F.explode(copies)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return rows.withColumn("_copy", F.explode(copies)).select(*[F.col(f"`{aside.get(c, c)}`").alias(c) for c in docs.columns])
