@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 
 from .audio import media_digests
@@ -12,12 +14,16 @@ from .lm import lm_scores
 from .mixing import mix
 from .omh import edited_pairs
 from .ordinal import select_best
+from .periodic import run_digests, with_repeating_tails
+from .search import search
 from .simhash import near_duplicates
 from .substring import kept_digests
+from .urls import Rule, judge
 from .wordpiece import count_pieces, read_vocabulary
 
 QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
+#: The SQL of queries that SQL can express, one file each.
+ORACLE: dict[str, str] = {p.stem: p.read_text() for p in sorted((Path(__file__).parent / "sql").glob("*.sql"))}
 
 
 def query(f):
@@ -84,3 +90,22 @@ def op9_attention_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     ranks = read_ranks(public.path("byte_bpe_multi_50k.tiktoken"))
     return lm_scores(doc_key(table(spark, sf_dir, "documents")), (ranks, public.PATTERN))
+
+
+@query
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_digests(with_repeating_tails(doc_key(table(spark, sf_dir, "documents"))))
+
+
+#: The rules that URLs are judged by.
+RULES = [Rule("block", "net", "/"), Rule("allow", "example.net", "/en/"), Rule("block", "example.com", "/de/"), Rule("allow", "org", "/fr/")]
+
+
+@query
+def op12_boosted_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge(table(spark, sf_dir, "pages").select("page_id", "url"), RULES).drop("url")
+
+
+@query
+def op13_impact_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(doc_key(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
