@@ -99,3 +99,97 @@ def test_accounts_cut_into_blocks_have_the_same_edges(spark):
         assert got == sorted(plain), few
     lines = [sorted(map(tuple, fifo.money_line(df, few).select("acc", "row_id", "side", "lo", "hi", "came_in").collect())) for few in (7, 100_000)]
     assert lines[0] == lines[1]
+
+
+def hub_ledger(spark, seed, n=300):
+    """Transfers of few accounts, over a third of them a hub's, many in the same seconds."""
+    import random
+
+    draw = random.Random(seed)
+    names = ["HUB", *[f"A{i}" for i in range(6)]]
+    rows = []
+    for i in range(n):
+        a, b = (draw.choice(names) if draw.random() < 0.5 else "HUB", draw.choice(names))
+        rows.append((i, f"T{i}", *((a, b) if draw.random() < 0.5 else (b, a)), draw.randrange(150) * (1 + i % 3), draw.randrange(0, 500)))
+    return rows, spark.createDataFrame(rows, SCHEMA), names
+
+
+def plain_horizon(rows, names, horizon):
+    """Inflows as a queue from which each outflow takes what is no older than the horizon."""
+    out = []
+    for acc in names:
+        queue, came = [], 0
+        for row, _, s, r, at, paise in sorted(rows, key=lambda x: (x[4], x[0])):
+            if s == acc:
+                while queue and queue[0][2] < at - horizon:
+                    queue.pop(0)
+                need = paise
+                while need and queue:
+                    take = min(need, queue[0][1])
+                    if take:
+                        out.append((acc, queue[0][0], row, take, at - queue[0][2], None, None))
+                    need -= take
+                    queue[0][1] -= take
+                    if not queue[0][1]:
+                        queue.pop(0)
+                if need:
+                    young = [t for t in inflows(rows, acc, row, at) if t >= at - horizon]
+                    why = "NO_PRIOR_INFLOW" if not came else "INFLOW_DEPLETED" if young else "HORIZON_EXCEEDED"
+                    out.append((acc, None, row, None, None, need, why))
+            if r == acc:
+                queue.append([row, paise, at])
+                came += 1
+    return out
+
+
+def inflows(rows, acc, row, at):
+    """Seconds of an account's inflows before a transfer."""
+    return [x[4] for x in rows if x[3] == acc and (x[4], x[0]) < (at, row)]
+
+
+@pytest.mark.parametrize(("horizon", "few"), [(0, 7), (20, 7), (60, 40), (150, 7), (60, 100_000), (10_000, 7)])
+def test_a_horizon_in_blocks_is_that_of_a_queue(spark, horizon, few):
+    rows, df, names = hub_ledger(spark, horizon + few)
+    key = lambda r: tuple((x is None, x or 0) for x in r[:6]) + (r[6] or "",)
+    got = sorted(map(tuple, fifo.horizon_records(df, horizon, few).collect()), key=key)
+    assert got == sorted(plain_horizon(rows, names, horizon), key=key)
+
+
+def test_no_account_is_one_group_under_a_horizon(spark):
+    """A hub's blocks become clamps of their own, and no clamp holds most of its outflows."""
+    rows, df, _ = hub_ledger(spark, 3)
+    lines, of_hubs, steps = fifo.horizon_lines(df, 60, 7)
+    assert of_hubs is not None and steps.count() == of_hubs.select("acc").distinct().count() > 0
+    heavy = fifo._heavy(fifo.events(df), len(rows), 7)
+    blocks = fifo._placed(fifo.events(df), heavy).where("width IS NOT NULL").groupBy("acc", "block").count()
+    assert blocks.where("acc = 'HUB'").count() > 10
+
+
+def test_clamps_compose_in_any_blocks():
+    import numpy as np
+
+    draw = np.random.default_rng(1)
+    add, low, high = (draw.integers(0, 50, 400) for _ in range(3))
+    high = low + high
+    group = np.sort(draw.integers(0, 9, 400))
+    a, b, c = fifo.composed((add, low, high), group)
+    for x in (0, 17, 900):
+        for g in range(9):
+            at, value = np.flatnonzero(group == g), x
+            for i in at:
+                value = min(max(value + add[i], low[i]), high[i])
+                assert value == min(max(x + a[i], b[i]), c[i])
+
+
+def test_one_account_and_a_horizon_over_batches(spark):
+    """Small Arrow batches carry what was consumed from one to the next."""
+    rows, df, names = hub_ledger(spark, 9)
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        got = fifo.horizon_records(df, 60).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    assert sum(r["attributed_paise"] or 0 for r in got) == sum(r[3] or 0 for r in plain_horizon(rows, names, 60))
+    own = fifo.account_fifo(df, "HUB")
+    assert sorted(map(tuple, own.collect())) == sorted(map(tuple, fifo.fifo_edges(df).where("account = 'HUB'").collect()))

@@ -5,18 +5,27 @@ O + min(0, running min of I - O). Inflows and attributed outflows tile one line
 stretch of that line between two neighbouring boundaries: windows find all edges of an account in the order of its
 transfers, without joining inflows to outflows.
 
-An account with very many transfers is cut into blocks, of time for the line and of money for the edges. Windows run within
-blocks, and what a block needs from those before it (sums, the least difference, the last inflow and outflow) comes from one
-row a block. So no task holds a hub, unless most of its transfers are of one second.
+With a horizon an outflow also skips what has expired. It maps what was consumed before it to
+max(lo, min(hi, before + paise)) with bounds lo and hi that windows know. Such clamps compose into clamps, so a block of
+transfers is one clamp, blocks are composed in order, and each is replayed from what was consumed before it.
+
+An account with very many transfers is cut into blocks, of time for the line and of money for the edges. Windows and
+clamps run within blocks, and what a block needs from those before it (sums, the least difference, the composed clamp, the
+last inflow and outflow) comes from one row a block. So no task holds a hub, unless most of its transfers are of one second.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from ..sources.store import materialise
+
 
 def events(ledger: DataFrame) -> DataFrame:
     """Each transfer as an inflow (side 0) and an outflow (side 1); a row's outflow comes first, so it never funds itself."""
@@ -33,12 +42,21 @@ def _out() -> Column:
     return F.col("side") == 1
 
 
-def _placed(ledger: DataFrame, few: int) -> DataFrame:
-    """events with the block of time of each, 0 but for heavy accounts, and its width, null but for them."""
-    e = events(ledger)
-    part = max(few, 2 * ledger.count() // HEAVY)
+def _heavy(e: DataFrame, rows: int, few: int) -> DataFrame | None:
+    """(acc, from_s, to_s, width) of the accounts of events `e` to cut, width being the seconds of a block; None if there are none.
+
+    Written once, at most HEAVY rows. rows: how many transfers there are.
+    """
+    part = max(few, 2 * rows // HEAVY)
     per = e.groupBy("acc").agg(F.count(F.lit(1)).alias("n"), F.min("epoch_s").alias("from_s"), F.max("epoch_s").alias("to_s")).where(F.col("n") > part)
-    heavy = per.select("acc", "from_s", F.greatest(F.lit(1), F.ceil((F.col("to_s") - F.col("from_s") + 1) / F.ceil(F.col("n") / part))).alias("width"))
+    found = materialise(per.select("acc", "from_s", "to_s", F.greatest(F.lit(1), F.ceil((F.col("to_s") - F.col("from_s") + 1) / F.ceil(F.col("n") / part))).alias("width")), "heavy")
+    return None if found.isEmpty() else found
+
+
+def _placed(e: DataFrame, heavy: DataFrame | None) -> DataFrame:
+    """Events with their block of time, 0 but for heavy accounts, and its width, null but for them."""
+    if heavy is None:
+        return e.withColumns({"block": F.lit(0), "width": F.lit(None).cast("long"), "to_s": F.lit(None).cast("long")})
     block = F.coalesce(F.floor((F.col("epoch_s") - F.col("from_s")) / F.col("width")), F.lit(0)).cast("int")
     return e.join(F.broadcast(heavy), "acc", "left").withColumn("block", block).drop("from_s")
 
@@ -67,60 +85,92 @@ def _before_blocks(placed: DataFrame) -> DataFrame:
     return least.select("acc", "block", "o0", "o1", "ol", F.sum("b0").over(Window.partitionBy("acc")).alias("came"))
 
 
-def _lined(placed: DataFrame, blocks: DataFrame) -> DataFrame:
-    """placed rows with lo and hi; blocks: what comes before each block of heavy accounts."""
-    known = F.broadcast(blocks.select("acc", "block", "o0", "o1", "ol"))
-    sums = _within(placed).join(known, ["acc", "block"], "left").na.fill(0, ["o0", "o1"])
+def _lined(placed: DataFrame, blocks: DataFrame | None) -> DataFrame:
+    """placed rows with lo and hi; blocks: what comes before each block of heavy accounts, if there are any."""
+    zero, none = F.lit(0).cast("long"), F.lit(None).cast("long")
+    sums = _within(placed)
+    if blocks is None:
+        sums = sums.withColumns({"o0": zero, "o1": zero, "ol": none})
+    else:
+        sums = sums.join(F.broadcast(blocks.select("acc", "block", "o0", "o1", "ol")), ["acc", "block"], "left").na.fill(0, ["o0", "o1"])
     floor = F.least(F.lit(0), F.col("low") + F.col("o0") - F.col("o1"), F.col("ol"))
     lined = sums.withColumn("c0", F.col("c0") + F.col("o0")).withColumn("hi", F.when(_out(), F.col("c1") + F.col("o1") + floor).otherwise(F.col("c0")))
     before = F.coalesce(F.max(F.when(_out(), F.col("hi"))).over(_in_block(-1)), F.col("o1") + F.least(F.lit(0), F.col("ol")))
-    return lined.withColumn("lo", F.when(_out(), before).otherwise(F.col("c0") - F.col("paise"))).withColumnRenamed("c0", "came_in").drop("c1", "low", "o0", "o1", "ol", "block", "width")
+    return lined.withColumn("lo", F.when(_out(), before).otherwise(F.col("c0") - F.col("paise"))).withColumnRenamed("c0", "came_in").drop("c1", "low", "o0", "o1", "ol", "block", "width", "to_s")
+
+
+def _lines(ledger: DataFrame, few: int) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
+    """All events on their account's line, those of heavy accounts alone, and what comes before the blocks of these; None without any."""
+    e = events(ledger)
+    heavy = _heavy(e, ledger.count(), few)
+    placed = _placed(e, heavy)
+    if heavy is None:
+        return _lined(placed, None), None, None
+    hubs = materialise(placed.where("width IS NOT NULL"), "hubs")
+    blocks = materialise(_before_blocks(hubs), "blocks")
+    of_hubs = _lined(hubs, blocks)
+    return _lined(placed.where("width IS NULL"), None).unionByName(of_hubs), of_hubs, blocks
 
 
 def money_line(ledger: DataFrame, few: int = FEW) -> DataFrame:
     """events with lo and hi, the stretch of the account's line that an inflow fills or an outflow consumes, and what came in before."""
-    placed = _placed(ledger, few)
-    return _lined(placed, _before_blocks(placed))
+    return _lines(ledger, few)[0]
 
 
-def fifo_edges(ledger: DataFrame, few: int = FEW) -> DataFrame:
-    """One row for each inflow and outflow that share money: ids, attributed paise, delay."""
-    placed = _placed(ledger, few)
-    blocks = _before_blocks(placed)
-    #: blocks of money: as many as the account has of time
-    steps = F.broadcast(blocks.groupBy("acc").agg(F.ceil((F.max("came") + 1) / F.count(F.lit(1))).alias("step")))
-    cut = lambda rows: _lined(rows, blocks).where("hi > lo").join(steps, "acc", "left").withColumn("block", F.coalesce(F.floor(F.col("lo") / F.col("step")), F.lit(0)))
-    what = F.struct("row_id", "transaction_id", "cp", "epoch_s", "paise")
-    order, inward = F.struct("lo", "side", "row_id"), F.col("side") == 0
-    # of heavy accounts: the last inflow and outflow before each block, the first boundary after it, and the line's end
-    ends = cut(placed.where("width IS NOT NULL")).groupBy("acc", "block").agg(
-        F.min("lo").alias("first"), F.max_by(what, F.when(inward, order)).alias("li"), F.max_by(what, F.when(_out(), order)).alias("lo_"), F.max(F.when(_out(), F.col("hi"))).alias("top")
-    )
-    around = F.broadcast(ends.select(
-        "acc", "block", F.last("li", ignorenulls=True).over(_earlier()).alias("pi"), F.last("lo_", ignorenulls=True).over(_earlier()).alias("po"),
-        F.lead("first").over(Window.partitionBy("acc").orderBy("block")).alias("after"), F.max("top").over(Window.partitionBy("acc")).alias("whole"),
-    ))
+def _steps(blocks: DataFrame | None) -> DataFrame | None:
+    """(acc, step): the money of a block of heavy accounts, which have as many of them as blocks of time."""
+    return None if blocks is None else F.broadcast(blocks.groupBy("acc").agg(F.ceil((F.max("came") + 1) / F.count(F.lit(1))).alias("step")))
+
+
+#: A row that ends an outflow's stretch; it comes before what begins at the same place.
+_END = -1
+
+
+def _met(lines: DataFrame, of_hubs: DataFrame | None, steps: DataFrame | None) -> DataFrame:
+    """(acc, i, o, attributed_paise) for each inflow and outflow whose stretches of the line overlap.
+
+    Rows: side 0 for inflows, 1 for outflows, _END where an outflow's stretch ends and the next does not begin at once.
+    """
+    what = F.struct(F.when(F.col("side") != _END, F.col("row_id")).alias("row_id"), "transaction_id", "cp", "epoch_s", "paise")
+    order, inward, outward = F.struct("lo", "side", "row_id"), F.col("side") == 0, F.col("side") != 0
+    block = F.lit(0) if steps is None else F.coalesce(F.floor(F.col("lo") / F.col("step")), F.lit(0))
+    cut = lambda rows: (rows if steps is None else rows.join(steps, "acc", "left")).where("hi > lo").withColumn("block", block)
     at = Window.partitionBy("acc", "block").orderBy("lo", "side", "row_id")
     until = at.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    local = cut(placed).select(
+    joined = cut(lines).select(
         "acc",
         "block",
         "lo",
         F.last(F.when(inward, what), ignorenulls=True).over(until).alias("i"),
-        F.last(F.when(_out(), what), ignorenulls=True).over(until).alias("o"),
+        F.last(F.when(outward, what), ignorenulls=True).over(until).alias("o"),
         F.lead("lo").over(at).alias("next"),
         F.max(F.when(_out(), F.col("hi"))).over(Window.partitionBy("acc", "block")).alias("end"),
     )
-    joined = local.join(around, ["acc", "block"], "left")
-    end = F.coalesce("whole", "end")
-    amount = F.least(F.coalesce("next", "after", end), end) - F.col("lo")
-    found = joined.select("acc", F.coalesce("i", "pi").alias("i"), F.coalesce("o", "po").alias("o"), amount.alias("attributed_paise")).where("attributed_paise > 0 AND i IS NOT NULL AND o IS NOT NULL")
-    return found.select(
+    end, then = F.col("end"), F.coalesce("next", "end")
+    if of_hubs is not None:
+        # the last inflow and outflow before each block, the first boundary after it, and the line's end
+        ends = cut(of_hubs).groupBy("acc", "block").agg(
+            F.min("lo").alias("first"), F.max_by(what, F.when(inward, order)).alias("li"), F.max_by(what, F.when(outward, order)).alias("lo_"), F.max(F.when(_out(), F.col("hi"))).alias("top")
+        )
+        around = ends.select(
+            "acc", "block", F.last("li", ignorenulls=True).over(_earlier()).alias("pi"), F.last("lo_", ignorenulls=True).over(_earlier()).alias("po"),
+            F.lead("first").over(Window.partitionBy("acc").orderBy("block")).alias("after"), F.max("top").over(Window.partitionBy("acc")).alias("whole"),
+        )
+        joined = joined.join(F.broadcast(around), ["acc", "block"], "left").withColumns({"i": F.coalesce("i", "pi"), "o": F.coalesce("o", "po")})
+        end = F.coalesce("whole", "end")
+        then = F.coalesce("next", "after", end)
+    found = joined.select("acc", "i", "o", (F.least(then, end) - F.col("lo")).alias("attributed_paise"))
+    return found.where("attributed_paise > 0 AND i IS NOT NULL AND o.row_id IS NOT NULL")
+
+
+def fifo_edges(ledger: DataFrame, few: int = FEW) -> DataFrame:
+    """One row for each inflow and outflow that share money: ids, attributed paise, delay, and the outflow's second."""
+    lines, of_hubs, blocks = _lines(ledger, few)
+    return _met(lines, of_hubs, _steps(blocks)).select(
         F.col("acc").alias("account"),
         F.col("i.row_id").alias("source_row_id"), F.col("i.transaction_id").alias("source_transaction_id"), F.col("i.cp").alias("source_account"), F.col("i.paise").alias("source_paise"),
         F.col("o.row_id").alias("destination_row_id"), F.col("o.transaction_id").alias("destination_transaction_id"), F.col("o.cp").alias("destination_account"), F.col("o.paise").alias("destination_paise"),
-        "attributed_paise",
-        (F.col("o.epoch_s") - F.col("i.epoch_s")).alias("delay_s"),
+        F.col("o.epoch_s").alias("destination_epoch_s"), "attributed_paise", (F.col("o.epoch_s") - F.col("i.epoch_s")).alias("delay_s"),
     )
 
 
@@ -161,43 +211,135 @@ def transaction_fifo(ledger: DataFrame, transaction_id: str, row_id: int | None
     return joined.select("wanted", "source_row_id", "attributed_paise", "delay_s", F.greatest(F.lit(0), F.col("amount") - F.coalesce(F.sum("attributed_paise").over(Window.partitionBy("wanted")), F.lit(0))).alias("remaining_paise")).withColumnRenamed("wanted", "destination_row_id")
 
 
-_HORIZON = "account string, source_row_id long, destination_row_id long, attributed_paise long, delay_s long, unallocated_paise long, reason string"
+#: An inflow's row when it expires; it comes before the transfers of the same second.
+_EXPIRY = -1
 
 
-def horizon_records(ledger: DataFrame, horizon_s: int) -> DataFrame:
-    """Edges under a horizon, and rows without a source for outflows left uncovered.
+def _bounds(placed: DataFrame) -> DataFrame:
+    """placed rows with the sums and numbers of the inflows before them (have, n_in), and of the expired ones (gone, n_gone), within their block."""
+    side = F.col("side")
+    until = Window.partitionBy("acc", "block").orderBy("epoch_s", (side != _EXPIRY), "row_id", side.desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    run = lambda kind, x: F.sum(F.when(side == kind, x).otherwise(0)).over(until)
+    return placed.withColumns({"have": run(0, F.col("paise")), "n_in": run(0, F.lit(1)), "gone": run(_EXPIRY, F.col("paise")), "n_gone": run(_EXPIRY, F.lit(1))})
 
-    With a horizon, consumption skips what has expired, a running clamp that windows can't express; so one fold runs
-    over each account's transfers in order.
-    """
 
-    def fold(frames: pd.DataFrame) -> pd.DataFrame:
-        f = frames.sort_values(["epoch_s", "row_id", "side"], ascending=[True, True, False])
-        ins, outs = f[f["side"] == 0], f[f["side"] == 1]
-        ends = np.cumsum(ins["paise"].to_numpy(dtype=np.int64))
-        times, rows = ins["epoch_s"].to_numpy(), ins["row_id"].to_numpy()
-        n_in = (f["side"] == 0).cumsum()[f["side"] == 1].to_numpy()
-        out, done = [], 0
-        for k, s, row, paise in zip(n_in, outs["epoch_s"].to_numpy(), outs["row_id"].to_numpy(), outs["paise"].to_numpy()):
-            stale = int(np.searchsorted(times[:k], s - horizon_s, side="left"))
-            have, expired = (int(ends[k - 1]) if k else 0), (int(ends[stale - 1]) if stale else 0)
-            begin = max(done, expired)
-            done = max(done, min(begin + int(paise), have))
-            at = begin
-            for i in range(int(np.searchsorted(ends[:k], begin, side="right")), k):
-                if at >= done:
-                    break
-                take = min(done, int(ends[i])) - at
-                if take > 0:
-                    out.append((int(rows[i]), int(row), take, int(s - times[i]), None, None))
-                    at += take
-            left = int(paise) - (at - begin)
-            if left > 0:
-                why = "NO_PRIOR_INFLOW" if k == 0 else "HORIZON_EXCEEDED" if stale == k else "INFLOW_DEPLETED"
-                out.append((None, int(row), None, None, left, why))
-        kinds = {"source_row_id": "Int64", "destination_row_id": "int64", "attributed_paise": "Int64", "delay_s": "Int64", "unallocated_paise": "Int64", "reason": "object"}
-        made = pd.DataFrame(out, columns=list(kinds)).astype(kinds)
-        made.insert(0, "account", f["acc"].iloc[0])
-        return made
-
-    return events(ledger).select("acc", "row_id", "epoch_s", "paise", "side").groupBy("acc").applyInPandas(fold, _HORIZON)
+Clamps = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def composed(clamps: Clamps, group: np.ndarray) -> Clamps:
+    """For each row the composition of the clamps x -> min(max(x + add, low), high) of its group up to it; rows of a group lie together.
+
+    A parallel prefix: each round composes with what ends one, two, four, ... rows before.
+    """
+    add, low, high = clamps
+    step = 1
+    while step < len(add):
+        with_ = np.flatnonzero(group[step:] == group[:-step]) + step
+        if not len(with_):
+            break
+        before = with_ - step
+        first = (add[before], low[before], high[before])
+        a, b, c = add[with_], low[with_], high[with_]
+        add, low, high = add.copy(), low.copy(), high.copy()
+        add[with_] = first[0] + a
+        low[with_], high[with_] = np.clip(first[1] + a, b, c), np.clip(first[2] + a, b, c)
+        step *= 2
+    return add, low, high
+
+
+def _as_clamp(frame: pd.DataFrame) -> pd.DataFrame:
+    """One row for a block's outflows: their clamps composed."""
+    f = frame.sort_values(["epoch_s", "row_id"])
+    columns = tuple(f[c].to_numpy(dtype=np.int64) for c in ("paise", "low", "high"))
+    add, low, high = (x[-1] for x in composed(columns, np.zeros(len(f), dtype=np.int64)))
+    return pd.DataFrame({"acc": [f["acc"].iloc[0]], "block": [f["block"].iloc[0]], "add": [add], "low": [low], "high": [high]})
+
+
+def _done_before(frame: pd.DataFrame) -> pd.DataFrame:
+    """What an account has consumed before each of its blocks."""
+    f = frame.sort_values("block")
+    add, low, high = composed(tuple(f[c].to_numpy(dtype=np.int64) for c in ("add", "low", "high")), np.zeros(len(f), dtype=np.int64))
+    done = np.clip(add, low, high)
+    return pd.DataFrame({"acc": f["acc"], "block": f["block"], "done0": np.concatenate([[0], done[:-1]])})
+
+
+def _replayed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Outflows, sorted by account, block and time, with lo and hi, the stretch of the line that each consumes.
+
+    Only the last account, block and consumed sum are carried from batch to batch.
+    """
+    last, carried = None, 0
+    for b in batches:
+        if not len(b):
+            continue
+        get = lambda c, b=b: b.column(b.schema.get_field_index(c))
+        acc, block = get("acc").dictionary_encode(), get("block").to_numpy()
+        code = acc.indices.to_numpy()
+        fresh = np.concatenate([[True], (code[1:] != code[:-1]) | (block[1:] != block[:-1])])
+        group = np.cumsum(fresh)
+        start = get("done0").to_numpy().copy()
+        key = lambda i: (acc.dictionary[int(code[i])].as_py(), int(block[i]))  # noqa: B023, E731
+        if key(0) == last:
+            start[group == 1] = carried
+        add, low, high = composed(tuple(get(c).to_numpy() for c in ("paise", "low", "high")), group)
+        hi = np.clip(start + add, low, high)
+        before = np.where(fresh, start, np.concatenate([[0], hi[:-1]]))
+        last, carried = key(-1), int(hi[-1])
+        names = [n for n in b.schema.names if n not in ("low", "high", "done0")]
+        yield pa.RecordBatch.from_arrays([get(n) for n in names] + [pa.array(np.maximum(before, get("gone").to_numpy())), pa.array(hi)], names=[*names, "lo", "hi"])
+
+
+def _consumed(bounds: DataFrame, hubs: bool) -> DataFrame:
+    """The outflows of rows with bounds, with lo and hi."""
+    outs = bounds.where(_out()).withColumns({"high": F.col("have"), "low": F.least(F.col("gone") + F.col("paise"), F.col("have"))})
+    if hubs:
+        # one clamp a block, and these in order: at most 2 * HEAVY rows
+        each = outs.where("width IS NOT NULL").select("acc", "block", "epoch_s", "row_id", "paise", "low", "high")
+        clamps = materialise(each.groupBy("acc", "block").applyInPandas(_as_clamp, "acc string, block int, add long, low long, high long"), "clamps")
+        before = clamps.groupBy("acc").applyInPandas(_done_before, "acc string, block int, done0 long")
+        outs = outs.join(F.broadcast(before), ["acc", "block"], "left").na.fill(0, ["done0"])
+    else:
+        outs = outs.withColumn("done0", F.lit(0).cast("long"))
+    sorted_ = outs.drop("have", "width", "to_s").repartition("acc", "block").sortWithinPartitions("acc", "block", "epoch_s", "row_id")
+    schema = ", ".join(f"{c} {t}" for c, t in sorted_.dtypes if c not in ("low", "high", "done0")) + ", lo long, hi long"
+    return sorted_.mapInArrow(_replayed, schema)
+
+
+def horizon_lines(ledger: DataFrame, horizon_s: int, few: int = FEW) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
+    """Inflows and outflows with lo and hi under a horizon, those of heavy accounts, and (acc, step), the money of their blocks."""
+    e = events(ledger)
+    heavy = _heavy(e, ledger.count(), few)
+    expiry = e.where("side = 0").withColumns({"epoch_s": F.col("epoch_s") + horizon_s + 1, "side": F.lit(_EXPIRY)})
+    placed = _placed(e.unionByName(expiry), heavy).where("side >= 0 OR to_s IS NULL OR epoch_s <= to_s")
+    sums, steps = ("have", "n_in", "gone", "n_gone"), None
+    bounds = _bounds(placed)
+    if heavy is not None:
+        bounds = materialise(bounds, "bounds")
+        ends = bounds.where("width IS NOT NULL").groupBy("acc", "block").agg(*[F.max(c).alias(c) for c in sums])
+        offsets = materialise(ends.select("acc", "block", *[F.coalesce(F.sum(c).over(_earlier()), F.lit(0)).alias(f"o_{c}") for c in sums], F.sum("have").over(Window.partitionBy("acc")).alias("came")), "offsets")
+        bounds = bounds.join(F.broadcast(offsets.drop("came")), ["acc", "block"], "left").na.fill(0, [f"o_{c}" for c in sums])
+        bounds = bounds.withColumns({c: F.col(c) + F.col(f"o_{c}") for c in sums}).drop(*[f"o_{c}" for c in sums])
+        steps = _steps(offsets)
+    outs = materialise(_consumed(bounds, heavy is not None), "consumed")
+    keep = ["acc", "row_id", "transaction_id", "cp", "epoch_s", "paise", "side", "n_in", "n_gone", "lo", "hi"]
+    ins = bounds.where("side = 0").withColumns({"lo": F.col("have") - F.col("paise"), "hi": F.col("have")})
+    lines = ins.select(*keep).unionByName(outs.select(*keep))
+    return lines, lines.join(F.broadcast(heavy.select("acc")), "acc", "left_semi") if heavy is not None else None, steps
+
+
+def horizon_records(ledger: DataFrame, horizon_s: int, few: int = FEW) -> DataFrame:
+    """Edges under a horizon, and rows without a source for outflows left uncovered, with the reason.
+
+    An inflow is gone for outflows more than horizon_s seconds later. No task holds an account: see the module's head.
+    """
+    lines, of_hubs, steps = horizon_lines(ledger, horizon_s, few)
+    with_ends = lambda rows: rows.unionByName(rows.where("side = 1 AND hi > lo").withColumns({"side": F.lit(_END), "lo": F.col("hi"), "hi": F.col("hi") + 1}))
+    met = _met(with_ends(lines), None if of_hubs is None else with_ends(of_hubs), steps)
+    none = F.lit(None).cast("long")
+    edges = met.select(
+        F.col("acc").alias("account"), F.col("i.row_id").alias("source_row_id"), F.col("o.row_id").alias("destination_row_id"), "attributed_paise", (F.col("o.epoch_s") - F.col("i.epoch_s")).alias("delay_s"), none.alias("unallocated_paise"), F.lit(None).cast("string").alias("reason"),
+    )
+    left = F.col("paise") - (F.col("hi") - F.col("lo"))
+    why = F.when(F.col("n_in") == 0, "NO_PRIOR_INFLOW").when(F.col("n_gone") == F.col("n_in"), "HORIZON_EXCEEDED").otherwise("INFLOW_DEPLETED")
+    bare = lines.where("side = 1").where(left > 0).select(F.col("acc").alias("account"), none.alias("source_row_id"), F.col("row_id").alias("destination_row_id"), none.alias("attributed_paise"), none.alias("delay_s"), left.alias("unallocated_paise"), why.alias("reason"))
+    return edges.unionByName(bare)

@@ -175,7 +175,7 @@ def timeline(ledger: DataFrame, accounts: DataFrame, pairs: DataFrame, edges: Da
         alone = F.col("layer3_candidate") & ~F.col("layer1_candidate") & ~F.col("layer2_candidate")
         others = [
             kind(pairs.where(F.col("acc") == account), "VELOCITY", event_id=text("VEL", "in_row", "out_row"), epoch_s=F.col("out_s"), row_id=F.col("out_row"), direction=F.lit("OUTGOING"), amount_paise=F.least("in_paise", "out_paise")),
-            kind(edges.where(F.col("account") == account).join(ledger.select(F.col("row_id").alias("destination_row_id"), "epoch_s"), "destination_row_id"), "ATTRIBUTION", event_id=text("ATTR", "source_row_id", "destination_row_id"), epoch_s=F.col("epoch_s"), row_id=F.col("destination_row_id"), direction=F.lit("OUTGOING"), amount_paise=F.col("attributed_paise"), counterparty=F.col("destination_account")),
+            kind(edges.where(F.col("account") == account), "ATTRIBUTION", event_id=text("ATTR", "source_row_id", "destination_row_id"), epoch_s=F.col("destination_epoch_s"), row_id=F.col("destination_row_id"), direction=F.lit("OUTGOING"), amount_paise=F.col("attributed_paise"), counterparty=F.col("destination_account")),
             kind(one, "RISK_ROLE", event_id=text("RISK", "account_number"), epoch_s=seconds("first_seen_timestamp")),
             kind(one.where(alone), "TERMINAL", event_id=text("TERM", "account_number"), epoch_s=seconds("last_seen_timestamp")),
         ]
