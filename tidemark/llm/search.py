@@ -216,7 +216,7 @@ def search(docs: DataFrame, items: DataFrame, k: int = 10) -> DataFrame:
     number of documents does.
     """
     spark, out = docs.sparkSession, None
-    for group in query_groups(items):
+    for group in query_groups(items, TERMS):
         vocabulary = {t: i for i, t in enumerate(sorted({t for _, own in group for t in own}))}
         counts = written(counted(docs, vocabulary), "term-counts")
         documents, length = counts.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
