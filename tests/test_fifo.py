@@ -158,7 +158,7 @@ def test_a_horizon_in_blocks_is_that_of_a_queue(spark, horizon, few):
 def test_no_account_is_one_group_under_a_horizon(spark):
     """A hub's blocks become clamps of their own, and no clamp holds most of its outflows."""
     rows, df, _ = hub_ledger(spark, 3)
-    lines, of_hubs, steps = fifo.horizon_lines(df, 60, 7)
+    lines, of_hubs, steps = fifo.horizon_lines(fifo.events(df), len(rows), 60, 7)
     assert of_hubs is not None and steps.count() == of_hubs.select("acc").distinct().count() > 0
     heavy = fifo._heavy(fifo.events(df), len(rows), 7)
     blocks = fifo._placed(fifo.events(df), heavy).where("width IS NOT NULL").groupBy("acc", "block").count()

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.ledger import START, entity_view
+from .quantiles import exact_quantiles
 
 DAY, HOUR = 86_400, 3_600
 
@@ -18,15 +19,20 @@ def _when(cond: Column) -> Column:
     return F.coalesce(F.sum(F.when(cond, 1).otherwise(0)), F.lit(0)).cast("long")
 
 
+def _hours() -> Column:
+    """The hour of the day as one bit of 24."""
+    return F.expr(f"shiftleft(1, cast(floor(epoch_s / {HOUR}) % 24 AS int))")
+
+
 def by_value(e: DataFrame, **kinds: Column) -> DataFrame:
-    """(acc, kind, n, is_in, is_out): a row for each account, kind and different value, how many transfers have it, and on which sides.
+    """(acc, kind, n, is_in, is_out, hours): a row for each account, kind and different value, how many transfers have it, on which sides, and in which hours of the day.
 
     An account's values are counted by (account, kind, value) before they are counted by account, with partial sums in both
     steps, so no task and no row holds all that a hub has. Nulls are no value.
     """
     each = F.array(*[F.struct(F.lit(k).alias("kind"), x.cast("string").alias("value")) for k, x in kinds.items()])
-    rows = e.select("acc", "is_in", "is_out", F.inline(each)).where(F.col("value").isNotNull())
-    return rows.groupBy("acc", "kind", "value").agg(F.count(F.lit(1)).alias("n"), F.max("is_in").alias("is_in"), F.max("is_out").alias("is_out")).drop("value")
+    rows = e.select("acc", "is_in", "is_out", _hours().alias("hours"), F.inline(each)).where(F.col("value").isNotNull())
+    return rows.groupBy("acc", "kind", "value").agg(F.count(F.lit(1)).alias("n"), F.max("is_in").alias("is_in"), F.max("is_out").alias("is_out"), F.bit_or("hours").alias("hours")).drop("value")
 
 
 def _values(kind: str, side: str | None = None) -> Column:
@@ -78,15 +84,22 @@ MODES = {"upi": "UPI", "imps": "IMPS", "neft": "NEFT", "rtgs": "RTGS"}
 def _stats(side: str, flag: Column) -> list[Column]:
     """Statistics of one side's amounts, from whole paise; null where the side is empty."""
     x = F.when(flag, F.col("amount_paise"))
-    shaped = {"min": F.min(x), "max": F.max(x), "mean": F.avg(x), "median": F.median(x), "stddev": F.stddev_pop(x)}
+    shaped = {"min": F.min(x), "max": F.max(x), "mean": F.avg(x), "stddev": F.stddev_pop(x)}
     return [(F.round(v) / F.lit(100)).alias(f"{side}_amount_{k}") for k, v in shaped.items()]
 
 
+def _medians(e: DataFrame) -> DataFrame:
+    """(acc, incoming_amount_median, outgoing_amount_median), found by ranks: a hub's amounts are in no one's buffer."""
+    per = exact_quantiles(e, ["acc", "is_in"], "amount_paise", {"median": 0.5})
+    of = lambda side: F.round(F.max(F.when(F.col("is_in") == side, F.col("median")))) / F.lit(100)
+    return per.groupBy("acc").agg(of(1).alias("incoming_amount_median"), of(0).alias("outgoing_amount_median"))
+
+
 def account_features(ledger: DataFrame, start: str = START) -> DataFrame:
     """The feature store: one row by account.
 
     Sums come from one aggregation of the entity view; counts of different values, and the busiest address, from a second
-    one that counts by value first.
+    one that counts by value first; medians from amounts counted by value.
     """
     e = entity_view(ledger)
     inward, outward = F.col("is_in") == 1, F.col("is_out") == 1
@@ -108,15 +121,15 @@ def account_features(ledger: DataFrame, start: str = START) -> DataFrame:
         *[_when(F.col("payment_mode") == v).alias(f"{k}_txn_count") for k, v in MODES.items()],
         *_stats("incoming", inward),
         *_stats("outgoing", outward),
+        F.bit_count(F.bit_or(_hours())).cast("long").alias("unique_active_hours"),
     )
-    values = by_value(e, cp=F.col("cp"), day=F.floor(F.col("epoch_s") / DAY), hour=F.floor(F.col("epoch_s") / HOUR), clock=hour, device=F.col("device_type"), ip=F.col("ip_address"), narration=F.col("narration"))
+    values = by_value(e, cp=F.col("cp"), day=F.floor(F.col("epoch_s") / DAY), device=F.col("device_type"), ip=F.col("ip_address"), narration=F.col("narration"))
     different = values.groupBy("acc").agg(
         _values("cp", "is_in").alias("fan_in"),
         _values("cp", "is_out").alias("fan_out"),
         _values("cp").alias("unique_counterparties"),
         _values("day").alias("active_day_count"),
-        _values("hour").alias("active_hour_count"),
-        _values("clock").alias("unique_active_hours"),
+        F.coalesce(F.sum(F.when(F.col("kind") == "day", F.bit_count("hours"))), F.lit(0)).cast("long").alias("active_hour_count"),
         _values("device").alias("unique_device_count"),
         _values("ip").alias("unique_ip_count"),
         _values("narration").alias("unique_narration_count"),
@@ -125,7 +138,7 @@ def account_features(ledger: DataFrame, start: str = START) -> DataFrame:
     n = F.col("n")
     ratio = lambda a, b: F.when(b > 0, F.round(a / b, 4))
     share = lambda c: F.round(F.col(c) / n, 4)
-    return agg.join(different, "acc").select(
+    return agg.join(different, "acc").join(_medians(e), "acc", "left").select(
         F.col("acc").alias("account_number"),
         n.alias("transaction_count"),
         "incoming_txn_count", "outgoing_txn_count", "incoming_volume", "outgoing_volume", "net_flow_delta",

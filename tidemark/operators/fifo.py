@@ -305,10 +305,9 @@ def _consumed(bounds: DataFrame, hubs: bool) -> DataFrame:
     return sorted_.mapInArrow(_replayed, schema)
 
 
-def horizon_lines(ledger: DataFrame, horizon_s: int, few: int = FEW) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
-    """Inflows and outflows with lo and hi under a horizon, those of heavy accounts, and (acc, step), the money of their blocks."""
-    e = events(ledger)
-    heavy = _heavy(e, ledger.count(), few)
+def horizon_lines(e: DataFrame, rows: int, horizon_s: int, few: int = FEW) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
+    """Inflows and outflows of events `e` with lo and hi under a horizon, those of heavy accounts, and (acc, step), the money of their blocks."""
+    heavy = _heavy(e, rows, few)
     expiry = e.where("side = 0").withColumns({"epoch_s": F.col("epoch_s") + horizon_s + 1, "side": F.lit(_EXPIRY)})
     placed = _placed(e.unionByName(expiry), heavy).where("side >= 0 OR to_s IS NULL OR epoch_s <= to_s")
     sums, steps = ("have", "n_in", "gone", "n_gone"), None
@@ -327,14 +326,24 @@ def horizon_lines(ledger: DataFrame, horizon_s: int, few: int = FEW) -> tuple[Da
     return lines, lines.join(F.broadcast(heavy.select("acc")), "acc", "left_semi") if heavy is not None else None, steps
 
 
+def _with_ends(lines: DataFrame) -> DataFrame:
+    return lines.unionByName(lines.where("side = 1 AND hi > lo").withColumns({"side": F.lit(_END), "lo": F.col("hi"), "hi": F.col("hi") + 1}))
+
+
+def attributed(e: DataFrame, horizon_s: int | None) -> DataFrame:
+    """(acc, i, o, attributed_paise) for the inflows and outflows of events `e` that share money; for a few accounts with few events, which are not cut."""
+    if horizon_s is None:
+        return _met(_lined(_placed(e, None), None), None, None)
+    return _met(_with_ends(horizon_lines(e, 0, horizon_s, 1 << 62)[0]), None, None)
+
+
 def horizon_records(ledger: DataFrame, horizon_s: int, few: int = FEW) -> DataFrame:
     """Edges under a horizon, and rows without a source for outflows left uncovered, with the reason.
 
     An inflow is gone for outflows more than horizon_s seconds later. No task holds an account: see the module's head.
     """
-    lines, of_hubs, steps = horizon_lines(ledger, horizon_s, few)
-    with_ends = lambda rows: rows.unionByName(rows.where("side = 1 AND hi > lo").withColumns({"side": F.lit(_END), "lo": F.col("hi"), "hi": F.col("hi") + 1}))
-    met = _met(with_ends(lines), None if of_hubs is None else with_ends(of_hubs), steps)
+    lines, of_hubs, steps = horizon_lines(events(ledger), ledger.count(), horizon_s, few)
+    met = _met(_with_ends(lines), None if of_hubs is None else _with_ends(of_hubs), steps)
     none = F.lit(None).cast("long")
     edges = met.select(
         F.col("acc").alias("account"), F.col("i.row_id").alias("source_row_id"), F.col("o.row_id").alias("destination_row_id"), "attributed_paise", (F.col("o.epoch_s") - F.col("i.epoch_s")).alias("delay_s"), none.alias("unallocated_paise"), F.lit(None).cast("string").alias("reason"),

@@ -6,12 +6,14 @@ branch and edge caps bound frontiers and results, the frontier is broadcast.
 
 from __future__ import annotations
 
-import pandas as pd
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import Trace
 from ..sources.store import materialise
+from . import fifo
 
 
 def edge_id() -> Column:
@@ -52,30 +54,66 @@ def neighbourhood(ledger: DataFrame, account: str, hops: int = 1, max_nodes: int
     return nodes, edges
 
 
-def structural_paths(ledger: DataFrame, account: str, hops: int = 4, max_nodes: int = 1000, keep: int = 100) -> tuple[DataFrame, DataFrame]:
-    """nodes(account, hop) reached over outflows, and the `keep` longest simple paths (path, an array of accounts, and truncated).
+@dataclass(frozen=True)
+class Structure:
+    """nodes(account, hop), edges(edge_id, row_id, source, target, transaction_id, amount_paise, epoch_s, hop), paths(path, rank), and whether a cap cut something."""
+
+    nodes: DataFrame
+    edges: DataFrame
+    paths: DataFrame
+    truncated: bool
+
+
+def structural_trace(ledger: DataFrame, account: str, hops: int = 4, max_nodes: int = 1000, keep: int = 100) -> Structure:
+    """The network that money could flow through: simple paths of outflows from an account, of at most `hops` steps.
 
-    A hop follows the largest 3*max_nodes outflows of its frontier, by amount and row, and every path that they lengthen.
-    `truncated` is set in all rows if that cap left outflows out or more than max_nodes accounts were reached.
+    A hop offers the 3 * max_nodes largest outflows of the accounts where paths end, by amount and row. Candidates (a path and
+    an outflow to an account not on it) come in the order of their paths, then of the outflows; the first max_nodes accounts
+    in that order are the nodes, and nothing after the candidate that fills them counts. Parallel transfers are edges of
+    their own; a path is its accounts. The `keep` longest paths are returned, ranked by length and order of discovery: those
+    of full length, those whose last account pays nothing on, and, where the trace is cut, those that could not go on.
+
+    Paths are tables, joined with a broadcast list of at most 3 * max_nodes outflows, and written after each hop.
     """
-    spark = ledger.sparkSession
-    paths = spark.createDataFrame([([account],)], "path array<string>")
-    every, truncated, most = paths, False, 3 * max_nodes
-    out = ledger.select("sender_account", "receiver_account", "amount_paise", "row_id").where("sender_account IS NOT NULL AND receiver_account IS NOT NULL")
+    spark, most = ledger.sparkSession, 3 * max_nodes
+    out = ledger.select("row_id", "transaction_id", "sender_account", "receiver_account", "amount_paise", "epoch_s").where("sender_account IS NOT NULL AND receiver_account IS NOT NULL")
+    paths = spark.createDataFrame([([account], [])], "path array<string>, place array<int>")
+    nodes, edges, found, truncated = {account: 0}, None, [], False
     for hop in range(1, hops + 1):
         front = paths.select(F.element_at("path", -1).alias("sender_account")).distinct()
-        steps = _kept(out.join(F.broadcast(front), "sender_account", "left_semi").orderBy(F.desc("amount_paise"), "row_id").limit(most + 1))
-        truncated |= steps.count() > most
-        steps = steps.orderBy(F.desc("amount_paise"), "row_id").limit(most).select("sender_account", "receiver_account").distinct()
-        longer = paths.join(F.broadcast(steps), F.col("sender_account") == F.element_at("path", -1)).where(~F.array_contains("path", F.col("receiver_account")))
-        paths = longer.select(F.concat("path", F.array("receiver_account")).alias("path"))
-        if hop < hops:
-            paths = materialise(paths, "paths")
-        every = every.unionByName(paths)
-    reached = every.groupBy(F.element_at("path", -1).alias("account")).agg((F.min(F.size("path")) - 1).alias("hop"))
-    nodes = _kept(reached.orderBy("hop", "account").limit(max_nodes + 1))
-    truncated |= nodes.count() > max_nodes
-    return nodes.orderBy("hop", "account").limit(max_nodes), every.orderBy(F.desc(F.size("path")), "path").limit(keep).withColumn("truncated", F.lit(truncated))
+        largest = out.join(F.broadcast(front), "sender_account", "left_semi").orderBy(F.desc("amount_paise"), "row_id").limit(most)
+        steps = _kept(largest.withColumn("n", F.row_number().over(Window.orderBy(F.desc("amount_paise"), "row_id"))))  # at most 3 * max_nodes rows
+        paying = F.broadcast(steps.select("sender_account").distinct())
+        ended = F.element_at("path", -1) == F.col("sender_account")
+        found.append(paths.join(paying, ended, "left_anti").where(F.size("path") > 1).select("path", "place"))
+        candidates = paths.join(F.broadcast(steps), ended).where(~F.array_contains("path", F.col("receiver_account")))
+        candidates = materialise(candidates.withColumn("order", F.concat("place", F.array("n"))), "candidates")
+        known = F.broadcast(spark.createDataFrame([(n,) for n in nodes], "receiver_account string"))
+        fresh = candidates.join(known, "receiver_account", "left_anti").groupBy("receiver_account").agg(F.min("order").alias("order"))
+        room = max_nodes - len(nodes)
+        named = [(r["receiver_account"], list(r["order"])) for r in fresh.orderBy("order", "receiver_account").limit(max(0, room)).collect()]
+        nodes |= {n: hop for n, _ in named}
+        kept = candidates
+        if len(nodes) >= max_nodes:
+            last = F.lit(named[-1][1]).cast("array<int>") if named else F.array().cast("array<int>")
+            kept = candidates.where(F.col("order") <= last)
+            truncated = not candidates.where(F.col("order") > last).isEmpty()
+        made = kept.select("row_id", "transaction_id", "sender_account", "receiver_account", "amount_paise", "epoch_s").distinct().withColumn("hop", F.lit(hop))
+        edges = made if edges is None else edges.unionByName(made.join(F.broadcast(edges.select("row_id")), "row_id", "left_anti"))
+        longer = kept.groupBy(F.concat("path", F.array("receiver_account")).alias("path")).agg(F.min("order").alias("place"))
+        if truncated:
+            found += [paths.where(F.size("path") > 1).select("path", "place")] + ([longer] if hop == hops else [])
+            break
+        paths = materialise(longer, "paths")
+        if hop == hops:
+            found.append(paths)
+    listed = found[0]
+    for f in found[1:]:
+        listed = listed.unionByName(f)
+    best = listed.groupBy("path").agg(F.min("place").alias("place")).orderBy(F.desc(F.size("path")), "place").limit(keep)
+    ranked = best.select("path", F.row_number().over(Window.orderBy(F.desc(F.size("path")), "place")).alias("rank"))  # at most `keep` rows
+    shown = edges.select(edge_id().alias("edge_id"), "row_id", F.col("sender_account").alias("source"), F.col("receiver_account").alias("target"), "transaction_id", "amount_paise", "epoch_s", "hop")
+    return Structure(spark.createDataFrame(list(nodes.items()), "account string, hop int"), shown, ranked, truncated)
 
 
 def reachable(ledger: DataFrame, account: str, hops: int = 4) -> DataFrame:
@@ -90,38 +128,37 @@ def reachable(ledger: DataFrame, account: str, hops: int = 4) -> DataFrame:
     return found
 
 
-_POOL = "account string, seq long, source_row_id long, epoch_s long, paise long, path array<string>"
-_TAKE = "account string, source_row_id long, destination_row_id long, destination_account string, attributed_paise long, delay_s long, epoch_s long, source_seq long, position long, path array<string>"
+_POOL = "account string, seq long, row_id long, epoch_s long, paise long"
+_EDGES = "hop int, source_row_id long, destination_row_id long, account string, destination_account string, attributed_paise long, delay_s long, cycle boolean, path array<string>, epoch_s long"
 
 
-def _consume(pool: pd.DataFrame, outs: pd.DataFrame, horizon: int | None) -> list[tuple]:
-    """One account's outflows consume its pool in order; what a row consumes came strictly before it, within the horizon."""
-    entries = pool.sort_values(["epoch_s", "source_row_id", "seq"])
-    left = entries["paise"].tolist()
-    entries = entries.to_dict("records")
-    takes: list[tuple] = []
-    for o in outs.sort_values(["epoch_s", "row_id"]).to_dict("records"):
-        need = int(o["amount_paise"])
-        for i, p in enumerate(entries):
-            if need <= 0:
-                break
-            delay = int(o["epoch_s"] - p["epoch_s"])
-            if not left[i] or (p["epoch_s"], p["source_row_id"]) >= (o["epoch_s"], o["row_id"]) or (horizon is not None and delay > horizon):
-                continue
-            take = min(need, int(left[i]))
-            left[i] -= take
-            need -= take
-            takes.append((p["account"], int(p["source_row_id"]), int(o["row_id"]), o["receiver_account"], take, delay, int(o["epoch_s"]), int(p["seq"]), len(takes), list(p["path"])))
-    return takes
+def _takes(pool: DataFrame, outs: DataFrame, horizon: int | None) -> DataFrame:
+    """(account, seq, destination_row_id, destination_account, attributed_paise, delay_s, epoch_s): what outflows take of the pool's money, first in, first out.
+
+    The pool's entries are inflows on their account's line of money, so takes are where stretches of the line meet. What an
+    outflow takes came strictly before it, by second and row, and within the horizon.
+    """
+    place = lambda seq: F.struct("row_id", seq.alias("seq"))
+    ins = pool.select(place(F.col("seq")).alias("row_id"), F.lit("").alias("transaction_id"), "epoch_s", "paise", F.col("account").alias("acc"), F.lit("").alias("cp"), F.lit(0).alias("side"))
+    paid = outs.select(place(F.lit(-1).cast("long")).alias("row_id"), F.lit("").alias("transaction_id"), "epoch_s", F.col("amount_paise").alias("paise"), F.col("sender_account").alias("acc"), F.col("receiver_account").alias("cp"), F.lit(1).alias("side"))
+    met = fifo.attributed(ins.unionByName(paid), horizon)
+    return met.select(
+        F.col("acc").alias("account"), F.col("i.row_id.seq").alias("seq"), F.col("o.row_id.row_id").alias("destination_row_id"), F.col("o.cp").alias("destination_account"),
+        "attributed_paise", (F.col("o.epoch_s") - F.col("i.epoch_s")).alias("delay_s"), F.col("o.epoch_s").alias("epoch_s"),
+    )
 
 
 def attribution_trace(ledger: DataFrame, root: str, root_row_id: int | None = None, config: Trace = Trace()) -> DataFrame:
     """Edges of money followed from an account's outflows over up to config.hops hops.
 
     Columns: hop, source_row_id (null at the first), destination_row_id, account, destination_account, attributed_paise,
-    delay_s, cycle, truncated. The first `branches` outflows of each account count; a destination already on the branch
-    ends it (cycle). At most `edges` rows; `truncated` is set in all rows if a cap cut something. Pools are bounded by
-    that cap, so the frontier goes through the driver.
+    delay_s, cycle, path (the branch's accounts, the destination last), epoch_s, truncated, truncation_reason. The first
+    `branches` outflows of each account count; a destination already on the branch ends it (cycle). Accounts of a hop come
+    in the order in which money reached them; once there are `edges` edges no further account pays out, and an account
+    under way stops after the outflow that exceeds them if something was cut before. The reason is that of the first cut.
+
+    A hop is one join of the ledger with the accounts of the pool, and windows over the pool's and the outflows' money. The
+    pool and a hop's takes, at most branches + 1 for each of its entries, go through the driver.
     """
     spark = ledger.sparkSession
     rank = F.row_number().over(Window.partitionBy("sender_account").orderBy("epoch_s", "row_id"))
@@ -130,41 +167,50 @@ def attribution_trace(ledger: DataFrame, root: str, root_row_id: int | None = No
     if root_row_id is not None:
         seeds = seeds.where(F.col("row_id") == root_row_id)
     first = seeds.orderBy("epoch_s", "row_id").select(*cols).limit(config.branches + 1).collect()
-    truncated = len(first) > config.branches
+    reason = "ROOT_OUTGOING_BRANCH_LIMIT" if len(first) > config.branches else None
     edges, pool = [], []
     for r in first[: config.branches]:
-        cycle = r["receiver_account"] == root
-        edges.append((1, None, r["row_id"], root, r["receiver_account"], r["amount_paise"], 0, cycle))
-        if not cycle:
-            pool.append((r["receiver_account"], len(pool), r["row_id"], r["epoch_s"], r["amount_paise"], [root, r["receiver_account"]]))
-    horizon = config.horizon
+        edges.append((1, None, r["row_id"], root, r["receiver_account"], r["amount_paise"], 0, False, [root, r["receiver_account"]], r["epoch_s"]))
+        pool.append((r["receiver_account"], len(pool), r["row_id"], r["epoch_s"], r["amount_paise"], (root, r["receiver_account"])))
     for hop in range(2, config.hops + 1):
-        if not pool or len(edges) >= config.edges:
-            truncated |= bool(pool) and len(edges) >= config.edges
+        if not pool:
             break
-        front = spark.createDataFrame(pool, _POOL)
+        front = spark.createDataFrame([p[:5] for p in pool], _POOL)
         names = F.broadcast(front.select(F.col("account").alias("sender_account")).distinct())
-        outs = ledger.select(*cols).join(names, "sender_account", "left_semi").withColumn("n", rank).where(F.col("n") <= config.branches + 1)
-
-        def hop_takes(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-            taken = _consume(left, right[right["n"] <= config.branches], horizon) if len(left) else []
-            return pd.DataFrame(taken, columns=[c.split()[0] for c in _TAKE.split(", ")])
-
-        over = outs.where(F.col("n") > config.branches).limit(1).count() > 0
-        takes = front.groupBy("account").cogroup(outs.groupBy("sender_account")).applyInPandas(hop_takes, _TAKE)
-        order = {a: i for i, a in enumerate(dict.fromkeys(p[0] for p in pool))}
-        room = config.edges - len(edges)
-        first_seq = front.groupBy("account").agg(F.min("seq").alias("first"))
-        got = takes.join(F.broadcast(first_seq), "account").orderBy("first", "position").limit(room + 1).collect()
-        truncated |= over or len(got) > room
-        pool = []
-        for r in sorted(got[:room], key=lambda r: (order[r["account"]], r["position"])):
-            cycle = r["destination_account"] in r["path"]
-            edges.append((hop, r["source_row_id"], r["destination_row_id"], r["account"], r["destination_account"], r["attributed_paise"], r["delay_s"], cycle))
-            if not cycle:
-                pool.append((r["destination_account"], len(pool), r["destination_row_id"], r["epoch_s"], r["attributed_paise"], [*r["path"], r["destination_account"]]))
-    schema = "hop int, source_row_id long, destination_row_id long, account string, destination_account string, attributed_paise long, delay_s long, cycle boolean"
-    return spark.createDataFrame(edges, schema).withColumn("truncated", F.lit(truncated))
+        outs = materialise(ledger.select(*cols).join(names, "sender_account", "left_semi").withColumn("n", rank).where(F.col("n") <= config.branches + 1), "outflows")
+        over = {r[0] for r in outs.where(F.col("n") > config.branches).select("sender_account").collect()}  # at most one row an account of the pool
+        takes: dict[str, list] = {}
+        for r in _takes(front, outs.where(F.col("n") <= config.branches), config.horizon).collect():
+            takes.setdefault(r["account"], []).append(r)
+        entries, pool = pool, []
+        for account in dict.fromkeys(p[0] for p in entries):
+            if len(edges) >= config.edges:
+                reason = reason or f"Exceeded maximum trace edges ({config.edges})"
+                break
+            if account in over:
+                reason = reason or f"ACCOUNT_OUTGOING_BRANCH_LIMIT:{account}"
+            paying = None
+            for t in sorted(takes.get(account, ()), key=lambda t: (t["epoch_s"], t["destination_row_id"], entries[t["seq"]][3], entries[t["seq"]][2], t["seq"])):
+                if paying not in (None, t["destination_row_id"]) and reason and len(edges) >= config.edges:
+                    break
+                paying = t["destination_row_id"]
+                _, _, row, _, _, path = entries[t["seq"]]
+                cycle = t["destination_account"] in path
+                longer = (*path, t["destination_account"])
+                edges.append((hop, row, t["destination_row_id"], account, t["destination_account"], t["attributed_paise"], t["delay_s"], cycle, list(longer), t["epoch_s"]))
+                if not cycle:
+                    pool.append((t["destination_account"], len(pool), t["destination_row_id"], t["epoch_s"], t["attributed_paise"], longer))
+    return spark.createDataFrame(edges, _EDGES).withColumns({"truncated": F.lit(reason is not None), "truncation_reason": F.lit(reason).cast("string")})
+
+
+def cycles(edges: DataFrame) -> DataFrame:
+    """(cycle, hop, paise): the different closed paths of a trace, as accounts joined by arrows, where they close first, and the money that closes them."""
+    return edges.where("cycle").groupBy(F.array_join("path", " -> ").alias("cycle")).agg(F.min("hop").alias("hop"), F.sum("attributed_paise").alias("paise"))
+
+
+def branch_paths(edges: DataFrame) -> DataFrame:
+    """(path, hops, edges, paise): the different branches of a trace up to each of its edges, and the money of their last step."""
+    return edges.groupBy("path").agg(F.max("hop").alias("hops"), F.count(F.lit(1)).alias("edges"), F.sum("attributed_paise").alias("paise"))
 
 
 def terminals(edges: DataFrame) -> DataFrame:
@@ -195,3 +241,43 @@ def node_sums(edges: DataFrame) -> DataFrame:
 def layers(edges: DataFrame, depth: int = 10) -> DataFrame:
     """(account, layer): the least hop at which a trace reaches each account."""
     return edges.where(F.col("hop") < depth).groupBy(F.col("destination_account").alias("account")).agg(F.min("hop").alias("layer"))
+
+
+def with_parents(edges: DataFrame, root: str, depth: int = 10) -> DataFrame:
+    """(account, layer, parent) of what edges(source, target) reach from root in `depth` steps; parent is the least account of the layer before with an edge to it.
+
+    Layers are found by distributed joins, each written.
+    """
+    steps = edges.select(F.col("source").alias("a"), F.col("target").alias("b")).where("a IS NOT NULL AND b IS NOT NULL").distinct()
+    found = edges.sparkSession.createDataFrame([(root, 0, None)], "account string, layer int, parent string")
+    for layer in range(1, depth + 1):
+        front = found.where(F.col("layer") == layer - 1).select(F.col("account").alias("a"))
+        fresh = steps.join(front, "a").groupBy(F.col("b").alias("account")).agg(F.min("a").alias("parent")).join(found, "account", "left_anti")
+        fresh = materialise(fresh.select("account", F.lit(layer).alias("layer"), "parent"), "layer")
+        if fresh.isEmpty():
+            break
+        found = found.unionByName(fresh)
+    return found
+
+
+#: A network with more nodes than DENSE shows siblings from layer 2 on as one node where there are MEMBERS of them or more.
+DENSE, MEMBERS = 50, 4
+
+
+def collapsed(edges: DataFrame, root: str, depth: int = 10, dense: int = DENSE, members: int = MEMBERS) -> tuple[DataFrame, DataFrame]:
+    """nodes(node, layer, parent, size, paise) and edges(source, target, n, paise) of a network in which siblings are merged.
+
+    edges(source, target, amount_paise). Siblings are accounts of layer 2 or more with one parent (see with_parents); merged,
+    they are the node cluster_<parent>, of their least layer, with their number and all that they receive. Edges of merged
+    accounts are the cluster's, those within it are left out. Small networks stay as they are.
+    """
+    placed = materialise(with_parents(edges, root, depth), "placed")
+    many = placed.count() > dense
+    groups = placed.where("layer >= 2").groupBy("parent").agg(F.count(F.lit(1)).alias("siblings")).where(F.lit(many) & (F.col("siblings") >= members)).select("parent", F.concat(F.lit("cluster_"), "parent").alias("cluster"))
+    named = materialise(placed.join(groups, "parent", "left").select("account", F.coalesce("cluster", "account").alias("node"), "layer", "parent"), "named")
+    inside = edges.join(named.select(F.col("account").alias("source"), F.col("node").alias("from")), "source").join(named.select(F.col("account").alias("target"), F.col("node").alias("to")), "target")
+    received = inside.groupBy("target").agg(F.sum("amount_paise").alias("paise"))
+    sums = named.join(received.withColumnRenamed("target", "account"), "account", "left")
+    nodes = sums.groupBy("node").agg(F.min("layer").alias("layer"), F.min("parent").alias("parent"), F.count(F.lit(1)).alias("size"), F.coalesce(F.sum("paise"), F.lit(0)).alias("paise"))
+    merged = inside.where("from <> to").groupBy(F.col("from").alias("source"), F.col("to").alias("target")).agg(F.count(F.lit(1)).alias("n"), F.sum("amount_paise").alias("paise"))
+    return nodes, merged

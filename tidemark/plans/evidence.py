@@ -34,9 +34,10 @@ def short_id(prefix: str, hashed: Column) -> Column:
     return F.concat(F.lit(prefix), F.upper(F.substring(hashed, 1, 8)))
 
 
-def investigation(ledger: DataFrame, accounts: DataFrame, account: str, settings: Settings = Settings()) -> DataFrame:
-    """One row: profile, role, risk, first 100 transfers, traced edges, terminals, warnings and an id made from them."""
-    edges = attribution_trace(ledger, account, config=settings.trace)
+def investigation(ledger: DataFrame, accounts: DataFrame, account: str, settings: Settings = Settings(), edges: DataFrame | None = None) -> DataFrame:
+    """One row: profile, role, risk, first 100 transfers, traced edges, terminals, warnings and an id made from them. edges: the account's trace, if it is known."""
+    if edges is None:
+        edges = attribution_trace(ledger, account, config=settings.trace)
     ends = terminals(edges)
     traced = edges.agg(F.count(F.lit(1)).alias("edge_count"), F.coalesce(F.sum(F.when(F.col("hop") == 1, F.col("attributed_paise"))), F.lit(0)).alias("root_paise"), F.coalesce(F.sum(F.when(F.col("hop") > 1, F.col("attributed_paise"))), F.lit(0)).alias("downstream_paise"), F.coalesce(F.max("truncated"), F.lit(False)).alias("truncated"), F.coalesce(F.max("hop"), F.lit(0)).alias("hops"))
     risky = accounts.select(F.col("account_number").alias("destination_account"), "mule_risk_index", investigation_label().alias("role"))

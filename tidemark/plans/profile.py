@@ -8,6 +8,7 @@ from operator import or_
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.quantiles import exact_quantiles
 from ..sources.ledger import entity_view
 
 COLUMNS = ("row_id", "transaction_id", "sender_account", "receiver_account", "amount_paise", "epoch_s", "payment_mode", "narration", "ip_address", "device_type")
@@ -17,12 +18,18 @@ ADDRESS_PREFIXES = {"ip_185": ("185.",), "ip_194": ("194.",), "private": ("10.",
 
 
 def columns(ledger: DataFrame) -> DataFrame:
-    """One row a column: rows, non-null, distinct, least and greatest as text; each column is counted by value in a scan of its own, then summed."""
-    per = []
-    for c in COLUMNS:
-        values = ledger.groupBy(F.col(c).cast("string").alias("v")).agg(F.count(F.lit(1)).alias("n"))
-        per.append(values.agg(F.lit(c).alias("column"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.coalesce(F.sum(F.when(F.col("v").isNotNull(), F.col("n"))), F.lit(0)).alias("non_null"), F.count("v").alias("distinct"), F.min("v").alias("least"), F.max("v").alias("greatest")))
-    return reduce(DataFrame.unionByName, per)
+    """One row a column: rows, non-null, distinct, least and greatest as text.
+
+    One pass counts and finds the ends of all columns. Different values are counted in a second pass over all columns but
+    row_id, which is a key: rows (column, value) are reduced before they are shuffled, so no column is scanned alone.
+    """
+    text = {c: F.col(c).cast("string") for c in COLUMNS}
+    ends = ledger.agg(F.count(F.lit(1)).alias("rows"), *[f(x).alias(f"{n}_{c}") for c, x in text.items() for n, f in (("n", F.count), ("lo", F.min), ("hi", F.max))])
+    per = ends.select("rows", F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"n_{c}").alias("non_null"), F.col(f"lo_{c}").alias("least"), F.col(f"hi_{c}").alias("greatest")) for c in COLUMNS])))
+    listed = F.array(*[F.struct(F.lit(c).alias("column"), x.alias("v")) for c, x in text.items() if c != "row_id"])
+    different = ledger.select(F.inline(listed)).where("v IS NOT NULL").distinct().groupBy("column").agg(F.count(F.lit(1)).alias("distinct"))
+    of_key = F.when(F.col("column") == "row_id", F.col("non_null")).otherwise(F.coalesce("distinct", F.lit(0)))
+    return per.join(F.broadcast(different), "column", "left").select("column", "rows", "non_null", of_key.alias("distinct"), "least", "greatest")
 
 
 def samples(ledger: DataFrame, n: int = 3) -> DataFrame:
@@ -57,17 +64,22 @@ def casts(raw: DataFrame) -> DataFrame:
 
 
 def amount_percentiles(ledger: DataFrame, by: str | None = None) -> DataFrame:
-    """Exact, interpolated percentiles of amounts, of all rows or by a column."""
-    points = (0.25, 0.5, 0.75, 0.9, 0.95, 0.99)
-    aggs = [F.min("amount_paise").alias("least"), *[F.percentile("amount_paise", p).alias(f"p{round(100 * p)}") for p in points], F.max("amount_paise").alias("greatest")]
-    return ledger.groupBy(by).agg(*aggs) if by else ledger.agg(*aggs)
+    """Exact, interpolated percentiles of amounts, of all rows or by a column, found by ranks of counted values."""
+    points = {f"p{round(100 * p)}": p for p in (0.25, 0.5, 0.75, 0.9, 0.95, 0.99)}
+    aggs = (F.min("amount_paise").alias("least"), F.max("amount_paise").alias("greatest"))
+    if by is None:
+        return ledger.agg(*aggs).join(exact_quantiles(ledger, [], "amount_paise", points), F.lit(True), "left").select("least", *points, "greatest")
+    found = exact_quantiles(ledger, [by], "amount_paise", points).withColumnRenamed(by, "_by")
+    return ledger.groupBy(by).agg(*aggs).join(found, F.col(by).eqNullSafe(F.col("_by")), "left").select(by, "least", *points, "greatest")
 
 
 def degree_percentiles(ledger: DataFrame) -> DataFrame:
     """Percentiles of how many partners accounts have, for senders' receivers and receivers' senders."""
     pairs = ledger.select("sender_account", "receiver_account").distinct()
-    side = lambda acc, name: pairs.groupBy(acc).agg(F.count(F.lit(1)).alias("d")).agg(F.lit(name).alias("side"), F.count(F.lit(1)).alias("accounts"), *[F.percentile("d", p).alias(f"p{round(100 * p)}") for p in (0.5, 0.9, 0.95, 0.99)], F.max("d").alias("greatest"))
-    return side("sender_account", "out").unionByName(side("receiver_account", "in"))
+    degree = lambda acc, name: pairs.groupBy(acc).agg(F.count(F.lit(1)).alias("d")).select(F.lit(name).alias("side"), "d")
+    both = degree("sender_account", "out").unionByName(degree("receiver_account", "in"))
+    found = exact_quantiles(both, ["side"], "d", {f"p{round(100 * p)}": p for p in (0.5, 0.9, 0.95, 0.99)})
+    return both.groupBy("side").agg(F.count(F.lit(1)).alias("accounts"), F.max("d").alias("greatest")).join(found, "side").select("side", "accounts", "p50", "p90", "p95", "p99", "greatest")
 
 
 #: Upper ends in minutes of the buckets of time between an inflow and the next outflow.
@@ -91,10 +103,9 @@ def gap_histogram(ledger: DataFrame) -> DataFrame:
     return nexts.groupBy(bucket.cast("int").alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def inversions(ledger: DataFrame, ranges: int = 64) -> DataFrame:
-    """One row: neighbours in row order whose times go backwards, counted range by range of row_id with one look across each border."""
-    ends = ledger.agg(F.min("row_id").alias("lo"), F.max("row_id").alias("hi"))
-    dealt = ledger.select("row_id", "epoch_s").crossJoin(F.broadcast(ends)).withColumn("part", F.floor((F.col("row_id") - F.col("lo")) * ranges / (F.col("hi") - F.col("lo") + 1)))
+def inversions(ledger: DataFrame, size: int = 1_000_000) -> DataFrame:
+    """One row: neighbours in row order whose times go backwards, counted in ranges of `size` row numbers with one look across each border."""
+    dealt = ledger.select("row_id", "epoch_s", F.floor(F.col("row_id") / size).alias("part"))
     inside = dealt.withColumn("before", F.lag("epoch_s").over(Window.partitionBy("part").orderBy("row_id")))
     per = inside.groupBy("part").agg(F.count_if(F.col("epoch_s") < F.col("before")).alias("n"), F.min_by("epoch_s", "row_id").alias("first"), F.max_by("epoch_s", "row_id").alias("last"))
     across = per.withColumn("before", F.lag("last").over(Window.orderBy("part")))  # as many rows as ranges

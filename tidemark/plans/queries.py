@@ -262,8 +262,28 @@ _WALK = lambda edges, hops: f", walk AS (SELECT '{HUB}' AS account, 0 AS hop UNI
 _q("ego_graph_2hop", lambda s, d: graph.neighbourhood(ledger(s, d), HUB, 2, None)[0], _WALK("und", 2), _BOTH)
 _q("ego_graph_edges", lambda s, d: graph.neighbourhood(ledger(s, d), HUB, 1, None)[1], f" SELECT sender_account||'_'||receiver_account||'_'||transaction_id||'_'||epoch_s||'_'||row_id AS edge_id, row_id, sender_account AS source, receiver_account AS target, amount_paise, epoch_s FROM ledger WHERE sender_account='{HUB}' OR receiver_account='{HUB}'")
 _q("trace_structural_hops", lambda s, d: graph.reachable(ledger(s, d), HUB, 4), _WALK("dir", 4), "dir AS (SELECT DISTINCT sender_account AS a, receiver_account AS b FROM ledger)")
-_q("trace_structural_paths", lambda s, d: graph.structural_paths(ledger(s, d), HUB)[1], None)
+_q("trace_structural_paths", lambda s, d: graph.structural_trace(ledger(s, d), HUB).paths, None)
+_q("trace_structural_edges", lambda s, d: graph.structural_trace(ledger(s, d), HUB).edges, None)
+_q("trace_structural_nodes", lambda s, d: graph.structural_trace(ledger(s, d), HUB).nodes, None)
+
+
+def _network(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ledger(spark, sf_dir).select(F.col("sender_account").alias("source"), F.col("receiver_account").alias("target"), "amount_paise")
+
+
+_MERGED = f""", walk AS (SELECT '{HUB}' AS account, 0 AS hop UNION SELECT b, hop+1 FROM walk JOIN dir ON a=account WHERE hop<10), -- recursive
+lay AS (SELECT account, min(hop) AS layer FROM walk GROUP BY 1),
+par AS (SELECT y.account, min(a) AS parent FROM dir JOIN lay x ON a=x.account JOIN lay y ON b=y.account AND y.layer=x.layer+1 GROUP BY 1),
+placed AS (SELECT lay.account, layer, parent FROM lay LEFT JOIN par USING (account)),
+big AS (SELECT parent FROM placed WHERE layer>=2 AND (SELECT count(*) FROM placed)>50 GROUP BY 1 HAVING count(*)>=4),
+named AS (SELECT account, CASE WHEN big.parent IS NOT NULL THEN 'cluster_'||big.parent ELSE account END AS node, layer, placed.parent FROM placed LEFT JOIN big ON big.parent=placed.parent),
+inside AS (SELECT x.node AS source, y.node AS target, receiver_account, amount_paise FROM ledger JOIN named x ON sender_account=x.account JOIN named y ON receiver_account=y.account)"""
+_DIR = "dir AS (SELECT DISTINCT sender_account AS a, receiver_account AS b FROM ledger)"
+_q("network_clusters", lambda s, d: graph.collapsed(_network(s, d), HUB)[0], _MERGED + " SELECT node, min(layer) AS layer, min(parent) AS parent, count(*) AS size, cast(coalesce(sum(r.paise),0) as bigint) AS paise FROM named LEFT JOIN (SELECT receiver_account, sum(amount_paise) AS paise FROM inside GROUP BY 1) r ON r.receiver_account=account GROUP BY 1", _DIR)
+_q("network_cluster_edges", lambda s, d: graph.collapsed(_network(s, d), HUB)[1], _MERGED + " SELECT source, target, count(*) AS n, cast(sum(amount_paise) as bigint) AS paise FROM inside WHERE source<>target GROUP BY 1,2", _DIR)
 _q("trace_attribution_hops", lambda s, d: graph.attribution_trace(ledger(s, d), HUB), None)
+_q("trace_cycles", lambda s, d: graph.cycles(graph.attribution_trace(ledger(s, d), HUB)), None)
+_q("trace_branch_paths", lambda s, d: graph.branch_paths(graph.attribution_trace(ledger(s, d), HUB)), None)
 _q("trace_terminals", lambda s, d: graph.terminals(graph.attribution_trace(ledger(s, d), HUB)), None)
 
 _q("mule_list_filtered", lambda s, d: explore.mule_list(accounts(s, d), role="ANY", min_risk=30.0, sort_by="inflow", limit=50, offset=10).select("account_number", "role", "risk_band", "mule_risk_index", "incoming_volume"), """ SELECT account_number, CASE WHEN cast(layer1_candidate as int)+cast(layer2_candidate as int)+cast(layer3_candidate as int)>1 THEN 'MIXED' WHEN layer1_candidate THEN 'L1_COLLECTOR' WHEN layer2_candidate THEN 'L2_DISTRIBUTOR' ELSE 'L3_TERMINAL' END AS role, risk_band, mule_risk_index::double AS mule_risk_index, incoming_volume
@@ -324,9 +344,8 @@ _q("diary_facts", lambda s, d: evidence.facts(_investigation(s, d)), None)
 
 def _chronology(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = ledger(spark, sf_dir)
-    times = rows.select(F.col("row_id").alias("destination_row_id"), "epoch_s")
     edges = graph.attribution_trace(rows, THROUGH)  # at most as many rows as the trace's cap
-    return evidence.chronology(_investigation(spark, sf_dir), times.join(F.broadcast(edges), "destination_row_id"), evidence.findings(accounts(spark, sf_dir), THROUGH))
+    return evidence.chronology(evidence.investigation(rows, accounts(spark, sf_dir), THROUGH, edges=edges), edges, evidence.findings(accounts(spark, sf_dir), THROUGH))
 
 
 _q("diary_chronology", _chronology, None)
