@@ -7,7 +7,10 @@ import pytest
 from pyspark.sql import functions as F
 
 #: Names of columns that operators make.
-CLASHES = ("fp", "row", "root", "component_id", "ids", "decoded", "n_words", "tail_prob", "expected_grade", "lang_pred", "score", "spans", "paths", "class", "bucket", "node", "held_out", "payload", "media", "taken", "target")
+CLASHES = (
+    "_among", "_copy", "_draw", "_id", "_in", "_last", "_map", "_n", "_none", "_packed", "_parts", "_part", "_range", "_rest", "_row", "_salt", "_spot", "_spans", "_all", "all", "passes", "s", "z", "c0", "c1", "text_", "same", "twins", "of", "least", "size_", "n",
+    "fp", "row", "root", "component_id", "ids", "decoded", "n_words", "tail_prob", "expected_grade", "lang_pred", "score", "spans", "paths", "class", "bucket", "node", "held_out", "payload", "media", "taken", "target",
+)
 DATA = "/root/testdata/sf0.001"
 SCHEMA = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("lang", pa.string()), ("source", pa.string()), ("n_chars", pa.int64())])
 

@@ -55,6 +55,17 @@ def test_keep_first(spark, clashing, empty_docs):
     assert sorted(((r["doc_id"] or 0, r["text"]) for r in keep_first(rows).collect())) == [(0, "alone so far"), (1, one), (5, other)]
 
 
+def test_rows_of_one_id_lose_their_repeats_in_any_white_space(spark):
+    """Rows that share an id and a text's words, but not its white space, lose what a smaller id has."""
+    a = [f"a{i}" for i in range(60)]
+    rows = [(1, " ".join(a)), (5, "x " + " ".join(a)), (5, "x  " + "\n".join(a)), (5, "x  " + "\n".join(a)), (7, "y " + " ".join(a)), (7, "z"), (None, " ".join(a))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r["doc_id"] or 0, r["n_words"], r["n_removed"]) for r in kept_digests(docs).collect())
+    assert got == [(0, 60, 0), (1, 60, 0), (5, 61, 60), (5, 61, 60), (5, 61, 60), (7, 1, 0), (7, 61, 60)]
+    kept = sorted((r["doc_id"] or 0, r["text"]) for r in without_repeats(docs).collect())
+    assert kept == [(0, " ".join(a)), (1, " ".join(a)), (5, "x"), (5, "x"), (5, "x"), (7, "y"), (7, "z")]
+
+
 def test_quality_without_labels(spark, clashing):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert all(r["keep"] for r in select_best(doc_key(clashing), none).collect())
@@ -67,7 +78,8 @@ def test_mixed(clashing, empty_docs):
 @pytest.mark.parametrize("keeps", [mixed, keep_first, without_repeats])
 def test_columns_with_clashing_names_pass_through(clashing, keeps):
     rows, own = keeps(clashing).collect(), clashing.columns[4:]
-    assert rows and len(own) > 20 and all(r[c] == f"own {c}" for r in rows for c in own)
+    assert keeps(clashing).columns == clashing.columns
+    assert rows and len(own) > 50 and all(r[c] == f"own {c}" for r in rows for c in own)
 
 
 def test_values_of_nulls_and_repeats(clashing):

@@ -8,6 +8,7 @@ import wave
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers as public
 import pytest
 import tiktoken
@@ -54,6 +55,25 @@ def test_long_words_are_contracted_as_by_the_leftmost_pair_of_least_rank(coder):
         assert np.frombuffer(coder.contract_long(word), dtype=np.int32).tolist() == plain(word)
 
 
+@pytest.mark.parametrize("letters", ["abcdefghijklmnopqrstuvwxyz", "ab", "etaoin", "0123456789", "\u0430\u0431\u0432\u0433\u0434"])
+def test_long_words_in_pieces_are_those_of_a_library(coder, letters):
+    plain = tiktoken.Encoding("plain", pat_str=r"[\s\S]+", mergeable_ranks=RANKS, special_tokens={})
+    draw = random.Random(letters)
+    for n in (1_001, 2_500, 30_000):
+        word = "".join(draw.choice(letters) for _ in range(n))
+        assert np.frombuffer(coder.contract_long(word.encode()), dtype=np.int32).tolist() == plain.encode_ordinary(word)
+    word = letters * (3_000 // len(letters))
+    assert np.frombuffer(coder.contract_long(word.encode()), dtype=np.int32).tolist() == plain.encode_ordinary(word)
+
+
+def test_a_text_of_very_many_ids_is_decoded_in_parts():
+    decoder = bpe.Decoder(RANKS)
+    ids = np.random.default_rng(1).integers(0, 50_000, 1_000_000).tolist()
+    by_id = {i: t for t, i in RANKS.items()}
+    found = decoder.decode(pa.array([[], ids, None, ids[:3]], pa.list_(pa.int32())))
+    assert found == [b"", b"".join(map(by_id.__getitem__, ids)), b"", b"".join(map(by_id.__getitem__, ids[:3]))]
+
+
 def test_bpe_with_another_pattern_cuts_no_segments():
     other = bpe.Encoder(RANKS, r"\S+|\s+")
     assert not other.even and other.segments("one two") == ["one", " ", "two"]

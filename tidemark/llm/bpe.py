@@ -25,6 +25,8 @@ from .common import memory, with_columns
 REMEMBERED = 800_000
 #: A recursive query keeps every step of its words, at most half the sum of their squared lengths; this bounds the sum, and so DuckDB's memory.
 WORK_A_QUERY = 1_000_000
+#: Bytes of the pieces that a longer word is first cut into.
+PIECE = 96
 #: Tokens decoded by one query.
 TOKENS_A_QUERY = 100_000
 #: What DuckDB may take in each worker.
@@ -54,7 +56,7 @@ FROM s JOIN (SELECT w, max(step) AS step FROM s GROUP BY w) last ON s.w = last.w
 GROUP BY s.w
 """
 
-#: For one word whose squared length is beyond a query: some steps at a time, the rows of the last step start the next query. A step
+#: For one word that repeats a part endlessly: some steps at a time, the rows of the last step start the next query. A step
 #: contracts all places of the pair of least rank, of overlapping ones every other from the left, as one after the other would: a
 #: token that a contraction makes has no pair of a lower rank, since what it is made of had none left.
 CONTRACT_LONG = """
@@ -109,6 +111,7 @@ class Encoder:
     def __init__(self, ranks: dict[bytes, int], pattern: str, remembered: int = REMEMBERED):
         self.remembered = remembered
         self.ranks, self.split, self.even = ranks, regex.compile(pattern).findall, pattern == EVEN_PATTERN
+        self.token = {r: t for t, r in ranks.items()}
         self.of_byte = np.array([ranks[bytes([b])] for b in range(256)], dtype=np.int32)
         self.con = duckdb.connect(config=DUCKDB)
         self.con.execute("SET preserve_insertion_order = false")
@@ -167,6 +170,65 @@ class Encoder:
             yield some[w][0], flat[a:b].tobytes()
 
     def contract_long(self, word: bytes) -> bytes:
+        """The ids of a word of any length, contracted in pieces.
+
+        Ids are the word's if every two neighbours are the ids of their own bytes. So pieces of PIECE bytes are contracted
+        together, and where two of them meet in ids that are not, the ids around are contracted again as one piece, ever
+        more of them. Words of one endlessly repeated part never settle so; they are contracted whole, in few steps.
+        """
+        #: pieces as lists of ids; a piece that is done is joined to the one before it
+        cut = [word[i : i + PIECE] for i in range(0, len(word), PIECE)]
+        parts = self._ids(cut)
+        around = 4
+        while len(parts) > 1:
+            fits = self._fit([(a[-1], b[0]) for a, b in zip(parts, parts[1:])])
+            joined = [list(parts[0])]
+            for part, fit in zip(parts[1:], fits):
+                if fit:
+                    joined[-1].extend(part)
+                else:
+                    joined.append(list(part))
+            if len(joined) == 1:
+                parts = joined
+                break
+            if around > PIECE:
+                return self.contract_whole(word)
+            # of every second place where parts don't fit, the ids around it are contracted as one piece, so that no two overlap
+            again = list(zip(joined, joined[1:]))[::2]
+            middle = self._ids([b"".join(self.token[i] for i in (*a[-around:], *b[:around])) for a, b in again])
+            parts = []
+            for (a, b), m in zip(again, middle):
+                parts += [x for x in (a[:-around], list(m), b[around:]) if x]
+            if len(joined) % 2:
+                parts.append(joined[-1])
+            around += 2
+        return np.array(parts[0], dtype=np.int32).tobytes()
+
+    def _ids(self, pieces: list[bytes]) -> list[list[int]]:
+        """The ids of pieces of some hundred bytes."""
+        found = {}
+        todo: list[tuple[bytes, bytes]] = []
+        work = 0
+        for x in dict.fromkeys(pieces):
+            if (r := self.ranks.get(x)) is not None:
+                found[x] = [r]
+                continue
+            if todo and work + len(x) ** 2 > WORK_A_QUERY:
+                found |= {w: np.frombuffer(i, dtype=np.int32).tolist() for w, i in self.contract(todo)}
+                todo, work = [], 0
+            todo.append((x, x))
+            work += len(x) ** 2
+        if todo:
+            found |= {w: np.frombuffer(i, dtype=np.int32).tolist() for w, i in self.contract(todo)}
+        return [found[x] for x in pieces]
+
+    def _fit(self, pairs: list[tuple[int, int]]) -> list[bool]:
+        """Are two ids those of their bytes together?"""
+        different = sorted(set(pairs))
+        got = dict(zip(different, self._ids([self.token[a] + self.token[b] for a, b in different])))
+        return [got[p] == list(p) for p in pairs]
+
+    def contract_whole(self, word: bytes) -> bytes:
         now = pa.table({"p": np.arange(len(word), dtype=np.int32), "t": self.of_byte[np.frombuffer(word, dtype=np.uint8)]})
         while True:
             self.con.register("start", now)
@@ -204,23 +266,20 @@ class Decoder:
         self.known[list(ranks.values())] = True
 
     def decode(self, ids: pa.ListArray) -> list[bytes]:
-        out = [b""] * len(ids)
+        """The bytes of every list of ids; a query takes TOKENS_A_QUERY ids of one text or several, so a text may have any number."""
+        out: list[list[bytes]] = [[] for _ in range(len(ids))]
+        flat = ids.flatten().cast(pa.int32()).to_numpy(zero_copy_only=False)
         size = ids.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-        ends = np.cumsum(size)
-        i = 0
-        while i < len(ids):
-            j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + TOKENS_A_QUERY, side="right")))
-            some, n = ids.slice(i, j - i).flatten().cast(pa.int32()), size[i:j]
-            x = some.to_numpy(zero_copy_only=False)
-            if len(x) and (x.min() < 0 or x.max() >= len(self.known) or not self.known[x].all()):
+        owner = np.repeat(np.arange(len(size), dtype=np.int32), size)
+        for i in range(0, len(flat), TOKENS_A_QUERY):
+            x = flat[i : i + TOKENS_A_QUERY]
+            if x.min() < 0 or x.max() >= len(self.known) or not self.known[x].all():
                 raise ValueError("an id is not in the vocabulary")
-            pos = (np.arange(len(x)) - np.repeat(np.cumsum(n) - n, n)).astype(np.int32)
-            self.con.register("tokens", pa.table({"d": np.repeat(np.arange(i, j, dtype=np.int32), n), "p": pos, "id": some}))
+            self.con.register("tokens", pa.table({"d": owner[i : i + TOKENS_A_QUERY], "p": np.arange(len(x), dtype=np.int32), "id": x}))
             got = self.con.sql(DECODE).to_arrow_table()
-            for d, x in zip(got["d"].to_pylist(), got["bytes"].to_pylist()):
-                out[d] = x.encode("latin-1")
-            i = j
-        return out
+            for d, piece in zip(got["d"].to_pylist(), got["bytes"].to_pylist()):
+                out[d].append(piece.encode("latin-1"))
+        return [b"".join(pieces) for pieces in out]
 
 
 def _worker(kind: type, key: tuple, *args):

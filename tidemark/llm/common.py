@@ -9,7 +9,7 @@ import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -145,6 +145,26 @@ def with_columns(
     return kept.mapInArrow(run, schema)
 
 
+#: The one column that rows are packed into while an operator adds its own.
+PACKED = "_packed"
+
+
+def _quoted(name: str) -> Column:
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def packed(docs: DataFrame, *columns: Column) -> DataFrame:
+    """docs as one struct column PACKED, but for its `text`, beside `columns` made from it; so no name of docs can clash with a helper's."""
+    own = F.struct(F.lit(0).alias("none"), *[_quoted(c).alias(f"c{i}") for i, c in enumerate(docs.columns) if c != "text"])
+    return docs.select(*columns, F.col("text"), own.alias(PACKED))
+
+
+def unpacked(rows: DataFrame, names: list[str], *columns: Column, **instead: Column) -> DataFrame:
+    """The columns of packed rows under their names (or those given instead), then `columns`."""
+    own = [instead.get(c, F.col("text") if c == "text" else F.col(f"{PACKED}.c{i}")).alias(c) for i, c in enumerate(names)]
+    return rows.select(*own, *columns)
+
+
 def doc_key(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Only the key and the text, so that other columns can't clash with the ones an operator adds."""
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

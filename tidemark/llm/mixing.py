@@ -14,13 +14,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, cut
+from .common import WORD, cut, packed, unpacked
 
 WEIGHTS, MOST_PASSES = (5, 2, 1), 3
 #: Columns that mix adds.
 FIGURES = ("size", "source_size", "target", "taken")
 #: Hash ranges into which the documents of one source and length are dealt, so that none is a task of its own.
-RANGES = 64
+RANGES = 1024
 #: Rows of the plan that may be broadcast; a longer plan is joined by a shuffle.
 BROADCAST_ROWS = 50_000
 #: The knapsack's table: at least this many words, and at least two documents of the greatest length.
@@ -66,7 +66,7 @@ def fit(sizes: list[int], counts: list[int], budget: int) -> list[int]:
             take[i] += n
             rest -= n * sizes[i]
     #: reached[w]: some choice of what is left has w words; by[w]: the item that reached it first
-    reached, by, items = np.zeros(rest + max(sizes) + 1, dtype=bool), np.full(rest + max(sizes) + 1, -1, dtype=np.int64), []
+    reached, by, items = np.zeros(rest + max(sizes) + 1, dtype=bool), np.full(rest + max(sizes) + 1, -1, dtype=np.int32), []
     reached[0] = True
     for i in order:
         left, n = counts[i] - take[i] if sizes[i] else 0, 1
@@ -96,12 +96,20 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, most: int = MOST_PASSES, seed
 
     A document is taken whole, up to `most` times. A null text has size zero and is never taken. Repeated rows count
     each; which of equal rows is taken makes no difference. Reruns agree, since the draw hashes seed, doc_id and text.
-    Columns of these names are replaced. An empty table gives no rows. Totals by source reach the driver, and nothing
-    else does; one source's counts by length are fitted in one task.
+    Columns of these names are replaced, all others pass through, whatever their names. An empty table gives no rows.
+    Texts are whole, of any length. Totals by source reach the driver, and nothing else does; one source's counts by length
+    are fitted in one task, in some bytes for each word of the longest document.
     """
+    kept = docs.drop(*FIGURES)
+    return unpacked(_planned(kept, weights, most, seed), kept.columns, *[F.col(c) for c in FIGURES])
+
+
+def _planned(docs: DataFrame, weights: tuple, most: int, seed: int) -> DataFrame:
+    """docs packed, with size, source_size, target and taken."""
     draw = F.xxhash64(F.lit(seed), "doc_id", "text")
-    rows = docs.drop(*FIGURES).withColumn("size", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"))
-    rows = rows.withColumn("_draw", draw).withColumn("_range", F.shiftrightunsigned("_draw", 64 - (RANGES - 1).bit_length()).cast("int"))
+    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+    rows = packed(docs, F.col("source").cast("string").alias("source"), size.alias("size"), draw.alias("_draw"))
+    rows = rows.withColumn("_range", F.shiftrightunsigned("_draw", 64 - (RANGES - 1).bit_length()).cast("int"))
     ranges = cut(rows.groupBy("source", "size", "_range").agg(F.count(F.lit(1)).alias("n")))
     sizes = {r["source"]: int(r["words"]) for r in ranges.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("words")).collect()}
     if not sizes:
@@ -137,9 +145,8 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, most: int = MOST_PASSES, seed
     return sure.unionByName(edge).withColumn("taken", taken.cast("long")).drop("_draw", "_range", "_last", "_rest", "_in", "passes")
 
 
-def mixed(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: each row of docs as often as it is taken, with the columns of docs, also those that mix would replace."""
-    aside = {c: f"_own_{c}" for c in docs.columns if c in FIGURES}
-    rows = mix(docs.withColumnsRenamed(aside), **options).where("taken > 0")
+def mixed(docs: DataFrame, weights: tuple = WEIGHTS, most: int = MOST_PASSES, seed: int = 11) -> DataFrame:
+    """The mix itself: each row of docs as often as it is taken, with the columns of docs, whatever their names."""
+    rows = _planned(docs, weights, most, seed).where("taken > 0")
     copies = F.sequence(F.lit(1), (F.col("taken") / F.col("size")).cast("int"))
-    return rows.withColumn("_copy", F.explode(copies)).select(*[F.col(f"`{aside.get(c, c)}`").alias(c) for c in docs.columns])
+    return unpacked(rows.withColumn("_copy", F.explode(copies)), docs.columns)

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, cut, perhaps_among, texts, with_columns
+from .common import LOWER, cut, packed, perhaps_among, texts, unpacked, with_columns
 from .components import components
 
 BITS, RADIUS = 64, 3
@@ -132,9 +132,9 @@ def keep_first(docs: DataFrame) -> DataFrame:
     per_class = named.groupBy("component_id", "root", "fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "fp", "row")).alias("least"))
     kept = per_class.groupBy("component_id", "root").agg(F.min("least").alias("least")).select("least.doc_id", "least.row")
     keys = kept.select(F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("doc_id").isNull().alias("_none"), F.col("row").alias("_row")).distinct()
-    rows = docs.select(F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("doc_id").isNull().alias("_none"), text.alias("_row"), *[F.col(f"`{c}`") for c in docs.columns])
+    rows = packed(docs, F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("doc_id").isNull().alias("_none"), text.alias("_row"))
     on = ["_id", "_none", "_row"]
     met = perhaps_among(rows, keys, on).where("_among").join(keys, on, "left_semi")
     # repeated rows of what is kept
     again = Window.partitionBy(*on).orderBy(F.lit(1))
-    return met.withColumn("_n", F.row_number().over(again)).where("_n = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return unpacked(met.withColumn("_n", F.row_number().over(again)).where("_n = 1"), docs.columns)

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import join_heavy, memory, perhaps_among, texts, with_columns, written
+from .common import PACKED, join_heavy, memory, packed, perhaps_among, texts, unpacked, with_columns, written
 from .omh import mix
 
 #: Words of a window and of an anchor.
@@ -152,9 +152,11 @@ def compacted(repeated_edges: DataFrame) -> DataFrame:
     Degrees are counted over the repeated edges. A path goes on over a node with one edge in and one out, as long as its
     source goes on too, so its edges lie side by side in one document and no task gathers more than a document's edges.
     """
-    ends = repeated_edges.select(F.col("from").alias("node"), F.lit(0).alias("enter"), F.lit(1).alias("leave")).union(repeated_edges.select("to", F.lit(1), F.lit(0)))
-    through = ends.groupBy("node").agg(F.sum("enter").alias("enter"), F.sum("leave").alias("leave")).where("enter = 1 AND leave = 1").select(F.col("node").alias("from"), F.lit(True).alias("through"))
-    joined = repeated_edges.join(through, "from", "left").select("from", "to", "n", "src.*", F.coalesce("through", F.lit(False)).alias("through"))
+    ends = repeated_edges.select(F.col("from").alias("node"), F.lit(0).alias("enter"), F.lit(1).alias("leave"), F.col("to").alias("next")).union(repeated_edges.select("to", F.lit(1), F.lit(0), F.lit(None).cast("long")))
+    degrees = ends.groupBy("node").agg(F.sum("enter").alias("enter"), F.sum("leave").alias("leave"), F.max("next").alias("to"))
+    # such a node has one edge out, so the join is by the whole edge and no node with many edges is a key
+    through = degrees.where("enter = 1 AND leave = 1").select(F.col("node").alias("from"), "to", F.lit(True).alias("through"))
+    joined = repeated_edges.join(through, ["from", "to"], "left").select("from", "to", "n", "src.*", F.coalesce("through", F.lit(False)).alias("through"))
     side = Window.partitionBy("doc_id", "row").orderBy("at")
     goes_on = F.col("through") & F.coalesce(F.lag("at").over(side) == F.col("at") - 1, F.lit(False))
     marked = joined.withColumn("start", F.when(~goes_on, F.col("at")))
@@ -179,13 +181,15 @@ def span_digests(docs: DataFrame, wanted: DataFrame, window: int = WINDOW) -> Da
     return docs.select("doc_id", "row", "text").join(by_doc, ["doc_id", "row"]).mapInArrow(run, schema)
 
 
-def repeats(docs: DataFrame, profile: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame, DataFrame]:
+def repeats(docs: DataFrame, profile: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame | None]:
     """What repeats in docs(doc_id, row, text) with profiles(docs); doc_id is never null.
 
     copies(doc_id, row): documents whose words a document with a smaller id has too, all of them, and at least a window.
     spans(doc_id, row, spans): of the others, the windows, as (first, last) starts, that also start in a document with a
     smaller id, each with a digest of the words from the first one's first to the last one's last at their source.
     texts(doc_id, row, text): of all documents with spans, and of some more.
+    twins(doc_id, row, of): rows with the words and the id of row `of` of a document, which stands for them in the other
+    results; None where all rows' `row` are equal.
 
     All groups are reduced before they are joined, and keys that many rows have are split, so a passage that many
     documents share is no single task's work.
@@ -193,7 +197,11 @@ def repeats(docs: DataFrame, profile: DataFrame, window: int = WINDOW) -> tuple[
     key = ["doc_id", "row"]
     long = profile.where(F.col("n_words") >= window)
     classes = written(long.groupBy("same").agg(F.min(F.struct(*key)).alias("least"), F.count(F.lit(1)).alias("n")), "classes")
-    copies = join_heavy(long.select(*key, "same"), classes, ["same"], ["doc_id"]).where("doc_id > least.doc_id").select(*key).distinct()
+    member = join_heavy(long.select(*key, "same"), classes, ["same"], ["doc_id", "row"])
+    copies = member.where("doc_id > least.doc_id").select(*key).distinct()
+    twins = None
+    if not docs.where("row <> 0").isEmpty():
+        twins = member.where("doc_id = least.doc_id AND row <> least.row").select(*key, F.col("least.row").alias("of")).distinct()
     # anchors of several classes, and those that many rows have
     found = written(anchors(docs, window), "stretches")
     per_anchor = found.groupBy("anchor").agg(F.min("class").alias("a"), F.max("class").alias("b"), F.count(F.lit(1)).alias("n"))
@@ -218,7 +226,12 @@ def repeats(docs: DataFrame, profile: DataFrame, window: int = WINDOW) -> tuple[
     place = ["src_id", "src_row", "src_first", "size"]
     at_source = written(span_digests(held, spans.groupBy(*place).agg(F.count(F.lit(1)).alias("n")), window), "sources")
     with_words = join_heavy(spans, at_source, place, ["doc_id", "first"]).groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("first", "last", "digest"))).alias("spans"))
-    return copies, with_words, held.drop("paths")
+    return copies, with_words, held.drop("paths"), twins
+
+
+def as_twins(results: DataFrame, twins: DataFrame) -> DataFrame:
+    """What results(doc_id, row, ...) say of the rows that have twins, for these."""
+    return results.withColumnRenamed("row", "of").join(twins, ["doc_id", "of"]).select(results.columns)
 
 
 def covered(words: list[bytes], spans: list[dict] | None, window: int = WINDOW) -> np.ndarray:
@@ -231,10 +244,10 @@ def covered(words: list[bytes], spans: list[dict] | None, window: int = WINDOW)
     return np.cumsum(change[:-1]) > 0
 
 
-def row_key(docs: DataFrame) -> Column:
-    """What tells apart texts that share an id: a hash of the text, or nothing where no id repeats."""
-    again = docs.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where("count > 1").limit(1).count()
-    return F.xxhash64("text") if again else F.lit(0).cast("long")
+def row_key(docs: DataFrame) -> tuple[Column, bool]:
+    """What tells apart texts that share an id: a hash of the text, or nothing where no id repeats; and whether one does."""
+    again = not docs.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where("count > 1").isEmpty()
+    return F.xxhash64("text") if again else F.lit(0).cast("long"), again
 
 
 def kept_digests(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -242,12 +255,13 @@ def kept_digests(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
     A word goes if it lies in a window of `window` words that also starts in a document with a smaller id; null ids are
     neither smaller nor greater than any. Null texts have no words. Rows that share an id don't count as each other's
-    source. An empty table gives no rows.
+    source, but each loses what it shares with smaller ids. Long texts take memory for their words and hashes, some 100 bytes
+    a word. An empty table gives no rows.
     """
-    rows = docs.select("doc_id", row_key(docs).alias("row"), "text")
+    rows = docs.select("doc_id", row_key(docs)[0].alias("row"), "text")
     profile = written(profiles(rows), "profiles")
     named = F.col("doc_id").isNotNull()
-    copies, spans, held = repeats(rows.where(named), profile.where(named), window)
+    copies, spans, held, twins = repeats(rows.where(named), profile.where(named), window)
     fields = [T.StructField("n_removed", T.LongType()), T.StructField("kept_sha256", T.StringType())]
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
@@ -260,7 +274,10 @@ def kept_digests(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 digest.append(hashlib.sha256(b" ".join(w for w, x in zip(words, out) if not x)).hexdigest())
             yield [pa.array(gone, pa.int64()), pa.array(digest, pa.string())]
 
-    changed = with_columns(held.join(spans, ["doc_id", "row"]), "text", fields, fill).select("doc_id", "row", "n_removed", "kept_sha256")
+    changed = with_columns(held.join(spans, ["doc_id", "row"]), "text", fields, fill).select("doc_id", "row", "n_removed", "kept_sha256").distinct()
+    if twins is not None:
+        changed = written(changed, "changed")
+        changed = changed.union(as_twins(changed, twins))
     all_gone = copies.join(profile, ["doc_id", "row"]).select("doc_id", "row", F.col("n_words").alias("n_removed"), F.lit(hashlib.sha256(b"").hexdigest()).alias("kept_sha256")).distinct()
     done = profile.where(named).join(changed.union(all_gone), ["doc_id", "row"], "left").unionByName(profile.where(~named), allowMissingColumns=True)
     return done.select("doc_id", "n_words", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("kept_sha256", "whole_sha256").alias("kept_sha256"))
@@ -269,19 +286,20 @@ def kept_digests(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """docs with the removed words cut from `text` (the rest is joined by single spaces) and n_chars, if there, counted anew.
 
-    Texts that lose nothing are unchanged, nulls too, and so are rows without an id. Repeated rows lose the same. Columns
-    of any other name pass through; an empty table gives no rows.
+    Texts that lose nothing are unchanged, nulls too, and so are rows without an id. Repeated rows lose the same. All other
+    columns pass through, whatever their names; an empty table gives no rows.
     """
-    rows = docs.withColumn("_row", row_key(docs))
-    plain = rows.where(F.col("doc_id").isNotNull()).select("doc_id", F.col("_row").alias("row"), "text")
-    copies, spans, _ = repeats(plain, profiles(plain), window)
+    row, _ = row_key(docs)
+    plain = docs.where(F.col("doc_id").isNotNull()).select("doc_id", row.alias("row"), "text")
+    copies, spans, _, twins = repeats(plain, profiles(plain), window)
+    if twins is not None:
+        spans = spans.unionByName(as_twins(spans, twins))
     lost = spans.withColumn("all", F.lit(False)).unionByName(copies.withColumn("all", F.lit(True)), allowMissingColumns=True)
-    changes = written(lost.select("doc_id", F.col("row").alias("_row"), F.col("spans").alias("_spans"), F.col("all").alias("_all")), "changes")
-    columns = [F.col(f"`{c}`") for c in docs.columns]
+    changes = written(lost.select("doc_id", "row", "spans", "all"), "changes")
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
         for b in batches:
-            spans, gone, column = (b.column(b.schema.get_field_index(c)).to_pylist() for c in ("_spans", "_all", "text"))
+            spans, gone, column = (b.column(b.schema.get_field_index(c)).to_pylist() for c in ("spans", "all", "text"))
             new = []
             for t, s, everything in zip(column, spans, gone):
                 if everything:
@@ -294,8 +312,11 @@ def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 new.append(t)
             yield [pa.array(new, pa.string())]
 
-    asked = perhaps_among(rows, changes, ["doc_id", "_row"])
-    cut = with_columns(asked.where("_among").join(changes, ["doc_id", "_row"], "left"), "text", [T.StructField("text", T.StringType(), True)], fill)
+    rows = packed(docs, F.col("doc_id"), row.alias("row"))
+    asked = perhaps_among(rows, changes, ["doc_id", "row"])
+    cut = with_columns(asked.where("_among").join(changes, ["doc_id", "row"], "left"), "text", [T.StructField("text", T.StringType(), True)], fill)
+    counted = {}
     if "n_chars" in docs.columns:
-        cut = cut.withColumn("n_chars", F.when(F.col("_all").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return asked.where("NOT _among").select(columns).union(cut.select(columns))
+        own = F.col(f"{PACKED}.c{docs.columns.index('n_chars')}")
+        counted["n_chars"] = F.when(F.col("all").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(own)
+    return unpacked(asked.where("NOT _among"), docs.columns).union(unpacked(cut, docs.columns, **counted))
