@@ -20,6 +20,13 @@ def climb(x: Column, *steps: tuple[float, float], other: float = 0.0) -> Column:
     return ladder(*[(x >= at, points) for at, points in steps], other=other)
 
 
+#: The families of the index's breakdown, and the columns that hold their points.
+FAMILIES = {
+    "VELOCITY": "b_vel", "AUTOMATION": "b_auto", "FLOW_PARITY": "b_parity", "BURST_TEMPORAL": "b_burst", "DEGREE": "s_degree", "INTERMEDIARY": "s_intermediary", "VOLUME_SCALE": "s_volume", "ROLE_EVIDENCE": "s_role",
+    "BEHAVIORAL_TOTAL": "behavioral_risk_index", "STRUCTURAL_TOTAL": "structural_risk_index", "COMPOSITE_TOTAL": "mule_risk_index",
+}
+
+
 def score_risk(features: DataFrame) -> DataFrame:
     """features (with roles and velocity) plus the parts, both indices, the composite, its band, signal, families and reasons.
 
@@ -83,7 +90,7 @@ def score_risk(features: DataFrame) -> DataFrame:
         {
             "risk_band": F.when(x >= 75, "VERY_HIGH").when(x >= 50, "HIGH").when(x >= 25, "MODERATE").otherwise("LOW"),
             "evidence_signal": F.when((b >= 50) & (s >= 50), "MULTI-MODAL EVIDENCE").when(s >= 50, "ELEVATED STRUCTURAL INDICATORS").when(b >= 50, "ELEVATED BEHAVIORAL INDICATORS").when((b + s) / 2 >= 35, "REVIEW REQUIRED").otherwise("LOW CURRENT INDICATOR"),
-            "risk_family_scores": F.map_from_arrays(F.array(*[F.lit(k) for k in parts]), F.array(*[F.col(k) for k in parts])),
+            "risk_family_scores": F.map_from_arrays(F.array(*[F.lit(k) for k in FAMILIES]), F.array(*[F.col(c) for c in FAMILIES.values()])),
             "risk_reasons": present(reasons),
         }
     )

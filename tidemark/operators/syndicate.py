@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -41,6 +41,17 @@ def chain_metrics(ledger: DataFrame, accounts: DataFrame) -> DataFrame:
     )
 
 
+#: What evidence says of every account on a chain.
+POLICY, LINEAGE = "Forensic_Syndicate_Subgraph", "Victim/Source -> Collector -> Pass-Through Distributor -> Terminal Cash-Out"
+
+
+def evidence() -> Column:
+    """The evidence of an account's stage as JSON, an empty object where it is on no chain."""
+    fields = F.struct(F.col("syndicate_stage").alias("stage"), F.lit(True).alias("in_connected_chain"), F.lit(POLICY).alias("policy"), F.lit(LINEAGE).alias("lineage"))
+    return F.when(F.col("syndicate_stage").isNotNull(), F.to_json(fields)).otherwise("{}")
+
+
 def with_syndicate(accounts: DataFrame, nodes: DataFrame) -> DataFrame:
+    """accounts with syndicate_stage, predicted_mule_candidate and syndicate_evidence."""
     marked = accounts.join(nodes, "account_number", "left")
-    return marked.withColumn("predicted_mule_candidate", F.col("syndicate_stage").isNotNull())
+    return marked.withColumns({"predicted_mule_candidate": F.col("syndicate_stage").isNotNull(), "syndicate_evidence": evidence()})

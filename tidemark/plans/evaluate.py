@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Each policy's test on the finished account table.
+#: Each policy's name and its test on the finished account table.
 POLICIES = {
     "L1_candidate": "layer1_candidate",
     "L2_candidate": "layer2_candidate",

@@ -238,6 +238,9 @@ _REASONS = " UNION ALL ".join([
 _q("risk_reasons_exploded", lambda s, d: accounts(s, d).select("account_number", F.explode("risk_reasons").alias("r")).select("account_number", "r.code", "r.points"), " " + _REASONS, *SCORED)
 
 _q("syndicate_nodes", lambda s, d: accounts(s, d).where("predicted_mule_candidate").select("account_number", "syndicate_stage"), " SELECT * FROM synd", *SCORED, SYNDICATE)
+_q("syndicate_evidence", lambda s, d: accounts(s, d).select("account_number", "predicted_mule_candidate", "syndicate_evidence"), f""" SELECT f.account_number, s.account_number IS NOT NULL AS predicted_mule_candidate, CASE WHEN s.account_number IS NULL THEN '{{}}' ELSE '{{"stage":"'||syndicate_stage||'","in_connected_chain":true,"policy":"{syndicate.POLICY}","lineage":"{syndicate.LINEAGE}"}}' END AS syndicate_evidence FROM feat f LEFT JOIN synd s USING (account_number)""", *SCORED, SYNDICATE)
+_q("risk_families", lambda s, d: accounts(s, d).select("account_number", F.explode("risk_family_scores").alias("family", "points")), " " + " UNION ALL ".join(f"SELECT account_number, '{k}' AS family, {c}::double AS points FROM risk" for k, c in risk.FAMILIES.items()), *SCORED)
+_q("account_summary", lambda s, d: evidence.account_summary(ledger(s, d), HUB).select(F.size("payment_modes").alias("modes"), F.expr("aggregate(payment_modes, 0L, (x, m) -> x + m.n)").alias("n"), "ifsc_count", "ip_address_count", "device_count", F.size("ip_addresses").alias("listed"), F.array_join("devices", ",").alias("devices")), f" SELECT cast(count(distinct payment_mode) as int) AS modes, count(*) AS n, count(distinct CASE WHEN sender_account='{HUB}' THEN sender_ifsc ELSE receiver_ifsc END) AS ifsc_count, count(distinct ip_address) AS ip_address_count, count(distinct device_type) AS device_count, cast(least({evidence.LISTED}, count(distinct ip_address)) as int) AS listed, string_agg(DISTINCT device_type, ',' ORDER BY device_type) AS devices FROM ledger WHERE sender_account='{HUB}' OR receiver_account='{HUB}'")
 _q("syndicate_chain_metrics", lambda s, d: syndicate.chain_metrics(ledger(s, d), accounts(s, d)), " SELECT count(distinct collector) AS collectors, count(distinct distributor) AS distributors, count(distinct terminal) AS terminals, count(*) AS chains FROM chains", *SCORED, SYNDICATE)
 
 _q("fifo_edges", lambda s, d: fifo.fifo_edges(ledger(s, d)).select("account", "source_row_id", "destination_row_id", "attributed_paise", "delay_s"), " SELECT * FROM edges", FIFO)
@@ -339,13 +342,13 @@ def _investigation(spark: SparkSession, sf_dir: str) -> DataFrame:
 _q("investigation_summary", lambda s, d: _investigation(s, d).select("account_number", "role", "risk_band", "edge_count", "root_paise", "downstream_paise", "hops", "truncated", "investigation_id"), None)
 _q("evidence_hash", lambda s, d: evidence.case_file(_investigation(s, d)).select("case_id", "sha256"), None)
 _q("legal_evidence", lambda s, d: evidence.legal_evidence(_investigation(s, d)), None)
-_q("diary_facts", lambda s, d: evidence.facts(_investigation(s, d)), None)
+_q("diary_facts", lambda s, d: evidence.facts(_investigation(s, d), evidence.dataset(ledger(s, d))), None)
 
 
 def _chronology(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = ledger(spark, sf_dir)
     edges = graph.attribution_trace(rows, THROUGH)  # at most as many rows as the trace's cap
-    return evidence.chronology(evidence.investigation(rows, accounts(spark, sf_dir), THROUGH, edges=edges), edges, evidence.findings(accounts(spark, sf_dir), THROUGH))
+    return evidence.chronology(evidence.investigation(rows, accounts(spark, sf_dir), THROUGH, edges=edges), edges)
 
 
 _q("diary_chronology", _chronology, None)
