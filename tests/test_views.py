@@ -81,7 +81,7 @@ def test_labels_from_a_file(spark, tmp_path):
     path = tmp_path / "labels.csv"
     path.write_text("account_number,label\nA,mule\nB,regular\nA,Mule\nC,maybe\n")
     labels = evaluate.read_labels(spark.read.option("header", True).csv(str(path)))
-    assert labels.where("account_number = 'A'").count() >= 1
+    assert [r["label"] for r in labels.where("account_number = 'A'").collect()] == [True, True]
 
 
 @pytest.fixture
@@ -104,6 +104,22 @@ def test_profiles(small):
     assert not same["rows"] and same["null_device_type"]
 
 
+def test_a_whole_profile_is_one_report(small, tmp_path):
+    evidence.write_report(profile.report(small), str(tmp_path / "profile"))
+    (one,) = (tmp_path / "profile").glob("part-*.json")
+    rows = [json.loads(line) for line in one.read_text().splitlines()]
+    parts = {r["section"] for r in rows}
+    assert parts == set(profile.sections(small)) and len(parts) == 13
+    assert [r["row"] for r in rows if r["section"] == "columns"] == list(range(1, 11))
+    (inversions,) = [json.loads(r["content"]) for r in rows if r["section"] == "inversions"]
+    assert inversions == {"inversions": 0}
+
+
+def test_latencies():
+    assert evaluate.latency_stats([30.0, 10.0, 20.0]) == {"min": 10.0, "median": 20.0, "mean": 20.0, "p95": 30.0, "max": 30.0}
+    assert evaluate.latency_stats([float(i) for i in range(1, 101)])["p95"] == 96.0
+
+
 def test_pages(small):
     page = explore.explorer_pages(small, explore.explorer_filter(account="bbb00000001"), 1, 2).first()
     assert (page["total"], page["total_pages"], page["has_next"], page["has_previous"]) == (3, 2, True, False)

@@ -6,6 +6,7 @@ branch and edge caps bound frontiers and results, the frontier is broadcast.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -148,7 +149,7 @@ def _takes(pool: DataFrame, outs: DataFrame, horizon: int | None) -> DataFrame:
     )
 
 
-def attribution_trace(ledger: DataFrame, root: str, root_row_id: int | None = None, config: Trace = Trace()) -> DataFrame:
+def attribution_trace(ledger: DataFrame, root: str, root_row_id: int | None = None, config: Trace = Trace(), lookup: Callable[..., DataFrame] | None = None) -> DataFrame:
     """Edges of money followed from an account's outflows over up to config.hops hops.
 
     Columns: hop, source_row_id (null at the first), destination_row_id, account, destination_account, attributed_paise,
@@ -158,12 +159,14 @@ def attribution_trace(ledger: DataFrame, root: str, root_row_id: int | None = No
     under way stops after the outflow that exceeds them if something was cut before. The reason is that of the first cut.
 
     A hop is one join of the ledger with the accounts of the pool, and windows over the pool's and the outflows' money. The
-    pool and a hop's takes, at most branches + 1 for each of its entries, go through the driver.
+    pool and a hop's takes, at most branches + 1 for each of its entries, go through the driver. lookup: a function from
+    accounts to their transfers, where the ledger is laid out for that (see PartyStore.of).
     """
     spark = ledger.sparkSession
     rank = F.row_number().over(Window.partitionBy("sender_account").orderBy("epoch_s", "row_id"))
     cols = ["sender_account", "receiver_account", "row_id", "epoch_s", "amount_paise"]
-    seeds = ledger.where(F.col("sender_account") == root)
+    of = lookup or (lambda *_: ledger)
+    seeds = of(root).where(F.col("sender_account") == root)
     if root_row_id is not None:
         seeds = seeds.where(F.col("row_id") == root_row_id)
     first = seeds.orderBy("epoch_s", "row_id").select(*cols).limit(config.branches + 1).collect()
@@ -177,7 +180,7 @@ def attribution_trace(ledger: DataFrame, root: str, root_row_id: int | None = No
             break
         front = spark.createDataFrame([p[:5] for p in pool], _POOL)
         names = F.broadcast(front.select(F.col("account").alias("sender_account")).distinct())
-        outs = materialise(ledger.select(*cols).join(names, "sender_account", "left_semi").withColumn("n", rank).where(F.col("n") <= config.branches + 1), "outflows")
+        outs = materialise(of(*dict.fromkeys(p[0] for p in pool)).select(*cols).join(names, "sender_account", "left_semi").withColumn("n", rank).where(F.col("n") <= config.branches + 1), "outflows")
         over = {r[0] for r in outs.where(F.col("n") > config.branches).select("sender_account").collect()}  # at most one row an account of the pool
         takes: dict[str, list] = {}
         for r in _takes(front, outs.where(F.col("n") <= config.branches), config.horizon).collect():

@@ -33,12 +33,27 @@ def account_search(dimension: DataFrame, q: str = "", limit: int = 20) -> DataFr
     return dimension.where(F.col("account_number").ilike(f"%{q.strip()}%")).orderBy(F.desc("transaction_count"), "account_number").limit(max(1, min(100, limit)))
 
 
-def account_detail(ledger: DataFrame, dimension: DataFrame, account: str) -> DataFrame:
-    """One row: the dimension's columns and the modes, branch codes and addresses of the account; none if it is unknown."""
-    own = ledger.where(party(account))
+#: Values that account_detail lists of each kind at most.
+DETAILS = 1_000
+
+
+def account_values(ledger: DataFrame, account: str, kind: str) -> DataFrame:
+    """(value, n): the different values of an account's transfers, of kind "payment_mode", "ip_address", "device_type" or "ifsc" (its own branch codes), and how often they occur; a row each."""
     ifsc = F.when(F.col("sender_account") == account, F.col("sender_ifsc")).otherwise(F.col("receiver_ifsc"))
-    sets = own.agg(F.array_sort(F.collect_set("payment_mode")).alias("payment_modes"), F.array_sort(F.collect_set(ifsc)).alias("ifscs"), F.array_sort(F.collect_set("ip_address")).alias("ip_addresses"))
-    return dimension.where(F.col("account_number") == account).crossJoin(F.broadcast(sets))
+    value = ifsc if kind == "ifsc" else F.col(kind)
+    return ledger.where(party(account)).groupBy(value.alias("value")).agg(F.count(F.lit(1)).alias("n")).where("value IS NOT NULL")
+
+
+def account_detail(ledger: DataFrame, dimension: DataFrame, account: str, listed: int = DETAILS) -> DataFrame:
+    """One row: the dimension's columns and the modes, branch codes and addresses of the account, the first `listed` of each in order; none if it is unknown.
+
+    All different values, as rows, are account_values(); the dimension has their numbers.
+    """
+    out = dimension.where(F.col("account_number") == account)
+    for kind, name in (("payment_mode", "payment_modes"), ("ifsc", "ifscs"), ("ip_address", "ip_addresses")):
+        first = account_values(ledger, account, kind).orderBy("value").limit(listed)
+        out = out.crossJoin(F.broadcast(first.agg(F.array_sort(F.collect_list("value")).alias(name))))
+    return out
 
 
 def account_ledger(ledger: DataFrame, account: str, direction: str = "all", limit: int = 50, offset: int = 0) -> DataFrame:
@@ -161,14 +176,17 @@ def timeline(ledger: DataFrame, accounts: DataFrame, pairs: DataFrame, edges: Da
 
     The window (seconds, ends included) holds for all events; direction, mode and device choose transfers only. Without
     an account there are transfers alone, all of them observed. Columns: event_id, event_type, epoch_s, row_id, direction,
-    amount_paise, counterparty; ordered by time, row and id.
+    amount_paise, counterparty, and truncated, which says of transfers whether the cap left some out; ordered by time, row and id.
     """
-    kind = lambda df, name, **c: df.select(*[c.get(k, F.lit(None).cast(t)).alias(k) for k, t in (("event_id", "string"), ("epoch_s", "long"), ("row_id", "long"), ("direction", "string"), ("amount_paise", "long"), ("counterparty", "string"))], F.lit(name).alias("event_type"))
+    kind = lambda df, name, **c: df.select(*[c.get(k, F.lit(None).cast(t)).alias(k) for k, t in (("event_id", "string"), ("epoch_s", "long"), ("row_id", "long"), ("direction", "string"), ("amount_paise", "long"), ("counterparty", "string"), ("truncated", "boolean"))], F.lit(name).alias("event_type"))
     text = lambda head, *cols: F.concat_ws("_", F.lit(head), *[F.col(c).cast("string") for c in cols])
-    chosen = ledger.where(_timeline_test(account, direction, payment_mode, device_type, start_s, end_s)).orderBy("epoch_s", "row_id").limit(cap or (OWN_CAP if account else GLOBAL_CAP))
+    most = cap or (OWN_CAP if account else GLOBAL_CAP)
+    # one transfer more than the cap tells whether there are more
+    probed = ledger.where(_timeline_test(account, direction, payment_mode, device_type, start_s, end_s)).orderBy("epoch_s", "row_id").limit(most + 1)
+    chosen = probed.withColumn("truncated", F.count(F.lit(1)).over(Window.partitionBy(F.lit(1))) > most).orderBy("epoch_s", "row_id").limit(most)
     into = F.coalesce(F.col("receiver_account") == account, F.lit(False)) if account else F.lit(False)
     way = F.when(into, "INCOMING").otherwise("OUTGOING") if account else F.lit("OBSERVED")
-    parts = [kind(chosen, "TRANSACTION", event_id=text("TX", "row_id"), epoch_s=F.col("epoch_s"), row_id=F.col("row_id"), direction=way, amount_paise=F.col("amount_paise"), counterparty=F.when(into, F.col("sender_account")).otherwise(F.col("receiver_account")))]
+    parts = [kind(chosen, "TRANSACTION", event_id=text("TX", "row_id"), epoch_s=F.col("epoch_s"), row_id=F.col("row_id"), direction=way, amount_paise=F.col("amount_paise"), counterparty=F.when(into, F.col("sender_account")).otherwise(F.col("receiver_account")), truncated=F.col("truncated"))]
     if account:
         seconds = lambda c: F.unix_seconds(F.col(c).cast("timestamp")) - F.unix_seconds(F.lit(start).cast("timestamp"))
         one = accounts.where(F.col("account_number") == account)

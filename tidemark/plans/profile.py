@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators.quantiles import exact_quantiles
 from ..sources.ledger import entity_view
+from .evidence import canonical
 
 COLUMNS = ("row_id", "transaction_id", "sender_account", "receiver_account", "amount_paise", "epoch_s", "payment_mode", "narration", "ip_address", "device_type")
 #: Words that are looked for in narrations, and prefixes of addresses.
@@ -178,3 +179,18 @@ def compare_totals(a: DataFrame, b: DataFrame) -> DataFrame:
         return one.select(F.inline(F.array(*[F.struct(F.lit(c).alias("figure"), F.col(c).cast("long").alias(name)) for c in one.columns])))
 
     return long(a, "a").join(long(b, "b"), "figure").withColumn("same", F.col("a").eqNullSafe(F.col("b")))
+
+
+def sections(ledger: DataFrame) -> dict[str, DataFrame]:
+    """Every section of a ledger's profile, by name; each is a few rows, but for those by account or value."""
+    return {
+        "columns": columns(ledger), "samples": samples(ledger), "top_lists": top_lists(ledger), "hours": hours(ledger), "amounts": amount_percentiles(ledger), "amounts_by_mode": amount_percentiles(ledger, "payment_mode"),
+        "degrees": degree_percentiles(ledger), "gaps": gap_histogram(ledger), "inversions": inversions(ledger), "party_roles": party_roles(ledger), "keywords": keyword_counts(ledger), "addresses": address_classes(ledger), "validation": validation(ledger),
+    }
+
+
+def report(ledger: DataFrame) -> DataFrame:
+    """(section, row, content): the whole profile as one table, a section's rows as JSON in the order of their text."""
+    each = [df.select(F.lit(name).alias("section"), canonical(df).alias("content")) for name, df in sections(ledger).items()]
+    rows = reduce(DataFrame.unionByName, each)
+    return rows.select("section", F.row_number().over(Window.partitionBy("section").orderBy("content")).alias("row"), "content")

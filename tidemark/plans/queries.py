@@ -9,17 +9,17 @@ from pyspark.sql import functions as F
 
 from ..operators import features, fifo, graph, risk, roles, syndicate, velocity
 from ..sources.ledger import derive_ledger
-from ..sources.store import materialise
+from ..sources.store import PartyStore, materialise, party_store
 from . import evaluate, evidence, explore, profile
 
 _kept: dict[tuple, DataFrame] = {}
 
 
-def _keep(kind: str, spark: SparkSession, sf_dir: str, make: Callable[[], DataFrame]) -> DataFrame:
-    """A tier of the store, materialised once a session: many queries read the ledger and the account table."""
+def _keep(kind: str, spark: SparkSession, sf_dir: str, make: Callable, keep: Callable = materialise):
+    """A tier of the store, written once a session: many queries read the ledger and the account table."""
     key = (kind, spark.sparkContext.applicationId, sf_dir)
     if key not in _kept:
-        _kept[key] = materialise(make(), kind)
+        _kept[key] = keep(make(), kind)
     return _kept[key]
 
 
@@ -27,6 +27,11 @@ def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _keep("ledger", spark, sf_dir, lambda: derive_ledger(spark, sf_dir))
 
 
+def parties(spark: SparkSession, sf_dir: str) -> PartyStore:
+    """The ledger laid out for lookups by account and id."""
+    return _keep("parties", spark, sf_dir, lambda: party_store(ledger(spark, sf_dir)), keep=lambda made, _: made)
+
+
 def dimension(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _keep("dimension", spark, sf_dir, lambda: features.accounts_dimension(ledger(spark, sf_dir)))
 
@@ -176,6 +181,10 @@ def query(name: str, sql: str | None, *ctes: str):
 SCORED = (FEATURES, ROLES, VELOCITY, RISK)
 
 
+def _trace(spark: SparkSession, sf_dir: str, account: str) -> DataFrame:
+    return graph.attribution_trace(ledger(spark, sf_dir), account, lookup=parties(spark, sf_dir).of)
+
+
 def _q(name: str, f: Callable, sql: str | None, *ctes: str) -> None:
     query(name, sql, *ctes)(f)
 
@@ -284,32 +293,40 @@ inside AS (SELECT x.node AS source, y.node AS target, receiver_account, amount_p
 _DIR = "dir AS (SELECT DISTINCT sender_account AS a, receiver_account AS b FROM ledger)"
 _q("network_clusters", lambda s, d: graph.collapsed(_network(s, d), HUB)[0], _MERGED + " SELECT node, min(layer) AS layer, min(parent) AS parent, count(*) AS size, cast(coalesce(sum(r.paise),0) as bigint) AS paise FROM named LEFT JOIN (SELECT receiver_account, sum(amount_paise) AS paise FROM inside GROUP BY 1) r ON r.receiver_account=account GROUP BY 1", _DIR)
 _q("network_cluster_edges", lambda s, d: graph.collapsed(_network(s, d), HUB)[1], _MERGED + " SELECT source, target, count(*) AS n, cast(sum(amount_paise) as bigint) AS paise FROM inside WHERE source<>target GROUP BY 1,2", _DIR)
-_q("trace_attribution_hops", lambda s, d: graph.attribution_trace(ledger(s, d), HUB), None)
-_q("trace_cycles", lambda s, d: graph.cycles(graph.attribution_trace(ledger(s, d), HUB)), None)
-_q("trace_branch_paths", lambda s, d: graph.branch_paths(graph.attribution_trace(ledger(s, d), HUB)), None)
-_q("trace_terminals", lambda s, d: graph.terminals(graph.attribution_trace(ledger(s, d), HUB)), None)
+_q("trace_attribution_hops", lambda s, d: _trace(s, d, HUB), None)
+_q("trace_cycles", lambda s, d: graph.cycles(_trace(s, d, HUB)), None)
+_q("trace_branch_paths", lambda s, d: graph.branch_paths(_trace(s, d, HUB)), None)
+_q("trace_terminals", lambda s, d: graph.terminals(_trace(s, d, HUB)), None)
 
 _q("mule_list_filtered", lambda s, d: explore.mule_list(accounts(s, d), role="ANY", min_risk=30.0, sort_by="inflow", limit=50, offset=10).select("account_number", "role", "risk_band", "mule_risk_index", "incoming_volume"), """ SELECT account_number, CASE WHEN cast(layer1_candidate as int)+cast(layer2_candidate as int)+cast(layer3_candidate as int)>1 THEN 'MIXED' WHEN layer1_candidate THEN 'L1_COLLECTOR' WHEN layer2_candidate THEN 'L2_DISTRIBUTOR' ELSE 'L3_TERMINAL' END AS role, risk_band, mule_risk_index::double AS mule_risk_index, incoming_volume
   FROM risk WHERE (layer1_candidate OR layer2_candidate OR layer3_candidate) AND mule_risk_index>=30 ORDER BY incoming_volume DESC NULLS LAST, account_number LIMIT 50 OFFSET 10""", *SCORED)
 _q("mule_summary", lambda s, d: explore.mule_summary(accounts(s, d)), " SELECT count(*) AS accounts, " + ", ".join(f"count(*) FILTER (WHERE {c}) AS {n}" for n, c in (("layer1", "layer1_candidate"), ("layer2", "layer2_candidate"), ("layer3", "layer3_candidate"), ("velocity", "pass_through_candidate"), ("predicted", "predicted_mule_candidate"), ("high_risk_count", "mule_risk_index>=70"))) + " FROM acct", *SCORED, SYNDICATE)
 _q("account_detail_modes", lambda s, d: ledger(s, d).where(explore.party(HUB)).groupBy("payment_mode").agg(F.count(F.lit(1)).alias("n"), F.sum("amount_paise").alias("paise")), f" SELECT payment_mode, count(*) AS n, cast(sum(amount_paise) as bigint) AS paise FROM ledger WHERE sender_account='{HUB}' OR receiver_account='{HUB}' GROUP BY 1")
-_q("account_ifscs", lambda s, d: explore.account_detail(ledger(s, d), dimension(s, d), HUB).select("account_number", F.explode("ifscs").alias("ifsc")), f" SELECT DISTINCT '{HUB}' AS account_number, ifsc FROM e WHERE acc='{HUB}'")
-_q("account_ips", lambda s, d: explore.account_detail(ledger(s, d), dimension(s, d), HUB).select("account_number", F.explode("ip_addresses").alias("ip_address")), f" SELECT DISTINCT acc AS account_number, ip_address FROM e WHERE acc='{HUB}'")
-_q("account_ledger_page", lambda s, d: explore.account_ledger(ledger(s, d), HUB, "in", 50, 10).select("row_id", "transaction_id", "sender_account", "amount_paise"), f" SELECT row_id, transaction_id, sender_account, amount_paise FROM ledger WHERE receiver_account='{HUB}' ORDER BY amount_paise DESC NULLS LAST, row_id LIMIT 50 OFFSET 10")
+_q("account_ifscs", lambda s, d: explore.account_values(parties(s, d).of(HUB), HUB, "ifsc").select(F.lit(HUB).alias("account_number"), F.col("value").alias("ifsc")), f" SELECT DISTINCT '{HUB}' AS account_number, ifsc FROM e WHERE acc='{HUB}'")
+_q("account_detail", lambda s, d: explore.account_detail(parties(s, d).of(HUB), dimension(s, d), HUB).select("account_number", "transaction_count", *[F.array_join(c, ",").alias(c) for c in ("payment_modes", "ifscs", "ip_addresses")]), f" SELECT '{HUB}' AS account_number, count(*) AS transaction_count, string_agg(DISTINCT payment_mode, ',' ORDER BY payment_mode) AS payment_modes, string_agg(DISTINCT ifsc, ',' ORDER BY ifsc) AS ifscs, string_agg(DISTINCT ip_address, ',' ORDER BY ip_address) AS ip_addresses FROM e WHERE acc='{HUB}'")
+_q("account_ips", lambda s, d: explore.account_values(parties(s, d).of(HUB), HUB, "ip_address").select(F.lit(HUB).alias("account_number"), F.col("value").alias("ip_address")), f" SELECT DISTINCT acc AS account_number, ip_address FROM e WHERE acc='{HUB}'")
+def _lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The transfers with the least id that the pass-through account has sent."""
+    found = parties(spark, sf_dir)
+    one = found.of(THROUGH).where(F.col("sender_account") == THROUGH).agg(F.min("transaction_id")).first()[0]
+    return found.by_id(one).select("row_id", "sender_account", "receiver_account", "amount_paise")
+
+
+_q("transfer_lookup", _lookup, f" SELECT row_id, sender_account, receiver_account, amount_paise FROM ledger WHERE transaction_id=(SELECT min(transaction_id) FROM ledger WHERE sender_account='{THROUGH}')")
+_q("account_ledger_page", lambda s, d: explore.account_ledger(parties(s, d).of(HUB), HUB, "in", 50, 10).select("row_id", "transaction_id", "sender_account", "amount_paise"), f" SELECT row_id, transaction_id, sender_account, amount_paise FROM ledger WHERE receiver_account='{HUB}' ORDER BY amount_paise DESC NULLS LAST, row_id LIMIT 50 OFFSET 10")
 _q("explorer_page", lambda s, d: explore.explorer_page(ledger(s, d), explore.explorer_filter(payment_mode="upi", min_paise=50_000, max_paise=300_000, narration="n_o", device_type="Android"), "amount", "desc", 2, 50).select("row_id", "transaction_id", "amount_paise", "epoch_s", "is_duplicate_id"), " SELECT row_id, transaction_id, amount_paise, epoch_s, (SELECT count(*) FROM ledger x WHERE x.transaction_id=l.transaction_id)>1 AS is_duplicate_id FROM (SELECT * FROM ledger WHERE payment_mode='UPI' AND amount_paise BETWEEN 50000 AND 300000 AND narration ILIKE '%n_o%' AND device_type='Android' ORDER BY amount_paise DESC, epoch_s DESC, row_id LIMIT 50 OFFSET 50) l")
 _q("explorer_duplicates", lambda s, d: explore.duplicate_ids(ledger(s, d)), " SELECT transaction_id, count(*) AS n, min(row_id) AS first_row_id FROM ledger GROUP BY 1 HAVING count(*)>1")
 _q("tx_detail_enriched", lambda s, d: explore.enriched(ledger(s, d), accounts(s, d), explore.stable_id("row_10")).select("row_id", "transaction_id", "sender_account", "receiver_account", "sender_risk", "receiver_risk", "same_id"), " SELECT l.row_id, l.transaction_id, l.sender_account, l.receiver_account, a.mule_risk_index::double AS sender_risk, b.mule_risk_index::double AS receiver_risk, (SELECT count(*) FROM ledger x WHERE x.transaction_id=l.transaction_id) AS same_id FROM ledger l JOIN risk a ON a.account_number=l.sender_account JOIN risk b ON b.account_number=l.receiver_account WHERE l.row_id=10", *SCORED)
 
 
 def _timeline(spark: SparkSession, sf_dir: str, **filters) -> DataFrame:
-    rows = ledger(spark, sf_dir)
-    own = rows.where(explore.party(THROUGH))
-    return explore.timeline(rows, accounts(spark, sf_dir), velocity.velocity_pairs(own), fifo.fifo_edges(own), THROUGH, **filters)
+    own = parties(spark, sf_dir).of(THROUGH)
+    return explore.timeline(own, accounts(spark, sf_dir), velocity.velocity_pairs(own), fifo.fifo_edges(own), THROUGH, **filters)
 
 
 def _dense_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The timeline with -1 and 0 for what an event lacks."""
-    return _timeline(spark, sf_dir).na.fill({"row_id": -1, "amount_paise": 0})
+    return _timeline(spark, sf_dir).drop("truncated").na.fill({"row_id": -1, "amount_paise": 0})
 
 
 _OWN = f"own AS (SELECT * FROM ledger WHERE sender_account='{THROUGH}' OR receiver_account='{THROUGH}')"
@@ -326,17 +343,18 @@ _q("timeline_events", _dense_timeline, " SELECT event_id, epoch_s, coalesce(row_
 def _filtered_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The second page of a window's outgoing UPI transfers, with the other events of the window."""
     events = _timeline(spark, sf_dir, direction="out", payment_mode="upi", start_s=200_000, end_s=900_000)
-    return explore.timeline_page(events, 2, 40).na.fill({"row_id": -1, "amount_paise": 0})
+    return explore.timeline_page(events.drop("truncated"), 2, 40).na.fill({"row_id": -1, "amount_paise": 0})
 
 
 _q("timeline_page", _filtered_page, f", kept AS (SELECT * FROM events WHERE epoch_s BETWEEN 200000 AND 900000 AND (event_type<>'TRANSACTION' OR row_id IN (SELECT row_id FROM own WHERE sender_account='{THROUGH}' AND payment_mode='UPI'))) SELECT event_id, epoch_s, coalesce(row_id,-1) AS row_id, direction, coalesce(amount_paise,0) AS amount_paise, counterparty, event_type, (SELECT count(*) FROM kept) AS total_events, (SELECT count(*) FROM kept)>80 AS has_more FROM (SELECT * FROM kept ORDER BY epoch_s, coalesce(row_id,-1), event_id LIMIT 40 OFFSET 40)", *_TIMELINE)
 _q("timeline_counts", lambda s, d: explore.event_counts(_timeline(s, d)), " SELECT event_type, count(*) AS n FROM events GROUP BY 1", *_TIMELINE)
 _q("timeline_global", lambda s, d: explore.timeline(ledger(s, d), accounts(s, d), None, None, None, device_type="iOS", event_type="transaction").select("event_id", "epoch_s", "row_id", "direction", "amount_paise", "counterparty"), " SELECT 'TX_'||row_id AS event_id, epoch_s, row_id, 'OBSERVED' AS direction, amount_paise, receiver_account AS counterparty FROM ledger WHERE device_type='iOS' ORDER BY epoch_s, row_id LIMIT 1000")
-_q("timeline_summary", lambda s, d: explore.timeline_summary(ledger(s, d), THROUGH), f" SELECT count(*) AS n, cast(coalesce(sum(amount_paise) FILTER (WHERE receiver_account='{THROUGH}'),0) as bigint) AS in_paise, cast(coalesce(sum(amount_paise) FILTER (WHERE sender_account='{THROUGH}'),0) as bigint) AS out_paise, min(epoch_s) AS first_s, max(epoch_s) AS last_s FROM ledger WHERE sender_account='{THROUGH}' OR receiver_account='{THROUGH}'")
+_q("timeline_cut", lambda s, d: _timeline(s, d, cap=20, event_type="transaction").select("row_id", "truncated"), f" SELECT row_id, (SELECT count(*) FROM own)>20 AS truncated FROM (SELECT * FROM own ORDER BY epoch_s, row_id LIMIT 20)", _OWN)
+_q("timeline_summary", lambda s, d: explore.timeline_summary(parties(s, d).of(THROUGH), THROUGH), f" SELECT count(*) AS n, cast(coalesce(sum(amount_paise) FILTER (WHERE receiver_account='{THROUGH}'),0) as bigint) AS in_paise, cast(coalesce(sum(amount_paise) FILTER (WHERE sender_account='{THROUGH}'),0) as bigint) AS out_paise, min(epoch_s) AS first_s, max(epoch_s) AS last_s FROM ledger WHERE sender_account='{THROUGH}' OR receiver_account='{THROUGH}'")
 
 
 def _investigation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evidence.investigation(ledger(spark, sf_dir), accounts(spark, sf_dir), THROUGH)
+    return evidence.investigation(parties(spark, sf_dir).of(THROUGH), accounts(spark, sf_dir), THROUGH, edges=_trace(spark, sf_dir, THROUGH))
 
 
 _q("investigation_summary", lambda s, d: _investigation(s, d).select("account_number", "role", "risk_band", "edge_count", "root_paise", "downstream_paise", "hops", "truncated", "investigation_id"), None)
@@ -346,14 +364,22 @@ _q("diary_facts", lambda s, d: evidence.facts(_investigation(s, d), evidence.dat
 
 
 def _chronology(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = ledger(spark, sf_dir)
-    edges = graph.attribution_trace(rows, THROUGH)  # at most as many rows as the trace's cap
-    return evidence.chronology(evidence.investigation(rows, accounts(spark, sf_dir), THROUGH, edges=edges), edges)
+    edges = _trace(spark, sf_dir, THROUGH)  # at most as many rows as the trace's cap
+    return evidence.chronology(evidence.investigation(parties(spark, sf_dir).of(THROUGH), accounts(spark, sf_dir), THROUGH, edges=edges), edges)
 
 
 _q("diary_chronology", _chronology, None)
 _q("diary_findings", lambda s, d: evidence.findings(accounts(s, d), HUB).select("code", "points"), f" SELECT code, points FROM ({_REASONS}) WHERE account_number='{HUB}' ORDER BY points DESC, code LIMIT 5", *SCORED)
-_q("diary_narrative", lambda s, d: evidence.check_narratives(evidence.narrative(_investigation(s, d)), [THROUGH]).select("account_number", F.size("violations").alias("violations"), "passes"), f" SELECT '{THROUGH}' AS account_number, 0 AS violations, true AS passes")
+def _narrative(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The check of a narrative that names the account and the ends of its money, and the paragraph on its activity."""
+    inv = _keep("investigation", spark, sf_dir, lambda: _investigation(spark, sf_dir))
+    ends = [t["destination_account"] for t in inv.first()["terminals"][: evidence.TERMINAL_FACTS]]
+    checked = evidence.check_narratives(evidence.narrative(inv), [THROUGH, *ends])
+    return checked.select("account_number", F.size("violations").alias("violations"), "passes", F.split("text", "\n\n")[1].alias("activity"))
+
+
+_ACTIVITY = f"'{evidence.SECTIONS[1]}'||chr(10)||'INR '||format('{{:,.2f}}', incoming_volume)||' came in by '||incoming_txn_count||' transfers and INR '||format('{{:,.2f}}', outgoing_volume)||' went out by '||outgoing_txn_count||', with '||unique_counterparties||' counterparties.'"
+_q("diary_narrative", _narrative, f" SELECT account_number, 0 AS violations, true AS passes, {_ACTIVITY} AS activity FROM feat WHERE account_number='{THROUGH}'", FEATURES)
 
 
 def _told(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -364,8 +390,8 @@ def _told(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _q("narrative_guardrail", lambda s, d: evidence.check_narratives(_told(s, d), [HUB, THROUGH]).select("row_id", F.size("unknown_accounts").cast("long").alias("unknown"), "forbidden", F.size("violations").cast("long").alias("violations"), "passes"), f" SELECT row_id, x AS unknown, f AS forbidden, v AS violations, v=0 AS passes FROM (SELECT *, cast(x>0 as bigint)+cast(f as bigint)+cast(row_id%5=0 as bigint) AS v FROM (SELECT row_id, row_id%7=0 OR row_id%11=0 AS f, cast(CASE WHEN sender_account IN ('{HUB}','{THROUGH}') THEN 0 ELSE 1 END + CASE WHEN receiver_account IN ('{HUB}','{THROUGH}') OR receiver_account=sender_account THEN 0 ELSE 1 END as bigint) AS x FROM ledger))")
-_q("trace_hop_summary", lambda s, d: graph.hop_summary(graph.attribution_trace(ledger(s, d), THROUGH)), None)
-_q("trace_node_sums", lambda s, d: graph.node_sums(graph.attribution_trace(ledger(s, d), THROUGH)), None)
+_q("trace_hop_summary", lambda s, d: graph.hop_summary(_trace(s, d, THROUGH)), None)
+_q("trace_node_sums", lambda s, d: graph.node_sums(_trace(s, d, THROUGH)), None)
 
 
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
