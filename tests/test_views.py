@@ -1,8 +1,10 @@
 """Raw ledgers, stores, views and profiles on small data with known results."""
 
 import json
+import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.operators import graph
 from tidemark.plans import evaluate, evidence, explore, profile
@@ -115,6 +117,24 @@ def test_a_whole_profile_is_one_report(small, tmp_path):
     assert inversions == {"inversions": 0}
 
 
+def test_evaluation_reports(spark, tmp_path):
+    """Four accounts, of which two are collectors; one label is repeated, one unknown, one of no account, one account has none."""
+    flags = sorted({w for sql in evaluate.POLICIES.values() for w in re.findall(r"\b[a-z][a-z0-9_]+\b", sql)} - {"and", "or", "not"})
+    rows = spark.createDataFrame([("A", True), ("B", True), ("C", False), ("D", False)], "account_number string, on boolean")
+    accounts = rows.select("account_number", *[(F.col("on").cast("double") * 100).alias(f) if f.endswith("index") else F.col("on").alias(f) for f in flags])
+    labels = evaluate.read_labels(spark.createDataFrame([("A", "mule"), ("A", "mule"), ("B", "regular"), ("C", "what"), ("Z", "mule")], "account string, label string"))
+    evaluate_rows = {r["policy"]: r for r in evaluate.report(accounts, labels).collect()}
+    r = evaluate_rows["L1_candidate"]
+    assert (r["predicted"], r["tp"], r["fp"], r["fn"], r["tn"], r["precision"], r["recall"]) == (2, 1, 1, 1, 0, 0.5, 0.5)
+    assert (r["labelled"], r["repeated"], r["unrecognised"], r["missing"], r["unlabelled"]) == (4, 1, 1, 1, 1)
+    assert r["definition"] == evaluate.POLICIES["L1_candidate"] and evaluate_rows.keys() == evaluate.POLICIES.keys()
+    evidence.write_report(evaluate.report(accounts), str(tmp_path / "plain.csv"), "csv")
+    (one,) = (tmp_path / "plain.csv").glob("part-*.csv")
+    lines = one.read_text().splitlines()
+    assert lines[0] == "policy,definition,predicted,population,positive_rate,status" and len(lines) == 1 + len(evaluate.POLICIES)
+    assert any(line.startswith("L1_candidate,") and line.endswith(",2,4,0.5,AWAITING_GROUND_TRUTH") for line in lines)
+
+
 def test_latencies():
     assert evaluate.latency_stats([30.0, 10.0, 20.0]) == {"min": 10.0, "median": 20.0, "mean": 20.0, "p95": 30.0, "max": 30.0}
     assert evaluate.latency_stats([float(i) for i in range(1, 101)])["p95"] == 96.0

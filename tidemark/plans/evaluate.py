@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Each policy's name and its test on the finished account table.
@@ -67,6 +67,26 @@ def policy_counts(accounts: DataFrame) -> DataFrame:
     return counted.select(F.inline(F.array(*[F.struct(F.lit(n).alias("policy"), F.col(n).alias("accounts")) for n in POLICIES])))
 
 
+def definitions(spark: SparkSession) -> DataFrame:
+    """(policy, definition): each policy's test."""
+    return spark.createDataFrame(list(POLICIES.items()), "policy string, definition string")
+
+
+def report(accounts: DataFrame, labels: DataFrame | None = None) -> DataFrame:
+    """A row for each policy, to be written as a report: its definition and predictions, and with labels its counts and rates.
+
+    With labels: predicted, tp, tn, fp, fn, total, precision, recall, f1, specificity, fpr over the labelled accounts, and the
+    cohort's integrity: labelled, repeated, unrecognised, missing and unlabelled accounts. Without: predicted, population,
+    positive_rate over all accounts, and a status that says that labels are awaited.
+    """
+    named = F.broadcast(definitions(accounts.sparkSession))
+    if labels is None:
+        counted = policy_counts(accounts).crossJoin(F.broadcast(accounts.agg(F.count(F.lit(1)).alias("population"))))
+        return counted.join(named, "policy").select("policy", "definition", F.col("accounts").alias("predicted"), "population", _rate(F.col("accounts"), F.col("population")).alias("positive_rate"), F.lit("AWAITING_GROUND_TRUTH").alias("status"))
+    rows = confusion(labels, accounts).join(named, "policy").crossJoin(F.broadcast(label_audit(labels, accounts)))
+    return rows.select("policy", "definition", (F.col("tp") + F.col("fp")).alias("predicted"), *[c for c in rows.columns if c not in ("policy", "definition")])
+
+
 def latency_stats(ms: list[float]) -> dict:
     x = sorted(ms)
     return {"min": x[0], "median": (x[(len(x) - 1) // 2] + x[len(x) // 2]) / 2, "mean": sum(x) / len(x), "p95": x[-1] if len(x) < 5 else x[min(len(x) - 1, int(0.95 * len(x)))], "max": x[-1]}
