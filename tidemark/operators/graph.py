@@ -129,6 +129,8 @@ def reachable(ledger: DataFrame, account: str, hops: int = 4) -> DataFrame:
     return found
 
 
+#: Reasons why a trace is cut.
+ROOT_CUT, ACCOUNT_CUT, EDGES_CUT = "ROOT_OUTGOING_BRANCH_LIMIT", "ACCOUNT_OUTGOING_BRANCH_LIMIT:{}", "Exceeded maximum trace edges ({})"
 _POOL = "account string, seq long, row_id long, epoch_s long, paise long"
 _EDGES = "hop int, source_row_id long, destination_row_id long, account string, destination_account string, attributed_paise long, delay_s long, cycle boolean, path array<string>, epoch_s long"
 
@@ -170,7 +172,7 @@ def attribution_trace(ledger: DataFrame, root: str, root_row_id: int | None = No
     if root_row_id is not None:
         seeds = seeds.where(F.col("row_id") == root_row_id)
     first = seeds.orderBy("epoch_s", "row_id").select(*cols).limit(config.branches + 1).collect()
-    reason = "ROOT_OUTGOING_BRANCH_LIMIT" if len(first) > config.branches else None
+    reason = ROOT_CUT if len(first) > config.branches else None
     edges, pool = [], []
     for r in first[: config.branches]:
         edges.append((1, None, r["row_id"], root, r["receiver_account"], r["amount_paise"], 0, False, [root, r["receiver_account"]], r["epoch_s"]))
@@ -188,10 +190,10 @@ def attribution_trace(ledger: DataFrame, root: str, root_row_id: int | None = No
         entries, pool = pool, []
         for account in dict.fromkeys(p[0] for p in entries):
             if len(edges) >= config.edges:
-                reason = reason or f"Exceeded maximum trace edges ({config.edges})"
+                reason = reason or EDGES_CUT.format(config.edges)
                 break
             if account in over:
-                reason = reason or f"ACCOUNT_OUTGOING_BRANCH_LIMIT:{account}"
+                reason = reason or ACCOUNT_CUT.format(account)
             paying = None
             for t in sorted(takes.get(account, ()), key=lambda t: (t["epoch_s"], t["destination_row_id"], entries[t["seq"]][3], entries[t["seq"]][2], t["seq"])):
                 if paying not in (None, t["destination_row_id"]) and reason and len(edges) >= config.edges:

@@ -274,7 +274,14 @@ _WALK = lambda edges, hops: f", walk AS (SELECT '{HUB}' AS account, 0 AS hop UNI
 _q("ego_graph_2hop", lambda s, d: graph.neighbourhood(ledger(s, d), HUB, 2, None)[0], _WALK("und", 2), _BOTH)
 _q("ego_graph_edges", lambda s, d: graph.neighbourhood(ledger(s, d), HUB, 1, None)[1], f" SELECT sender_account||'_'||receiver_account||'_'||transaction_id||'_'||epoch_s||'_'||row_id AS edge_id, row_id, sender_account AS source, receiver_account AS target, amount_paise, epoch_s FROM ledger WHERE sender_account='{HUB}' OR receiver_account='{HUB}'")
 _q("trace_structural_hops", lambda s, d: graph.reachable(ledger(s, d), HUB, 4), _WALK("dir", 4), "dir AS (SELECT DISTINCT sender_account AS a, receiver_account AS b FROM ledger)")
-_q("trace_structural_paths", lambda s, d: graph.structural_trace(ledger(s, d), HUB).paths, None)
+
+
+def _structural_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = graph.structural_trace(ledger(spark, sf_dir), HUB)
+    return found.paths.withColumn("truncated", F.lit(found.truncated))
+
+
+_q("trace_structural_paths", _structural_paths, None)
 _q("trace_structural_edges", lambda s, d: graph.structural_trace(ledger(s, d), HUB).edges, None)
 _q("trace_structural_nodes", lambda s, d: graph.structural_trace(ledger(s, d), HUB).nodes, None)
 
