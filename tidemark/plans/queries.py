@@ -267,7 +267,19 @@ def _tx_fifo(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _q("fifo_tx_attribution", _tx_fifo, f", one AS (SELECT min(row_id) AS row_id FROM ledger WHERE transaction_id=(SELECT min(transaction_id) FROM ledger WHERE sender_account='{THROUGH}')), own AS (SELECT edges.* FROM edges JOIN one ON destination_row_id=row_id) SELECT l.row_id AS destination_row_id, coalesce(source_row_id,-1) AS source_row_id, coalesce(attributed_paise,-1) AS attributed_paise, coalesce(delay_s,-1) AS delay_s, cast(greatest(0, amount_paise-coalesce(sum(attributed_paise) OVER (),0)) as bigint) AS remaining_paise FROM ledger l JOIN one ON l.row_id=one.row_id LEFT JOIN own ON own.destination_row_id=l.row_id AND own.account=l.sender_account", FIFO)
-_q("fifo_horizon_records", lambda s, d: fifo.horizon_records(ledger(s, d), 6 * 3600), None)
+HORIZON = 6 * 3600
+#: The same step by step: each account's outflows one after the other, all accounts' at a time.
+_STEPS = f"""ins AS (SELECT receiver_account AS acc, row_id, epoch_s, epoch_s*10000000+row_id AS at, amount_paise AS p, sum(amount_paise) OVER w AS hi, count(*) OVER w AS n FROM ledger WINDOW w AS (PARTITION BY receiver_account ORDER BY epoch_s, row_id)),
+outs AS (SELECT sender_account AS acc, row_id, epoch_s, epoch_s*10000000+row_id AS at, amount_paise AS p, row_number() OVER (PARTITION BY sender_account ORDER BY epoch_s, row_id) AS j FROM ledger),
+had AS (SELECT o.*, coalesce(i.hi,0) AS have, coalesce(i.n,0) AS n_in FROM outs o ASOF LEFT JOIN ins i ON o.acc=i.acc AND o.at>i.at),
+bound AS (SELECT o.*, coalesce(i.hi,0) AS gone, coalesce(i.n,0) AS n_gone FROM had o ASOF LEFT JOIN ins i ON o.acc=i.acc AND (o.epoch_s-{HORIZON})*10000000>i.at),
+step AS (SELECT DISTINCT acc, 0::BIGINT AS j, 0::HUGEINT AS lo, 0::HUGEINT AS done FROM outs UNION ALL
+  SELECT b.acc, b.j, greatest(done, gone), greatest(done, least(greatest(done, gone)+p, have)) FROM step JOIN bound b ON b.acc=step.acc AND b.j=step.j+1),
+used AS (SELECT b.*, lo, done FROM bound b JOIN step USING (acc, j))"""
+_q("fifo_horizon_records", lambda s, d: fifo.horizon_records(ledger(s, d), HORIZON), """ -- recursive
+SELECT u.acc AS account, i.row_id AS source_row_id, u.row_id AS destination_row_id, cast(least(i.hi, done)-greatest(i.hi-i.p, lo) as bigint) AS attributed_paise, u.epoch_s-i.epoch_s AS delay_s, NULL::BIGINT AS unallocated_paise, NULL::VARCHAR AS reason
+FROM used u JOIN ins i ON i.acc=u.acc AND i.hi>lo AND i.hi-i.p<done WHERE least(i.hi, done)>greatest(i.hi-i.p, lo)
+UNION ALL SELECT acc, NULL, row_id, NULL, NULL, cast(p-(done-lo) as bigint), CASE WHEN n_in=0 THEN 'NO_PRIOR_INFLOW' WHEN n_gone=n_in THEN 'HORIZON_EXCEEDED' ELSE 'INFLOW_DEPLETED' END FROM used WHERE p>done-lo""", _STEPS)
 
 _BOTH = "und AS (SELECT sender_account AS a, receiver_account AS b FROM ledger UNION SELECT receiver_account, sender_account FROM ledger)"
 _WALK = lambda edges, hops: f", walk AS (SELECT '{HUB}' AS account, 0 AS hop UNION SELECT b, hop+1 FROM walk JOIN {edges} ON a=account WHERE hop<{hops}) -- recursive\n SELECT account, min(hop) AS hop FROM walk GROUP BY 1"
