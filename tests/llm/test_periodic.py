@@ -15,16 +15,13 @@ from tidemark.llm.queries import QUERIES
 def plain_runs(words, least=12):
     """Every period's stretches; a stretch that several periods have belongs to the least."""
     n, found = len(words), {}
+    codes = np.unique(np.array(words, dtype=object), return_inverse=True)[1] if n else np.zeros(0)
     for p in range(1, n // 2 + 1):
-        i = 0
-        while i + p < n:
-            start = i
-            while i + p < n and words[i] == words[i + p]:
-                i += 1
-            length = i - start + p
-            if i > start and length >= max(2 * p, least):
-                found.setdefault((start, length), p)
-            i += 1
+        same = np.concatenate([[False], codes[:-p] == codes[p:], [False]])
+        ends = np.flatnonzero(same[1:] != same[:-1])
+        for start, end in zip(ends[::2].tolist(), ends[1::2].tolist()):
+            if end - start + p >= max(2 * p, least):
+                found.setdefault((start, end - start + p), p)
     return sorted(((s, size, p) for (s, size), p in found.items()), key=lambda r: (r[0], r[2]))
 
 
