@@ -205,6 +205,21 @@ def test_op9_beats_the_base_when_held_out(result):
     assert sum(r["score"] for r in out) > sum(r["base_score"] for r in out)
 
 
+def test_op9_beats_the_base_on_known_tokens_when_held_out(result, docs):
+    """Tokens of training apart from others, which the base doesn't spell; repeated tokens count each time."""
+    got, count = result("op9_attention_lm"), Counter()
+    tokens = {d["doc_id"]: [*words(d["text"], lower=True), None] for d in docs}
+    for d, ts in tokens.items():
+        if not held(d, 5, 1):
+            count.update(ts)
+    n, v = sum(count.values()), len(count)
+    for d, ts in tokens.items():
+        assert got[d]["known_base"] == pytest.approx(sum(log10((count[t] + 0.5) / (n + 0.5 * (v + 1))) for t in ts if count[t]))
+        assert got[d]["score"] - 1e-6 <= got[d]["known_score"] < 0
+    out = [r for r in got.values() if r["held_out"] and r["doc_id"] < 10_000_000]
+    assert sum(r["known_score"] for r in out) > sum(r["known_base"] for r in out)
+
+
 def plain_dedup(docs, window=50):
     """(words, kept words) by doc_id."""
     first, out = {}, {}
