@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from tidemark.operators import features
+from tidemark.operators import features, velocity
 from tidemark.plans import queries
 from tidemark.sources import ledger as source
 
@@ -33,6 +33,21 @@ def test_features_are_gathered_by_one_shuffle(spark):
     same(by_account(whole), by_account(features.account_features(rows, few=150)))  # some are hubs
 
 
+def test_velocity_is_gathered_by_one_shuffle(spark):
+    rows = queries.ledger(spark, SF)
+    whole = velocity.velocity_accounts(rows)
+    assert shuffles(whole) <= 1  # none where there is one part
+    same(by_account(whole), by_account(velocity.velocity_accounts(rows, few=0)))
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_velocity_of_many_transfers_of_a_second(spark, seed):
+    draw = random.Random(seed)
+    drawn = [(i, f"T{i}", draw.choice("ABCD"), draw.choice("ABCD"), draw.choice([100, 100, 250, 900]), draw.choice([0, 60, 61, 240, 241, 960, 961, 1_000, 90_000, 90_001])) for i in range(120)]
+    rows = spark.createDataFrame(drawn, "row_id long, transaction_id string, sender_account string, receiver_account string, amount_paise long, epoch_s long")
+    same(by_account(velocity.velocity_accounts(rows)), by_account(velocity.velocity_accounts(rows, few=0)))
+
+
 def test_rows_are_numbered_without_a_second_shuffle(spark):
     draw = random.Random(5)
     keys = draw.sample(range(10_000), 3_000)
