@@ -95,3 +95,14 @@ def test_files_are_digested_in_streams(spark, tmp_path, chunk):
     finally:
         spark.conf.set("spark.sql.sources.binaryFile.maxLength", before)
     assert got == {name: (n, hashlib.sha256((tmp_path / name).read_bytes()).hexdigest()) for name, n in sizes.items()}
+
+
+def test_a_bucket_is_one_file(spark, laid_out):
+    """As many files as buckets, each with its own Bloom filters, and not one for each task and bucket."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        parties = store.party_store(laid_out[0], rows_a_bucket=1_500)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    buckets = int(spark.sql(f"DESCRIBE EXTENDED {parties.table}").where("col_name = 'Num Buckets'").first()["data_type"])
+    assert len(spark.table(parties.table).inputFiles()) <= buckets
