@@ -134,3 +134,60 @@ def test_a_trained_model_knows_more_than_the_words_counts(spark):
     rows = [(i, " ".join(draw.choice(kinds[i % 2], 60))) for i in range(400)]
     got = lm.lm_scores(spark.createDataFrame(rows, "doc_id long, text string").repartition(2), TOKENIZER).where("held_out").collect()
     assert len(got) > 40 and sum(r["score"] for r in got) > sum(r["base_score"] for r in got)
+
+
+def toy_model(seed: int = 3) -> lm.LanguageModel:
+    begins = np.zeros(SIZE, dtype=bool)
+    begins[[r for t, r in TOY.items() if t.startswith(b" ")] + [SIZE - 1]] = True
+    counts = np.random.default_rng(seed).integers(0, 9, SIZE).astype(float)
+    classes = lm.class_table(np.random.default_rng(seed).standard_normal((SIZE, lm.NEAR)), counts, begins)
+    assert not set(classes[begins]) & set(classes[~begins])
+    in_class = np.bincount(classes, counts + 0.5, minlength=lm.CLASSES)
+    return lm.LanguageModel(random_weights(size=SIZE), classes, (counts + 0.5) / in_class[classes], (counts + 0.5) / (counts + 0.5).sum(), begins)
+
+
+def test_all_ids_of_whole_texts_are_read_and_predicted(spark, monkeypatch):
+    """Not only the first id of each word: the attention is fitted on, and scores, every id of every text."""
+    seen, fit = {}, lm.fit_model
+
+    def noted(training, counts, begins):
+        seen["ids"] = sorted(tuple(r["ids"]) for r in training.collect())
+        seen["counts"] = counts
+        return fit(training, counts, begins)
+
+    monkeypatch.setattr(lm, "fit_model", noted)
+    monkeypatch.setattr(lm, "WORDS_AT_ONCE", 50)
+    texts = [(i, f"Unbelievably{i} reorganised abab  x{'y' * i}\n" * 9) for i in range(12)] + [(20, None), (21, "")]
+    got = lm.lm_scores(spark.createDataFrame(texts, "doc_id long, text string").repartition(3), TOKENIZER).collect()
+    held, coder = {r["doc_id"] for r in got if r["held_out"]}, lm.subwords(TOKENIZER)
+    expected = [(*[x for w in (t or "").lower().split() for x in coder.ids(w.encode())], coder.end) for i, t in texts if i not in held]
+    assert len(got) == len(texts) and seen["ids"] == sorted(expected)
+    assert sum(seen["counts"]) == sum(map(len, expected)) > sum(r["n_tokens"] for r in got if not r["held_out"])
+
+
+def test_the_attention_reads_the_ids_inside_words(spark):
+    """A change of an id inside a word changes the figures of its own word and of the next one."""
+    model, shares = toy_model(), trained_shares(spark, {"a": 5, "ab": 4, "abba": 1})
+    one, two = ([256, ord("a"), ord(x), 257, ord("b"), SIZE - 1] for x in "ab")
+    first, second = (model.word_scores(np.array(x), np.array([6]), np.array([0, 0, 7]), shares) for x in (one, two))
+    assert (first[:2] != second[:2]).all()
+
+
+def test_words_scored_by_attention_and_counts_add_up_to_one_at_most(spark):
+    counts = {"a": 5, "b": 3, "ab": 4, "abab": 1, "bba": 1, "aab": 2}
+    shares, coder, model = trained_shares(spark, counts), lm.subwords((TOY, public.PATTERN)), toy_model()
+    before, total = coder.ids(b"abba"), 0.0
+    for n in range(1, 9):
+        for letters in itertools.product("ab", repeat=n):
+            word = "".join(letters)
+            ids = coder.ids(word.encode())
+            got = model.word_scores(np.array([*before, *ids, SIZE - 1]), np.array([len(before) + len(ids) + 1]), np.array([0, counts.get(word, 0), 7]), shares)
+            # by hand: the first id among those that begin words, then the mixture
+            p, new = model.places(np.array([*before, *ids, SIZE - 1]), np.array([len(before) + len(ids) + 1]))
+            at, rest = len(before), shares.given_first(*lm._flat(coder, [word.encode()]), np.array([counts.get(word, 0)]))[0]
+            spelled = np.prod(p[at + 1 : at + len(ids)]) * new[at + len(ids)]
+            plain = p[at] / new[at] * ((1 - lm.MIX) * rest + lm.MIX * spelled)
+            assert 10 ** got[1] == pytest.approx(plain)
+            total += plain
+    end = model.word_scores(np.array([*before, SIZE - 1]), np.array([len(before) + 1]), np.array([0, 7]), shares)
+    assert 0 < total + 10 ** end[1] <= 1

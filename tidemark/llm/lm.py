@@ -1,10 +1,11 @@
 """Language-model scores from a small causal self-attention model on subword ids.
 
-The model has one place for each word, and one for the text's end. It reads the first subword ids of the words before,
-attends over them, and predicts the word's first id: by a softmax over classes of ids, and the id's share of its class. The
-rest of a word, given its first id, has a probability from the counts of all training words; what they leave over for
-other words is spelled by subword ids up to the word's end. So the probabilities of all words and the end add up to one at
-most, and a text's score is a log probability.
+The model has one place for each subword id, and one for the text's end. It reads all ids before a place, attends over
+them, and predicts the place's id: by a softmax over classes of ids, and the id's share of its class. Ids that begin words
+and ids inside them are in different classes, so the model also says whether a word is over. A word's first id has its
+probability from the attention; the rest of the word, given the first id, from a mixture of the attention over its ids up
+to the word's end, and of the counts of all training words, whose remainder for other words is spelled by pairs of
+subwords. So the probabilities of all words and the end add up to one at most, and a text's score is a log probability.
 
 Counts, classes and weights come from the whole texts of all training documents, by shuffles and by rounds of distributed
 training whose results are averaged. A text is scored in overlapping windows; every place counts once, in the window in
@@ -13,12 +14,14 @@ which most context precedes it.
 
 from __future__ import annotations
 
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,19 +30,21 @@ from .common import LOWER, texts, with_columns, written
 from .hyperdim import fold
 
 CLASSES, SINGLE, WIDTH = 96, 48, 16
-WINDOW, OVERLAP = 32, 8
+WINDOW, OVERLAP = 64, 8
 #: Length of the vectors by which ids are put into classes, and the places on either side that count as near.
 NEAR, SIDE = 8, 8
 #: Classes of ids by which the next id of a word is spelled, how many counts the shares over all of them weigh, and the length of the vectors that put ids into them.
 SPELLINGS, PRIOR, FOLLOW = 128, 50, 16
 #: The part of the ids' plain shares in the mixture with the model's.
 SHARE = 0.05
+#: The part of the attention in the mixture for what follows a word's first id.
+MIX = 0.3
 #: Hashed parts of the training documents that the rounds of training end at; the last round has most.
 ROUNDS, PARTS = (2, 12, 100), 100
 #: Places that all tasks together descend on at least, by as many passes over their texts as that takes, and places of a task at least.
 LEAST_PLACES, TASK_PLACES = 1_500_000, 300_000
-#: Bytes of text in a group of documents that are encoded together; the groups follow the input.
-GROUP_BYTES = 24 << 20
+#: Bytes of text in a group of documents that share a dictionary; the groups follow the input. Words whose ids are gathered at a time.
+GROUP_BYTES, WORDS_AT_ONCE = 24 << 20, 200_000
 
 
 class Subwords:
@@ -109,17 +114,42 @@ def class_probabilities(w: dict[str, np.ndarray], h: np.ndarray) -> np.ndarray:
     return z
 
 
+def spread(w: dict[str, np.ndarray], x: np.ndarray) -> np.ndarray:
+    """The last of forward's activations for each place (rows) and a one, with fewer passes over memory."""
+    t, d = x.shape[1], WIDTH
+    e = w["E"][x]
+    e += w["P"][:t]
+    qkv = np.ones((x.size, 3 * d + 1), dtype=np.float32)
+    np.matmul(e.reshape(-1, d), w["A"], out=qkv[:, : 3 * d])
+    qkv = qkv.reshape(*x.shape, 3 * d + 1)
+    s = (qkv[:, :, :d] * np.float32(d**-0.5)) @ qkv[:, :, d : 2 * d].transpose(0, 2, 1)
+    if s.max(initial=0) > _SAFE or s.min(initial=0) < -_SAFE:
+        s -= np.where(_BEHIND[:t, :t] > 0, s, -np.inf).max(axis=2, keepdims=True)
+        np.minimum(s, 0, out=s)
+    np.exp(s, out=s)
+    s *= _BEHIND[:t, :t]
+    av = (s @ qkv[:, :, 2 * d :]).reshape(-1, d + 1)
+    out = np.ones((x.size, d + 1), dtype=np.float32)
+    np.add(e.reshape(-1, d), (av[:, :d] / av[:, d:]) @ w["O"], out=out[:, :d])
+    return out
+
+
 def gradients(w: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, use: np.ndarray) -> tuple[float, dict[str, np.ndarray], np.ndarray]:
     """The mean negative log likelihood of classes y where `use` is set, its gradients by the dense weights, and by each place's embedding."""
     e, q, k, v, a, av, h = forward(w, x)
     d, two = WIDTH, lambda m: m.reshape(-1, m.shape[-1])
     flat, on = y.reshape(-1), use.reshape(-1)
     n = np.float32(max(1, np.count_nonzero(on)))
-    p = class_probabilities(w, two(h))
-    own = np.arange(len(flat))
-    loss = -float((np.log(p[own, flat]) * on).sum()) / float(n)
-    p[own, flat] -= 1
-    p *= (on / n).astype(np.float32)[:, None]
+    p = two(h) @ w["U"]
+    p += w["c"]
+    if p.max(initial=0) > _SAFE:
+        p -= p.max(axis=1, keepdims=True)
+    np.exp(p, out=p)
+    own, total = np.arange(len(flat)), p @ np.ones(p.shape[1], dtype=p.dtype)
+    loss = -float((np.log(p[own, flat] / total) * on).sum()) / float(n)
+    each = (on / n).astype(np.float32)
+    p *= (each / total)[:, None]
+    p[own, flat] -= each
     g = {"U": two(h).T @ p, "c": p.sum(axis=0)}
     dh = (p @ w["U"].T).reshape(h.shape)
     g["O"] = two(av).T @ two(dh)
@@ -127,7 +157,9 @@ def gradients(w: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, use: np.nd
     da = dav @ v.transpose(0, 2, 1)
     dqkv = np.empty((*x.shape, 3 * d), dtype=np.float32)
     np.matmul(a.transpose(0, 2, 1), dav, out=dqkv[:, :, 2 * d :])
-    ds = (da - (dav * av).sum(axis=2, keepdims=True)) * a
+    ds = da
+    ds -= np.einsum("ijk,ijk->ij", dav, av)[:, :, None]
+    ds *= a
     ds *= np.float32(d**-0.5)
     np.matmul(ds, k, out=dqkv[:, :, :d])
     np.matmul(ds.transpose(0, 2, 1), q, out=dqkv[:, :, d : 2 * d])
@@ -160,6 +192,8 @@ class Descent:
         return loss
 
     def _rows(self, ids: np.ndarray, de: np.ndarray, rate: np.float32) -> None:
+        if len(self.seen) <= 1 << 16:  # short numbers are sorted by radix
+            ids = ids.astype(np.uint16)
         order = np.argsort(ids, kind="stable")
         own = ids[order]
         start = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
@@ -188,7 +222,7 @@ def again(rows: Iterable, passes: int) -> Iterator:
         yield from held
 
 
-def train_on_stream(w: dict[str, np.ndarray], rows: Iterable[tuple[np.ndarray, np.ndarray]], classes: np.ndarray, batch: int = 128, seed: int = 2, passes: int = 1) -> tuple[Descent, int]:
+def train_on_stream(w: dict[str, np.ndarray], rows: Iterable[tuple[np.ndarray, np.ndarray]], classes: np.ndarray, batch: int = 64, seed: int = 2, passes: int = 1) -> tuple[Descent, int]:
     """Descends on all places of (ids of concatenated texts, their sizes), windows shuffled within each; also how many places.
 
     Only one element is held at a time where there is one pass, so texts and input may be of any size.
@@ -240,6 +274,7 @@ class WordShares:
     off: float  # what is taken off each word's count
     spelling: np.ndarray  # class of each id
     pieces: np.ndarray  # of each class, natural logarithms of the shares of the ids that follow; the last is the word's end
+    uses: np.ndarray  # how often each id is in the training words, counted
 
     def given_first(self, flat: np.ndarray, sizes: np.ndarray, count: np.ndarray) -> np.ndarray:
         """The probability of each word given its first id; flat, sizes: the words' ids, each with an end; count: in the training words."""
@@ -259,17 +294,43 @@ class LanguageModel:
     classes: np.ndarray  # of each id
     within: np.ndarray  # each id's share of its class
     plain: np.ndarray  # each id's share of all places
+    begins: np.ndarray | None = None  # does an id begin a word or end the text
 
-    def id_scores(self, ids: np.ndarray, sizes: np.ndarray, at_once: int = 128) -> np.ndarray:
-        """log10 probability of the id at each place of concatenated texts of these sizes."""
-        y, before = self.classes[ids], shifted(ids, sizes)
+    def places(self, ids: np.ndarray, sizes: np.ndarray, at_once: int = 32) -> tuple[np.ndarray, np.ndarray]:
+        """At each place of concatenated texts of these sizes: the probability of its id, and that a word or the end begins there."""
+        y, before, w = self.classes[ids], shifted(ids, sizes), self.weights
         place, scored = window_table(sizes)
-        out = np.zeros(len(ids))
+        begins = np.ones(len(self.classes), dtype=bool) if self.begins is None else self.begins
+        #: sums over all classes, and over those of ids that begin words
+        of_class = np.ones((CLASSES, 2), dtype=np.float32)
+        of_class[:, 1] = np.bincount(self.classes[begins], minlength=CLASSES) > 0
+        dense, out, new = np.concatenate([w["U"], w["c"][None, :]]), np.zeros(len(ids)), np.zeros(len(ids))
         for i in range(0, len(place), at_once):
             p, use = place[i : i + at_once], scored[i : i + at_once]
-            h, at = forward(self.weights, before[p])[-1][use], p[use]
-            out[at] = class_probabilities(self.weights, h)[np.arange(len(at)), y[at]]
-        return np.log10((1 - SHARE) * out * self.within[ids] + SHARE * self.plain[ids])
+            h, at = spread(w, before[p])[use.reshape(-1)], p[use]
+            z = h @ dense
+            if z.max(initial=0) > _SAFE:
+                z -= z.max(axis=1, keepdims=True)
+            np.exp(z, out=z)
+            total = z @ of_class
+            out[at], new[at] = z[np.arange(len(at)), y[at]] / total[:, 0], total[:, 1] / total[:, 0]
+        plain_new = self.plain[begins[: len(self.plain)]].sum()
+        return (1 - SHARE) * out * self.within[ids] + SHARE * self.plain[ids], (1 - SHARE) * new + SHARE * plain_new
+
+    def id_scores(self, ids: np.ndarray, sizes: np.ndarray, at_once: int = 32) -> np.ndarray:
+        """log10 probability of the id at each place of concatenated texts of these sizes."""
+        return np.log10(self.places(ids, sizes, at_once)[0])
+
+    def word_scores(self, ids: np.ndarray, sizes: np.ndarray, count: np.ndarray, of_words: WordShares) -> np.ndarray:
+        """log10 probability of each word and end of concatenated texts; count: of each, in the training words."""
+        p, new = (np.log10(x) for x in self.places(ids, sizes))
+        begins, end = self.begins[ids], len(self.classes) - 1
+        start = np.flatnonzero(begins)
+        first, after = p[start] - new[start], np.append(start[1:], len(ids))
+        spelled = np.add.reduceat(np.where(begins, 0, p), start)
+        spelled[:-1] += new[start[1:]]
+        by_counts = of_words.given_first(np.insert(ids, after, end), after - start + 1, count)
+        return first + np.where(ids[start] == end, 0, np.log10((1 - MIX) * by_counts + MIX * 10**spelled))
 
 
 def codes(size: int, length: int = NEAR, seed: int = 4) -> np.ndarray:
@@ -342,20 +403,24 @@ def clusters(v: np.ndarray, weight: np.ndarray, k: int, seed: int = 4) -> np.nda
     return near_to
 
 
-def class_table(near: np.ndarray, counts: np.ndarray) -> np.ndarray:
+def class_table(near: np.ndarray, counts: np.ndarray, begins: np.ndarray) -> np.ndarray:
     """A class for each id: the most frequent have their own, all others with a count are clustered by the ids around them.
 
-    Ids that begin no training word share a class. The last id is the text's end.
+    Ids that begin words (and the end, the last id) share no class with ids inside words. Ids without a count have a
+    class of either kind.
     """
     size = len(counts)
-    classes = np.full(size, CLASSES - 1, dtype=np.int64)
+    classes = np.where(begins, CLASSES - 1, CLASSES - 3)
     order = np.argsort(-counts, kind="stable")
     own = [i for i in order[:SINGLE] if counts[i] > 0 and i != size - 1]
-    rest = np.setdiff1d(np.flatnonzero(counts > 0), [*own, size - 1])
-    if len(rest):
-        v = near[rest] / (np.linalg.norm(near[rest], axis=1, keepdims=True) + 1e-6)
-        v = np.concatenate([v, np.log1p(counts[rest, None]) * 0.05], axis=1)
-        classes[rest] = SINGLE + clusters(v, np.sqrt(1.0 + counts[rest]), CLASSES - SINGLE - 2)
+    rest, at = np.setdiff1d(np.flatnonzero(counts > 0), [*own, size - 1]), SINGLE
+    kinds = (CLASSES - SINGLE - 3) // 2
+    for some in (rest[begins[rest]], rest[~begins[rest]]):
+        if len(some):
+            v = near[some] / (np.linalg.norm(near[some], axis=1, keepdims=True) + 1e-6)
+            v = np.concatenate([v, np.log1p(counts[some, None]) * 0.05], axis=1)
+            classes[some] = at + clusters(v, np.sqrt(1.0 + counts[some]), kinds)
+        at += kinds
     classes[own] = np.arange(len(own))
     classes[size - 1] = CLASSES - 2
     return classes
@@ -399,30 +464,79 @@ def one_round(training: DataFrame, classes: np.ndarray, weights: dict[str, np.nd
     return out
 
 
-def group_words(docs: DataFrame) -> DataFrame:
-    """(p, word, c): the words of each group p of documents and their counts c in its training documents, now and then a word twice."""
+def coded_texts(docs: DataFrame) -> DataFrame:
+    """docs(doc_id, held_out, part, text) as places of words in a dictionary for each group p of documents.
+
+    Rows of texts have doc_id, held_out, part and at, the places of the text's words; rows of words have place, word and
+    c, the word's count in the group's training documents.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[int, Counter] = {}
+        p, size, count = TaskContext.get().partitionId() << 32, 0, np.zeros(0, dtype=np.int64)
+        place: defaultdict[bytes, int] = defaultdict()
+        place.default_factory = place.__len__
 
-        def flush() -> Iterator[pa.RecordBatch]:
-            for p, own in found.items():
-                words, counts = list(own), np.fromiter(own.values(), dtype=np.int64, count=len(own))
-                for i in range(0, len(words), 50_000):
-                    n = len(words[i : i + 50_000])
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, p, dtype=np.int32)), pa.array(words[i : i + n], pa.binary()), pa.array(counts[i : i + n])], names=["p", "word", "c"])
-            found.clear()
+        def rows(n: int, **columns) -> pa.RecordBatch:
+            given = {"p": pa.array(np.full(n, p, dtype=np.int64)), **columns}
+            return pa.RecordBatch.from_arrays([given.get(f.name, pa.nulls(n, f.type)) for f in _CODED], schema=_CODED)
+
+        def dictionary() -> Iterator[pa.RecordBatch]:
+            words = list(place)
+            for i in range(0, len(words), 50_000):
+                some = words[i : i + 50_000]
+                own = np.arange(i, i + len(some), dtype=np.int32)
+                yield rows(len(some), place=pa.array(own), word=pa.array(some, pa.binary()), c=pa.array(count[own]))
 
         for b in batches:
-            for p, held, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), texts(b, "text")):
-                words = t.translate(LOWER).split()
-                own = found.setdefault(p, Counter())
-                own.update(dict.fromkeys(words, 0) if held else words)
-            if sum(map(len, found.values())) > 400_000:
-                yield from flush()
-        yield from flush()
+            held, own = b.column(1).to_numpy(zero_copy_only=False).astype(bool), []
+            for t in texts(b, "text"):
+                ws = t.translate(LOWER).split()
+                own.append(np.fromiter(map(place.__getitem__, ws), dtype=np.int32, count=len(ws)))
+                size += len(t)
+            trained = [x for x, out in zip(own, held) if not out]
+            grown = np.bincount(np.concatenate(trained), minlength=len(place)) if trained else np.zeros(len(place), dtype=np.int64)
+            grown[: len(count)] += count
+            count = grown
+            yield rows(len(own), doc_id=b.column(0), held_out=b.column(1), part=b.column(2), at=_lists(own))
+            if size >= GROUP_BYTES:
+                yield from dictionary()
+                place.clear()
+                p, size, count = p + 1, 0, np.zeros(0, dtype=np.int64)
+        yield from dictionary()
+
+    return docs.select("doc_id", "held_out", "part", "text").mapInArrow(run, "p long, doc_id long, held_out boolean, part int, at array<int>, place int, word binary, c long")
 
-    return docs.select("p", "held_out", "text").mapInArrow(run, "p int, word binary, c long")
+
+_CODED = pa.schema([("p", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("part", pa.int32()), ("at", pa.list_(pa.int32())), ("place", pa.int32()), ("word", pa.binary()), ("c", pa.int64())])
+
+
+def _lists(some: list[np.ndarray]) -> pa.ListArray:
+    ends = pa.array(np.cumsum([0, *map(len, some)]).astype(np.int32))
+    return pa.ListArray.from_arrays(ends, pa.array(np.concatenate(some) if some else np.zeros(0, dtype=np.int32)))
+
+
+def with_ids(words: DataFrame, tokenizer) -> DataFrame:
+    """words(word, c) with the words' subword ids, as bytes of int32."""
+    shared = words.sparkSession.sparkContext.broadcast(tokenizer)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = subwords(shared.value)
+        for b in batches:
+            ids = [np.array(coder.ids(w), dtype=np.int32).tobytes() for w in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ids, pa.binary())], names=["word", "c", "ids"])
+
+    return words.select("word", "c").mapInArrow(run, "word binary, c long, ids binary")
+
+
+def unpacked_ids(column) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all words in one row, and how many each has."""
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.int32).astype(np.int64), pc.binary_length(column).to_numpy().astype(np.int64) // 4
+
+
+def _ended(column, end: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all words in one row, each word followed by the end's id, and how many each has with it."""
+    flat, n = unpacked_ids(column)
+    return np.insert(flat, np.cumsum(n), end), n + 1
 
 
 def _flat(coder: Subwords, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -432,43 +546,44 @@ def _flat(coder: Subwords, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def word_shares(words: DataFrame, ends: int, tokenizer) -> WordShares:
-    """From the training words (word, c): how often ids begin words, and what follows an id within different words."""
-    shared, size = words.sparkSession.sparkContext.broadcast(tokenizer), max(tokenizer[0].values()) + 2
-    few_at, names = size, ["total", "distinct", *[f"v{i}" for i in range(FOLLOW)]]
+    """From the training words (word, c; with ids or without): how often ids begin words, and what follows an id within different words."""
+    size, encoded = max(tokenizer[0].values()) + 2, words if "ids" in words.columns else with_ids(words, tokenizer)
+    few_at, names = size, ["total", "distinct", "uses", *[f"v{i}" for i in range(FOLLOW)]]
 
     def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, code = subwords(shared.value), codes(size, FOLLOW)
+        code = codes(size, FOLLOW)
         sums, few = np.zeros((size, len(names))), np.zeros(3)
         for b in batches:
-            count = b.column(1).to_numpy()
-            flat, n = _flat(coder, b.column(0).to_pylist())
+            count = b.column(0).to_numpy()
+            flat, n = _ended(b.column(1), size - 1)
             first, last = np.cumsum(n) - n, np.cumsum(n) - 1
             np.add.at(sums[:, 0], flat[first], count)
             np.add.at(sums[:, 1], flat[first], 1)
+            np.add.at(sums[:, 2], flat, np.repeat(count, n))
             follows = np.delete(np.arange(1, len(flat) + 1), last)
             follows = follows[np.argsort(flat[follows - 1], kind="stable")]
             before = flat[follows - 1]
             start = np.flatnonzero(np.concatenate([[True], before[1:] != before[:-1]]))
-            sums[before[start], 2:] += np.add.reduceat(code[flat[follows]], start, axis=0)
+            sums[before[start], 3:] += np.add.reduceat(code[flat[follows]], start, axis=0)
             few += np.bincount(np.minimum(count, 3) - 1, minlength=3)
         at = np.flatnonzero(np.abs(sums).sum(axis=1))
-        rows = np.concatenate([sums[at], [[few[0], few[1]] + [0.0] * FOLLOW]])
+        rows = np.concatenate([sums[at], [[few[0], few[1]] + [0.0] * (FOLLOW + 1)]])
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, few_at).astype(np.int32)), *[pa.array(rows[:, j]) for j in range(len(names))]], names=["id", *names])
 
-    trained = words.where("c > 0").select("word", "c")
+    trained = encoded.where("c > 0").select("c", "ids")
     got, sums = summed(trained, begin, names), np.zeros((size + 1, len(names)))
     sums[got["id"]] = np.stack([got[n] for n in names], axis=1)
     once, twice = sums[few_at, :2]
     #: Ney's estimate of what to take off, from the words that occur once and twice
     off = once / (once + 2 * twice) if once else 0.5
-    total, distinct, after = sums[:-1, 0], sums[:-1, 1], sums[:-1, 2:]
+    total, distinct, uses, after = sums[:-1, 0], sums[:-1, 1], sums[:-1, 2], sums[:-1, 3:]
     length = np.linalg.norm(after, axis=1)
     spelling, some = np.zeros(size, dtype=np.int64), np.flatnonzero(length)
     if len(some):
         spelling[some] = clusters(after[some] / length[some, None], np.sqrt(length[some]), SPELLINGS)
 
     def go_on(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, held, n = subwords(shared.value), [], 0
+        held, n = [], 0
 
         def counted() -> pa.RecordBatch:
             keys, counts = np.unique(np.concatenate(held), return_counts=True)
@@ -476,7 +591,7 @@ def word_shares(words: DataFrame, ends: int, tokenizer) -> WordShares:
             return pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int32)), pa.array(counts.astype(np.float64))], names=["id", "n"])
 
         for b in batches:
-            flat, sizes = _flat(coder, b.column(0).to_pylist())
+            flat, sizes = _ended(b.column(1), size - 1)
             held.append(np.delete(spelling[flat[:-1]] * size + flat[1:], np.cumsum(sizes)[:-1] - 1))
             n += len(held[-1])
             if n > 1_000_000:
@@ -490,60 +605,57 @@ def word_shares(words: DataFrame, ends: int, tokenizer) -> WordShares:
     later = later.reshape(SPELLINGS, size)
     over_all = (later.sum(axis=0) + 0.5) / (later.sum(dtype=np.float64) + 0.5 * size)
     share = (later + (PRIOR * over_all).astype(np.float32)) / (later.sum(axis=1, keepdims=True) + PRIOR)
-    total[-1] = distinct[-1] = ends
-    return WordShares(total, distinct, float(min(0.95, max(0.05, off))), spelling, np.log(share, out=share))
+    total[-1] = distinct[-1] = uses[-1] = ends
+    return WordShares(total, distinct, float(min(0.95, max(0.05, off))), spelling, np.log(share, out=share), uses)
 
 
-def encode_texts(docs: DataFrame, each: DataFrame, words: DataFrame, of_words: WordShares, totals: tuple[int, int, int], tokenizer) -> DataFrame:
-    """docs(p, doc_id, held_out, part, text) as first ids, with all figures that need no context.
+def encode_texts(rows: DataFrame, each: DataFrame, words: DataFrame, totals: tuple[int, int, int], tokenizer) -> DataFrame:
+    """Coded texts as all their subword ids, the counts of their words, and the figures that need no context.
 
-    each: the words of every group, (p, word); words: all words once, with their counts, (word, c). rest is the log10
-    probability of the words given their first ids, known says which tokens training has, and known_base and known_rest
-    are the parts of base_score and rest that these have.
+    rows: the texts, (p, doc_id, held_out, part, at); each: the words of every group, (of, place, word); words: all words
+    once, (word, c, ids). Every text ends with the end's id, and its counts with the end's. known_base is the part of
+    base_score that tokens of training have.
     """
-    shared = docs.sparkSession.sparkContext.broadcast((of_words, tokenizer))
     tokens, distinct, ends = totals
     end = max(tokenizer[0].values()) + 1
-
-    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, coding = shared.value
-        coder = subwords(coding)
-        for b in batches:
-            count = b.column(1).to_numpy()
-            flat, sizes = _flat(coder, b.column(0).to_pylist())
-            if len(sizes):
-                first = flat[np.cumsum(sizes) - sizes].astype(np.int32)
-                rest = np.log10(own.given_first(flat, sizes, count)).astype(np.float32)
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(first), pa.array(rest)], names=["word", "c", "first", "rest"])
-
-    schema = "doc_id long, held_out boolean, part int, n_tokens long, n_known long, base_score double, rest double, known_base double, known_rest double, ids array<int>, known array<boolean>"
+    schema = "doc_id long, held_out boolean, part int, n_tokens long, n_known long, base_score double, known_base double, ids array<int>, counts array<int>"
+    names = [x.split()[0] for x in schema.split(", ")]
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        known = dict(zip(right["word"].to_pylist(), range(1, right.num_rows + 1)))
-        first, count, rest = (np.concatenate([[x], right[n].to_numpy()]) for n, x in (("first", end), ("c", ends), ("rest", 0.0)))
+        flat, n = unpacked_ids(right["ids"])
+        place, many = right["place"].to_numpy(), len(n)
+        #: by place; the last is the end's
+        begin, size, count = np.empty(many + 1, dtype=np.int64), np.ones(many + 1, dtype=np.int64), np.full(many + 1, ends, dtype=np.int64)
+        begin[place], size[place], count[place] = np.cumsum(n) - n, n, right["c"].to_numpy()
+        flat, begin[many] = np.append(flat, end).astype(np.int32), len(flat)
         base = np.log10(count + 0.5) - np.log10(tokens + 0.5 * (distinct + 1))
-        first, is_known, out = first.astype(np.int32), count > 0, ([], [], [], [], [], [], [], [])
-        for t in left["text"].to_pylist():
-            ws = (t or "").encode().translate(LOWER).split()
-            at = np.append(np.fromiter(map(known.__getitem__, ws), dtype=np.int64, count=len(ws)), 0)
-            known_at = is_known[at]
-            sums = (float(x.sum()) for x in (base[at], rest[at], base[at][known_at], rest[at][known_at]))
-            for o, x in zip(out, (len(at), int(np.count_nonzero(known_at)), *sums, first[at], known_at)):
-                o.append(x)
-        ends_at = pa.array(np.cumsum([0, *map(len, out[6])]).astype(np.int32))
-        ids, known_places = (pa.ListArray.from_arrays(ends_at, pa.array(np.concatenate(x) if x else none)) for x, none in ((out[6], first[:0]), (out[7], is_known[:0])))
-        columns = [left["doc_id"], left["held_out"], left["part"], *[pa.array(x, pa.int64()) for x in out[:2]], *[pa.array(x, pa.float64()) for x in out[2:6]], ids, known_places]
-        return pa.table(dict(zip(("doc_id", "held_out", "part", "n_tokens", "n_known", "base_score", "rest", "known_base", "known_rest", "ids", "known"), columns)))
+        out, at = [], left["at"].combine_chunks()
+        stop = np.cumsum(at.value_lengths().to_numpy())
+        i = 0
+        while i < left.num_rows:
+            j = max(i + 1, int(np.searchsorted(stop, (stop[i - 1] if i else 0) + WORDS_AT_ONCE, side="right")))
+            some = at.slice(i, j - i)
+            words_of = some.value_lengths().to_numpy().astype(np.int64)
+            own = np.insert(some.flatten().to_numpy(), np.cumsum(words_of), many)
+            first = np.cumsum(words_of + 1) - words_of - 1
+            known, n = count[own] > 0, size[own]
+            ids = flat[np.repeat(begin[own] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+            base_of = base[own]
+            lists = [pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(k)).astype(np.int32)), pa.array(v)) for k, v in ((np.add.reduceat(n, first), ids), (words_of + 1, np.minimum(count[own], 2**31 - 1).astype(np.int32)))]
+            sums = [pa.array(np.add.reduceat(x, first)) for x in (known.astype(np.int64), base_of, np.where(known, base_of, 0))]
+            told = [left[c].slice(i, j - i).combine_chunks() for c in ("doc_id", "held_out", "part")]
+            out.append(pa.table([*told, pa.array(words_of + 1), *sums, *lists], names=names))
+            i = j
+        return pa.concat_tables(out)
 
     # a word is looked up once, then goes to every group that has it; a frequent one has one row a group, which AQE may split
-    looked = words.mapInArrow(look_up, "word binary, c long, first int, rest float")
-    looked = each.select("p", "word").join(looked, "word")
-    return docs.groupBy("p").cogroup(looked.groupBy("p")).applyInArrow(run, schema)
+    looked = each.select("of", "place", "word").join(words, "word").select("of", "place", "c", "ids")
+    return rows.groupBy("p").cogroup(looked.groupBy("of")).applyInArrow(run, schema)
 
 
-def fit_model(training: DataFrame, counts: np.ndarray, places: int) -> LanguageModel:
-    """Learns classes and weights from all encoded training texts (part, ids) with so many places; counts: how often each id begins a word."""
-    classes = class_table(neighbours(training, len(counts)), counts)
+def fit_model(training: DataFrame, counts: np.ndarray, begins: np.ndarray) -> LanguageModel:
+    """Learns classes and weights from all encoded training texts (part, ids); counts: of each id in them, begins: does it begin words."""
+    classes, places = class_table(neighbours(training, len(counts)), counts, begins), int(counts.sum())
     in_class = np.bincount(classes, counts + 0.5, minlength=CLASSES)
     weights, start = start_weights(len(counts), (in_class + 0.5) / (in_class + 0.5).sum()), 0
     passes, tasks = max(1, -(-LEAST_PLACES // max(1, places))), training.rdd.getNumPartitions()
@@ -557,23 +669,26 @@ def fit_model(training: DataFrame, counts: np.ndarray, places: int) -> LanguageM
             some = some.repartition(wanted, F.xxhash64("ids")).sortWithinPartitions(F.xxhash64("ids"))
         weights = one_round(some, classes, weights, passes)
         start = to
-    return LanguageModel(weights, classes, (counts + 0.5) / in_class[classes], (counts + 0.5) / (counts + 0.5).sum())
+    return LanguageModel(weights, classes, (counts + 0.5) / in_class[classes], (counts + 0.5) / (counts + 0.5).sum(), begins)
 
 
-def score_encoded(encoded: DataFrame, model: LanguageModel) -> DataFrame:
-    """encoded with `context` and `known_context`: the log10 probabilities of each text's first ids, all and those of known words."""
-    shared = encoded.sparkSession.sparkContext.broadcast(model)
+def score_encoded(encoded: DataFrame, model: LanguageModel, of_words: WordShares) -> DataFrame:
+    """encoded with `score` and `known_score`: the log10 probabilities of each text, all and those of known tokens."""
+    shared = encoded.sparkSession.sparkContext.broadcast((model, of_words))
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
+        own, of = shared.value
         for b in batches:
-            known, out = b.column(b.schema.get_field_index("known")).flatten().to_numpy(zero_copy_only=False).astype(bool), [np.zeros((2, 0))]
+            column = b.column(b.schema.get_field_index("counts"))
+            count, words_of = column.flatten().to_numpy(), column.value_lengths().to_numpy().astype(np.int64)
+            out = [np.zeros((2, 0))]
             for ids, sizes in encoded_texts(b):
                 if len(sizes):
-                    scores = shared.value.id_scores(ids, sizes)
-                    out.append(np.add.reduceat(np.stack([scores, np.where(known, scores, 0)]), np.cumsum(sizes) - sizes, axis=1))
+                    scores = own.word_scores(ids, sizes, count, of)
+                    out.append(np.add.reduceat(np.stack([scores, np.where(count > 0, scores, 0)]), np.cumsum(words_of) - words_of, axis=1))
             yield [pa.array(x) for x in np.concatenate(out, axis=1)]
 
-    return with_columns(encoded, "ids", [T.StructField(n, T.DoubleType(), True) for n in ("context", "known_context")], fill)
+    return with_columns(encoded, "ids", [T.StructField(n, T.DoubleType(), True) for n in ("score", "known_score")], fill)
 
 
 def lm_scores(docs: DataFrame, tokenizer: tuple[dict[bytes, int], str]) -> DataFrame:
@@ -582,22 +697,22 @@ def lm_scores(docs: DataFrame, tokenizer: tuple[dict[bytes, int], str]) -> DataF
     Texts are lower-cased (A-Z) and cut into words; the text's end is one more token. Null texts are empty and have only
     the end. known_base and known_score are the parts of base_score and score that tokens seen in training have: the base
     gives every other word one share and doesn't spell it, the model spells it. Documents without an id are scored and count as training; repeated rows count and score each. Texts are
-    whole, of any length: a group of documents that are encoded together has about GROUP_BYTES of text, or one document.
+    whole, of any length: a group of documents that share a dictionary has about GROUP_BYTES of text, or one document.
     Columns other than the two are not read, so none can clash. An empty table gives no rows. tokenizer: ranks and
-    pattern, which are broadcast and of fixed size. How rows lie in tasks has an influence on the weights, and so on the
+    pattern, which are broadcast and of fixed size; ids that begin a word, and no others, begin with a space. How rows lie in tasks has an influence on the weights, and so on the
     last digits of the scores.
     """
-    size, n = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b"), F.count(F.lit(1)).alias("n")).first()
     part = F.pmod(F.xxhash64(F.lit(29), "doc_id", "text"), F.lit(PARTS)).cast("int").alias("part")
-    groups = max(1, min(int(n), -(-int(size) // GROUP_BYTES)))
-    rows = docs.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)).cast("int").alias("p"), "doc_id", fold(5, 1).alias("held_out"), part, "text")
-    each = written(group_words(rows.repartition(groups, "p")), "group_words")
-    words = written(each.groupBy("word").agg(F.sum("c").alias("c")), "words")
-    ends = rows.where("NOT held_out").select("p").count()
+    coded = written(coded_texts(docs.select("doc_id", fold(5, 1).alias("held_out"), part, "text")), "coded")
+    rows, each = coded.where("word IS NULL"), coded.where("word IS NOT NULL").withColumnRenamed("p", "of")
+    words = written(with_ids(each.groupBy("word").agg(F.sum("c").alias("c")), tokenizer), "words")
+    ends = rows.where("NOT held_out").count()
     counted = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.when(F.col("c") > 0, 1)).alias("v")).first()
     totals = (int(counted["n"]) + ends, int(counted["v"]) + (ends > 0), ends)
     of_words = word_shares(words, ends, tokenizer)
-    encoded = written(encode_texts(rows, each, words, of_words, totals, tokenizer), "encoded")
-    model = fit_model(encoded.where("NOT held_out").select("part", "ids"), of_words.total, totals[0])
-    scored = score_encoded(encoded, model)
-    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(totals[0]).cast("long").alias("train_tokens"), "base_score", (F.col("context") + F.col("rest")).alias("score"), "known_base", (F.col("known_context") + F.col("known_rest")).alias("known_score"))
+    encoded = written(encode_texts(rows.select("p", "doc_id", "held_out", "part", "at"), each, words, totals, tokenizer), "encoded")
+    begins = np.zeros(len(of_words.uses), dtype=bool)
+    begins[[r for t, r in tokenizer[0].items() if t.startswith(b" ")] + [len(begins) - 1]] = True
+    model = fit_model(encoded.where("NOT held_out").select("part", "ids"), of_words.uses, begins)
+    scored = score_encoded(encoded, model, of_words)
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(totals[0]).cast("long").alias("train_tokens"), "base_score", "score", "known_base", "known_score")
