@@ -353,3 +353,18 @@ def test_join_heavy_and_the_map_of_keys(spark):
     assert sorted(r["i"] for r in got.collect()) == [i for i in range(3000) if (0 if i % 3 == 0 else i) % 2 == 0]
     among = {r["k"] for r in perhaps_among(left, right.where("k < 500"), ["k"]).where("_among").collect()}
     assert {k for k in range(0, 500, 2) if k % 3} | {0} <= among and len(among) < 300
+
+
+def test_bpe_words_of_like_lengths_share_a_query(monkeypatch):
+    """A query takes as many steps as its longest word, so long words must not be spread over all queries."""
+    coder, sizes = bpe.Encoder(RANKS, public.PATTERN), []
+    contract = coder.contract
+    monkeypatch.setattr(coder, "contract", lambda some: sizes.append([len(x) for x in some]) or contract(some))
+    monkeypatch.setattr(bpe, "WORK_A_QUERY", 20_000)
+    draw = np.random.default_rng(4)
+    words = ["".join(draw.choice(list("bcdé"), n)) for n in draw.integers(5, 90, 300)]
+    text = " ".join(words)
+    plain = tiktoken.Encoding("plain", pat_str=public.PATTERN, mergeable_ranks=RANKS, special_tokens={})
+    assert coder.encode([text])[0].tolist() == plain.encode_ordinary(text)
+    assert len(sizes) > 20 and all(max(a) <= min(b) for a, b in zip(sizes, sizes[1:]))
+    assert all(sum(x * x for x in some) <= 20_000 for some in sizes)

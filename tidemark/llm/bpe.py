@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import base64
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import duckdb
 import numpy as np
@@ -112,6 +112,8 @@ class Encoder:
         self.remembered = remembered
         self.ranks, self.split, self.even = ranks, regex.compile(pattern).findall, pattern == EVEN_PATTERN
         self.token = {r: t for t, r in ranks.items()}
+        #: ids of words that need no contraction
+        self.whole = {b"": b""} | {t: np.int32(r).tobytes() for t, r in ranks.items()}
         self.of_byte = np.array([ranks[bytes([b])] for b in range(256)], dtype=np.int32)
         self.con = duckdb.connect(config=DUCKDB)
         self.con.execute("SET preserve_insertion_order = false")
@@ -123,6 +125,8 @@ class Encoder:
 
     #: Two white-space characters side by side.
     UNEVEN = re.compile(r"\s\s")
+    #: Segments that are one match of that pattern; of others the pattern has to say so.
+    ONE = re.compile(r" ?(?:[A-Za-z]+|[0-9]+)")
 
     def segments(self, text: str) -> list[str]:
         """Segments whose words, one after the other, are the text's words.
@@ -133,31 +137,33 @@ class Encoder:
             return self.split(text)
         return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
 
-    def merge(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
-        """Each word and its ids; words are contracted together up to the work that a query may take."""
-        todo: list[tuple[str, bytes]] = []
-        work = 0
-        for w in words:
-            b = w.encode()
-            if (r := self.ranks.get(b)) is not None:
-                yield w, np.int32(r).tobytes()
-            elif len(b) ** 2 > WORK_A_QUERY:
-                yield w, self.contract_long(b)
-            elif b:
-                if work + len(b) ** 2 > WORK_A_QUERY:
-                    yield from self.contract(todo)
-                    todo, work = [], 0
-                todo.append((w, b))
-                work += len(b) ** 2
-            else:
-                yield w, b""
-        if todo:
-            yield from self.contract(todo)
+    def merge(self, words: Iterable[str]) -> dict[str, bytes]:
+        """Each word's ids; words are contracted together up to the work that a query may take.
 
-    def contract(self, some: list[tuple[str, bytes]]) -> Iterator[tuple[str, bytes]]:
-        size = np.array([len(b) for _, b in some])
+        Words of like lengths go together: a query takes as many steps as its longest word does.
+        """
+        words = list(words)
+        coded = list(map(str.encode, words))
+        found = list(map(self.whole.get, coded))
+        new = np.fromiter((i for i, ids in enumerate(found) if ids is None), dtype=np.int64)
+        size = np.fromiter(map(len, coded), dtype=np.int64, count=len(coded))[new]
+        order = np.argsort(size, kind="stable")
+        new, work = new[order].tolist(), size[order] ** 2
+        done, i = np.cumsum(work), 0
+        while i < len(new) and work[i] <= WORK_A_QUERY:
+            j = int(np.searchsorted(done, done[i] - work[i] + WORK_A_QUERY, side="right"))
+            for n, ids in zip(new[i:j], self.contract([coded[n] for n in new[i:j]])):
+                found[n] = ids
+            i = j
+        for n in new[i:]:
+            found[n] = self.contract_long(coded[n])
+        return dict(zip(words, found))
+
+    def contract(self, some: list[bytes]) -> list[bytes]:
+        """The ids of some words, none of them empty."""
+        size = np.fromiter(map(len, some), dtype=np.int64, count=len(some))
         end = np.cumsum(size)
-        token = self.of_byte[np.frombuffer(b"".join(b for _, b in some), dtype=np.uint8)]
+        token = self.of_byte[np.frombuffer(b"".join(some), dtype=np.uint8)]
         pos = (np.arange(len(token)) - np.repeat(end - size, size)).astype(np.int32)
         last = np.zeros(len(token), dtype=bool)
         last[end - 1] = True
@@ -165,9 +171,9 @@ class Encoder:
         self.con.register("start", pa.table({"w": word, "p": pos, "t": token, "q": pa.array(pos + 1, mask=last), "u": pa.array(np.append(token[1:], np.int32(0)), mask=last)}))
         found = self.con.sql(CONTRACT).to_arrow_table()
         ids = found["ids"].combine_chunks()
-        flat, ends = ids.values.to_numpy().astype(np.int32), ids.offsets.to_numpy()
-        for w, a, b in zip(found["w"].to_pylist(), ends, ends[1:]):
-            yield some[w][0], flat[a:b].tobytes()
+        flat, order = ids.values.to_numpy().astype(np.int32).tobytes(), np.argsort(found["w"].to_numpy())
+        ends = ids.offsets.to_numpy().astype(np.int64) * 4
+        return [flat[a:b] for a, b in zip(ends[:-1][order].tolist(), ends[1:][order].tolist())]
 
     def contract_long(self, word: bytes) -> bytes:
         """The ids of a word of any length, contracted in pieces.
@@ -207,19 +213,19 @@ class Encoder:
     def _ids(self, pieces: list[bytes]) -> list[list[int]]:
         """The ids of pieces of some hundred bytes."""
         found = {}
-        todo: list[tuple[bytes, bytes]] = []
+        todo: list[bytes] = []
         work = 0
         for x in dict.fromkeys(pieces):
             if (r := self.ranks.get(x)) is not None:
                 found[x] = [r]
                 continue
             if todo and work + len(x) ** 2 > WORK_A_QUERY:
-                found |= {w: np.frombuffer(i, dtype=np.int32).tolist() for w, i in self.contract(todo)}
+                found |= {w: np.frombuffer(i, dtype=np.int32).tolist() for w, i in zip(todo, self.contract(todo))}
                 todo, work = [], 0
-            todo.append((x, x))
+            todo.append(x)
             work += len(x) ** 2
         if todo:
-            found |= {w: np.frombuffer(i, dtype=np.int32).tolist() for w, i in self.contract(todo)}
+            found |= {w: np.frombuffer(i, dtype=np.int32).tolist() for w, i in zip(todo, self.contract(todo))}
         return [found[x] for x in pieces]
 
     def _fit(self, pairs: list[tuple[int, int]]) -> list[bool]:
@@ -241,14 +247,13 @@ class Encoder:
             self.new_ids, self.old_ids = {}, self.new_ids
         new_ids, old_ids = self.new_ids, self.old_ids
         cut = [self.segments(text) for text in column]
-        new: set[str] = set()
-        new.update(*cut)
-        new.difference_update(new_ids)
-        for s in new.intersection(old_ids):
-            new_ids[s] = old_ids[s]
-        new.difference_update(new_ids)
-        inside = {s: ws for s in new if (ws := self.split(s)) != [s]}
-        new_ids.update(self.merge(list(new.difference(inside).union(*inside.values()).difference(new_ids))))
+        # set.difference_update() would go over all that is remembered
+        new = set().union(*cut).difference(new_ids)
+        new_ids.update((s, old_ids[s]) for s in new if s in old_ids)
+        new = new.difference(old_ids)
+        one = self.ONE.fullmatch if self.even else lambda s: None
+        inside = {s: ws for s in new if not one(s) and (ws := self.split(s)) != [s]}
+        new_ids.update(self.merge(new.difference(inside).union(*inside.values()).difference(new_ids)))
         for s, ws in inside.items():
             new_ids[s] = b"".join(map(new_ids.__getitem__, ws))
         return [np.frombuffer(b"".join(map(new_ids.__getitem__, segments)), dtype=np.int32) for segments in cut]
