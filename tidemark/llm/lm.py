@@ -497,45 +497,55 @@ def coded_texts(docs: DataFrame) -> DataFrame:
             grown = np.bincount(np.concatenate(trained), minlength=len(place)) if trained else np.zeros(len(place), dtype=np.int64)
             grown[: len(count)] += count
             count = grown
-            yield rows(len(own), doc_id=b.column(0), held_out=b.column(1), part=b.column(2), at=_lists(own))
+            yield rows(len(own), doc_id=b.column(0), held_out=b.column(1), part=b.column(2), at=pa.array(list(map(_planes, own)), pa.binary()))
             if size >= GROUP_BYTES:
                 yield from dictionary()
                 place.clear()
                 p, size, count = p + 1, 0, np.zeros(0, dtype=np.int64)
         yield from dictionary()
 
-    return docs.select("doc_id", "held_out", "part", "text").mapInArrow(run, "p long, doc_id long, held_out boolean, part int, at array<int>, place int, word binary, c long")
+    return docs.select("doc_id", "held_out", "part", "text").mapInArrow(run, "p long, doc_id long, held_out boolean, part int, at binary, place int, word binary, c long")
 
 
-_CODED = pa.schema([("p", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("part", pa.int32()), ("at", pa.list_(pa.int32())), ("place", pa.int32()), ("word", pa.binary()), ("c", pa.int64())])
+_CODED = pa.schema([("p", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("part", pa.int32()), ("at", pa.binary()), ("place", pa.int32()), ("word", pa.binary()), ("c", pa.int64())])
 
 
-def _lists(some: list[np.ndarray]) -> pa.ListArray:
-    ends = pa.array(np.cumsum([0, *map(len, some)]).astype(np.int32))
-    return pa.ListArray.from_arrays(ends, pa.array(np.concatenate(some) if some else np.zeros(0, dtype=np.int32)))
+def _planes(x: np.ndarray) -> bytes:
+    """Numbers as their lowest bytes, then their next ones, and so on: most are small, so this takes little room once compressed."""
+    return x.astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _numbers(planes: bytes) -> np.ndarray:
+    return np.frombuffer(planes, dtype=np.uint8).reshape(4, -1).T.copy().view("<i4").reshape(-1)
+
+
+def _type(end: int) -> type:
+    """The type of stored ids, of which end is the last."""
+    return np.uint16 if end < 1 << 16 else np.int32
 
 
 def with_ids(words: DataFrame, tokenizer) -> DataFrame:
-    """words(word, c) with the words' subword ids, as bytes of int32."""
-    shared = words.sparkSession.sparkContext.broadcast(tokenizer)
+    """words(word, c) with the words' subword ids, as bytes of `_type`."""
+    kind, shared = _type(max(tokenizer[0].values()) + 1), words.sparkSession.sparkContext.broadcast(tokenizer)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = subwords(shared.value)
         for b in batches:
-            ids = [np.array(coder.ids(w), dtype=np.int32).tobytes() for w in b.column(0).to_pylist()]
+            ids = [np.array(coder.ids(w), dtype=kind).tobytes() for w in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ids, pa.binary())], names=["word", "c", "ids"])
 
     return words.select("word", "c").mapInArrow(run, "word binary, c long, ids binary")
 
 
-def unpacked_ids(column) -> tuple[np.ndarray, np.ndarray]:
+def unpacked_ids(column, end: int) -> tuple[np.ndarray, np.ndarray]:
     """The ids of all words in one row, and how many each has."""
-    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.int32).astype(np.int64), pc.binary_length(column).to_numpy().astype(np.int64) // 4
+    kind = np.dtype(_type(end))
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=kind).astype(np.int64), pc.binary_length(column).to_numpy().astype(np.int64) // kind.itemsize
 
 
 def _ended(column, end: int) -> tuple[np.ndarray, np.ndarray]:
     """The ids of all words in one row, each word followed by the end's id, and how many each has with it."""
-    flat, n = unpacked_ids(column)
+    flat, n = unpacked_ids(column, end)
     return np.insert(flat, np.cumsum(n), end), n + 1
 
 
@@ -622,7 +632,7 @@ def encode_texts(rows: DataFrame, each: DataFrame, words: DataFrame, totals: tup
     names = [x.split()[0] for x in schema.split(", ")]
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        flat, n = unpacked_ids(right["ids"])
+        flat, n = unpacked_ids(right["ids"], end)
         place, many = right["place"].to_numpy(), len(n)
         #: by place; the last is the end's
         begin, size, count = np.empty(many + 1, dtype=np.int64), np.ones(many + 1, dtype=np.int64), np.full(many + 1, ends, dtype=np.int64)
@@ -630,13 +640,13 @@ def encode_texts(rows: DataFrame, each: DataFrame, words: DataFrame, totals: tup
         flat, begin[many] = np.append(flat, end).astype(np.int32), len(flat)
         base = np.log10(count + 0.5) - np.log10(tokens + 0.5 * (distinct + 1))
         out, at = [], left["at"].combine_chunks()
-        stop = np.cumsum(at.value_lengths().to_numpy())
+        many_of = pc.binary_length(at).to_numpy().astype(np.int64) // 4
+        stop = np.cumsum(many_of)
         i = 0
         while i < left.num_rows:
             j = max(i + 1, int(np.searchsorted(stop, (stop[i - 1] if i else 0) + WORDS_AT_ONCE, side="right")))
-            some = at.slice(i, j - i)
-            words_of = some.value_lengths().to_numpy().astype(np.int64)
-            own = np.insert(some.flatten().to_numpy(), np.cumsum(words_of), many)
+            words_of = many_of[i:j]
+            own = np.insert(np.concatenate([_numbers(x) for x in at.slice(i, j - i).to_pylist()]), np.cumsum(words_of), many)
             first = np.cumsum(words_of + 1) - words_of - 1
             known, n = count[own] > 0, size[own]
             ids = flat[np.repeat(begin[own] - np.cumsum(n) + n, n) + np.arange(n.sum())]
@@ -703,14 +713,14 @@ def lm_scores(docs: DataFrame, tokenizer: tuple[dict[bytes, int], str]) -> DataF
     last digits of the scores.
     """
     part = F.pmod(F.xxhash64(F.lit(29), "doc_id", "text"), F.lit(PARTS)).cast("int").alias("part")
-    coded = written(coded_texts(docs.select("doc_id", fold(5, 1).alias("held_out"), part, "text")), "coded")
+    coded = written(coded_texts(docs.select("doc_id", fold(5, 1).alias("held_out"), part, "text")), "coded", "zstd")
     rows, each = coded.where("word IS NULL"), coded.where("word IS NOT NULL").withColumnRenamed("p", "of")
-    words = written(with_ids(each.groupBy("word").agg(F.sum("c").alias("c")), tokenizer), "words")
+    words = written(with_ids(each.groupBy("word").agg(F.sum("c").alias("c")), tokenizer), "words", "zstd")
     ends = rows.where("NOT held_out").count()
     counted = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.when(F.col("c") > 0, 1)).alias("v")).first()
     totals = (int(counted["n"]) + ends, int(counted["v"]) + (ends > 0), ends)
     of_words = word_shares(words, ends, tokenizer)
-    encoded = written(encode_texts(rows.select("p", "doc_id", "held_out", "part", "at"), each, words, totals, tokenizer), "encoded")
+    encoded = written(encode_texts(rows.select("p", "doc_id", "held_out", "part", "at"), each, words, totals, tokenizer), "encoded", "zstd")
     begins = np.zeros(len(of_words.uses), dtype=bool)
     begins[[r for t, r in tokenizer[0].items() if t.startswith(b" ")] + [len(begins) - 1]] = True
     model = fit_model(encoded.where("NOT held_out").select("part", "ids"), of_words.uses, begins)
