@@ -42,7 +42,7 @@ MIX = 0.3
 #: Hashed parts of the training documents that the rounds of training end at; the last round has most.
 ROUNDS, PARTS = (2, 12, 100), 100
 #: Places that all tasks together descend on at least, by as many passes over their texts as that takes, and places of a task at least.
-LEAST_PLACES, TASK_PLACES = 1_500_000, 300_000
+LEAST_PLACES, TASK_PLACES = 1_500_000, 1_000_000
 #: Bytes of text in a group of documents that share a dictionary; the groups follow the input. Words whose ids are gathered at a time.
 GROUP_BYTES, WORDS_AT_ONCE = 24 << 20, 200_000
 
@@ -671,12 +671,12 @@ def fit_model(training: DataFrame, counts: np.ndarray, begins: np.ndarray) -> La
     passes, tasks = max(1, -(-LEAST_PLACES // max(1, places))), training.rdd.getNumPartitions()
     for i, to in enumerate(ROUNDS):
         some = training.where((F.col("part") >= start) & (F.col("part") < to))
-        # few places: few tasks, so that each sees enough of them, in an order that does not depend on how rows lay
+        # few places: few tasks, so that each sees enough of them and their rows of weights stay few, in an order that does not depend on how rows lay
         wanted = max(1, min(tasks, places * (to - start) // PARTS // TASK_PLACES))
         if i == 0:
             wanted = min(wanted, max(1, tasks // 12))
         if wanted < tasks:
-            some = some.repartition(wanted, F.xxhash64("ids")).sortWithinPartitions(F.xxhash64("ids"))
+            some = some.repartition(wanted, F.xxhash64("ids")).coalesce(wanted).sortWithinPartitions(F.xxhash64("ids"))
         weights = one_round(some, classes, weights, passes)
         start = to
     return LanguageModel(weights, classes, (counts + 0.5) / in_class[classes], (counts + 0.5) / (counts + 0.5).sum(), begins)
