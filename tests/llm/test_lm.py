@@ -191,3 +191,48 @@ def test_words_scored_by_attention_and_counts_add_up_to_one_at_most(spark):
             total += plain
     end = model.word_scores(np.array([*before, SIZE - 1]), np.array([len(before) + 1]), np.array([0, 7]), shares)
     assert 0 < total + 10 ** end[1] <= 1
+
+
+def test_words_of_groups_are_packed(spark, monkeypatch):
+    """A group's words move as a few rows of many words, and come back with their places, ids and counts in all training texts."""
+    monkeypatch.setattr(lm, "GROUP_BYTES", 2_000)
+    draw = np.random.default_rng(4)
+    texts = [(i, i % 4 == 1, 0, " ".join(f"w{x} é{x % 7}" for x in draw.integers(0, 200, 60))) for i in range(60)] + [(60, False, 0, None)]
+    docs = spark.createDataFrame(texts, "doc_id long, held_out boolean, part int, text string").repartition(6)
+    coded = lm.coded_texts(docs, 5).cache()
+    rows, packs = coded.where("at IS NOT NULL").collect(), coded.where("words IS NOT NULL")
+    groups, coder = {r["p"] for r in packs.collect()}, lm.subwords(TOKENIZER)
+    assert len(groups) > 4 and packs.count() <= 5 * len(groups) and len(rows) == len(texts)
+    count = {}
+    for _, out, _, t in texts:
+        for w in (t or "").encode().split():
+            count[w] = count.get(w, 0) + (not out)
+    once, of_group = [], {p: {} for p in groups}
+    for r in lm.counted_words(packs, TOKENIZER).collect():
+        n, ids = lm._numbers(r["n"]), np.frombuffer(r["ids"], dtype=lm._type(coder.end)).tolist()
+        own = [tuple(ids[e - k : e]) for k, e in zip(n, np.cumsum(n))]
+        figures = list(zip(own, lm._numbers(r["c"], "<i8").tolist()))
+        if r["p"] is None:
+            once += figures
+        else:
+            of_group[r["p"]].update(zip(lm._numbers(r["place"]).tolist(), figures))
+    assert sorted(once) == sorted((tuple(coder.ids(w)), c) for w, c in count.items())
+    by_id = {i: (t or "").encode().split() for i, _, _, t in texts}
+    for r in rows:
+        got = [of_group[r["p"]][x] for x in lm._numbers(r["at"]).tolist()] if by_id[r["doc_id"]] else []
+        assert got == [(tuple(coder.ids(w)), count[w]) for w in by_id[r["doc_id"]]]
+
+
+def test_rows_that_are_shuffled_do_not_follow_the_words(spark, monkeypatch):
+    """Neither the words of a group nor the different words of all have a row each."""
+    many, write = {}, lm.written
+
+    def noted(df, label, *args):
+        out = write(df, label, *args)
+        many[label] = out.count()
+        return out
+
+    monkeypatch.setattr(lm, "written", noted)
+    texts = [(i, " ".join(f"word{i * 100 + j}" for j in range(200))) for i in range(40)]
+    assert lm.lm_scores(spark.createDataFrame(texts, "doc_id long, text string").repartition(2), TOKENIZER).count() == 40
+    assert many["coded"] < 100 and many["words"] < 100

@@ -17,6 +17,8 @@ from __future__ import annotations
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import chain
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +47,8 @@ ROUNDS, PARTS = (2, 12, 100), 100
 LEAST_PLACES, TASK_PLACES = 1_500_000, 1_000_000
 #: Bytes of text in a group of documents that share a dictionary; the groups follow the input. Words whose ids are gathered at a time.
 GROUP_BYTES, WORDS_AT_ONCE = 24 << 20, 200_000
+#: Buckets of words for each partition of the input.
+BUCKETS = 4
 
 
 class Subwords:
@@ -85,63 +89,44 @@ def start_weights(size: int, share: np.ndarray, seed: int = 1) -> dict[str, np.n
     return {"E": make(size, d), "P": make(WINDOW, d, by=0.1), "A": make(d, 3 * d, by=d**-0.5), "O": make(d, d, by=d**-0.5), "U": np.zeros((d, CLASSES), np.float32), "c": np.log(share).astype(np.float32)}
 
 
-def forward(w: dict[str, np.ndarray], x: np.ndarray) -> tuple:
-    """Activations of windows of ids (rows of x, of one length); the last one is what each place knows of those so far."""
-    t, d = x.shape[1], WIDTH
+def attend(w: dict[str, np.ndarray], x: np.ndarray) -> tuple:
+    """Windows of ids (rows of x, of one length): each place's sum of embeddings; its query, key, value and a one; how it attends to each place, not yet divided by the sum; and, a row for each place, this sum, what is attended to, and what the place knows of those so far, with a one."""
+    (many, t), d, kind = x.shape, WIDTH, w["A"].dtype
     e = w["E"][x]
     e += w["P"][:t]
-    qkv = e.reshape(-1, d) @ w["A"]
-    qkv = qkv.reshape(*x.shape, 3 * d)
-    q, k, v = qkv[:, :, :d], qkv[:, :, d : 2 * d], qkv[:, :, 2 * d :]
-    s = (q * np.float32(d**-0.5)) @ k.transpose(0, 2, 1)
+    qkv = np.ones((x.size, 3 * d + 1), dtype=kind)
+    np.matmul(e.reshape(-1, d), scaled(w), out=qkv[:, : 3 * d])
+    qkv = qkv.reshape(many, t, 3 * d + 1)
+    s = qkv[:, :, :d] @ qkv[:, :, d : 2 * d].transpose(0, 2, 1)
     if s.max(initial=0) > _SAFE or s.min(initial=0) < -_SAFE:
         s -= np.where(_BEHIND[:t, :t] > 0, s, -np.inf).max(axis=2, keepdims=True)
         np.minimum(s, 0, out=s)
     np.exp(s, out=s)
     s *= _BEHIND[:t, :t]
-    s /= s.sum(axis=2, keepdims=True)
-    av = s @ v
-    return e, q, k, v, s, av, e + av @ w["O"]
+    av = (s @ qkv[:, :, 2 * d :]).reshape(-1, d + 1)
+    total = av[:, d:]
+    av = av[:, :d] / total
+    h = np.ones((x.size, d + 1), dtype=kind)
+    np.add(e.reshape(-1, d), av @ w["O"], out=h[:, :d])
+    return e, qkv, s, total, av, h
 
 
-def class_probabilities(w: dict[str, np.ndarray], h: np.ndarray) -> np.ndarray:
-    z = h @ w["U"]
-    z += w["c"]
-    if z.max(initial=0) > _SAFE:
-        z -= z.max(axis=1, keepdims=True)
-    np.exp(z, out=z)
-    z /= z.sum(axis=1, keepdims=True)
-    return z
+def scaled(w: dict[str, np.ndarray]) -> np.ndarray:
+    """The weights of queries, keys and values, with the scale of the products in the queries."""
+    return w["A"] * np.repeat(np.array([WIDTH**-0.5, 1, 1], dtype=w["A"].dtype), WIDTH)
 
 
-def spread(w: dict[str, np.ndarray], x: np.ndarray) -> np.ndarray:
-    """The last of forward's activations for each place (rows) and a one, with fewer passes over memory."""
-    t, d = x.shape[1], WIDTH
-    e = w["E"][x]
-    e += w["P"][:t]
-    qkv = np.ones((x.size, 3 * d + 1), dtype=np.float32)
-    np.matmul(e.reshape(-1, d), w["A"], out=qkv[:, : 3 * d])
-    qkv = qkv.reshape(*x.shape, 3 * d + 1)
-    s = (qkv[:, :, :d] * np.float32(d**-0.5)) @ qkv[:, :, d : 2 * d].transpose(0, 2, 1)
-    if s.max(initial=0) > _SAFE or s.min(initial=0) < -_SAFE:
-        s -= np.where(_BEHIND[:t, :t] > 0, s, -np.inf).max(axis=2, keepdims=True)
-        np.minimum(s, 0, out=s)
-    np.exp(s, out=s)
-    s *= _BEHIND[:t, :t]
-    av = (s @ qkv[:, :, 2 * d :]).reshape(-1, d + 1)
-    out = np.ones((x.size, d + 1), dtype=np.float32)
-    np.add(e.reshape(-1, d), (av[:, :d] / av[:, d:]) @ w["O"], out=out[:, :d])
-    return out
+def with_bias(w: dict[str, np.ndarray]) -> np.ndarray:
+    return np.concatenate([w["U"], w["c"][None, :]])
 
 
 def gradients(w: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, use: np.ndarray) -> tuple[float, dict[str, np.ndarray], np.ndarray]:
     """The mean negative log likelihood of classes y where `use` is set, its gradients by the dense weights, and by each place's embedding."""
-    e, q, k, v, a, av, h = forward(w, x)
-    d, two = WIDTH, lambda m: m.reshape(-1, m.shape[-1])
+    e, qkv, s, sums, av, h = attend(w, x)
+    (many, t), d = x.shape, WIDTH
     flat, on = y.reshape(-1), use.reshape(-1)
     n = np.float32(max(1, np.count_nonzero(on)))
-    p = two(h) @ w["U"]
-    p += w["c"]
+    p = h @ with_bias(w)
     if p.max(initial=0) > _SAFE:
         p -= p.max(axis=1, keepdims=True)
     np.exp(p, out=p)
@@ -150,24 +135,28 @@ def gradients(w: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, use: np.nd
     each = (on / n).astype(np.float32)
     p *= (each / total)[:, None]
     p[own, flat] -= each
-    g = {"U": two(h).T @ p, "c": p.sum(axis=0)}
-    dh = (p @ w["U"].T).reshape(h.shape)
-    g["O"] = two(av).T @ two(dh)
+    gu = h.T @ p
+    g = {"U": gu[:d], "c": gu[d]}
+    dh = p @ w["U"].T
+    g["O"] = av.T @ dh
     dav = dh @ w["O"].T
-    da = dav @ v.transpose(0, 2, 1)
-    dqkv = np.empty((*x.shape, 3 * d), dtype=np.float32)
-    np.matmul(a.transpose(0, 2, 1), dav, out=dqkv[:, :, 2 * d :])
-    ds = da
-    ds -= np.einsum("ijk,ijk->ij", dav, av)[:, :, None]
-    ds *= a
-    ds *= np.float32(d**-0.5)
-    np.matmul(ds, k, out=dqkv[:, :, :d])
-    np.matmul(ds.transpose(0, 2, 1), q, out=dqkv[:, :, d : 2 * d])
-    g["A"] = two(e).T @ two(dqkv)
-    de = dh + (two(dqkv) @ w["A"].T).reshape(dh.shape)
+    # by the weights before their division: the last column takes off what all weights of a place share
+    back = np.empty((len(dav), d + 1), dtype=dav.dtype)
+    np.divide(dav, sums, out=back[:, :d])
+    np.divide(np.einsum("ij,ij->i", dav, av), -sums[:, 0], out=back[:, d])
+    back, dqkv = back.reshape(many, t, d + 1), np.empty((many, t, 3 * d), dtype=dav.dtype)
+    ds = back @ qkv[:, :, 2 * d :].transpose(0, 2, 1)
+    ds *= s
+    np.matmul(ds, qkv[:, :, d : 2 * d], out=dqkv[:, :, :d])
+    np.matmul(ds.transpose(0, 2, 1), qkv[:, :, :d], out=dqkv[:, :, d : 2 * d])
+    np.matmul(s.transpose(0, 2, 1), back[:, :, :d], out=dqkv[:, :, 2 * d :])
+    by = dqkv.reshape(-1, 3 * d)
+    g["A"] = e.reshape(-1, d).T @ by
+    g["A"][:, :d] *= d**-0.5
+    dh += by @ scaled(w).T
     g["P"] = np.zeros_like(w["P"])
-    g["P"][: x.shape[1]] = de.sum(axis=0)
-    return loss, g, two(de)
+    g["P"][:t] = dh.reshape(many, t, d).sum(axis=0)
+    return loss, g, dh
 
 
 class Descent:
@@ -304,10 +293,10 @@ class LanguageModel:
         #: sums over all classes, and over those of ids that begin words
         of_class = np.ones((CLASSES, 2), dtype=np.float32)
         of_class[:, 1] = np.bincount(self.classes[begins], minlength=CLASSES) > 0
-        dense, out, new = np.concatenate([w["U"], w["c"][None, :]]), np.zeros(len(ids)), np.zeros(len(ids))
+        dense, out, new = with_bias(w), np.zeros(len(ids)), np.zeros(len(ids))
         for i in range(0, len(place), at_once):
             p, use = place[i : i + at_once], scored[i : i + at_once]
-            h, at = spread(w, before[p])[use.reshape(-1)], p[use]
+            h, at = attend(w, before[p])[-1][use.reshape(-1)], p[use]
             z = h @ dense
             if z.max(initial=0) > _SAFE:
                 z -= z.max(axis=1, keepdims=True)
@@ -346,19 +335,18 @@ def encoded_texts(b: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 def add_neighbours(total: np.ndarray, code: np.ndarray, ids: np.ndarray, sizes: np.ndarray, at_once: int = 50_000) -> None:
     """Adds to each id's row of total the codes of the SIDE ids on either side of it, within its text."""
-    ends = np.cumsum(sizes)
+    ends, rows = np.cumsum(sizes), np.ascontiguousarray(code.T)
     begin, end = np.repeat(ends - sizes, sizes), np.repeat(ends, sizes)
     for a in range(0, len(ids), at_once):
         b = min(a + at_once, len(ids))
-        lo = max(0, a - SIDE)
-        sums = np.zeros((min(len(ids), b + SIDE) - lo + 1, NEAR), dtype=np.int32)
-        np.cumsum(code[ids[lo : b + SIDE]], axis=0, out=sums[1:])
-        i, own = np.arange(a, b), ids[a:b]
-        near = sums[np.minimum(i + SIDE + 1, end[a:b]) - lo] - sums[np.maximum(i - SIDE, begin[a:b]) - lo] - code[own]
-        order = np.argsort(own, kind="stable")
-        own = own[order]
-        first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
-        total[own[first]] += np.add.reduceat(near[order], first, axis=0)
+        lo, i, own = max(0, a - SIDE), np.arange(a, b), ids[a:b]
+        some, sums = ids[lo : b + SIDE], np.zeros(min(len(ids), b + SIDE) - lo + 1, dtype=np.int32)
+        up, down = np.minimum(i + SIDE + 1, end[a:b]) - lo, np.maximum(i - SIDE, begin[a:b]) - lo
+        for j, row in enumerate(rows):
+            one = row[some]
+            np.cumsum(one, out=sums[1:])
+            # whole numbers, exact as doubles
+            total[:, j] += np.bincount(own, weights=sums[up] - sums[down] - one[a - lo : b - lo], minlength=len(total)).astype(np.int64)
 
 
 def summed(rows: DataFrame, run, names: list[str]) -> dict[str, np.ndarray]:
@@ -464,11 +452,12 @@ def one_round(training: DataFrame, classes: np.ndarray, weights: dict[str, np.nd
     return out
 
 
-def coded_texts(docs: DataFrame) -> DataFrame:
+def coded_texts(docs: DataFrame, buckets: int) -> DataFrame:
     """docs(doc_id, held_out, part, text) as places of words in a dictionary for each group p of documents.
 
-    Rows of texts have doc_id, held_out, part and at, the places of the text's words; rows of words have place, word and
-    c, the word's count in the group's training documents.
+    Rows of texts have doc_id, held_out, part and at, the places of the text's words. A group's words are in one row for
+    each bucket of words (by a hash): their places, the words, a line each, and c, their counts in the group's training
+    documents.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -482,10 +471,13 @@ def coded_texts(docs: DataFrame) -> DataFrame:
 
         def dictionary() -> Iterator[pa.RecordBatch]:
             words = list(place)
-            for i in range(0, len(words), 50_000):
-                some = words[i : i + 50_000]
-                own = np.arange(i, i + len(some), dtype=np.int32)
-                yield rows(len(some), place=pa.array(own), word=pa.array(some, pa.binary()), c=pa.array(count[own]))
+            of = np.fromiter(map(crc32, words), dtype=np.int64, count=len(words)) % buckets
+            order = np.argsort(of, kind="stable")
+            packs = np.split(order, np.flatnonzero(np.diff(of[order])) + 1) if words else []
+            for i in range(0, len(packs), 64):
+                some = packs[i : i + 64]
+                lines = [b"\n".join([words[i] for i in at]) for at in some]
+                yield rows(len(some), bucket=pa.array([of[at[0]] for at in some], pa.int32()), place=pa.array(map(_planes, some), pa.binary()), words=pa.array(lines, pa.binary()), c=pa.array([_planes(count[at]) for at in some], pa.binary()))
 
         for b in batches:
             held, own = b.column(1).to_numpy(zero_copy_only=False).astype(bool), []
@@ -504,19 +496,24 @@ def coded_texts(docs: DataFrame) -> DataFrame:
                 p, size, count = p + 1, 0, np.zeros(0, dtype=np.int64)
         yield from dictionary()
 
-    return docs.select("doc_id", "held_out", "part", "text").mapInArrow(run, "p long, doc_id long, held_out boolean, part int, at binary, place int, word binary, c long")
+    return docs.select("doc_id", "held_out", "part", "text").mapInArrow(run, "p long, doc_id long, held_out boolean, part int, at binary, bucket int, place binary, words binary, c binary")
 
 
-_CODED = pa.schema([("p", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("part", pa.int32()), ("at", pa.binary()), ("place", pa.int32()), ("word", pa.binary()), ("c", pa.int64())])
+_CODED = pa.schema([("p", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("part", pa.int32()), ("at", pa.binary()), ("bucket", pa.int32()), ("place", pa.binary()), ("words", pa.binary()), ("c", pa.binary())])
 
 
-def _planes(x: np.ndarray) -> bytes:
+def _planes(x: np.ndarray, kind: str = "<i4") -> bytes:
     """Numbers as their lowest bytes, then their next ones, and so on: most are small, so this takes little room once compressed."""
-    return x.astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes()
+    return x.astype(kind).view(np.uint8).reshape(-1, int(kind[2:])).T.tobytes()
+
+
+def _numbers(planes: bytes, kind: str = "<i4") -> np.ndarray:
+    return np.frombuffer(planes, dtype=np.uint8).reshape(int(kind[2:]), -1).T.copy().view(kind).reshape(-1)
 
 
-def _numbers(planes: bytes) -> np.ndarray:
-    return np.frombuffer(planes, dtype=np.uint8).reshape(4, -1).T.copy().view("<i4").reshape(-1)
+def _joined(column, kind: str = "<i4") -> np.ndarray:
+    """The numbers of all rows in one row."""
+    return np.concatenate([np.zeros(0, dtype=kind), *[_numbers(x, kind) for x in column.to_pylist()]])
 
 
 def _type(end: int) -> type:
@@ -524,54 +521,88 @@ def _type(end: int) -> type:
     return np.uint16 if end < 1 << 16 else np.int32
 
 
+#: Words in one row: of each its place in a group's dictionary, its count in all training texts and how many ids it has, and all ids as bytes of `_type`.
+WORDS = "p long, place binary, c binary, n binary, ids binary"
+_WORDS = pa.schema([("p", pa.int64()), ("place", pa.binary()), ("c", pa.binary()), ("n", pa.binary()), ("ids", pa.binary())])
+
+
+def _encoded(coder: Subwords, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all words in one row, and how many each has."""
+    ids = list(map(coder.ids, words))
+    n = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
+    return np.fromiter(chain.from_iterable(ids), dtype=_type(coder.end), count=int(n.sum())), n
+
+
 def with_ids(words: DataFrame, tokenizer) -> DataFrame:
-    """words(word, c) with the words' subword ids, as bytes of `_type`."""
-    kind, shared = _type(max(tokenizer[0].values()) + 1), words.sparkSession.sparkContext.broadcast(tokenizer)
+    """words(word, c), each word once, as rows of WORDS without a group."""
+    shared = words.sparkSession.sparkContext.broadcast(tokenizer)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = subwords(shared.value)
         for b in batches:
-            ids = [np.array(coder.ids(w), dtype=kind).tobytes() for w in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ids, pa.binary())], names=["word", "c", "ids"])
+            flat, n = _encoded(coder, b.column(0).to_pylist())
+            yield pa.RecordBatch.from_pylist([{"c": _planes(b.column(1).to_numpy(), "<i8"), "n": _planes(n), "ids": flat.tobytes()}], _WORDS)
 
-    return words.select("word", "c").mapInArrow(run, "word binary, c long, ids binary")
+    return words.select("word", "c").mapInArrow(run, WORDS)
 
 
-def unpacked_ids(column, end: int) -> tuple[np.ndarray, np.ndarray]:
-    """The ids of all words in one row, and how many each has."""
-    kind = np.dtype(_type(end))
-    return np.frombuffer(b"".join(column.to_pylist()), dtype=kind).astype(np.int64), pc.binary_length(column).to_numpy().astype(np.int64) // kind.itemsize
+def counted_words(packs: DataFrame, tokenizer) -> DataFrame:
+    """The groups' words (p, bucket, place, words, c) with their counts in all training texts and their ids, as rows of WORDS.
 
-
-def _ended(column, end: int) -> tuple[np.ndarray, np.ndarray]:
-    """The ids of all words in one row, each word followed by the end's id, and how many each has with it."""
-    flat, n = unpacked_ids(column, end)
-    return np.insert(flat, np.cumsum(n), end), n + 1
+    One row for each of packs, and one without a group for each bucket, in which each word is once.
+    """
+    shared = packs.sparkSession.sparkContext.broadcast(tokenizer)
+
+    def run(t: pa.Table) -> pa.Table:
+        lines = [x.split(b"\n") for x in t["words"].to_pylist()]
+        stop = np.cumsum([len(x) for x in lines])
+        coded = pa.array(chain.from_iterable(lines), pa.binary()).dictionary_encode()
+        of, words = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+        # whole numbers, exact as doubles
+        total = np.bincount(of, weights=_joined(t["c"]), minlength=len(words)).astype(np.int64)
+        flat, n = _encoded(subwords(shared.value), words)
+        begin = np.cumsum(n) - n
+        out = [{"c": _planes(total, "<i8"), "n": _planes(n), "ids": flat.tobytes()}]
+        for p, place, some in zip(t["p"].to_pylist(), t["place"].to_pylist(), np.split(of, stop[:-1])):
+            many = n[some]
+            ids = flat[np.repeat(begin[some] - np.cumsum(many) + many, many) + np.arange(many.sum())]
+            out.append({"p": p, "place": place, "c": _planes(total[some], "<i8"), "n": _planes(many), "ids": ids.tobytes()})
+        return pa.Table.from_pylist(out, _WORDS)
+
+    return packs.select("p", "bucket", "place", "words", "c").groupBy("bucket").applyInArrow(run, WORDS)
+
+
+def _trained(b: pa.RecordBatch, end: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each row (c, n, ids): the counts of its words of training, their ids in one row, each word followed by the end's id, and how many each has with it."""
+    for c, n, ids in zip(*(x.to_pylist() for x in b.columns)):
+        count, many = _numbers(c, "<i8"), _numbers(n).astype(np.int64)
+        keep = count > 0
+        if keep.any():
+            flat = np.frombuffer(ids, dtype=_type(end)).astype(np.int64)[np.repeat(keep, many)]
+            yield count[keep], np.insert(flat, np.cumsum(many[keep]), end), many[keep] + 1
 
 
 def _flat(coder: Subwords, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """The ids of all words in one row, each word followed by the end's id, and how many each has with it."""
-    ids = [coder.ids(w) for w in words]
-    return np.array([x for i in ids for x in (*i, coder.end)], dtype=np.int64), np.array([len(i) + 1 for i in ids], dtype=np.int64)
+    flat, n = _encoded(coder, words)
+    return np.insert(flat.astype(np.int64), np.cumsum(n), coder.end), n + 1
 
 
 def word_shares(words: DataFrame, ends: int, tokenizer) -> WordShares:
-    """From the training words (word, c; with ids or without): how often ids begin words, and what follows an id within different words."""
+    """From the training words (word, c, or WORDS): how often ids begin words, and what follows an id within different words."""
     size, encoded = max(tokenizer[0].values()) + 2, words if "ids" in words.columns else with_ids(words, tokenizer)
     few_at, names = size, ["total", "distinct", "uses", *[f"v{i}" for i in range(FOLLOW)]]
 
     def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = codes(size, FOLLOW)
         sums, few = np.zeros((size, len(names))), np.zeros(3)
-        for b in batches:
-            count = b.column(0).to_numpy()
-            flat, n = _ended(b.column(1), size - 1)
+        for count, flat, n in (x for b in batches for x in _trained(b, size - 1)):
             first, last = np.cumsum(n) - n, np.cumsum(n) - 1
             np.add.at(sums[:, 0], flat[first], count)
             np.add.at(sums[:, 1], flat[first], 1)
             np.add.at(sums[:, 2], flat, np.repeat(count, n))
             follows = np.delete(np.arange(1, len(flat) + 1), last)
-            follows = follows[np.argsort(flat[follows - 1], kind="stable")]
+            follows = follows[np.argsort(flat[follows - 1].astype(_type(size)), kind="stable")]
             before = flat[follows - 1]
             start = np.flatnonzero(np.concatenate([[True], before[1:] != before[:-1]]))
             sums[before[start], 3:] += np.add.reduceat(code[flat[follows]], start, axis=0)
@@ -580,7 +611,7 @@ def word_shares(words: DataFrame, ends: int, tokenizer) -> WordShares:
         rows = np.concatenate([sums[at], [[few[0], few[1]] + [0.0] * (FOLLOW + 1)]])
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, few_at).astype(np.int32)), *[pa.array(rows[:, j]) for j in range(len(names))]], names=["id", *names])
 
-    trained = encoded.where("c > 0").select("c", "ids")
+    trained = encoded.where("p IS NULL").select("c", "n", "ids")
     got, sums = summed(trained, begin, names), np.zeros((size + 1, len(names)))
     sums[got["id"]] = np.stack([got[n] for n in names], axis=1)
     once, twice = sums[few_at, :2]
@@ -600,8 +631,7 @@ def word_shares(words: DataFrame, ends: int, tokenizer) -> WordShares:
             held.clear()
             return pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int32)), pa.array(counts.astype(np.float64))], names=["id", "n"])
 
-        for b in batches:
-            flat, sizes = _ended(b.column(1), size - 1)
+        for _, flat, sizes in (x for b in batches for x in _trained(b, size - 1)):
             held.append(np.delete(spelling[flat[:-1]] * size + flat[1:], np.cumsum(sizes)[:-1] - 1))
             n += len(held[-1])
             if n > 1_000_000:
@@ -619,12 +649,11 @@ def word_shares(words: DataFrame, ends: int, tokenizer) -> WordShares:
     return WordShares(total, distinct, float(min(0.95, max(0.05, off))), spelling, np.log(share, out=share), uses)
 
 
-def encode_texts(rows: DataFrame, each: DataFrame, words: DataFrame, totals: tuple[int, int, int], tokenizer) -> DataFrame:
+def encode_texts(rows: DataFrame, words: DataFrame, totals: tuple[int, int, int], tokenizer) -> DataFrame:
     """Coded texts as all their subword ids, the counts of their words, and the figures that need no context.
 
-    rows: the texts, (p, doc_id, held_out, part, at); each: the words of every group, (of, place, word); words: all words
-    once, (word, c, ids). Every text ends with the end's id, and its counts with the end's. known_base is the part of
-    base_score that tokens of training have.
+    rows: the texts, (p, doc_id, held_out, part, at); words: the words of every group, WORDS. Every text ends with the
+    end's id, and its counts with the end's. known_base is the part of base_score that tokens of training have.
     """
     tokens, distinct, ends = totals
     end = max(tokenizer[0].values()) + 1
@@ -632,11 +661,11 @@ def encode_texts(rows: DataFrame, each: DataFrame, words: DataFrame, totals: tup
     names = [x.split()[0] for x in schema.split(", ")]
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        flat, n = unpacked_ids(right["ids"], end)
-        place, many = right["place"].to_numpy(), len(n)
+        place, n = _joined(right["place"]), _joined(right["n"]).astype(np.int64)
+        flat, many = np.frombuffer(b"".join(right["ids"].to_pylist()), dtype=_type(end)), len(n)
         #: by place; the last is the end's
         begin, size, count = np.empty(many + 1, dtype=np.int64), np.ones(many + 1, dtype=np.int64), np.full(many + 1, ends, dtype=np.int64)
-        begin[place], size[place], count[place] = np.cumsum(n) - n, n, right["c"].to_numpy()
+        begin[place], size[place], count[place] = np.cumsum(n) - n, n, _joined(right["c"], "<i8")
         flat, begin[many] = np.append(flat, end).astype(np.int32), len(flat)
         base = np.log10(count + 0.5) - np.log10(tokens + 0.5 * (distinct + 1))
         out, at = [], left["at"].combine_chunks()
@@ -658,9 +687,7 @@ def encode_texts(rows: DataFrame, each: DataFrame, words: DataFrame, totals: tup
             i = j
         return pa.concat_tables(out)
 
-    # a word is looked up once, then goes to every group that has it; a frequent one has one row a group, which AQE may split
-    looked = each.select("of", "place", "word").join(words, "word").select("of", "place", "c", "ids")
-    return rows.groupBy("p").cogroup(looked.groupBy("of")).applyInArrow(run, schema)
+    return rows.groupBy("p").cogroup(words.where("p IS NOT NULL").groupBy("p")).applyInArrow(run, schema)
 
 
 def fit_model(training: DataFrame, counts: np.ndarray, begins: np.ndarray) -> LanguageModel:
@@ -713,14 +740,15 @@ def lm_scores(docs: DataFrame, tokenizer: tuple[dict[bytes, int], str]) -> DataF
     last digits of the scores.
     """
     part = F.pmod(F.xxhash64(F.lit(29), "doc_id", "text"), F.lit(PARTS)).cast("int").alias("part")
-    coded = written(coded_texts(docs.select("doc_id", fold(5, 1).alias("held_out"), part, "text")), "coded", "zstd")
-    rows, each = coded.where("word IS NULL"), coded.where("word IS NOT NULL").withColumnRenamed("p", "of")
-    words = written(with_ids(each.groupBy("word").agg(F.sum("c").alias("c")), tokenizer), "words", "zstd")
+    # more buckets for more input, so that the words of one stay few
+    buckets = BUCKETS * docs.rdd.getNumPartitions()
+    coded = written(coded_texts(docs.select("doc_id", fold(5, 1).alias("held_out"), part, "text"), buckets), "coded", "zstd")
+    rows, packs = coded.where("at IS NOT NULL"), coded.where("words IS NOT NULL")
+    words = written(counted_words(packs, tokenizer), "words", "zstd")
     ends = rows.where("NOT held_out").count()
-    counted = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.when(F.col("c") > 0, 1)).alias("v")).first()
-    totals = (int(counted["n"]) + ends, int(counted["v"]) + (ends > 0), ends)
     of_words = word_shares(words, ends, tokenizer)
-    encoded = written(encode_texts(rows.select("p", "doc_id", "held_out", "part", "at"), each, words, totals, tokenizer), "encoded", "zstd")
+    totals = (int(of_words.total.sum()), int(of_words.distinct[:-1].sum()) + (ends > 0), ends)
+    encoded = written(encode_texts(rows.select("p", "doc_id", "held_out", "part", "at"), words, totals, tokenizer), "encoded", "zstd")
     begins = np.zeros(len(of_words.uses), dtype=bool)
     begins[[r for t, r in tokenizer[0].items() if t.startswith(b" ")] + [len(begins) - 1]] = True
     model = fit_model(encoded.where("NOT held_out").select("part", "ids"), of_words.uses, begins)
