@@ -193,3 +193,24 @@ def test_one_account_and_a_horizon_over_batches(spark):
     assert sum(r["attributed_paise"] or 0 for r in got) == sum(r[3] or 0 for r in plain_horizon(rows, names, 60))
     own = fifo.account_fifo(df, "HUB")
     assert sorted(map(tuple, own.collect())) == sorted(map(tuple, fifo.fifo_edges(df).where("account = 'HUB'").collect()))
+
+
+def test_a_horizon_shuffles_each_event_once(spark):
+    """Accounts with few events need one shuffle and no written table; only ids, seconds and money are moved."""
+    rows, df, names = hub_ledger(spark, 4)
+    found = fifo.horizon_records(df, 60)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Repartition") == 1 and "parquet" not in plan and "transaction_id" not in plan.split("Repartition")[0]
+    assert len(found.collect()) == len(plain_horizon(rows, names, 60))
+
+
+def test_accounts_whose_sums_do_not_fit_together(spark):
+    """Each account's money fits a BIGINT, that of two does not; transfers without a time fund nothing."""
+    most = 2**60
+    rows = [(i, f"T{i}", *r) for i, r in enumerate([("X", "A", 5, most), ("A", "B", 6, most - 3), ("B", "C", 9, most), ("C", "D", None, 7), ("A", "E", 30, 9), ("X", "F", None, 5), ("F", "G", 3, 4)])]
+    got = {tuple(r)[:4] + (r["unallocated_paise"], r["reason"]) for r in fifo.horizon_records(spark.createDataFrame(rows, SCHEMA), 10).collect()}
+    none = "NO_PRIOR_INFLOW"
+    assert got == {
+        ("X", None, 0, None, most, none), ("A", 0, 1, most - 3, None, None), ("B", 1, 2, most - 3, None, None), ("B", None, 2, None, 3, "INFLOW_DEPLETED"),
+        ("C", None, 3, None, 7, none), ("A", None, 4, None, 9, "HORIZON_EXCEEDED"), ("X", None, 5, None, 5, none), ("F", None, 6, None, 4, "HORIZON_EXCEEDED"),
+    }
