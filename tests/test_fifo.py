@@ -214,3 +214,13 @@ def test_accounts_whose_sums_do_not_fit_together(spark):
         ("X", None, 0, None, most, none), ("A", 0, 1, most - 3, None, None), ("B", 1, 2, most - 3, None, None), ("B", None, 2, None, 3, "INFLOW_DEPLETED"),
         ("C", None, 3, None, 7, none), ("A", None, 4, None, 9, "HORIZON_EXCEEDED"), ("X", None, 5, None, 5, none), ("F", None, 6, None, 4, "HORIZON_EXCEEDED"),
     }
+
+
+@pytest.mark.parametrize("few", [7, 100_000])
+def test_row_ids_of_any_size_do_not_mix_up_seconds(spark, few):
+    """Transfers go by second first: ids above ten million, in another order than time, only order those of one second."""
+    rows, _, names = hub_ledger(spark, 11)
+    rows = [(i * 7919 % 300 * 1_000_003, *r[1:]) for i, r in enumerate(rows)]
+    key = lambda r: tuple((x is None, x or 0) for x in r[:6]) + (r[6] or "",)
+    got = sorted(map(tuple, fifo.horizon_records(spark.createDataFrame(rows, SCHEMA), 60, few).collect()), key=key)
+    assert got == sorted(plain_horizon(rows, names, 60), key=key) and all(r[4] is None or r[4] >= 0 for r in got)
