@@ -55,3 +55,18 @@ def test_rows_are_numbered_without_a_second_shuffle(spark):
     assert shuffles(numbered) <= 1  # the counts of ranges
     assert [r["k"] for r in numbered.orderBy("row_id").collect()] == sorted(keys)
     assert sorted(r["row_id"] for r in numbered.collect()) == list(range(3_000))
+
+
+@pytest.mark.parametrize("few", [0, 100_000])
+def test_velocity_without_times_amounts_or_receivers(spark, few):
+    """Transfers without a time are in no band, those without a receiver are one sum; accounts' sums need not fit a BIGINT together; gathering needs no window."""
+    most = 2**61
+    drawn = [("X", "A", most, 0), ("A", "B", most, 200), ("B", "C", 7, 500), ("A", "C", 9, None), ("X", "A", 5, None), ("X", None, 4, 3), ("Y", None, 8, 9), ("C", "D", 3, 900), ("E", "F", None, 0), ("F", "G", 6, 300)]
+    rows = spark.createDataFrame([(i, f"T{i}", *r) for i, r in enumerate(drawn)], "row_id long, transaction_id string, sender_account string, receiver_account string, amount_paise long, epoch_s long")
+    found = velocity.velocity_accounts(rows, few=few)
+    assert (few == 0) == ("Window" in found._jdf.queryExecution().optimizedPlan().toString())
+    got = {k: (r["pass_through_event_count"], r["median_incoming_to_outgoing_seconds"], r["pass_through_incoming_volume"], r["pass_through_attributed_volume"]) for k, r in by_account(found).items()}
+    assert got == {
+        "A": (1, 200.0, (most + 5) / 100, most / 100), "B": (1, 300.0, most / 100, 0.07), "C": (1, 400.0, 0.16, 0.03), "D": (0, None, 0.03, 0.0),
+        None: (0, None, 0.12, 0.0), "F": (1, 300.0, None, 0.06), "G": (0, None, 0.06, 0.0),
+    }
